@@ -1,25 +1,37 @@
 """Near-duplicate lines over the whole corpus: an exact set-similarity join on the word sets of lines.
 
-Only DataFrame functions are used. A line's words are ordered by rarity (a frequency class from a fixed-size table of
-hashed counts over all lines, then the word's hash): a total order, so lines with Jaccard >= t share a word among their
-first n - ceil(t n) + 1. Candidates must also pass the length filter, the positional filter and a bound on the bits in
-which their parity signatures differ; then the Jaccard similarity of whole sets is verified. A line goes if an earlier
-line (by doc_id, then line number) is similar to it; whether that one stays doesn't matter.
+A line's words are ordered by rarity (a class by a fixed-size table of hashed counts over all texts, then the word's
+hash): a total order, so lines with Jaccard >= t share a word among their first n - ceil(t n) + 1. Lines meet by these
+words. Candidates must pass the length filter, the positional filter and a bound on the bits in which their parity
+signatures differ; then the Jaccard similarity of the whole sets is verified. A line goes if an earlier line (by doc_id,
+then line number) is similar to it; whether that one stays doesn't matter.
+
+Equal lines are found with DataFrame functions, as are the verification and the removal. Word tables, postings and
+candidates come from Arrow batches: in functions of arrays they took over three times the CPU that is allowed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, documents, materialise
+from .common import WORD_GAP, documents, materialise, string_buffers, text_slices
+from .words import LOWER, scan, span_hashes
 
 THRESHOLD = 0.75
-#: Size of the table of hashed word counts; one class byte each. Its size doesn't grow with the corpus.
-TABLE_BITS = 17
+#: Size of the table of hashed word counts, one class byte each, however large the corpus is.
+TABLE_BITS = 20
 #: Line keys that may be broadcast; beyond it they are joined by a shuffle.
 LINE_ROWS = 1_000_000
+#: Candidates of a line under one word that are verified first; the rest only if none of a line's candidates is similar.
+FIRST = 2
+LANES = 4
+POST = "h long, doc_id long, line_no int, n int, pos int, s0 long, s1 long, s2 long, s3 long"
+PAIR = "doc_id long, line_no int, p_doc long, p_line int, cut boolean"
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -28,73 +40,198 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _hashes(line: Column) -> Column:
-    """Hashes of a line's words, lower-cased; one per occurrence. Other gaps than spaces are rare but count."""
-    words = F.filter(F.split(F.lower(line), WORD_GAP), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
-def rarity_table(docs: DataFrame, bits: int = TABLE_BITS) -> bytes:
-    """For each of 2**bits buckets of word hashes a class: twice the binary logarithm of the occurrences in all texts."""
-    words = documents(docs).select(F.explode(F.split(F.lower("text"), WORD_GAP)).alias("w")).where("w != ''")
-    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    table = np.zeros(1 << bits, np.uint8)
-    got = counts.toArrow()
-    table[got["b"].to_numpy()] = np.minimum(1 + 2 * np.log2(np.maximum(got["n"].to_numpy(), 1)), 126).astype(np.uint8)
-    return table.tobytes()
-
-
-def postings(lines: DataFrame, table: bytes, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, line_no, n (distinct words), sig (parity of the words' bits), pos (from 0) and h, for each word of each line's prefix."""
-    bits, literal = (len(table) - 1).bit_length(), F.lit(table)
-
-    def key(h: Column) -> Column:
-        at = F.shiftrightunsigned(h, 64 - bits).cast("int") + 1
-        rarity = F.ascii(F.substring(literal, at, F.lit(1)).cast("string"))
-        return F.shiftleft(rarity.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-
-    sets = lines.withColumn("s", F.sort_array(F.array_distinct(F.transform(_hashes(F.col("line")), key)))).drop("line")
-    n = F.size("s")
-    sig = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    prefix = F.slice("s", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
-    return sets.where(n > 0).select("doc_id", "line_no", n.alias("n"), sig.alias("sig"), F.posexplode(prefix).alias("pos", "h"))
-
-
-def _alike(a: str, b: str, threshold: float) -> Column:
-    """Filters on two postings: lengths, the overlap that their places in the sets still allow, and signature bits.
-
-    Sets that overlap in o >= t / (1 + t) (n + m) words differ in at most n + m - 2 o words, and so do their signatures' bits.
+def rarity_table(docs: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
+    """For each of 2**bits buckets of word hashes a class byte: eight times the binary logarithm of the occurrences in all texts."""
+    block = 1 << 12
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for part in text_slices(batch):
+                data, offsets = string_buffers(part.column("text"))
+                data = LOWER[data]
+                w = scan(data, offsets)
+                total += np.bincount((span_hashes(data, w.starts, w.ends) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        blocks = [x.tobytes() for x in total.astype("<u4").reshape(-1, block)]
+        yield pa.RecordBatch.from_pydict({"b": pa.array(np.arange(len(blocks), dtype=np.int32)), "c": pa.array(blocks, pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, c in zip(batch.column("b").to_pylist(), batch.column("c")):
+                own = np.frombuffer(c.as_buffer(), "<u4").astype(np.int64)
+                sums[b] = sums[b] + own if b in sums else own
+        if sums:
+            yield pa.RecordBatch.from_pydict({"b": pa.array(list(sums), pa.int32()), "c": pa.array([(8 * np.log2(x + 1)).clip(0, 255).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())})
+
+    got = docs.mapInArrow(count, "b int, c binary").repartition("b").mapInArrow(add, "b int, c binary").toArrow().sort_by("b")
+    table = np.frombuffer(b"".join(c.as_py() for c in got["c"]), np.uint8)
+    return table if len(table) == 1 << bits else np.zeros(1 << bits, np.uint8)
+
+
+def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
+    return n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+
+
+def line_postings(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, threshold: float, gone: list[np.ndarray | None]) -> dict[str, np.ndarray]:
+    """Postings of the lines of a text column, less the lines of row i in gone[i]: row, line_no, n, pos, h and signature lanes."""
+    bits = (len(table) - 1).bit_length()
+    data = LOWER[data]
+    w = scan(data, offsets)
+    h = span_hashes(data, w.starts, w.ends)
+    # number of each word's line: line ends before it in its row
+    ends = np.append(0, np.cumsum(data == 10, dtype=np.int64))
+    first = np.append(0, np.cumsum([1 + int(ends[b] - ends[a]) for a, b in zip(offsets, offsets[1:])])).astype(np.int64)
+    line = first[w.rows] + ends[w.starts] - ends[offsets[w.rows]]
+    alive = np.ones(int(first[-1]), dtype=bool)
+    for i, x in enumerate(gone):
+        if x is not None and len(x):
+            alive[first[i] + x] = False
+    keep = alive[line]
+    h, line = h[keep], line[keep]
+    rank = table[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
+    key = (rank << np.uint64(56)) | (h & np.uint64((1 << 56) - 1))
+    order = np.lexsort((key, line))
+    key, line = key[order], line[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    key, line = key[new], line[new]
+    lines, start, n = np.unique(line, return_index=True, return_counts=True)
+    if not len(lines):
+        return {}
+    bit = np.uint64(1) << (key & np.uint64(63))
+    lane = (key >> np.uint64(6)) & np.uint64(LANES - 1)
+    sigs = [np.bitwise_xor.reduceat(np.where(lane == np.uint64(k), bit, np.uint64(0)), start) for k in range(LANES)]
+    at = np.repeat(np.arange(len(lines)), n)
+    pos = np.arange(len(key)) - start[at]
+    chosen = pos < prefix_length(n, threshold)[at]
+    at = at[chosen]
+    row = np.searchsorted(first, lines, side="right") - 1
+    return {"h": key[chosen], "row": row[at], "line_no": (lines - first[row])[at], "n": n[at], "pos": pos[chosen], "sigs": [s[at] for s in sigs]}
+
+
+def postings(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """POST rows of docs (doc_id, text, and _gone: numbers of lines that take no part, or null)."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                gone = [None if x is None else np.array(x, np.int64) for x in part.column("_gone").to_pylist()]
+                p = line_postings(*string_buffers(part.column("text")), shared.value, threshold, gone)
+                if p:
+                    cols = [pa.array(p["h"].view(np.int64)), part.column("doc_id").take(pa.array(p["row"])), *(pa.array(p[c].astype(np.int32)) for c in ("line_no", "n", "pos")), *(pa.array(s.view(np.int64)) for s in p["sigs"])]
+                    yield pa.RecordBatch.from_arrays(cols, ["h", "doc_id", "line_no", "n", "pos", "s0", "s1", "s2", "s3"])
+
+    return docs.mapInArrow(run, POST)
+
+
+def group_pairs(doc: np.ndarray, line: np.ndarray, n: np.ndarray, pos: np.ndarray, sigs: np.ndarray, threshold: float, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, x, cut) of one word's postings in line order: each y with its first most earlier x that pass all filters; cut: there are more."""
+    ys, xs, cuts = [], [], []
+    share = threshold / (1 + threshold)
+    for a in range(1, len(doc), 512):
+        y = np.arange(a, min(len(doc), a + 512))
+        found = np.zeros(len(y), np.int64)
+        for b in range(0, int(y[-1]), 4096):
+            x = np.arange(b, min(int(y[-1]), b + 4096))
+            total = n[y][:, None] + n[x][None, :]
+            need = np.ceil(total * share - 1e-9)
+            fits = (x[None, :] < y[:, None]) & (np.minimum(n[y][:, None], n[x][None, :]) >= threshold * np.maximum(n[y][:, None], n[x][None, :]) - 1e-9)
+            fits &= (found[:, None] <= most) if most else True
+            room = np.minimum(pos[y][:, None], pos[x][None, :]) + np.minimum((n - pos)[y][:, None], (n - pos)[x][None, :])
+            fits &= room >= need
+            i, j = np.nonzero(fits)
+            apart = np.bitwise_count(sigs[:, y[i]] ^ sigs[:, x[j]]).sum(axis=0)
+            good = apart <= total[i, j] - 2 * need[i, j]
+            i, j = i[good], j[good]
+            # place of each candidate among its line's
+            k = np.arange(len(i)) - np.searchsorted(i, i) + found[i]
+            keep = k < most if most else np.ones(len(i), dtype=bool)
+            ys.append(y[i[keep]])
+            xs.append(x[j[keep]])
+            cuts.append(np.zeros(int(keep.sum()), dtype=bool))
+            if most:
+                over = np.unique(i[k == most])
+                ys.append(y[over])
+                xs.append(x[j[np.flatnonzero(k == most)]] if len(over) else over)
+                cuts.append(np.ones(len(over), dtype=bool))
+            found += np.bincount(i, minlength=len(y))
+            if most and (found > most).all():
+                break
+    if not ys:
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(bool)
+    return np.concatenate(ys), np.concatenate(xs), np.concatenate(cuts)
+
+
+def candidates(posts: DataFrame, threshold: float = THRESHOLD, most: int | None = FIRST) -> DataFrame:
+    """PAIR rows of postings: a line and an earlier line with a common first word that pass all filters.
+
+    Of each line and word the first most pairs are given; a pair marked cut says that there are more (it is one of them).
     """
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
-    room = F.least(F.col(f"{a}.pos"), F.col(f"{b}.pos")) + F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-    lengths = F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
-    return lengths & (room >= need) & (F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) <= n + m - 2 * need)
 
+    def join(table: pa.Table) -> pa.RecordBatch:
+        c = {k: table[k].to_numpy() for k in table.column_names}
+        sigs = np.stack([c[f"s{k}"].view(np.uint64) for k in range(LANES)])
+        cut = np.flatnonzero(np.append(True, c["h"][1:] != c["h"][:-1]))
+        y, x, more = [], [], []
+        sizes = np.diff(np.append(cut, len(c["h"])))
+        # words of two lines, by far the most, at once
+        two = cut[sizes == 2]
+        if len(two):
+            n, m = c["n"][two], c["n"][two + 1]
+            need = np.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+            p, q = c["pos"][two], c["pos"][two + 1]
+            good = (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= need)
+            good &= np.bitwise_count(sigs[:, two] ^ sigs[:, two + 1]).sum(axis=0) <= n + m - 2 * need
+            y.append(two[good] + 1)
+            x.append(two[good])
+            more.append(np.zeros(int(good.sum()), dtype=bool))
+        for i, size in zip(cut[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            own = slice(i, i + size)
+            a, b, k = group_pairs(c["doc_id"][own], c["line_no"][own], c["n"][own].astype(np.int64), c["pos"][own].astype(np.int64), sigs[:, own], threshold, most)
+            y.append(a + i)
+            x.append(b + i)
+            more.append(k)
+        y, x, more = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (y, x, more))
+        cols = [pa.array(c["doc_id"][y]), pa.array(c["line_no"][y]), pa.array(c["doc_id"][x]), pa.array(c["line_no"][x]), pa.array(more.astype(bool))]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", "p_doc", "p_line", "cut"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            # all words but the last, which may go on in the next batch
+            h = batch.column("h").to_numpy()
+            start = int(np.searchsorted(h, h[-1]))
+            if start:
+                yield join(pa.Table.from_batches([*held[:-1], batch.slice(0, start)]))
+                held = [batch.slice(start)]
+        if held:
+            yield join(pa.Table.from_batches(held))
+
+    return posts.mapInArrow(run, PAIR)
 
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.col("y.doc_id").alias("doc_id"), F.col("y.line_no").alias("line_no"), F.col("x.doc_id").alias("p_doc"), F.col("x.line_no").alias("p_line")).distinct()
 
-
-def _later(y: str, x: str) -> Column:
-    return (F.col(f"{y}.doc_id") > F.col(f"{x}.doc_id")) | (F.col(f"{y}.doc_id") == F.col(f"{x}.doc_id")) & (F.col(f"{y}.line_no") > F.col(f"{x}.line_no"))
-
-
-def _some_lines(docs: DataFrame, keys: DataFrame, how: str = "inner") -> DataFrame:
-    """Lines of docs by keys (doc_id, line_no), a stored table."""
+def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, line_no of those pairs whose lines' whole word sets are similar."""
+    keys = materialise(pairs.select("doc_id", "line_no").union(pairs.select("p_doc", "p_line")).distinct(), "line-keys")
     keys = F.broadcast(keys) if keys.count() <= LINE_ROWS else keys
-    return line_rows(docs).join(keys, ["doc_id", "line_no"], how)
+    lines = materialise(line_rows(docs).join(keys, ["doc_id", "line_no"]).select("doc_id", "line_no", "line").distinct(), "line-texts")
+    other = lines.select(F.col("doc_id").alias("p_doc"), F.col("line_no").alias("p_line"), F.col("line").alias("other"))
+    both = pairs.select("doc_id", "line_no", "p_doc", "p_line").join(lines, ["doc_id", "line_no"]).join(other, ["p_doc", "p_line"])
 
+    def words(c: str) -> Column:
+        # A-Z alone are lower-cased, as in the postings
+        low = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        return F.array_remove(F.array_distinct(F.split(low, WORD_GAP)), "")
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, line_no of those pairs (doc_id, line_no, p_doc, p_line) whose lines' whole word sets are similar."""
-    keys = materialise(pairs.select("doc_id", "line_no").union(pairs.select("p_doc", "p_line")).distinct(), "line-keys")
-    words = _some_lines(docs, keys).select("doc_id", "line_no", F.array_distinct(_hashes(F.col("line"))).alias("s"))
-    words = materialise(words, "line-words")
-    other = words.select(F.col("doc_id").alias("p_doc"), F.col("line_no").alias("p_line"), F.col("s").alias("p_s"))
-    both = pairs.join(words, ["doc_id", "line_no"]).join(other, ["p_doc", "p_line"])
-    shared = F.size(F.array_intersect("s", "p_s"))
-    return both.where(shared >= threshold * (F.size("s") + F.size("p_s") - shared) - 1e-9).select("doc_id", "line_no").distinct()
+    both = both.select("doc_id", "line_no", words("line").alias("s"), words("other").alias("t"))
+    shared = F.size(F.array_intersect("s", "t"))
+    return both.where(shared >= threshold * (F.size("s") + F.size("t") - shared) - 1e-9).select("doc_id", "line_no").distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -102,7 +239,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Rows with a null doc_id take no part. Lines of rows that share a doc_id count as lines of one document.
     """
-    docs = documents(docs).where(F.col("doc_id").isNotNull())
+    docs = documents(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     table = rarity_table(docs)
     # equal lines: all but the first go, whatever their number; only the first takes part below
     hashed = line_rows(docs).where(F.regexp_like("line", F.lit(r"[^\x20\x09-\x0D]"))).select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
@@ -110,39 +247,43 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     firsts = hashed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count("*").alias("c")).where("c > 1")
     copies = hashed.join(firsts, ["k1", "k2"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("line_no") != F.col("f.line_no"))).select("doc_id", "line_no").distinct()
     copies = materialise(copies, "line-copies")
-    posts = postings(_some_lines(docs, copies, "left_anti"), table, threshold)
-    # each posting with the earliest line of its word; words of a single line are dropped
-    word = Window.partitionBy("h").orderBy("doc_id", "line_no")
-    first = F.first(F.struct("doc_id", "line_no", "n", "sig", "pos")).over(word)
-    grouped = posts.select("*", first.alias("p"), F.lead(F.lit(1)).over(word).alias("another"), F.row_number().over(word).alias("k"))
-    grouped = grouped.where((F.col("k") > 1) | F.col("another").isNotNull())
-    grouped = materialise(grouped.select("h", "doc_id", "line_no", "n", "sig", "pos", F.when(F.col("k") > 1, F.col("p")).alias("p")), "line-postings")
-    posts = grouped.drop("p")
-    # first that earliest line: it settles most lines, and all but one of a large group of near copies
-    met = grouped.where(F.col("p").isNotNull()).select(F.struct("doc_id", "line_no", "n", "sig", "pos").alias("y"), F.col("p").alias("x"))
-    pairs = materialise(_pairs(met.where(_alike("x", "y", threshold))), "line-pairs")
-    gone = materialise(_verified(pairs, docs, threshold), "lines-gone")
-    # then every earlier line that shares a word with a line still there
-    left = posts.join(gone, ["doc_id", "line_no"], "left_anti")
-    more = _pairs(left.alias("y").join(posts.alias("x"), "h").where(_later("y", "x") & _alike("x", "y", threshold)))
-    more = materialise(more.join(pairs, ["doc_id", "line_no", "p_doc", "p_line"], "left_anti"), "line-pairs")
-    return copies.union(gone).union(_verified(more, docs, threshold)).distinct()
+    some = with_lists(docs, copies)
+    posts = postings(some.select("doc_id", "text", "_gone"), table, threshold).repartition("h").sortWithinPartitions("h", "doc_id", "line_no")
+    found = materialise(candidates(posts, threshold).groupBy("doc_id", "line_no", "p_doc", "p_line").agg(F.max("cut").alias("cut")), "line-pairs")
+    gone = materialise(_verified(found, docs, threshold), "lines-gone")
+    # lines with more candidates, none of those seen similar: now all of theirs
+    open_ = materialise(found.where("cut").select("doc_id", "line_no").distinct().join(gone, ["doc_id", "line_no"], "left_anti"), "lines-open")
+    if open_.count():
+        every = postings(some.select("doc_id", "text", "_gone"), table, threshold)
+        mark = F.broadcast(open_) if open_.count() <= LINE_ROWS else open_
+        words = materialise(every.join(mark, ["doc_id", "line_no"], "left_semi").select("h").distinct(), "open-words")
+        words = F.broadcast(words) if words.count() <= LINE_ROWS else words
+        again = every.join(words, "h", "left_semi").repartition("h").sortWithinPartitions("h", "doc_id", "line_no")
+        more = candidates(again, threshold, None).select("doc_id", "line_no", "p_doc", "p_line").distinct().join(mark, ["doc_id", "line_no"], "left_semi")
+        more = materialise(more.join(found, ["doc_id", "line_no", "p_doc", "p_line"], "left_anti"), "line-pairs")
+        gone = gone.union(_verified(more, docs, threshold))
+    return copies.union(gone).distinct()
+
+
+def with_lists(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs with _gone: the line numbers of each document in gone, a stored table; null if it has none."""
+    lists = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_doc")
+    lists = F.broadcast(lists) if gone.count() <= LINE_ROWS else lists
+    return docs.join(lists, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with text less its later similar lines, and n_lines, n_removed (long). Columns of docs of these names are replaced.
 
     A null text stays null, with 0 lines; rows with a null doc_id stay as they are. A text all of whose lines go is empty.
+    Other columns stay; an empty table gives an empty result.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    gone = materialise(removed_lines(docs, threshold), "lines-removed")
-    lists = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    lists = lists.withColumnRenamed("doc_id", "_doc")
-    lists = F.broadcast(lists) if gone.count() <= LINE_ROWS else lists
-    joined = docs.join(lists, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    docs = docs.drop("n_lines", "n_removed", "_gone", "_doc")
+    joined = with_lists(docs, materialise(removed_lines(docs, threshold), "lines-removed"))
     lines = F.split("text", "\n")
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
-    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], text.alias("text"), n.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
+    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], text.alias("text"), n.cast("long").alias("n_lines"), removed.alias("n_removed"))
     return out.select(*docs.columns, "n_lines", "n_removed")

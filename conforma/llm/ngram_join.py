@@ -132,31 +132,36 @@ def first_shingles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 first = place < length[row]
                 low, high = s, mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
                 k1, k2 = (np.append(np.uint64(0), np.cumsum(x)) for x in (low, high))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(key[order][first].view(np.int64)))
-                cols = [part.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array((k[edges[1:]] - k[edges[:-1]]).view(np.int64)) for k in (k1, k2)), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "k1", "k2", "prefix"])
+                taken, cuts = key[order][first], np.append(0, np.cumsum(length))
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(taken.view(np.int64)))
+                maps = pa.array([m.tobytes() for m in bitmaps(taken, cuts)], pa.binary())
+                cols = [part.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array((k[edges[1:]] - k[edges[:-1]]).view(np.int64)) for k in (k1, k2)), lists, maps]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "k1", "k2", "prefix", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary")
+
+
+def bitmaps(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A bitmap of BITMAP bits for each of the rows values[edges[i]:edges[i + 1]]."""
+    flags = np.zeros((len(edges) - 1, BITMAP), dtype=bool)
+    flags[np.repeat(np.arange(len(edges) - 1), np.diff(edges)), (mix(values) & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+    return np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
 
 
 class SignatureTree:
-    """A tree over sets given by their first shingles and sizes; leaves are ordered by size, then by first shingle.
+    """A tree over sets given by bitmaps of their first shingles and by sizes; leaves are ordered by size, then by bitmap.
 
     levels[0] holds the sets; each node above holds FANOUT of the level below: OR of bitmaps, least size, most size, most
     shingles lost to shared bits, and most shingles beyond the first ones.
     """
 
-    def __init__(self, prefixes: list[np.ndarray], sizes: np.ndarray):
-        lead = np.array([p[0] for p in prefixes], np.uint64)
-        self.order = np.lexsort((lead, sizes))
-        maps = np.zeros((len(prefixes), BITMAP // 64), np.uint64)
-        lost = np.zeros(len(prefixes), np.int64)
-        for i, at in enumerate(self.order.tolist()):
-            bit = mix(prefixes[at]) & np.uint64(BITMAP - 1)
-            np.bitwise_or.at(maps[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-            lost[i] = len(bit) - int(np.bitwise_count(maps[i]).sum())
-        n = sizes[self.order]
-        rest = n - np.array([len(p) for p in prefixes])[self.order]
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray):
+        ones = np.bitwise_count(maps)
+        self.order = np.lexsort((*maps.T[::-1], sizes))
+        maps, n = maps[self.order], sizes[self.order]
+        first = prefix_length(n)
+        lost = first - ones[self.order].sum(axis=1)
+        rest = n - first
         self.levels = [(maps, n, n, lost, rest)]
         while len(maps) > 1:
             cut = np.arange(0, len(maps), FANOUT)
@@ -203,12 +208,12 @@ class SignatureTree:
 
 
 def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b) of rows sorted by (h, lo, hi): doc_id, n, component, side and prefix of each group's documents."""
+    """Candidate pairs (a, b) of rows sorted by (h, lo, hi): doc_id, n, component, side and bits of each group's documents."""
 
     def group(rows: list[dict]) -> tuple[list[int], list[int]]:
         left = [r for r in rows if r["side"] == 0]
         right = [r for r in rows if r["side"] == 1]
-        trees = [SignatureTree([np.array(r["prefix"], np.int64).view(np.uint64) for r in x], np.array([r["n"] for r in x])) for x in (left, right) if x]
+        trees = [SignatureTree(np.frombuffer(b"".join(r["bits"] for r in x), np.uint64).reshape(len(x), -1), np.array([r["n"] for r in x])) for x in (left, right) if x]
         if not left or rows[0]["lo"] != rows[0]["hi"] and not right:
             return [], []
         one = rows[0]["lo"] == rows[0]["hi"]
@@ -266,7 +271,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = materialise(first_shingles(rows, frequent_shingles(known)), "first-shingles")
     full = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialise(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "set-classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+    others = materialise(full.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).where("doc_id != rep").select("doc_id", "k1", "k2").distinct(), "class-copies")
+    reps = full.join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, ["doc_id", "k1", "k2"], "left_anti")
     # documents that meet in a shingle, each with the smallest of them
     word = Window.partitionBy("h").orderBy("doc_id")
     posts = reps.select("doc_id", F.explode("prefix").alias("h"))
@@ -284,10 +290,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     posts = materialise(posts, "posts-components")
     mixed = posts.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x != y")
     mixed = mixed.select("h", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks"))
-    met = posts.join(mixed, "h").join(reps.select("doc_id", "n", "prefix"), "doc_id")
+    # a mixed shingle's documents with what a tree needs of each: size and bitmap
+    met = posts.join(mixed, "h").join(reps.select("doc_id", "n", "bits"), "doc_id")
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     met = met.withColumn("chunk", chunk).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("h", F.least("chunk", "x").alias("lo"), F.greatest("chunk", "x").alias("hi"), (F.col("chunk") > F.col("x")).cast("int").alias("side"), "doc_id", "n", "component", "prefix")
+    met = met.select("h", F.least("chunk", "x").alias("lo"), F.greatest("chunk", "x").alias("hi"), (F.col("chunk") > F.col("x")).cast("int").alias("side"), "doc_id", "n", "component", "bits")
     met = met.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "doc_id")
     more = materialise(met.mapInArrow(_tree_pairs, "a long, b long").distinct(), "tree-pairs")
     more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "tree-pairs")

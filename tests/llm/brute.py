@@ -46,7 +46,7 @@ def components(docs):
 
 def removed_lines(docs, threshold=0.75):
     """{(doc_id, line_no)} of lines to which an earlier line is similar."""
-    lines = [((d, i), frozenset(words(x.lower()))) for d, t in sorted((d, t) for d, t in docs if t is not None) for i, x in enumerate(t.split("\n"))]
+    lines = [((d, i), frozenset(words(ascii_lower(x)))) for d, t in sorted((d, t) for d, t in docs if t is not None) for i, x in enumerate(t.split("\n"))]
     index, gone = defaultdict(list), set()
     for k, (key, s) in enumerate(lines):
         if not s:

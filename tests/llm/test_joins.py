@@ -57,7 +57,8 @@ def test_signature_tree_loses_no_pair():
         s[:k] = rng.integers(0, 2**63, k, dtype=np.uint64)
         sets.append(np.unique(s[: int(rng.integers(50, 80))]))
     sizes = np.array([len(s) for s in sets])
-    tree = ngram_join.SignatureTree([s[: int(ngram_join.prefix_length(np.array(len(s))))] for s in sets], sizes)
+    first = [s[: int(ngram_join.prefix_length(np.array(len(s))))] for s in sets]
+    tree = ngram_join.SignatureTree(ngram_join.bitmaps(np.concatenate(first), np.append(0, np.cumsum([len(f) for f in first]))), sizes)
     i, j = tree.join(tree)
     found = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
     for a in range(len(sets)):
