@@ -1,12 +1,15 @@
 """Licence scans: normalised units of a text against licence templates, by the Dice coefficient over word bigrams.
 
 Units are the lines of a text and the text as a whole. Only DataFrame functions are used. A unit is compared only with
-templates whose size allows the wanted Dice value (2 min(a, b) / (a + b) bounds it); the rest of the units is
-dropped before any bigram is made.
+templates whose size allows the wanted Dice value (2 min(a, b) / (a + b) bounds it); units without any of the words
+that a match must have, and units too large for all templates, are dropped before any bigram is made.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,42 +64,52 @@ def template_bigrams(spark, templates: dict[str, list[str]]) -> DataFrame:
     return table.select("license", "template", F.size("_b").alias("t_size"), F.explode("_b").alias("bigram"))
 
 
-def _sizes(templates: dict[str, list[str]]) -> list[int]:
-    """Numbers of bigrams of the templates, as bigrams() counts them."""
-    import re
+def _template_pairs(text: str) -> set[tuple[str, ...]]:
+    """Word pairs of a template, as bigrams() makes them."""
+    words = re.sub("[^A-Za-z0-9]+", " ", text).strip().lower().split(" ")
+    return set(zip(words, words[1:])) or {(words[0],)}
+
 
-    out = []
+def needed_words(templates: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which every unit that matches some template has at least one.
+
+    A match shares at least t / (2 - t) of the template's b pairs. Its long words, then its numbers, then the rest are
+    taken until fewer of its pairs than that have none of them.
+    """
+    found: set[str] = set()
     for text in (t for texts in templates.values() for t in texts):
-        words = re.sub("[^A-Za-z0-9]+", " ", text).strip().lower().split(" ")
-        out.append(len(set(zip(words, words[1:]))) or 1)
-    return out
+        pairs = _template_pairs(text)
+        need = len(pairs) * threshold / (2 - threshold)
+        for word in sorted({w for p in pairs for w in p}, key=lambda w: (len(w) < 5, not w.isdigit(), -len(w), w)):
+            if sum(not found & set(p) for p in pairs) < need - 1e-9:
+                break
+            found.add(word)
+    return sorted(found)
 
 
 def scan_units(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, unit, license, template, dice) of every unit and template with dice >= threshold; unit 0 is the whole text, 1.. its lines."""
     templates = templates or TEMPLATES
-    spark = docs.sparkSession
-    sizes = sorted(set(_sizes(templates)))
-    # 2 min(a, b) / (a + b) >= t holds if a lies between b t / (2 - t) and b (2 - t) / t
-    ranges = [(s * threshold / (2 - threshold), s * (2 - threshold) / threshold) for s in sizes]
-    allowed = None
-    for lo, hi in ranges:
-        bound = F.col("n").between(lo, hi)
-        allowed = bound if allowed is None else allowed | bound
-    base = documents(docs).where(F.col("text").isNotNull())
-    lines = F.split("text", "\n")
-    # a text of one line is its own unit
-    rows = base.select("doc_id", F.posexplode(lines).alias("k", "line")).select("doc_id", (F.col("k") + 1).alias("unit"), F.col("line").alias("t"))
-    whole = base.where((F.instr("text", "\n") > 0)).select("doc_id", F.lit(0).alias("unit"), F.col("text").alias("t"))
+    sizes = sorted({len(_template_pairs(t)) for texts in templates.values() for t in texts})
+    words = needed_words(templates, threshold)
 
-    def units(part: DataFrame) -> DataFrame:
-        part = part.withColumn("w", normalised(F.col("t"))).where(F.col("w") != "")
-        part = part.withColumn("_b", bigrams(F.col("w"))).withColumn("n", F.size("_b"))
-        return part.where(allowed).select("doc_id", "unit", "n", F.explode("_b").alias("bigram"))
+    def has_word(c: str) -> Column:
+        low = F.lower(c)
+        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
 
-    found = units(rows).unionByName(units(whole))
-    table = F.broadcast(template_bigrams(spark, templates))
-    joined = found.join(table, "bigram").where(F.col("n").between(F.col("t_size") * threshold / (2 - threshold), F.col("t_size") * (2 - threshold) / threshold))
+    # 2 min(a, b) / (a + b) >= t holds if a lies between b t / (2 - t) and b (2 - t) / t
+    allowed = reduce(lambda a, b: a | b, [F.col("n").between(s * threshold / (2 - threshold), s * (2 - threshold) / threshold) for s in sizes])
+    base = documents(docs).where(has_word("text"))
+    rows = base.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t")).select("doc_id", (F.col("k") + 1).alias("unit"), "t").where(has_word("t"))
+    # a text of one line is its own unit
+    whole = base.where(F.instr("text", "\n") > 0).select("doc_id", F.lit(0).alias("unit"), F.col("text").alias("t"))
+    units = rows.unionByName(whole).withColumn("w", normalised(F.col("t"))).where(F.col("w") != "")
+    # k different words make k - 1 different pairs at least, so long texts are dropped before their pairs are made
+    units = units.where(F.size(F.array_distinct(F.split("w", " "))) - 1 <= max(sizes) * (2 - threshold) / threshold)
+    units = units.withColumn("_b", bigrams(F.col("w"))).withColumn("n", F.size("_b")).where(allowed)
+    table = F.broadcast(template_bigrams(docs.sparkSession, templates))
+    joined = units.select("doc_id", "unit", "n", F.explode("_b").alias("bigram")).join(table, "bigram")
+    joined = joined.where(F.col("n").between(F.col("t_size") * threshold / (2 - threshold), F.col("t_size") * (2 - threshold) / threshold))
     counted = joined.groupBy("doc_id", "unit", "n", "license", "template", "t_size").agg(F.count("*").alias("c"))
     dice = 2 * F.col("c") / (F.col("n") + F.col("t_size"))
     return counted.withColumn("dice", dice).where(F.col("dice") >= threshold).select("doc_id", "unit", "license", "template", "dice")
