@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bootstrap import S_NUM, SAMPLE_SIZE, draws, drawn_values, schedule_frame
-from .density import GRID, densities, jsd, jsd_between, value_range
+from .density import GRID, densities, jsd_between, jsd_rows, value_range
 from .ranktest import mann_whitney, small_samples_exact
 
 ALPHA = 0.05
@@ -57,7 +57,8 @@ def bootstrap_distances(wide: DataFrame, ref: int, s_num: int = S_NUM, sample_si
     plan = F.broadcast(schedule_frame(spark, s_num, variant))
     a = dens.join(plan, dens["draw"] == plan["draw_a"]).select("ensemble", "feature", "kind", "pair", "draw_b", F.col("sums").alias("p"))
     b = dens.select(F.col("ensemble"), F.col("feature"), F.col("draw").alias("draw_b"), F.col("sums").alias("q"))
-    return a.join(b, ["ensemble", "feature", "draw_b"]).select("ensemble", "kind", "pair", "feature", F.round(jsd("p", "q"), 9).alias("value"))
+    pairs = a.join(b, ["ensemble", "feature", "draw_b"]).select("ensemble", "kind", "pair", "feature", "p", "q")
+    return jsd_rows(pairs, "p", "q").select("ensemble", "kind", "pair", "feature", F.round("jsd", 9).alias("value"))
 
 
 def compare(wide: DataFrame, ref: int = 0, x_num: int = GRID, s_num: int = S_NUM, sample_size: int = SAMPLE_SIZE, seed: int = 0, variant: str = "v2", lo: float | None = None, hi: float | None = None, on_degenerate: str = "error", exact_erfc: bool = True, exact_small: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import BROADCAST_ROWS
@@ -54,14 +54,39 @@ def bandwidth(values: DataFrame, keys: list[str], on_degenerate: str = "error")
     return got.withColumn("h", F.when(bad, stop if on_degenerate == "error" else F.lit(0.0)).otherwise(h))
 
 
-def kernel_sums(values: DataFrame, keys: list[str], lo: float, hi: float, grid: int = GRID) -> DataFrame:
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+
+
+def _add_up(part: DataFrame, keys: list[str], grid: int) -> DataFrame:
+    """Sum of the partial sums of each group: as many short rows meet as tasks that met the group."""
+    types = [_ARROW[t] for _, t in part.select(*keys).dtypes]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[tuple, int] = {}
+        places, rows = [], []
+        for batch in batches:
+            own = zip(*(batch.column(k).to_pylist() for k in keys))
+            places += [index.setdefault(key, len(index)) for key in own]
+            rows.append(batch.column("sums").flatten().to_numpy().reshape(batch.num_rows, grid))
+        if index:
+            total = np.zeros((len(index), grid))
+            np.add.at(total, np.array(places), np.concatenate(rows))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * grid, pa.int32()), pa.array(total.ravel()))
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in index], t) for k, t in enumerate(types)), lists], [*keys, "sums"])
+
+    return part.repartition(*keys).mapInArrow(add, part.schema)
+
+
+def kernel_sums(values: DataFrame, keys: list[str], lo: float, hi: float, grid: int = GRID, widths: dict[tuple, float] | None = None) -> DataFrame:
     """(keys, sums): sums[k] = sum of weight exp(-((g_k - value) / h)^2 / 2) over the rows of a group; g is the grid lo..hi.
 
-    values has integer keys, value, h (of its group) and perhaps weight.
+    values has integer keys, value, perhaps weight, and h (of its group) unless widths has h by keys.
     """
     at = lo + np.arange(grid) * ((hi - lo) / (grid - 1))
     schema = ", ".join(f"{k} {t}" for k, t in values.select(*keys).dtypes) + ", sums array<double>"
+    types = [_ARROW[t] for _, t in values.select(*keys).dtypes]
     weighted = "weight" in values.columns
+    shared = values.sparkSession.sparkContext.broadcast(widths) if widths is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[tuple, int] = {}
@@ -75,42 +100,41 @@ def kernel_sums(values: DataFrame, keys: list[str], lo: float, hi: float, grid:
             new = np.ones(len(order), dtype=bool)
             new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in own])
             starts = np.flatnonzero(new)
-            x, h = (batch.column(c).to_numpy(zero_copy_only=False)[order] for c in ("value", "h"))
+            x = batch.column("value").to_numpy(zero_copy_only=False)[order]
+            widths_here = None if shared is not None else batch.column("h").to_numpy(zero_copy_only=False)[order]
             w = batch.column("weight").to_numpy(zero_copy_only=False)[order] if weighted else None
-            for g, (i, j) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(order)])):
-                key = tuple(k[i].item() for k in own)
-                place = index.setdefault(key, len(index))
-                if place >= len(sums):
-                    sums = np.concatenate([sums, np.zeros_like(sums)])
-                for s in range(i, j, 4096):
-                    e = min(j, s + 4096)
-                    if h[i] > 0:
-                        u = (at[None, :] - x[s:e, None]) / h[i]
-                        k = np.exp(-0.5 * u * u)
-                        sums[place] += w[s:e] @ k if w is not None else k.sum(axis=0)
+            found = list(zip(*(k[starts].tolist() for k in own)))
+            place = np.array([index.setdefault(key, len(index)) for key in found])
+            h = np.array([shared.value[key] for key in found]) if shared is not None else widths_here[starts]
+            while place.max() >= len(sums):
+                sums = np.concatenate([sums, np.zeros_like(sums)])
+            group = np.cumsum(new) - 1
+            for i in range(0, len(order), 4096):
+                g = group[i : i + 4096]
+                width = np.where(h[g] > 0, h[g], np.inf)
+                u = (at[None, :] - x[i : i + 4096, None]) / width[:, None]
+                k = np.exp(-0.5 * u * u) * (h[g] > 0)[:, None]
+                if w is not None:
+                    k *= w[i : i + 4096, None]
+                first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+                np.add.at(sums, place[g[first]], np.add.reduceat(k, first))
         if index:
-            found = list(index)
-            cols = [pa.array([f[k] for f in found], batch_type) for k, batch_type in enumerate(pa_types)]
-            flat = sums[: len(found)].ravel()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * grid, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*cols, lists], [*keys, "sums"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(index) + 1) * grid, pa.int32()), pa.array(sums[: len(index)].ravel()))
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in index], t) for k, t in enumerate(types)), lists], [*keys, "sums"])
 
-    pa_types = [{"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[t] for _, t in values.select(*keys).dtypes]
-    columns = [*keys, "value", "h", *["weight"] * weighted]
-    part = values.select(*columns).mapInArrow(run, schema)
-    # partial sums of a group meet here: as many rows as tasks that met it
-    spread = part.select(*keys, F.posexplode("sums").alias("k", "s")).groupBy(*keys, "k").agg(F.sum("s").alias("s"))
-    packed = spread.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("p"))
-    return packed.select(*keys, F.col("p.s").alias("sums"))
+    columns = [*keys, "value", *["h"] * (widths is None), *["weight"] * weighted]
+    return _add_up(values.select(*columns).mapInArrow(run, schema), keys, grid)
 
 
 def densities(values: DataFrame, keys: list[str], lo: float, hi: float, grid: int = GRID, on_degenerate: str = "error") -> DataFrame:
-    """(keys, n, h, sums) of each group. The bandwidth table joins back by broadcast if it is small, else by a shuffle."""
+    """(keys, n, h, sums) of each group. Up to BROADCAST_ROWS groups the bandwidths go to the tasks; beyond, they join by a shuffle."""
     widths = bandwidth(values, keys, on_degenerate).select(*keys, "n", "h")
-    few = widths.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = values.join(F.broadcast(widths) if few else widths, keys)
-    sums = kernel_sums(joined, keys, lo, hi, grid)
-    return sums.join(F.broadcast(widths) if few else widths, keys)
+    found = widths.limit(BROADCAST_ROWS + 1).toArrow()
+    if len(found) > BROADCAST_ROWS:
+        return kernel_sums(values.join(widths, keys), keys, lo, hi, grid).join(widths, keys)
+    known = dict(zip(zip(*(found[k].to_pylist() for k in keys)), found["h"].to_pylist()))
+    few = values.sparkSession.createDataFrame(found, widths.schema)
+    return kernel_sums(values, keys, lo, hi, grid, known).join(F.broadcast(few), keys)
 
 
 def pdf_points(dens: DataFrame, keys: list[str], lo: float, hi: float, grid: int = GRID) -> DataFrame:
@@ -121,27 +145,33 @@ def pdf_points(dens: DataFrame, keys: list[str], lo: float, hi: float, grid: int
     return points.select(*keys, "k", x.alias("x"), (F.col("s") / F.col("norm")).alias("p"))
 
 
-def jsd(p: str, q: str) -> Column:
-    """Jensen-Shannon distance in base 2 of two arrays of non-negative weights on one grid; NaN and infinite results are 0."""
+def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distances in base 2 of the rows of two arrays of non-negative weights; NaN and infinite results are 0."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p, q = p / p.sum(axis=1, keepdims=True), q / q.sum(axis=1, keepdims=True)
+        m = (p + q) / 2
+        left = np.where(p > 0, p * np.log(p / m), 0.0).sum(axis=1)
+        total = left + np.where(q > 0, q * np.log(q / m), 0.0).sum(axis=1)
+        out = np.sqrt(np.maximum(total / np.log(2), 0) / 2)
+    return np.where(np.isfinite(out), out, 0.0)
 
-    def norm(c: str) -> Column:
-        total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(c, lambda x: x / F.nullif(total, F.lit(0.0)))
 
-    pairs = F.zip_with(norm(p), norm(q), lambda a, b: _term(a, b))
-    total = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
-    out = F.sqrt(F.greatest(total / F.lit(float(np.log(2))), F.lit(0.0)) / 2)
-    return F.coalesce(F.when(F.isnan(out) | (F.abs(out) == float("inf")), F.lit(0.0)).otherwise(out), F.lit(0.0))
+def jsd_rows(pairs: DataFrame, p: str, q: str) -> DataFrame:
+    """The other columns of pairs, and jsd: the distance of the arrays in columns p and q."""
+    others = [c for c in pairs.columns if c not in (p, q)]
+    schema = ", ".join(f"{c} {t}" for c, t in pairs.select(*others).dtypes) + ", jsd double"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in (p, q))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(jensen_shannon(a, b))], [*others, "jsd"])
 
-def _term(a: Column, b: Column) -> Column:
-    m = (a + b) / 2
-    left = F.when(a > 0, a * F.ln(a / m)).otherwise(F.lit(0.0))
-    return left + F.when(b > 0, b * F.ln(b / m)).otherwise(F.lit(0.0))
+    return pairs.select(*others, p, q).mapInArrow(run, schema)
 
 
 def jsd_between(dens: DataFrame, ref: int, on: tuple[str, ...] = ("feature",)) -> DataFrame:
     """(ensemble, *on, jsd): distance of each other ensemble's density to that of ensemble ref."""
     left = dens.where(F.col("ensemble") == ref).select(*on, F.col("sums").alias("ref_sums"))
     right = dens.where(F.col("ensemble") != ref)
-    return right.join(left, list(on)).select("ensemble", *on, jsd("ref_sums", "sums").alias("jsd"))
+    return jsd_rows(right.join(left, list(on)).select("ensemble", *on, "ref_sums", "sums"), "ref_sums", "sums")

@@ -83,7 +83,7 @@ def neighbour_embedding(x: np.ndarray, perplexity: float = PERPLEXITY, rounds: i
     for _ in range(60):
         p = np.exp(-shifted * beta[:, None])
         total = p.sum(axis=1)
-        entropy = np.log(total) + beta * np.where(p > 0, shifted * p, 0).sum(axis=1) / total
+        entropy = np.log(total) + beta * (np.where(p > 0, shifted, 0) * p).sum(axis=1) / total
         wide = entropy > np.log(perplexity)
         lo, hi = np.where(wide, beta, lo), np.where(wide, hi, beta)
         beta = np.where(np.isinf(hi), beta * 2, (lo + hi) / 2)

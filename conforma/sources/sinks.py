@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +18,25 @@ def output_dir(measure: str, root: str | None = None) -> str:
     return path
 
 
-def csv_lines(wide: DataFrame) -> DataFrame:
-    """(frame, value): each frame's features as one comma-separated line of %.18e numbers."""
-    return wide.select("frame", F.array_join(F.transform("vals", lambda x: F.format_string("%.18e", x)), ",").alias("value"))
+def csv_lines(wide: DataFrame, order: list[str]) -> DataFrame:
+    """(order, value): each frame's vals as one comma-separated line of %.18e numbers.
+
+    Python writes the digits: those of Java's formatter end at the shortest form, and zeros follow.
+    """
+    schema = ", ".join(f"{c} {t}" for c, t in wide.select(*order).dtypes) + ", value string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [",".join([f"{x:.18e}" for x in v]) for v in batch.column("vals").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in order), pa.array(lines, pa.string())], [*order, "value"])
+
+    return wide.select(*order, "vals").mapInArrow(run, schema)
 
 
 def write_matrix_csv(wide: DataFrame, ensemble: int, folder: str) -> str:
     """ensemble_<i>_matrix.csv: a folder of text files whose lines, in file order, are the frames in order."""
     path = os.path.join(folder, f"ensemble_{ensemble}_matrix.csv")
-    rows = csv_lines(wide.where(F.col("ensemble") == ensemble))
+    rows = csv_lines(wide.where(F.col("ensemble") == ensemble), ["frame"])
     rows.orderBy("frame").select("value").write.mode("overwrite").text(path)
     return path
 
@@ -32,9 +44,9 @@ def write_matrix_csv(wide: DataFrame, ensemble: int, folder: str) -> str:
 def write_projection_csv(reduced: DataFrame, technique: str, folder: str) -> tuple[str, str]:
     """dim_reduction_<technique>_data.csv and _labels.csv, in the order of ensemble and frame; labels are written as floats."""
     data, labels = (os.path.join(folder, f"dim_reduction_{technique}_{k}.csv") for k in ("data", "labels"))
-    ordered = reduced.orderBy("ensemble", "frame")
-    ordered.select(F.concat_ws(",", F.format_string("%.18e", "c1"), F.format_string("%.18e", "c2")).alias("value")).write.mode("overwrite").text(data)
-    ordered.select(F.format_string("%.18e", F.col("ensemble").cast("double")).alias("value")).write.mode("overwrite").text(labels)
+    for path, vals in ((data, F.array("c1", "c2")), (labels, F.array(F.col("ensemble").cast("double")))):
+        lines = csv_lines(reduced.select("ensemble", "frame", vals.alias("vals")), ["ensemble", "frame"])
+        lines.orderBy("ensemble", "frame").select("value").write.mode("overwrite").text(path)
     return data, labels
 
 
