@@ -207,35 +207,66 @@ class SignatureTree:
         return [np.arange(x * FANOUT, min(n, (x + 1) * FANOUT)) for x in nodes.tolist()]
 
 
+def leaf_pairs(maps: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of sets the bounds of a tree's leaves leave."""
+    first = prefix_length(sizes)
+    lost = first - np.bitwise_count(maps).sum(axis=1)
+    n, m = sizes[i], sizes[j]
+    most = np.bitwise_count(maps[i] & maps[j]).sum(axis=1) + np.minimum(lost[i], lost[j]) + np.maximum((sizes - first)[i], (sizes - first)[j])
+    need = -(-PERCENT * (n + m) // (100 + PERCENT))
+    return (100 * n >= PERCENT * m) & (100 * m >= PERCENT * n) & (most >= need)
+
+
 def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (a, b) of rows sorted by (h, lo, hi): doc_id, n, component, side and bits of each group's documents."""
 
-    def group(rows: list[dict]) -> tuple[list[int], list[int]]:
-        left = [r for r in rows if r["side"] == 0]
-        right = [r for r in rows if r["side"] == 1]
-        trees = [SignatureTree(np.frombuffer(b"".join(r["bits"] for r in x), np.uint64).reshape(len(x), -1), np.array([r["n"] for r in x])) for x in (left, right) if x]
-        if not left or rows[0]["lo"] != rows[0]["hi"] and not right:
-            return [], []
-        one = rows[0]["lo"] == rows[0]["hi"]
-        i, j = trees[0].join(trees[0] if one else trees[1])
-        other = left if one else right
-        pairs = [(left[x]["doc_id"], other[y]["doc_id"]) for x, y in zip(i.tolist(), j.tolist()) if left[x]["component"] != other[y]["component"]]
-        return [min(p) for p in pairs], [max(p) for p in pairs]
-
-    key, rows = None, []
+    def join(table: pa.Table) -> pa.RecordBatch:
+        c = {k: table[k].to_numpy() for k in ("h", "lo", "hi", "side", "doc_id", "n", "component")}
+        maps = np.frombuffer(b"".join(x.as_buffer() for chunk in table["bits"].chunks for x in chunk), np.uint64).reshape(table.num_rows, -1)
+        new = np.ones(table.num_rows, dtype=bool)
+        new[1:] = (c["h"][1:] != c["h"][:-1]) | (c["lo"][1:] != c["lo"][:-1]) | (c["hi"][1:] != c["hi"][:-1])
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, table.num_rows))
+        one = c["lo"][start] == c["hi"][start]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # groups of one leaf node, by far the most, are compared by size of group at once
+        for g in range(2, FANOUT + 1):
+            at = start[one & (size == g)]
+            x, y = np.triu_indices(g, 1)
+            i, j = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
+            apart = c["component"][i] != c["component"][j]
+            i, j = i[apart], j[apart]
+            keep = leaf_pairs(maps, c["n"], i, j)
+            left.append(i[keep])
+            right.append(j[keep])
+        for k in np.flatnonzero(~one | (size > FANOUT)).tolist():
+            at = np.arange(start[k], start[k] + size[k])
+            sides = [at] if one[k] else [at[c["side"][at] == 0], at[c["side"][at] == 1]]
+            if any(not len(x) for x in sides):
+                continue
+            trees = [SignatureTree(maps[x], c["n"][x]) for x in sides]
+            i, j = trees[0].join(trees[-1])
+            i, j = sides[0][i], sides[-1][j]
+            apart = c["component"][i] != c["component"][j]
+            left.append(i[apart])
+            right.append(j[apart])
+        i, j = (c["doc_id"][np.concatenate(x)] for x in (left, right))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        a, b = [], []
-        for r in batch.to_pylist():
-            own = (r["h"], r["lo"], r["hi"])
-            if own != key and rows:
-                x, y = group(rows)
-                a, b, rows = a + x, b + y, []
-            key = own
-            rows.append(r)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-    if rows:
-        a, b = group(rows)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        # all groups but the last, which may go on in the next batch
+        keys = [batch.column(k).to_numpy() for k in ("h", "lo", "hi")]
+        other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+        if len(other):
+            cut = int(other[-1]) + 1
+            yield join(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
+            held = [batch.slice(cut)]
+    if held:
+        yield join(pa.Table.from_batches(held))
 
 
 def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
