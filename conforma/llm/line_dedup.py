@@ -29,8 +29,11 @@ TABLE_BITS = 20
 LINE_ROWS = 1_000_000
 #: Candidates of a line under one word that are verified first; the rest only if none of a line's candidates is similar.
 FIRST = 2
-LANES = 4
-POST = "h long, doc_id long, line_no int, n int, pos int, s0 long, s1 long, s2 long, s3 long"
+#: 64-bit lanes of a signature.
+LANES = 3
+#: Words of so many lines at most are compared by number of lines, many at once.
+SMALL = 32
+POST = "h long, doc_id long, line_no int, n int, pos int, s0 long, s1 long, s2 long"
 PAIR = "doc_id long, line_no int, p_doc long, p_line int, cut boolean"
 
 
@@ -100,7 +103,7 @@ def line_postings(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, thre
     if not len(lines):
         return {}
     bit = np.uint64(1) << (key & np.uint64(63))
-    lane = (key >> np.uint64(6)) & np.uint64(LANES - 1)
+    lane = (key >> np.uint64(6)) % np.uint64(LANES)
     sigs = [np.bitwise_xor.reduceat(np.where(lane == np.uint64(k), bit, np.uint64(0)), start) for k in range(LANES)]
     at = np.repeat(np.arange(len(lines)), n)
     pos = np.arange(len(key)) - start[at]
@@ -121,7 +124,7 @@ def postings(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD) -
                 p = line_postings(*string_buffers(part.column("text")), shared.value, threshold, gone)
                 if p:
                     cols = [pa.array(p["h"].view(np.int64)), part.column("doc_id").take(pa.array(p["row"])), *(pa.array(p[c].astype(np.int32)) for c in ("line_no", "n", "pos")), *(pa.array(s.view(np.int64)) for s in p["sigs"])]
-                    yield pa.RecordBatch.from_arrays(cols, ["h", "doc_id", "line_no", "n", "pos", "s0", "s1", "s2", "s3"])
+                    yield pa.RecordBatch.from_arrays(cols, ["h", "doc_id", "line_no", "n", "pos", "s0", "s1", "s2"])
 
     return docs.mapInArrow(run, POST)
 
@@ -177,18 +180,22 @@ def candidates(posts: DataFrame, threshold: float = THRESHOLD, most: int | None
         cut = np.flatnonzero(np.append(True, c["h"][1:] != c["h"][:-1]))
         y, x, more = [], [], []
         sizes = np.diff(np.append(cut, len(c["h"])))
-        # words of two lines, by far the most, at once
-        two = cut[sizes == 2]
-        if len(two):
-            n, m = c["n"][two], c["n"][two + 1]
-            need = np.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
-            p, q = c["pos"][two], c["pos"][two + 1]
-            good = (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= need)
-            good &= np.bitwise_count(sigs[:, two] ^ sigs[:, two + 1]).sum(axis=0) <= n + m - 2 * need
-            y.append(two[good] + 1)
-            x.append(two[good])
-            more.append(np.zeros(int(good.sum()), dtype=bool))
-        for i, size in zip(cut[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        for size in range(2, SMALL + 1):
+            at = cut[sizes == size]
+            if not len(at):
+                continue
+            low, high = np.triu_indices(size, 1)
+            for k in range(0, len(at), max(1, 400_000 // len(low))):
+                i, j = ((at[k : k + max(1, 400_000 // len(low)), None] + v).ravel() for v in (low, high))
+                n, m, p, q = c["n"][i], c["n"][j], c["pos"][i], c["pos"][j]
+                need = np.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+                good = np.flatnonzero((np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= need))
+                i, j = i[good], j[good]
+                near = np.bitwise_count(sigs[:, i] ^ sigs[:, j]).sum(axis=0) <= (n + m - 2 * need)[good]
+                y.append(j[near])
+                x.append(i[near])
+                more.append(np.zeros(int(near.sum()), dtype=bool))
+        for i, size in zip(cut[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
             own = slice(i, i + size)
             a, b, k = group_pairs(c["doc_id"][own], c["line_no"][own], c["n"][own].astype(np.int64), c["pos"][own].astype(np.int64), sigs[:, own], threshold, most)
             y.append(a + i)
