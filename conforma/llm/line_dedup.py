@@ -6,8 +6,9 @@ words. Candidates must pass the length filter, the positional filter and a bound
 signatures differ; then the Jaccard similarity of the whole sets is verified. A line goes if an earlier line (by doc_id,
 then line number) is similar to it; whether that one stays doesn't matter.
 
-Equal lines are found with DataFrame functions, as are the verification and the removal. Word tables, postings and
-candidates come from Arrow batches: in functions of arrays they took over three times the CPU that is allowed.
+Equal lines are found with DataFrame functions, as are the joins and the verification. Word tables, postings, candidates
+and the texts without their lines come from Arrow batches: in functions of arrays they took over three times the CPU that is
+allowed.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import WORD_GAP, documents, materialise, string_buffers, text_slices
 from .words import LOWER, scan, span_hashes
@@ -28,7 +30,7 @@ TABLE_BITS = 20
 #: Line keys that may be broadcast; beyond it they are joined by a shuffle.
 LINE_ROWS = 1_000_000
 #: Candidates of a line under one word that are verified first; the rest only if none of a line's candidates is similar.
-FIRST = 2
+FIRST = 4
 #: 64-bit lanes of a signature.
 LANES = 3
 #: Words of so many lines at most are compared by number of lines, many at once.
@@ -129,12 +131,16 @@ def postings(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD) -
     return docs.mapInArrow(run, POST)
 
 
-def group_pairs(doc: np.ndarray, line: np.ndarray, n: np.ndarray, pos: np.ndarray, sigs: np.ndarray, threshold: float, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(y, x, cut) of one word's postings in line order: each y with its first most earlier x that pass all filters; cut: there are more."""
+def group_pairs(n: np.ndarray, pos: np.ndarray, sigs: np.ndarray, threshold: float, most: int | None, mine: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, x, cut) of one word's postings in line order: each y with its first most earlier x that pass all filters; cut: there are more.
+
+    With mine, only those y look for partners.
+    """
     ys, xs, cuts = [], [], []
     share = threshold / (1 + threshold)
-    for a in range(1, len(doc), 512):
-        y = np.arange(a, min(len(doc), a + 512))
+    seekers = np.arange(1, len(n)) if mine is None else np.flatnonzero(mine)
+    for a in range(0, len(seekers), 512):
+        y = seekers[a : a + 512]
         found = np.zeros(len(y), np.int64)
         for b in range(0, int(y[-1]), 4096):
             x = np.arange(b, min(int(y[-1]), b + 4096))
@@ -172,15 +178,19 @@ def candidates(posts: DataFrame, threshold: float = THRESHOLD, most: int | None
     """PAIR rows of postings: a line and an earlier line with a common first word that pass all filters.
 
     Of each line and word the first most pairs are given; a pair marked cut says that there are more (it is one of them).
+    If posts has a column mine, only the lines marked so look for partners.
     """
+    some = "mine" in posts.columns
 
     def join(table: pa.Table) -> pa.RecordBatch:
-        c = {k: table[k].to_numpy() for k in table.column_names}
+        mine = table["mine"].to_numpy() if some else None
+        c = {k: table[k].to_numpy() for k in table.column_names if k != "mine"}
         sigs = np.stack([c[f"s{k}"].view(np.uint64) for k in range(LANES)])
         cut = np.flatnonzero(np.append(True, c["h"][1:] != c["h"][:-1]))
         y, x, more = [], [], []
         sizes = np.diff(np.append(cut, len(c["h"])))
-        for size in range(2, SMALL + 1):
+        least = 2 if some else SMALL + 1
+        for size in () if some else range(2, SMALL + 1):
             at = cut[sizes == size]
             if not len(at):
                 continue
@@ -195,9 +205,9 @@ def candidates(posts: DataFrame, threshold: float = THRESHOLD, most: int | None
                 y.append(j[near])
                 x.append(i[near])
                 more.append(np.zeros(int(near.sum()), dtype=bool))
-        for i, size in zip(cut[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        for i, size in zip(cut[sizes >= least].tolist(), sizes[sizes >= least].tolist()):
             own = slice(i, i + size)
-            a, b, k = group_pairs(c["doc_id"][own], c["line_no"][own], c["n"][own].astype(np.int64), c["pos"][own].astype(np.int64), sigs[:, own], threshold, most)
+            a, b, k = group_pairs(c["n"][own].astype(np.int64), c["pos"][own].astype(np.int64), sigs[:, own], threshold, most, mine[own] if some else None)
             y.append(a + i)
             x.append(b + i)
             more.append(k)
@@ -260,13 +270,17 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     gone = materialise(_verified(found, docs, threshold), "lines-gone")
     # lines with more candidates, none of those seen similar: now all of theirs
     open_ = materialise(found.where("cut").select("doc_id", "line_no").distinct().join(gone, ["doc_id", "line_no"], "left_anti"), "lines-open")
-    if open_.count():
-        every = postings(some.select("doc_id", "text", "_gone"), table, threshold)
-        mark = F.broadcast(open_) if open_.count() <= LINE_ROWS else open_
-        words = materialise(every.join(mark, ["doc_id", "line_no"], "left_semi").select("h").distinct(), "open-words")
+    waiting = open_.count()
+    if waiting:
+        mark = F.broadcast(open_) if waiting <= LINE_ROWS else open_
+        own = some.select("doc_id", "text", "_gone")
+        # words of the open lines, from their documents alone
+        few = own.join(F.broadcast(open_.select("doc_id").distinct()) if waiting <= LINE_ROWS else open_.select("doc_id").distinct(), "doc_id", "left_semi")
+        words = materialise(postings(few, table, threshold).join(mark, ["doc_id", "line_no"], "left_semi").select("h").distinct(), "open-words")
         words = F.broadcast(words) if words.count() <= LINE_ROWS else words
-        again = every.join(words, "h", "left_semi").repartition("h").sortWithinPartitions("h", "doc_id", "line_no")
-        more = candidates(again, threshold, None).select("doc_id", "line_no", "p_doc", "p_line").distinct().join(mark, ["doc_id", "line_no"], "left_semi")
+        again = postings(own, table, threshold).join(words, "h", "left_semi").join(mark.withColumn("mine", F.lit(True)), ["doc_id", "line_no"], "left")
+        again = again.withColumn("mine", F.coalesce("mine", F.lit(False))).repartition("h").sortWithinPartitions("h", "doc_id", "line_no")
+        more = candidates(again, threshold, None).select("doc_id", "line_no", "p_doc", "p_line").distinct()
         more = materialise(more.join(found, ["doc_id", "line_no", "p_doc", "p_line"], "left_anti"), "line-pairs")
         gone = gone.union(_verified(more, docs, threshold))
     return copies.union(gone).distinct()
@@ -287,10 +301,19 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_removed", "_gone", "_doc")
     joined = with_lists(docs, materialise(removed_lines(docs, threshold), "lines-removed"))
-    lines = F.split("text", "\n")
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n"))
-    removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
-    out = joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], text.alias("text"), n.cast("long").alias("n_lines"), removed.alias("n_removed"))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    columns = docs.columns
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts, dropped = batch.column("text").to_pylist(), [], []
+            for i, (t, gone) in enumerate(zip(texts, batch.column("_gone").to_pylist())):
+                counts.append(0 if t is None else t.count("\n") + 1)
+                dropped.append(0 if t is None or gone is None else len(gone))
+                if dropped[-1]:
+                    out = set(gone)
+                    texts[i] = "\n".join([x for k, x in enumerate(t.split("\n")) if k not in out])
+            cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], [*columns, "n_lines", "n_removed"])
+
+    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    return joined.mapInArrow(rebuild, schema)

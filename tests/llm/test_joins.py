@@ -77,20 +77,29 @@ def test_pairs_of_a_large_group_are_all_found_or_marked():
     n, pos = rng.integers(20, 26, size), rng.integers(0, 3, size)
     sigs = rng.integers(0, 2**63, (3, 40), dtype=np.uint64)[:, rng.integers(0, 40, size)]
     sigs ^= np.uint64(1) << rng.integers(0, 60, (3, size)).astype(np.uint64)
-    doc, line = np.arange(size), np.zeros(size, np.int64)
     want = {}
     for y in range(size):
         need = np.ceil((n[y] + n[:y]) * (0.75 / 1.75) - 1e-9)
         good = (np.minimum(n[y], n[:y]) >= 0.75 * np.maximum(n[y], n[:y])) & (np.minimum(pos[y], pos[:y]) + np.minimum(n[y] - pos[y], n[:y] - pos[:y]) >= need)
         good &= np.bitwise_count(sigs[:, y : y + 1] ^ sigs[:, :y]).sum(axis=0) <= n[y] + n[:y] - 2 * need
         want[y] = np.flatnonzero(good).tolist()
-    y, x, cut = line_dedup.group_pairs(doc, line, n, pos, sigs, 0.75, None)
+    y, x, cut = line_dedup.group_pairs(n, pos, sigs, 0.75, None)
     assert not cut.any() and sorted(zip(y.tolist(), x.tolist())) == [(a, b) for a in want for b in want[a]] and len(y) > 1000
-    y, x, cut = line_dedup.group_pairs(doc, line, n, pos, sigs, 0.75, 2)
+    y, x, cut = line_dedup.group_pairs(n, pos, sigs, 0.75, 2)
     for a, found in want.items():
         assert sorted(x[(y == a) & ~cut].tolist()) == found[:2]
         assert (x[(y == a) & cut].tolist() in ([found[2]], [])) if len(found) > 2 else not (cut & (y == a)).any()
     assert {a for a in want if len(want[a]) > 2} == set(y[cut].tolist())
+    mine = rng.random(size) < 0.1
+    y, x, _ = line_dedup.group_pairs(n, pos, sigs, 0.75, None, mine)
+    assert sorted(zip(y.tolist(), x.tolist())) == [(a, b) for a in want if mine[a] for b in want[a]]
+
+
+def test_lines_whose_first_candidates_are_not_similar_look_further(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "candidates", lambda posts, threshold, most=1, own=line_dedup.candidates: own(posts, threshold, most))
+    rows = [(i, " ".join([f"w{i}x{k}" for k in range(300)] + [f"s{k}" for k in range(300)])) for i in range(60)]
+    rows.append((99, rows[57][1] + " more"))
+    assert {(r["doc_id"], r["line_no"]) for r in line_dedup.removed_lines(frame(spark, rows)).collect()} == {(99, 0)} == removed_lines(rows)
 
 
 @pytest.mark.parametrize("seed", [3, 4])
