@@ -269,6 +269,20 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield join(pa.Table.from_batches(held))
 
 
+def _enough(counted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Of pairs (a, b, c) those that c common first shingles, and all shingles beyond the first ones, could link.
+
+    Sets of n and m shingles must share (n + m) t / (1 + t). Beyond the first ones, the set whose last first shingle is
+    the smaller one can share ceil(t n) - 1 at most. sizes: doc_id, n, low (largest and smallest set of a doc_id).
+    """
+    a, b = (sizes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("low").alias(f"l{x}")) for x in "ab")
+    both = counted.join(a, "a").join(b, "b")
+    need = F.ceil((F.col("la") + F.col("lb")) * PERCENT / (100 + PERCENT) - 1e-9)
+    rest = F.ceil(F.greatest("na", "nb") * PERCENT / 100 - 1e-9) - 1
+    alike = (100 * F.col("na") >= PERCENT * F.col("lb")) & (100 * F.col("nb") >= PERCENT * F.col("la"))
+    return both.where(alike & (F.col("c") + rest >= need)).select("a", "b")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) of doc_ids, a stored table, those whose whole shingle sets are similar enough."""
     ids = materialise(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "pair-ids")
@@ -310,10 +324,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     posts = posts.select("h", "doc_id", F.first("doc_id").over(word).alias("pivot"), F.lead(F.lit(1)).over(word).alias("another"))
     posts = materialise(posts.where((F.col("doc_id") != F.col("pivot")) | F.col("another").isNotNull()).drop("another"), "shingle-posts")
     sizes = reps.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("n").alias("low"))
-    near = posts.where("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = near.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n"), F.col("low").alias("nl")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("low").alias("ml")), "b")
-    near = near.where((100 * F.col("n") >= PERCENT * F.col("ml")) & (100 * F.col("m") >= PERCENT * F.col("nl"))).select("a", "b")
-    pairs = materialise(near, "pivot-pairs")
+    near = posts.where("doc_id != pivot").groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("c"))
+    pairs = materialise(_enough(near, sizes), "pivot-pairs")
     links = materialise(_linked(pairs, known), "pivot-links")
     found = materialise(components(links), "pivot-components")
     # shingles that still hold more than one component
@@ -327,8 +339,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     met = met.withColumn("chunk", chunk).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("h", F.least("chunk", "x").alias("lo"), F.greatest("chunk", "x").alias("hi"), (F.col("chunk") > F.col("x")).cast("int").alias("side"), "doc_id", "n", "component", "bits")
     met = met.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "doc_id")
-    more = materialise(met.mapInArrow(_tree_pairs, "a long, b long").distinct(), "tree-pairs")
-    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "tree-pairs")
+    # a pair comes once for each first shingle that both hold, as that shingle has two components
+    more = met.mapInArrow(_tree_pairs, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("c"))
+    more = materialise(_enough(more, sizes).join(pairs, ["a", "b"], "left_anti"), "tree-pairs")
     links = links.union(_linked(more, known))
     final = materialise(components(links), "components")
     named = classes.join(final, classes["rep"] == final["id"], "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
