@@ -8,6 +8,7 @@ that a match must have, and units too large for all templates, are dropped befor
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -73,18 +74,16 @@ def _template_pairs(text: str) -> set[tuple[str, ...]]:
 def needed_words(templates: dict[str, list[str]], threshold: float) -> list[str]:
     """Words of which every unit that matches some template has at least one.
 
-    A match shares at least t / (2 - t) of the template's b pairs. Its long words, then its numbers, then the rest are
-    taken until fewer of its pairs than that have none of them.
+    A match shares at least t / (2 - t) of the template's b pairs, so words are taken until fewer of each template's pairs
+    have none of them: first the word that leads most templates nearer to that, long words before short ones.
     """
-    found: set[str] = set()
-    for text in (t for texts in templates.values() for t in texts):
-        pairs = _template_pairs(text)
-        need = len(pairs) * threshold / (2 - threshold)
-        for word in sorted({w for p in pairs for w in p}, key=lambda w: (len(w) < 5, not w.isdigit(), -len(w), w)):
-            if sum(not found & set(p) for p in pairs) < need - 1e-9:
-                break
-            found.add(word)
-    return sorted(found)
+    open_ = [(pairs, len(pairs) * threshold / (2 - threshold)) for texts in templates.values() for pairs in map(_template_pairs, texts)]
+    found: list[str] = []
+    while open_ := [(rest, need) for pairs, need in open_ if len(rest := {p for p in pairs if not any(v in w for v in found for w in p)}) >= need - 1e-9]:
+        uses = Counter(w for rest, _ in open_ for w in {w for p in rest for w in p})
+        found.append(max(uses, key=lambda w: (len(w) >= 6, w.isdigit(), uses[w], len(w), w)))
+    # a word that holds another needs no look of its own
+    return sorted(w for w in found if not any(v != w and v in w for v in found))
 
 
 def scan_units(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -93,14 +92,16 @@ def scan_units(docs: DataFrame, templates: dict[str, list[str]] | None = None, t
     sizes = sorted({len(_template_pairs(t)) for texts in templates.values() for t in texts})
     words = needed_words(templates, threshold)
 
-    def has_word(c: str) -> Column:
-        low = F.lower(c)
-        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    def with_word(part: DataFrame, c: str) -> DataFrame:
+        # a generated column is made once; a plain one would be made anew for each word
+        low = part.select("*", F.explode(F.array(F.lower(c))).alias("low"))
+        return low.where(reduce(lambda a, b: a | b, [F.contains(F.col("low"), F.lit(w)) for w in words])).drop("low")
 
     # 2 min(a, b) / (a + b) >= t holds if a lies between b t / (2 - t) and b (2 - t) / t
     allowed = reduce(lambda a, b: a | b, [F.col("n").between(s * threshold / (2 - threshold), s * (2 - threshold) / threshold) for s in sizes])
-    base = documents(docs).where(has_word("text"))
-    rows = base.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t")).select("doc_id", (F.col("k") + 1).alias("unit"), "t").where(has_word("t"))
+    base = with_word(documents(docs), "text")
+    rows = base.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t")).select("doc_id", (F.col("k") + 1).alias("unit"), "t")
+    rows = with_word(rows, "t")
     # a text of one line is its own unit
     whole = base.where(F.instr("text", "\n") > 0).select("doc_id", F.lit(0).alias("unit"), F.col("text").alias("t"))
     units = rows.unionByName(whole).withColumn("w", normalised(F.col("t"))).where(F.col("w") != "")
