@@ -78,16 +78,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _license_sql() -> str:
     rows = ", ".join("('{}', '{}#{}', '{}')".format(name, name, k, text.replace("'", "''")) for name, texts in licenses.TEMPLATES.items() for k, text in enumerate(texts))
     norm = "trim(lower(regexp_replace({}, '[^A-Za-z0-9]+', ' ', 'g')))"
-    pairs = "CASE WHEN {w} = '' THEN [] WHEN len(string_split({w}, ' ')) = 1 THEN string_split({w}, ' ') ELSE list_distinct([string_split({w}, ' ')[i] || ' ' || string_split({w}, ' ')[i + 1] FOR i IN range(1, len(string_split({w}, ' ')))]) END".format(w="w")
+    pairs = "CASE WHEN len(ws) = 1 THEN ws ELSE list_distinct([p[1] || ' ' || p[2] FOR p IN list_zip(ws[:-2], ws[2:])]) END"
     t = licenses.THRESHOLD
     return f"""
 WITH templates(license, template, t_text) AS (VALUES {rows}),
-t0 AS (SELECT license, template, {norm.format('t_text')} AS w FROM templates),
+t0 AS (SELECT license, template, string_split({norm.format('t_text')}, ' ') AS ws FROM templates),
 t1 AS (SELECT license, template, {pairs} AS b FROM t0),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS unit FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT doc_id, text, 0 FROM documents WHERE contains(text, chr(10))),
 u0 AS (SELECT doc_id, unit, {norm.format('t')} AS w FROM lines),
-u1 AS (SELECT doc_id, unit, w FROM u0 WHERE w <> ''),
+u1 AS (SELECT doc_id, unit, string_split(w, ' ') AS ws FROM u0 WHERE w <> ''),
 u2 AS (SELECT doc_id, unit, {pairs} AS b FROM u1),
 hits AS (SELECT doc_id, unit, license, 2.0::DOUBLE * len(list_intersect(u2.b, t1.b)) / (len(u2.b) + len(t1.b)) AS dice FROM u2 JOIN t1 ON len(u2.b) >= len(t1.b) * 0.5 AND len(u2.b) <= len(t1.b) * 2),
 best AS (SELECT doc_id, count(DISTINCT unit) AS n_matches, min(struct_pack(d := -dice, l := license)) AS s FROM hits WHERE dice >= {t} GROUP BY doc_id)
