@@ -92,9 +92,12 @@ def scan_units(docs: DataFrame, templates: dict[str, list[str]] | None = None, t
     sizes = sorted({len(_template_pairs(t)) for texts in templates.values() for t in texts})
     words = needed_words(templates, threshold)
 
+    def once(part: DataFrame, value: Column, name: str) -> DataFrame:
+        # a generated column is made once; filters on a plain one would make it anew for each of their terms
+        return part.select("*", F.explode(F.array(value)).alias(name))
+
     def with_word(part: DataFrame, c: str) -> DataFrame:
-        # a generated column is made once; a plain one would be made anew for each word
-        low = part.select("*", F.explode(F.array(F.lower(c))).alias("low"))
+        low = once(part, F.lower(c), "low")
         return low.where(reduce(lambda a, b: a | b, [F.contains(F.col("low"), F.lit(w)) for w in words])).drop("low")
 
     # 2 min(a, b) / (a + b) >= t holds if a lies between b t / (2 - t) and b (2 - t) / t
@@ -104,10 +107,10 @@ def scan_units(docs: DataFrame, templates: dict[str, list[str]] | None = None, t
     rows = with_word(rows, "t")
     # a text of one line is its own unit
     whole = base.where(F.instr("text", "\n") > 0).select("doc_id", F.lit(0).alias("unit"), F.col("text").alias("t"))
-    units = rows.unionByName(whole).withColumn("w", normalised(F.col("t"))).where(F.col("w") != "")
+    units = once(rows.unionByName(whole), normalised(F.col("t")), "w").drop("t").where(F.col("w") != "")
     # k different words make k - 1 different pairs at least, so long texts are dropped before their pairs are made
     units = units.where(F.size(F.array_distinct(F.split("w", " "))) - 1 <= max(sizes) * (2 - threshold) / threshold)
-    units = units.withColumn("_b", bigrams(F.col("w"))).withColumn("n", F.size("_b")).where(allowed)
+    units = once(units, bigrams(F.col("w")), "_b").withColumn("n", F.size("_b")).where(allowed)
     table = F.broadcast(template_bigrams(docs.sparkSession, templates))
     joined = units.select("doc_id", "unit", "n", F.explode("_b").alias("bigram")).join(table, "bigram")
     joined = joined.where(F.col("n").between(F.col("t_size") * threshold / (2 - threshold), F.col("t_size") * (2 - threshold) / threshold))
