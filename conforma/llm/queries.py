@@ -94,5 +94,15 @@ best AS (SELECT doc_id, count(DISTINCT unit) AS n_matches, min(struct_pack(d :=
 SELECT d.doc_id, CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches, s.l AS license, round(-s.d, 6) AS dice FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN best USING (doc_id)"""
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct([array_to_string(ws[i : i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, md5(unnest(g)) AS h FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.m AS component_id FROM s JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scans": _license_sql()}
+    return {"op7_ngram_join": JACCARD_SQL, "op9_license_scans": _license_sql()}
