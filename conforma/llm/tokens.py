@@ -19,6 +19,10 @@ import numpy as np
 DOUBTFUL = re.compile("[\x00\x1c-\x1f\x85]")
 #: A space that doesn't follow a character that isn't white space.
 LOOSE_SPACE = re.compile(r"\s |\A ")
+#: Characters beyond those whose lower case and normal form are the same in every version.
+BEYOND = re.compile("[\u0130-\U0010ffff]")
+#: A stop or comma that touches another mark, with which it may make one part.
+TOUCHING = re.compile(r"[.,](?=[^\s\w]|_)|(?:[^\s\w]|_)[.,]")
 #: A digit is a part of its own, so it can stand between chunks.
 SEPARATOR = "0"
 #: Chunks that a worker keeps at most; then it starts anew.
@@ -90,7 +94,7 @@ class Encoder:
             alone = [c for c in missing if not c.startswith(" ")]
             missing = [c for c in missing if c.startswith(" ")]
         else:
-            cut = [None if DOUBTFUL.search(t) else t.split() for t in texts]
+            cut = [None if DOUBTFUL.search(t) else _bare_chunks(t) for t in texts]
             missing = list(set(chain.from_iterable(c for c in cut if c)).difference(self.chunks))
             alone = [c for c in missing if SEPARATOR in c]
             missing = [c for c in missing if SEPARATOR not in c]
@@ -100,3 +104,12 @@ class Encoder:
             self.chunks.update(zip(alone, self._library(alone)))
         get = self.chunks.__getitem__
         return [self._library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+
+
+def _bare_chunks(text: str) -> list[str]:
+    """Chunks of a text whose white space and case don't matter: fewer different ones, as case and stops are taken away."""
+    if not BEYOND.search(text):
+        text = text.lower()
+    if not TOUCHING.search(text):
+        text = text.replace(".", " . ").replace(",", " , ")
+    return text.split()
