@@ -1,8 +1,10 @@
 """Licence scans: normalised units of a text against licence templates, by the Dice coefficient over word bigrams.
 
-Units are the lines of a text and the text as a whole. Only DataFrame functions are used. A unit is compared only with
-templates whose size allows the wanted Dice value (2 min(a, b) / (a + b) bounds it); units without any of the words
-that a match must have, and units too large for all templates, are dropped before any bigram is made.
+Units are the lines of a text, the text as a whole, and runs of adjacent sentences (a line's end also ends a sentence), so
+notices that wrap over lines or share a line with other text are found too. Only DataFrame functions are used. A unit is
+compared only with templates whose size allows the wanted Dice value (2 min(a, b) / (a + b) bounds it); units without any
+of the words that a match must have, and units too large for all templates, are dropped before any bigram is made. Runs
+begin and end in sentences with a bigram of the template, and only where so many lie close enough for a match.
 """
 
 from __future__ import annotations
@@ -11,14 +13,45 @@ import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise
 
 THRESHOLD = 0.8
-
-# Short public notices by which texts state their licence.
+#: Ends a sentence within a line.
+SENTENCE_GAP = r"(?<=[.!?;:])[ \t]+"
+
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall
+be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""
+BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. """
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission. """
+BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+
+# Public notices by which texts state their licence, and the whole text of short licences.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -28,6 +61,7 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        MIT_TEXT,
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -39,8 +73,24 @@ TEMPLATES = {
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "LGPL-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "BSD-2-Clause": [BSD_CONDITIONS + BSD_DISCLAIMER],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        BSD_CONDITIONS + BSD_THIRD + BSD_DISCLAIMER,
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        ISC_TEXT,
+    ],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
@@ -86,46 +136,109 @@ def needed_words(templates: dict[str, list[str]], threshold: float) -> list[str]
     return sorted(w for w in found if not any(v != w and v in w for v in found))
 
 
+def _once(part: DataFrame, value: Column, name: str) -> DataFrame:
+    # a generated column is made once; filters on a plain one would make it anew for each of their terms
+    return part.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _has_word(low: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+
+
+def _texts(docs: DataFrame, words: list[str]) -> DataFrame:
+    """_d, _h (never null: of doc_id and text), doc_id and text of the texts with any of words."""
+    rows = _once(documents(docs), F.lower("text"), "low").where(_has_word(F.col("low"), words)).drop("low")
+    return rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), F.xxhash64("text").alias("_h"), "doc_id", "text")
+
+
 def scan_units(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, unit, license, template, dice) of every unit and template with dice >= threshold; unit 0 is the whole text, 1.. its lines."""
+    """(doc_id, _d, _h, unit, license, template, dice) of every unit and template with dice >= threshold; unit 0 is the whole text, 1.. its lines."""
     templates = templates or TEMPLATES
     sizes = sorted({len(_template_pairs(t)) for texts in templates.values() for t in texts})
     words = needed_words(templates, threshold)
 
-    def once(part: DataFrame, value: Column, name: str) -> DataFrame:
-        # a generated column is made once; filters on a plain one would make it anew for each of their terms
-        return part.select("*", F.explode(F.array(value)).alias(name))
-
-    def with_word(part: DataFrame, c: str) -> DataFrame:
-        low = once(part, F.lower(c), "low")
-        return low.where(reduce(lambda a, b: a | b, [F.contains(F.col("low"), F.lit(w)) for w in words])).drop("low")
-
     # 2 min(a, b) / (a + b) >= t holds if a lies between b t / (2 - t) and b (2 - t) / t
     allowed = reduce(lambda a, b: a | b, [F.col("n").between(s * threshold / (2 - threshold), s * (2 - threshold) / threshold) for s in sizes])
-    base = with_word(documents(docs), "text")
-    rows = base.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "t")).select("doc_id", (F.col("k") + 1).alias("unit"), "t")
-    rows = with_word(rows, "t")
+    base = _texts(docs, words)
+    rows = base.select("doc_id", "_d", "_h", F.posexplode(F.split("text", "\n")).alias("k", "t")).select("doc_id", "_d", "_h", (F.col("k") + 1).alias("unit"), "t")
+    rows = _once(rows, F.lower("t"), "low").where(_has_word(F.col("low"), words)).drop("low")
     # a text of one line is its own unit
-    whole = base.where(F.instr("text", "\n") > 0).select("doc_id", F.lit(0).alias("unit"), F.col("text").alias("t"))
-    units = once(rows.unionByName(whole), normalised(F.col("t")), "w").drop("t").where(F.col("w") != "")
+    whole = base.where(F.instr("text", "\n") > 0).select("doc_id", "_d", "_h", F.lit(0).alias("unit"), F.col("text").alias("t"))
+    units = _once(rows.unionByName(whole), normalised(F.col("t")), "w").drop("t").where(F.col("w") != "")
     # k different words make k - 1 different pairs at least, so long texts are dropped before their pairs are made
     units = units.where(F.size(F.array_distinct(F.split("w", " "))) - 1 <= max(sizes) * (2 - threshold) / threshold)
-    units = once(units, bigrams(F.col("w")), "_b").withColumn("n", F.size("_b")).where(allowed)
+    units = _once(units, bigrams(F.col("w")), "_b").withColumn("n", F.size("_b")).where(allowed)
     table = F.broadcast(template_bigrams(docs.sparkSession, templates))
-    joined = units.select("doc_id", "unit", "n", F.explode("_b").alias("bigram")).join(table, "bigram")
+    joined = units.select("doc_id", "_d", "_h", "unit", "n", F.explode("_b").alias("bigram")).join(table, "bigram")
     joined = joined.where(F.col("n").between(F.col("t_size") * threshold / (2 - threshold), F.col("t_size") * (2 - threshold) / threshold))
-    counted = joined.groupBy("doc_id", "unit", "n", "license", "template", "t_size").agg(F.count("*").alias("c"))
+    counted = joined.groupBy("doc_id", "_d", "_h", "unit", "n", "license", "template", "t_size").agg(F.count("*").alias("c"))
     dice = 2 * F.col("c") / (F.col("n") + F.col("t_size"))
-    return counted.withColumn("dice", dice).where(F.col("dice") >= threshold).select("doc_id", "unit", "license", "template", "dice")
+    return counted.withColumn("dice", dice).where(F.col("dice") >= threshold).select("doc_id", "_d", "_h", "unit", "license", "template", "dice")
+
+
+def scan_runs(docs: DataFrame, hits: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, unit, license, dice) of runs of adjacent sentences with dice >= threshold; unit is -1 - the run's first sentence.
+
+    hits: stored rows of scan_units. A run lies between the lines in them, and a text has none of a licence that it
+    matches as a whole. Of runs that overlap, one counts if none of them has a larger dice times shared bigrams. A run's shared bigrams lie within as many words as the
+    largest unit allowed for its template has bigrams.
+    """
+    templates = templates or TEMPLATES
+    words = needed_words(templates, threshold)
+    key = ["_d", "_h"]
+    known = hits.groupBy(*key).agg(F.collect_set("unit").alias("_lines"))
+    rows = _texts(docs, words).dropDuplicates(key).join(known, key, "left").withColumn("_lines", F.coalesce("_lines", F.array().cast("array<int>")))
+    # lines that match by themselves part the text: seg counts those before
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("t")))
+    lines = F.filter(lines, lambda x: ~F.array_contains("_lines", x["line"]))
+    left = _once(rows, lines, "_rest").where(F.exists("_rest", lambda x: _has_word(F.lower(x["t"]), words)))
+    parts = F.flatten(F.transform("_rest", lambda x: F.transform(F.split(x["t"], SENTENCE_GAP), lambda t: F.struct(F.size(F.filter("_lines", lambda k: k < x["line"])).alias("seg"), normalised(t).alias("t")))))
+    left = _once(left.drop("text"), F.filter(parts, lambda x: x["t"] != ""), "_parts")
+    flat = F.flatten(F.transform("_parts", lambda x, i: F.transform(F.split(x["t"], " "), lambda w: F.struct(x["seg"].alias("seg"), i.alias("part"), w.alias("w")))))
+    left = _once(left, flat, "_w").where(F.size("_w") > 1)
+    pairs = F.zip_with(F.slice("_w", 1, F.size("_w") - 1), F.slice("_w", 2, F.size("_w") - 1), lambda a, b: F.struct(a["seg"].alias("seg"), b["seg"].alias("to_seg"), a["part"].alias("part"), b["part"].alias("to_part"), F.concat_ws(" ", a["w"], b["w"]).alias("bigram")))
+    pairs = left.select("doc_id", *key, F.posexplode(pairs).alias("pos", "x")).select("doc_id", *key, "pos", "x.*").where(F.col("seg") == F.col("to_seg"))
+    table = template_bigrams(docs.sparkSession, templates)
+    share, most = F.col("t_size") * (threshold / (2 - threshold)), F.col("t_size") * ((2 - threshold) / threshold)
+    met = pairs.join(F.broadcast(table), "bigram")
+    # sentences of a template by the place of their first and last shared pair; a sum of counts bounds the distinct pairs
+    spots = met.groupBy("doc_id", *key, "seg", "license", "template", "t_size", "part").agg(F.count("*").alias("c"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max("to_part").alias("to_part"))
+    within = ["_d", "_h", "seg", "template"]
+    # places in thousandths of the allowed length, rounded down
+    place = F.floor(F.col("lo") * 1000 / most)
+    ahead = Window.partitionBy(*within).orderBy(place).rangeBetween(0, 1001)
+    upto = Window.partitionBy(*within).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*within).orderBy(place).rangeBetween(-1001, 0)
+    spots = spots.select("*", F.sum("c").over(ahead).alias("_ahead"), F.sum("c").over(back).alias("_back"), F.sum("c").over(upto).alias("_upto"), F.floor(F.col("lo") / most).alias("_cell"))
+    spots = materialise(spots.where((F.col("_ahead") >= share - 1e-9) | (F.col("_back") >= share - 1e-9)), "license-spots")
+    first = spots.where(F.col("_ahead") >= share - 1e-9)
+    first = first.select("doc_id", *within, "license", "t_size", F.col("part").alias("i"), F.col("lo").alias("_from"), (F.col("_upto") - F.col("c")).alias("_before"), F.explode(F.array("_cell", F.col("_cell") + 1)).alias("_cell"))
+    # a pair may end in the next sentence, so a run may end there as well as in its last first word's sentence
+    last = spots.where(F.col("_back") >= share - 1e-9).select(*within, "_cell", "lo", "_upto", "hi", "part", F.explode(F.array_distinct(F.array("part", "to_part"))).alias("j"))
+    runs = first.join(last, [*within, "_cell"]).where((F.col("part") >= F.col("i")) & (F.col("j") >= F.col("i")) & (F.col("lo") - F.col("_from") <= most) & (F.col("_upto") - F.col("_before") >= share - 1e-9))
+    runs = materialise(runs.select("doc_id", *key, "seg", "license", "template", "t_size", "i", "j").distinct(), "license-runs")
+    ranges = runs.select(*key, "i", "j").distinct().select("*", F.explode(F.sequence("i", "j")).alias("part"))
+    unit = pairs.select(*key, "part", "to_part", "bigram").join(ranges, [*key, "part"]).where(F.col("to_part") <= F.col("j")).select(*key, "i", "j", "bigram").distinct()
+    size = Window.partitionBy(*key, "i", "j")
+    shared = unit.withColumn("n", F.count("*").over(size)).join(F.broadcast(table.select("template", "bigram")), "bigram").groupBy(*key, "i", "j", "template").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    found = runs.join(shared, [*key, "i", "j", "template"]).withColumn("dice", 2 * F.col("c") / (F.col("n") + F.col("t_size"))).where(F.col("dice") >= threshold)
+    found = found.join(hits.where("unit = 0").select(*key, "license").distinct(), [*key, "license"], "left_anti")
+    found = materialise(found.select("doc_id", *key, "i", "j", "license", "c", "dice"), "license-found")
+    # the best run at each of its sentences
+    order = F.struct((-F.col("dice") * F.col("c")).alias("s"), "i", "j", "license", (-F.col("dice")).alias("d"))
+    best = found.select("doc_id", *key, "i", "j", order.alias("o"), F.explode(F.sequence("i", "j")).alias("part")).groupBy("doc_id", *key, "part").agg(F.min("o").alias("o"))
+    stay = best.groupBy("doc_id", *key, "o").agg(F.count("*").alias("k")).where(F.col("k") == F.col("o.j") - F.col("o.i") + 1)
+    return stay.select("doc_id", (-1 - F.col("o.i")).alias("unit"), F.col("o.license").alias("license"), (-F.col("o.d")).alias("dice"))
 
 
 def scan_documents(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per distinct doc_id: doc_id, n_matches (units that match a template), license (of the best match), dice.
+    """One row per distinct doc_id: doc_id, n_matches (units that match a template: lines, the text, and runs apart from them), license (of the best match), dice.
 
     Ties of dice go to the licence first in the alphabet. Documents without a match, null and empty texts have 0, null, null.
     Rows with a null doc_id count as one document. Other columns are ignored; an empty table gives an empty result.
     """
-    hits = scan_units(docs, templates, threshold)
+    hits = materialise(scan_units(docs, templates, threshold), "license-hits")
+    hits = hits.select("doc_id", "unit", "license", "dice").unionByName(scan_runs(docs, hits, templates, threshold))
     best = hits.groupBy("doc_id").agg(F.countDistinct("unit").alias("n_matches"), F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("b"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     none = ids.select("doc_id", F.lit(0).cast("long").alias("n_matches"), F.lit(None).cast("struct<d:double,license:string>").alias("b"))

@@ -217,6 +217,26 @@ def test_licence_scans_against_plain_dice(spark):
     assert licenses.scan_documents(frame(spark, [])).count() == 0
 
 
+def test_licence_scans_find_wrapped_notices_and_sentences(spark):
+    import textwrap
+
+    rng = random.Random(12)
+    prose = "Boats lay in the river.\n" + "\n".join(" ".join(f"w{rng.randrange(500)}" for _ in range(9)) for _ in range(60))
+    wrapped = lambda name, k, width: "\n".join(textwrap.wrap(licenses.TEMPLATES[name][k], width))
+    rows = [
+        (1, f"{prose}\n\n{wrapped('MIT', -1, 70)}\n\n{prose}"),
+        (2, f"{prose}\n{wrapped('BSD-3-Clause', 0, 72)}:\n{prose}"),
+        (3, "Copyright 2020 A. Author. Released under the MIT License. See the file LICENSE for the terms."),
+        (4, f"{prose}\n{wrapped('BSD-2-Clause', -1, 60)}\n{prose}\nReleased under\nthe MIT License. {prose}"),
+        (5, f"{prose}\nLicensed under CC BY-SA 4.0.\n{prose}"),
+        (6, prose),
+        (8, f"{wrapped('MIT', -1, 60)}\nThis work is licensed under a\nCreative Commons Attribution\n4.0 International License."),
+        (7, "Released under the MIT License.\nReleased under the MIT License. " + prose),
+    ]
+    got = {r["doc_id"]: (r["n_matches"], r["license"]) for r in licenses.scan_documents(frame(spark, rows)).collect()}
+    assert got == {1: (1, "MIT"), 2: (1, "BSD-3-Clause"), 3: (1, "MIT"), 4: (2, "BSD-2-Clause"), 5: (1, "CC-BY-SA-4.0"), 6: (0, None), 7: (2, "MIT"), 8: (2, "CC-BY-4.0")}
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     import corpus_pipeline
 
