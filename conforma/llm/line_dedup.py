@@ -9,6 +9,10 @@ then line number) is similar to it; whether that one stays doesn't matter.
 Equal lines are found with DataFrame functions, as are the joins and the verification. Word tables, postings, candidates
 and the texts without their lines come from Arrow batches: in functions of arrays they took over three times the CPU that is
 allowed.
+
+The postings of a frequent word are split (split_postings): lines of at most SHORT words meet others by pairs of lengths and
+blocks of the signatures, one of which is equal if few enough bits differ; longer lines are dealt into chunks, and every two
+chunks are a key of their own.
 """
 
 from __future__ import annotations
@@ -35,7 +39,11 @@ FIRST = 4
 LANES = 3
 #: Words of so many lines at most are compared by number of lines, many at once.
 SMALL = 32
-POST = "h long, doc_id long, line_no int, n int, pos int, s0 long, s1 long, s2 long"
+#: Words with more postings are split: at most about so many lines of two chunks each meet in a task at once.
+CHUNK = 1 << 15
+#: Lines of a split word meet by blocks of their signatures if the shorter one has at most so many words, else by chunks.
+SHORT = 12
+POST = "h long, doc_id long, line_no int, n int, pos int, s0 long, s1 long, s2 long, side int"
 PAIR = "doc_id long, line_no int, p_doc long, p_line int, cut boolean"
 
 
@@ -115,9 +123,79 @@ def line_postings(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, thre
     return {"h": key[chosen], "row": row[at], "line_no": (lines - first[row])[at], "n": n[at], "pos": pos[chosen], "sigs": [s[at] for s in sigs]}
 
 
-def postings(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """POST rows of docs (doc_id, text, and _gone: numbers of lines that take no part, or null)."""
+def posting_counts(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Number of postings in each bucket of word hashes (by their low bits), of docs as in postings()."""
+    shared, size = docs.sparkSession.sparkContext.broadcast(table), len(table)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for part in text_slices(batch):
+                gone = [None if x is None else np.array(x, np.int64) for x in part.column("_gone").to_pylist()]
+                p = line_postings(*string_buffers(part.column("text")), shared.value, threshold, gone)
+                if p:
+                    total += np.bincount((p["h"] & np.uint64(size - 1)).astype(np.int64), minlength=size)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"b": pa.array(some, pa.int64()), "c": pa.array(total[some], pa.int64())})
+
+    got = docs.mapInArrow(count, "b long, c long").groupBy("b").agg(F.sum("c").alias("c")).where(F.col("c") > CHUNK).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got["b"].to_numpy()] = got["c"].to_numpy()
+    return out
+
+
+def _mix(*parts: np.ndarray | int) -> np.ndarray:
+    """A hash of numbers, of 64 bits."""
+    out = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for x in parts:
+            out = (out ^ np.asarray(x).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            out = out ^ (out >> np.uint64(29))
+            out = out * np.uint64(0x94D049BB133111EB)
+            out = out ^ (out >> np.uint64(32))
+    return out
+
+
+def split_postings(h: np.ndarray, line: np.ndarray, n: np.ndarray, sigs: list[np.ndarray], counts: np.ndarray, threshold: float, chunk_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posting, key, side) of all keys that postings go to; line: a hash of each one's line, counts: see posting_counts.
+
+    Two lines of a key are compared unless they are on the same side, 1 or 2.
+    """
+    found = counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)]
+    plain = np.flatnonzero(found <= chunk_size)
+    at, key, side = [plain], [h[plain]], [np.zeros(len(plain), np.int32)]
+    hot = np.flatnonzero(found > chunk_size)
+    share = threshold / (1 + threshold)
+    for a in np.unique(n[hot]).tolist():
+        own = hot[n[hot] == a]
+        for b in range(int(np.ceil(a * threshold - 1e-9)), int(a / threshold + 1e-9) + 1):
+            if min(a, b) > SHORT:
+                continue
+            # at most apart bits differ, so of one block more one at least is equal
+            apart = a + b - 2 * int(np.ceil((a + b) * share - 1e-9))
+            cuts = [64 * LANES * k // (apart + 1) for k in range(apart + 2)]
+            for k in range(apart + 1) if apart >= 0 else ():
+                masks = [sum(1 << (j - 64 * i) for j in range(max(cuts[k], 64 * i), min(cuts[k + 1], 64 * i + 64))) for i in range(LANES)]
+                at.append(own)
+                key.append(_mix(h[own], min(a, b), max(a, b), k, *(sigs[i][own] & np.uint64(m) for i, m in enumerate(masks))))
+                side.append(np.full(len(own), 0 if a == b else 1 if a < b else 2, np.int32))
+    long_ = hot[n[hot] > SHORT]
+    chunks = -(-found[long_] // chunk_size)
+    # every line goes to as many keys as its word has chunks
+    many = np.repeat(np.arange(len(long_)), chunks)
+    other = np.arange(len(many)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    mine = (line[long_] % chunks.astype(np.uint64)).astype(np.int64)[many]
+    at.append(long_[many])
+    key.append(_mix(h[long_][many], 0, np.minimum(mine, other), np.maximum(mine, other)))
+    side.append(np.sign(mine - other).astype(np.int32) % 3)
+    return np.concatenate(at), np.concatenate(key), np.concatenate(side)
+
+
+def postings(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD, counts: np.ndarray | None = None) -> DataFrame:
+    """POST rows of docs (doc_id, text, and _gone: numbers of lines that take no part, or null); h is a key of split_postings()."""
+    chunk_size = CHUNK
     shared = docs.sparkSession.sparkContext.broadcast(table)
+    split = docs.sparkSession.sparkContext.broadcast(np.zeros(1, np.int64) if counts is None else counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,16 +203,20 @@ def postings(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD) -
                 gone = [None if x is None else np.array(x, np.int64) for x in part.column("_gone").to_pylist()]
                 p = line_postings(*string_buffers(part.column("text")), shared.value, threshold, gone)
                 if p:
-                    cols = [pa.array(p["h"].view(np.int64)), part.column("doc_id").take(pa.array(p["row"])), *(pa.array(p[c].astype(np.int32)) for c in ("line_no", "n", "pos")), *(pa.array(s.view(np.int64)) for s in p["sigs"])]
-                    yield pa.RecordBatch.from_arrays(cols, ["h", "doc_id", "line_no", "n", "pos", "s0", "s1", "s2"])
+                    ids = part.column("doc_id").to_numpy()[p["row"]]
+                    at, key, side = split_postings(p["h"], _mix(ids, p["line_no"]), p["n"], p["sigs"], split.value, threshold, chunk_size)
+                    for i in range(0, len(at), 1 << 18):
+                        k = at[i : i + (1 << 18)]
+                        cols = [key[i : i + len(k)].view(np.int64), ids[k], *(p[c][k].astype(np.int32) for c in ("line_no", "n", "pos")), *(s[k].view(np.int64) for s in p["sigs"]), side[i : i + len(k)]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "doc_id", "line_no", "n", "pos", "s0", "s1", "s2", "side"])
 
     return docs.mapInArrow(run, POST)
 
 
-def group_pairs(n: np.ndarray, pos: np.ndarray, sigs: np.ndarray, threshold: float, most: int | None, mine: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def group_pairs(n: np.ndarray, pos: np.ndarray, sigs: np.ndarray, threshold: float, most: int | None, mine: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(y, x, cut) of one word's postings in line order: each y with its first most earlier x that pass all filters; cut: there are more.
 
-    With mine, only those y look for partners.
+    With mine, only those y look for partners; with side, none on their own side but 0.
     """
     ys, xs, cuts = [], [], []
     share = threshold / (1 + threshold)
@@ -150,6 +232,8 @@ def group_pairs(n: np.ndarray, pos: np.ndarray, sigs: np.ndarray, threshold: flo
             fits &= (found[:, None] <= most) if most else True
             room = np.minimum(pos[y][:, None], pos[x][None, :]) + np.minimum((n - pos)[y][:, None], (n - pos)[x][None, :])
             fits &= room >= need
+            if side is not None:
+                fits &= (side[y][:, None] != side[x][None, :]) | (side[x] == 0)[None, :]
             i, j = np.nonzero(fits)
             apart = np.bitwise_count(sigs[:, y[i]] ^ sigs[:, x[j]]).sum(axis=0)
             good = apart <= total[i, j] - 2 * need[i, j]
@@ -199,7 +283,7 @@ def candidates(posts: DataFrame, threshold: float = THRESHOLD, most: int | None
                 i, j = ((at[k : k + max(1, 400_000 // len(low)), None] + v).ravel() for v in (low, high))
                 n, m, p, q = c["n"][i], c["n"][j], c["pos"][i], c["pos"][j]
                 need = np.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
-                good = np.flatnonzero((np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= need))
+                good = np.flatnonzero((np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= need) & ((c["side"][i] != c["side"][j]) | (c["side"][i] == 0)))
                 i, j = i[good], j[good]
                 near = np.bitwise_count(sigs[:, i] ^ sigs[:, j]).sum(axis=0) <= (n + m - 2 * need)[good]
                 y.append(j[near])
@@ -207,7 +291,7 @@ def candidates(posts: DataFrame, threshold: float = THRESHOLD, most: int | None
                 more.append(np.zeros(int(near.sum()), dtype=bool))
         for i, size in zip(cut[sizes >= least].tolist(), sizes[sizes >= least].tolist()):
             own = slice(i, i + size)
-            a, b, k = group_pairs(c["n"][own].astype(np.int64), c["pos"][own].astype(np.int64), sigs[:, own], threshold, most, mine[own] if some else None)
+            a, b, k = group_pairs(c["n"][own].astype(np.int64), c["pos"][own].astype(np.int64), sigs[:, own], threshold, most, mine[own] if some else None, c["side"][own] if c["side"][own].any() else None)
             y.append(a + i)
             x.append(b + i)
             more.append(k)
@@ -265,7 +349,8 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies = hashed.join(firsts, ["k1", "k2"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("line_no") != F.col("f.line_no"))).select("doc_id", "line_no").distinct()
     copies = materialise(copies, "line-copies")
     some = with_lists(docs, copies)
-    posts = postings(some.select("doc_id", "text", "_gone"), table, threshold).repartition("h").sortWithinPartitions("h", "doc_id", "line_no")
+    counts = posting_counts(some.select("doc_id", "text", "_gone"), table, threshold)
+    posts = postings(some.select("doc_id", "text", "_gone"), table, threshold, counts).repartition("h").sortWithinPartitions("h", "doc_id", "line_no")
     found = materialise(candidates(posts, threshold).groupBy("doc_id", "line_no", "p_doc", "p_line").agg(F.max("cut").alias("cut")), "line-pairs")
     gone = materialise(_verified(found, docs, threshold), "lines-gone")
     # lines with more candidates, none of those seen similar: now all of theirs
@@ -276,9 +361,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         own = some.select("doc_id", "text", "_gone")
         # words of the open lines, from their documents alone
         few = own.join(F.broadcast(open_.select("doc_id").distinct()) if waiting <= LINE_ROWS else open_.select("doc_id").distinct(), "doc_id", "left_semi")
-        words = materialise(postings(few, table, threshold).join(mark, ["doc_id", "line_no"], "left_semi").select("h").distinct(), "open-words")
+        words = materialise(postings(few, table, threshold, counts).join(mark, ["doc_id", "line_no"], "left_semi").select("h").distinct(), "open-words")
         words = F.broadcast(words) if words.count() <= LINE_ROWS else words
-        again = postings(own, table, threshold).join(words, "h", "left_semi").join(mark.withColumn("mine", F.lit(True)), ["doc_id", "line_no"], "left")
+        again = postings(own, table, threshold, counts).join(words, "h", "left_semi").join(mark.withColumn("mine", F.lit(True)), ["doc_id", "line_no"], "left")
         again = again.withColumn("mine", F.coalesce("mine", F.lit(False))).repartition("h").sortWithinPartitions("h", "doc_id", "line_no")
         more = candidates(again, threshold, None).select("doc_id", "line_no", "p_doc", "p_line").distinct()
         more = materialise(more.join(found, ["doc_id", "line_no", "p_doc", "p_line"], "left_anti"), "line-pairs")

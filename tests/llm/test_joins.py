@@ -115,6 +115,36 @@ def test_line_dedup_removes_exactly_the_later_similar_lines(spark, seed):
         assert r["n_removed"] == len(lines) - len(stay)
 
 
+def test_line_dedup_splits_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHUNK", 8)
+    rng = random.Random(9)
+    rows = [(10000 + i, f"user u{i} logged in\nuser u{i % 90} in logged " + "again " * (i % 2)) for i in range(120)]
+    rows += [(20000 + i, " ".join(["user", "logged"] + [f"k{k}" for k in range(14)] + [f"r{rng.randrange(40)}" for _ in range(rng.randrange(6))])) for i in range(80)]
+    rows += near_copies(7)
+    got = {(r["doc_id"], r["line_no"]) for r in line_dedup.removed_lines(frame(spark, rows)).collect()}
+    assert got == removed_lines(rows)
+    # a word of 100,000 different short lines of one form: no key holds more than a few of them
+    import numpy as np
+
+    size = 100_000
+    sigs = [rng_.integers(0, 2**63, size, dtype=np.uint64) for rng_ in [np.random.default_rng(2)] for _ in range(3)]
+    line = np.arange(size, dtype=np.uint64)
+    at, key, side = line_dedup.split_postings(np.full(size, 5, np.uint64), line, np.full(size, 4), sigs, np.full(1, size), 0.75, 1 << 12)
+    assert set(at.tolist()) == set(range(size)) and np.unique(key, return_counts=True)[1].max() < 10
+    # long lines: each two meet in exactly one key, on different sides or in their own chunk's
+    line = line_dedup._mix(line[:600])
+    at, key, side = line_dedup.split_postings(np.full(600, 5, np.uint64), line, np.full(600, 40), [s[:600] for s in sigs], np.full(1, 600), 0.75, 64)
+    met = {}
+    for k in np.unique(key):
+        own = [(a, b) for a, b in zip(at[key == k].tolist(), side[key == k].tolist())]
+        assert len(own) < 200
+        for a, x in own:
+            for b, y in own:
+                if a < b and (x != y or x == 0):
+                    met[a, b] = met.get((a, b), 0) + 1
+    assert len(met) == 600 * 599 // 2 and set(met.values()) == {1}
+
+
 def test_line_dedup_handles_nulls_and_empty_tables(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
     rows = [(None, "a b\na b"), (1, None), (2, "a b\na b"), (3, "")]
