@@ -1,404 +1,254 @@
-"""Near-duplicate lines over the whole corpus: an exact set-similarity join on the word sets of lines.
-
-A line's words are ordered by rarity (a class by a fixed-size table of hashed counts over all texts, then the word's
-hash): a total order, so lines with Jaccard >= t share a word among their first n - ceil(t n) + 1. Lines meet by these
-words. Candidates must pass the length filter, the positional filter and a bound on the bits in which their parity
-signatures differ; then the Jaccard similarity of the whole sets is verified. A line goes if an earlier line (by doc_id,
-then line number) is similar to it; whether that one stays doesn't matter.
-
-Equal lines are found with DataFrame functions, as are the joins and the verification. Word tables, postings, candidates
-and the texts without their lines come from Arrow batches: in functions of arrays they took over three times the CPU that is
-allowed.
-
-The postings of a frequent word are split (split_postings): lines of at most SHORT words meet others by pairs of lengths and
-blocks of the signatures, one of which is equal if few enough bits differ; longer lines are dealt into chunks, and every two
-chunks are a key of their own.
+"""Near-duplicate lines over the whole corpus: an exact set-similarity join on the word sets of lines, in DataFrame functions.
+
+1. Equal lines are one line, stored once with its first place, A-Z lower-cased and every white space a space.
+2. A line's words are put in order of rarity: a class by a fixed-size table of hashed counts over all distinct lines, then the
+   word's hash. It is a total order, so lines with Jaccard >= t share a word among their first n - ceil(t n) + 1.
+3. Lines meet by these words. A word that occurs once meets nothing. Frequent words are split by length: a line goes to the
+   keys of its own band of lengths and the one below, as lines of similar sets have lengths in the same or adjacent bands.
+   Very frequent words are split further, by the second common word (which lies among the first n - ceil(t n) + 2) and by
+   the exact lengths that the positional filter allows.
+4. Within a key, pairs must pass the length filter, the positional filter and a bound on the bits in which their parity
+   signatures differ. In large keys each line first meets the earliest line alone, which settles groups of near copies without
+   making their pairs; lines still open after that meet all earlier ones.
+5. The Jaccard similarity of what is left is verified on the words themselves.
+
+A line goes if an earlier line is similar to it; whether that one stays doesn't matter. Order: doc_id, line number, then a
+hash of the text (which matters only for rows that share a doc_id).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WORD_GAP, documents, materialise, string_buffers, text_slices
-from .words import LOWER, scan, span_hashes
+from .common import documents, materialise, small
 
 THRESHOLD = 0.75
 #: Size of the table of hashed word counts, one class byte each, however large the corpus is.
 TABLE_BITS = 20
-#: Line keys that may be broadcast; beyond it they are joined by a shuffle.
-LINE_ROWS = 1_000_000
-#: Candidates of a line under one word that are verified first; the rest only if none of a line's candidates is similar.
-FIRST = 4
-#: 64-bit lanes of a signature.
-LANES = 3
-#: Words of so many lines at most are compared by number of lines, many at once.
-SMALL = 32
-#: Words with more postings are split: at most about so many lines of two chunks each meet in a task at once.
-CHUNK = 1 << 15
-#: Lines of a split word meet by blocks of their signatures if the shorter one has at most so many words, else by chunks.
-SHORT = 12
-POST = "h long, doc_id long, line_no int, n int, pos int, s0 long, s1 long, s2 long, side int"
-PAIR = "doc_id long, line_no int, p_doc long, p_line int, cut boolean"
+#: Words on more lines are split by bands of lengths; beyond SPLIT_LINES by a second word and exact lengths.
+BAND_LINES = 512
+SPLIT_LINES = 1 << 14
+#: Keys of at most so many lines are compared in full at once; in larger ones the earliest line comes first.
+SMALL_KEY = 512
+#: Classes of counts: steps to a doubling. Class 0 is a count of one.
+STEPS = 3
+UPPER, LOWER, GAPS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "\t\n\x0b\x0c\r"
+
+
+def lowered(line: Column) -> Column:
+    """line with A-Z lower-cased and every white space a space. Plain ASCII takes the faster of two equal ways."""
+    spaced = F.translate(line, GAPS, " " * len(GAPS))
+    ascii_only = F.octet_length(line) == F.char_length(line)
+    return F.when(ascii_only & ~F.regexp_like(line, F.lit(r"[\x09\x0B-\x0D]")), F.lower(line)).otherwise(F.translate(spaced, UPPER, LOWER))
+
+
+# Arrays are exploded by the outer forms, even where none is empty: for the others the optimizer adds a filter on the array's
+# size to the scan, which makes the array a second time.
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line of all texts."""
-    rows = documents(docs).where(F.col("text").isNotNull())
-    return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-
-
-def rarity_table(docs: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
-    """For each of 2**bits buckets of word hashes a class byte: eight times the binary logarithm of the occurrences in all texts."""
-    block = 1 << 12
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            for part in text_slices(batch):
-                data, offsets = string_buffers(part.column("text"))
-                data = LOWER[data]
-                w = scan(data, offsets)
-                total += np.bincount((span_hashes(data, w.starts, w.ends) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        blocks = [x.tobytes() for x in total.astype("<u4").reshape(-1, block)]
-        yield pa.RecordBatch.from_pydict({"b": pa.array(np.arange(len(blocks), dtype=np.int32)), "c": pa.array(blocks, pa.binary())})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, c in zip(batch.column("b").to_pylist(), batch.column("c")):
-                own = np.frombuffer(c.as_buffer(), "<u4").astype(np.int64)
-                sums[b] = sums[b] + own if b in sums else own
-        if sums:
-            yield pa.RecordBatch.from_pydict({"b": pa.array(list(sums), pa.int32()), "c": pa.array([(8 * np.log2(x + 1)).clip(0, 255).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())})
-
-    got = docs.mapInArrow(count, "b int, c binary").repartition("b").mapInArrow(add, "b int, c binary").toArrow().sort_by("b")
-    table = np.frombuffer(b"".join(c.as_py() for c in got["c"]), np.uint8)
-    return table if len(table) == 1 << bits else np.zeros(1 << bits, np.uint8)
-
-
-def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
-    return n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
-
-
-def line_postings(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, threshold: float, gone: list[np.ndarray | None]) -> dict[str, np.ndarray]:
-    """Postings of the lines of a text column, less the lines of row i in gone[i]: row, line_no, n, pos, h and signature lanes."""
-    bits = (len(table) - 1).bit_length()
-    data = LOWER[data]
-    w = scan(data, offsets)
-    h = span_hashes(data, w.starts, w.ends)
-    # number of each word's line: line ends before it in its row
-    ends = np.append(0, np.cumsum(data == 10, dtype=np.int64))
-    first = np.append(0, np.cumsum([1 + int(ends[b] - ends[a]) for a, b in zip(offsets, offsets[1:])])).astype(np.int64)
-    line = first[w.rows] + ends[w.starts] - ends[offsets[w.rows]]
-    alive = np.ones(int(first[-1]), dtype=bool)
-    for i, x in enumerate(gone):
-        if x is not None and len(x):
-            alive[first[i] + x] = False
-    keep = alive[line]
-    h, line = h[keep], line[keep]
-    rank = table[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
-    key = (rank << np.uint64(56)) | (h & np.uint64((1 << 56) - 1))
-    order = np.lexsort((key, line))
-    key, line = key[order], line[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    key, line = key[new], line[new]
-    lines, start, n = np.unique(line, return_index=True, return_counts=True)
-    if not len(lines):
-        return {}
-    bit = np.uint64(1) << (key & np.uint64(63))
-    lane = (key >> np.uint64(6)) % np.uint64(LANES)
-    sigs = [np.bitwise_xor.reduceat(np.where(lane == np.uint64(k), bit, np.uint64(0)), start) for k in range(LANES)]
-    at = np.repeat(np.arange(len(lines)), n)
-    pos = np.arange(len(key)) - start[at]
-    chosen = pos < prefix_length(n, threshold)[at]
-    at = at[chosen]
-    row = np.searchsorted(first, lines, side="right") - 1
-    return {"h": key[chosen], "row": row[at], "line_no": (lines - first[row])[at], "n": n[at], "pos": pos[chosen], "sigs": [s[at] for s in sigs]}
-
-
-def posting_counts(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """Number of postings in each bucket of word hashes (by their low bits), of docs as in postings()."""
-    shared, size = docs.sparkSession.sparkContext.broadcast(table), len(table)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for part in text_slices(batch):
-                gone = [None if x is None else np.array(x, np.int64) for x in part.column("_gone").to_pylist()]
-                p = line_postings(*string_buffers(part.column("text")), shared.value, threshold, gone)
-                if p:
-                    total += np.bincount((p["h"] & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"b": pa.array(some, pa.int64()), "c": pa.array(total[some], pa.int64())})
-
-    got = docs.mapInArrow(count, "b long, c long").groupBy("b").agg(F.sum("c").alias("c")).where(F.col("c") > CHUNK).toArrow()
-    out = np.zeros(size, np.int64)
-    out[got["b"].to_numpy()] = got["c"].to_numpy()
-    return out
-
-
-def _mix(*parts: np.ndarray | int) -> np.ndarray:
-    """A hash of numbers, of 64 bits."""
-    out = np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        for x in parts:
-            out = (out ^ np.asarray(x).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-            out = out ^ (out >> np.uint64(29))
-            out = out * np.uint64(0x94D049BB133111EB)
-            out = out ^ (out >> np.uint64(32))
-    return out
-
-
-def split_postings(h: np.ndarray, line: np.ndarray, n: np.ndarray, sigs: list[np.ndarray], counts: np.ndarray, threshold: float, chunk_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posting, key, side) of all keys that postings go to; line: a hash of each one's line, counts: see posting_counts.
-
-    Two lines of a key are compared unless they are on the same side, 1 or 2.
-    """
-    found = counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)]
-    plain = np.flatnonzero(found <= chunk_size)
-    at, key, side = [plain], [h[plain]], [np.zeros(len(plain), np.int32)]
-    hot = np.flatnonzero(found > chunk_size)
-    share = threshold / (1 + threshold)
-    for a in np.unique(n[hot]).tolist():
-        own = hot[n[hot] == a]
-        for b in range(int(np.ceil(a * threshold - 1e-9)), int(a / threshold + 1e-9) + 1):
-            if min(a, b) > SHORT:
-                continue
-            # at most apart bits differ, so of one block more one at least is equal
-            apart = a + b - 2 * int(np.ceil((a + b) * share - 1e-9))
-            cuts = [64 * LANES * k // (apart + 1) for k in range(apart + 2)]
-            for k in range(apart + 1) if apart >= 0 else ():
-                masks = [sum(1 << (j - 64 * i) for j in range(max(cuts[k], 64 * i), min(cuts[k + 1], 64 * i + 64))) for i in range(LANES)]
-                at.append(own)
-                key.append(_mix(h[own], min(a, b), max(a, b), k, *(sigs[i][own] & np.uint64(m) for i, m in enumerate(masks))))
-                side.append(np.full(len(own), 0 if a == b else 1 if a < b else 2, np.int32))
-    long_ = hot[n[hot] > SHORT]
-    chunks = -(-found[long_] // chunk_size)
-    # every line goes to as many keys as its word has chunks
-    many = np.repeat(np.arange(len(long_)), chunks)
-    other = np.arange(len(many)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-    mine = (line[long_] % chunks.astype(np.uint64)).astype(np.int64)[many]
-    at.append(long_[many])
-    key.append(_mix(h[long_][many], 0, np.minimum(mine, other), np.maximum(mine, other)))
-    side.append(np.sign(mine - other).astype(np.int32) % 3)
-    return np.concatenate(at), np.concatenate(key), np.concatenate(side)
-
-
-def postings(docs: DataFrame, table: np.ndarray, threshold: float = THRESHOLD, counts: np.ndarray | None = None) -> DataFrame:
-    """POST rows of docs (doc_id, text, and _gone: numbers of lines that take no part, or null); h is a key of split_postings()."""
-    chunk_size = CHUNK
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    split = docs.sparkSession.sparkContext.broadcast(np.zeros(1, np.int64) if counts is None else counts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                gone = [None if x is None else np.array(x, np.int64) for x in part.column("_gone").to_pylist()]
-                p = line_postings(*string_buffers(part.column("text")), shared.value, threshold, gone)
-                if p:
-                    ids = part.column("doc_id").to_numpy()[p["row"]]
-                    at, key, side = split_postings(p["h"], _mix(ids, p["line_no"]), p["n"], p["sigs"], split.value, threshold, chunk_size)
-                    for i in range(0, len(at), 1 << 18):
-                        k = at[i : i + (1 << 18)]
-                        cols = [key[i : i + len(k)].view(np.int64), ids[k], *(p[c][k].astype(np.int32) for c in ("line_no", "n", "pos")), *(s[k].view(np.int64) for s in p["sigs"]), side[i : i + len(k)]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "doc_id", "line_no", "n", "pos", "s0", "s1", "s2", "side"])
-
-    return docs.mapInArrow(run, POST)
-
-
-def group_pairs(n: np.ndarray, pos: np.ndarray, sigs: np.ndarray, threshold: float, most: int | None, mine: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(y, x, cut) of one word's postings in line order: each y with its first most earlier x that pass all filters; cut: there are more.
-
-    With mine, only those y look for partners; with side, none on their own side but 0.
+    """doc_id, text_key (hash of the row's text), line_no (from 0), line, k1, k2 (hashes of line) of all lines; rows without doc_id or text have none."""
+    rows = documents(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select("*", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
+
+
+def _place() -> Column:
+    return F.struct("doc_id", "line_no", "text_key")
+
+
+def distinct_lines(rows: DataFrame) -> DataFrame:
+    """A stored table of the different lines with a word: line (a number), doc_id, line_no, text_key (of its first place), k1, k2, copies, low."""
+    first = rows.groupBy("k1", "k2").agg(F.min(_place()).alias("f"), F.count("*").alias("copies"), F.any_value("line").alias("text"))
+    # generated, so that it is made once
+    first = first.select("k1", "k2", "f", "copies", F.explode(F.array(lowered(F.col("text")))).alias("low")).where(F.trim("low") != "")
+    return materialise(first.select(F.monotonically_increasing_id().alias("line"), "f.doc_id", "f.line_no", "f.text_key", "k1", "k2", "copies", "low"), "lines")
+
+
+def copied_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, text_key, line_no of every line that isn't the first of its equals."""
+    several = materialise(lines.where("copies > 1").select("k1", "k2", _place().alias("f")), "copied-lines")
+    met = rows.drop("line").join(small(several, several.count()), ["k1", "k2"])
+    return met.where(_place() != F.col("f")).select("doc_id", "text_key", "line_no")
+
+
+def rarity_table(lines: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
+    """One stored row, classes: for each of 2**bits buckets of word hashes a byte, STEPS times the binary logarithm of the occurrences in all lines."""
+    words = lines.select(F.explode_outer(F.split("low", " ")).alias("w")).where("w != ''")
+    counts = words.select(F.xxhash64("w").bitwiseAND((1 << bits) - 1).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("c"))
+    # bounded by the table's size, whatever the corpus
+    got = counts.where("c > 1").select("b", F.least(F.floor(STEPS * F.log2("c")), F.lit(127)).cast("int").alias("c")).toArrow()
+    table = np.zeros(1 << bits, np.uint8)
+    table[got["b"].to_numpy()] = got["c"].to_numpy()
+    return materialise(lines.sparkSession.createDataFrame([(bytearray(table.tobytes()),)], "classes binary"), "word-classes")
+
+
+def _class_of(count: int) -> int:
+    return int(STEPS * np.log2(count))
+
+
+def posting_rows(lines: DataFrame, table: DataFrame, threshold: float = THRESHOLD, band_lines: int | None = None, split_lines: int | None = None) -> DataFrame:
+    """k, side, line, doc_id, line_no, n, pos, s0, s1: a row for every key of every line.
+
+    Two lines of a key are compared unless both are on the same side, 1 or 2. n: different words; pos: place of the word that
+    the key is of; s0, s1: a parity signature of 64 bits, of 128 for over 64 words.
     """
-    ys, xs, cuts = [], [], []
-    share = threshold / (1 + threshold)
-    seekers = np.arange(1, len(n)) if mine is None else np.flatnonzero(mine)
-    for a in range(0, len(seekers), 512):
-        y = seekers[a : a + 512]
-        found = np.zeros(len(y), np.int64)
-        for b in range(0, int(y[-1]), 4096):
-            x = np.arange(b, min(int(y[-1]), b + 4096))
-            total = n[y][:, None] + n[x][None, :]
-            need = np.ceil(total * share - 1e-9)
-            fits = (x[None, :] < y[:, None]) & (np.minimum(n[y][:, None], n[x][None, :]) >= threshold * np.maximum(n[y][:, None], n[x][None, :]) - 1e-9)
-            fits &= (found[:, None] <= most) if most else True
-            room = np.minimum(pos[y][:, None], pos[x][None, :]) + np.minimum((n - pos)[y][:, None], (n - pos)[x][None, :])
-            fits &= room >= need
-            if side is not None:
-                fits &= (side[y][:, None] != side[x][None, :]) | (side[x] == 0)[None, :]
-            i, j = np.nonzero(fits)
-            apart = np.bitwise_count(sigs[:, y[i]] ^ sigs[:, x[j]]).sum(axis=0)
-            good = apart <= total[i, j] - 2 * need[i, j]
-            i, j = i[good], j[good]
-            # place of each candidate among its line's
-            k = np.arange(len(i)) - np.searchsorted(i, i) + found[i]
-            keep = k < most if most else np.ones(len(i), dtype=bool)
-            ys.append(y[i[keep]])
-            xs.append(x[j[keep]])
-            cuts.append(np.zeros(int(keep.sum()), dtype=bool))
-            if most:
-                over = np.unique(i[k == most])
-                ys.append(y[over])
-                xs.append(x[j[np.flatnonzero(k == most)]] if len(over) else over)
-                cuts.append(np.ones(len(over), dtype=bool))
-            found += np.bincount(i, minlength=len(y))
-            if most and (found > most).all():
-                break
-    if not ys:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(bool)
-    return np.concatenate(ys), np.concatenate(xs), np.concatenate(cuts)
-
-
-def candidates(posts: DataFrame, threshold: float = THRESHOLD, most: int | None = FIRST) -> DataFrame:
-    """PAIR rows of postings: a line and an earlier line with a common first word that pass all filters.
-
-    Of each line and word the first most pairs are given; a pair marked cut says that there are more (it is one of them).
-    If posts has a column mine, only the lines marked so look for partners.
+    bits = TABLE_BITS
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("low", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+    def key(h: Column) -> Column:
+        slot = h.bitwiseAND((1 << bits) - 1).cast("int") + 1
+        rank = F.ascii(F.substring(F.col("classes"), slot, F.lit(1)).cast("string")).cast("long")
+        return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    # a scalar subquery, used in one place alone: it becomes part of that expression, and no row carries the table
+    rows = lines.select("line", "doc_id", "line_no", "low", table.scalar().alias("classes"))
+    rows = rows.select("line", "doc_id", "line_no", F.sort_array(F.transform(hashes, key)).alias("t"))
+    rows = rows.withColumn("n", F.size("t"))
+    bands, splits = (_class_of(BAND_LINES if band_lines is None else band_lines), _class_of(SPLIT_LINES if split_lines is None else split_lines))
+    low = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
+    rows = rows.withColumn("p", F.col("n") - low + 1)
+    # the words behind the prefix's are of use only if one of the prefix is split by a second word
+    first = F.when(F.shiftrightunsigned(F.get("t", F.col("p") - 1), 56) > splits, F.slice("t", 1, F.col("p") + 1))
+    sign = "aggregate(t, 0L, (a, x) -> a ^ {})"
+    bit = "shiftleft(1L, cast(x & 63 as int))"
+    half = sign.format(f"case when x & 64 = {{}} then {bit} else 0L end")
+    s0, s1 = f"case when n <= 64 then {sign.format(bit)} else {half.format(0)} end", f"case when n <= 64 then 0L else {half.format(64)} end"
+    rows = rows.select("line", "doc_id", "line_no", "n", "p", first.alias("first"), F.slice("t", 1, F.col("p")).alias("f"), F.expr(s0).alias("s0"), F.expr(s1).alias("s1"))
+    rows = rows.select("line", "doc_id", "line_no", "n", "p", "first", "s0", "s1", F.posexplode_outer("f").alias("pos", "w"))
+    rank = F.shiftrightunsigned("w", 56)
+    # a word that occurs once meets nothing
+    rows = rows.where(rank > 0)
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.001 / threshold)))
+
+    def k(side: int, *parts: Column | str) -> Column:
+        return F.struct(F.xxhash64("w", *parts).alias("k"), F.lit(side).alias("side"))
+
+    # lengths of partners with which the words from pos on suffice
+    most = F.floor((F.col("n") - F.col("pos")) * ((1 + threshold) / threshold) + 1e-9).cast("int") - F.col("n")
+    high = F.least(F.floor(F.col("n") / threshold + 1e-9).cast("int"), most)
+    lengths = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    second = F.when(F.col("n") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.slice("first", F.col("pos") + 2, F.col("p")))
+
+    def split(v: Column) -> Column:
+        def at(m: Column) -> Column:
+            side = F.when(m == F.col("n"), 0).when(m < F.col("n"), 1).otherwise(2)
+            return F.struct(F.xxhash64("w", v, F.least(m, F.col("n")), F.greatest(m, F.col("n"))).alias("k"), side.alias("side"))
+
+        return F.transform(lengths, at)
+
+    keys = F.when(rank <= bands, F.array(k(0))).when(rank <= splits, F.array(k(0, band), k(1, band - 1))).otherwise(F.flatten(F.transform(second, split)))
+    rows = rows.select(F.explode_outer(keys).alias("e"), "line", "doc_id", "line_no", "n", "pos", "s0", "s1").where(F.col("e").isNotNull())
+    return rows.select("e.k", "e.side", "line", "doc_id", "line_no", "n", "pos", "s0", "s1")
+
+
+def possible(a: str, b: str, threshold: float) -> Column:
+    """Whether rows a and b of a key pass the signature, length and positional filters; what drops most pairs comes first."""
+    n, m, p, q = (F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos"))
+    need = F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
+    room = F.least(p, q) + F.least(n - p, m - q)
+    s = [F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}")) for j in range(2)]
+    # similar sets differ in at most this many words; a signature of 128 bits is folded to compare it with one of 64
+    differ = (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    folded = F.bit_count(s[0].bitwiseXOR(s[1])) <= differ
+    apart = (F.bit_count(s[0]) + F.bit_count(s[1]) <= differ) | (n <= 64) | (m <= 64)
+    return folded & apart & (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (room >= need)
+
+
+def _met(a: str, b: str, threshold: float) -> Column:
+    earlier = (F.col(f"{a}.doc_id") < F.col(f"{b}.doc_id")) | ((F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & ((F.col(f"{a}.line_no") < F.col(f"{b}.line_no")) | ((F.col(f"{a}.line_no") == F.col(f"{b}.line_no")) & (F.col(f"{a}.line") < F.col(f"{b}.line")))))
+    sides = (F.col(f"{a}.side") != F.col(f"{b}.side")) | (F.col(f"{a}.side") == 0)
+    return possible(a, b, threshold) & earlier & sides
+
+
+def first_pairs(posts: DataFrame, threshold: float = THRESHOLD, small_key: int | None = None) -> DataFrame:
+    """a, b (lines), hot: all pairs of keys of at most small_key lines, in larger ones those with the earliest line.
+
+    For every larger key one row tells it in hot, which is null otherwise; its pair needn't pass the filters.
     """
-    some = "mine" in posts.columns
-
-    def join(table: pa.Table) -> pa.RecordBatch:
-        mine = table["mine"].to_numpy() if some else None
-        c = {k: table[k].to_numpy() for k in table.column_names if k != "mine"}
-        sigs = np.stack([c[f"s{k}"].view(np.uint64) for k in range(LANES)])
-        cut = np.flatnonzero(np.append(True, c["h"][1:] != c["h"][:-1]))
-        y, x, more = [], [], []
-        sizes = np.diff(np.append(cut, len(c["h"])))
-        least = 2 if some else SMALL + 1
-        for size in () if some else range(2, SMALL + 1):
-            at = cut[sizes == size]
-            if not len(at):
-                continue
-            low, high = np.triu_indices(size, 1)
-            for k in range(0, len(at), max(1, 400_000 // len(low))):
-                i, j = ((at[k : k + max(1, 400_000 // len(low)), None] + v).ravel() for v in (low, high))
-                n, m, p, q = c["n"][i], c["n"][j], c["pos"][i], c["pos"][j]
-                need = np.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
-                good = np.flatnonzero((np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= need) & ((c["side"][i] != c["side"][j]) | (c["side"][i] == 0)))
-                i, j = i[good], j[good]
-                near = np.bitwise_count(sigs[:, i] ^ sigs[:, j]).sum(axis=0) <= (n + m - 2 * need)[good]
-                y.append(j[near])
-                x.append(i[near])
-                more.append(np.zeros(int(near.sum()), dtype=bool))
-        for i, size in zip(cut[sizes >= least].tolist(), sizes[sizes >= least].tolist()):
-            own = slice(i, i + size)
-            a, b, k = group_pairs(c["n"][own].astype(np.int64), c["pos"][own].astype(np.int64), sigs[:, own], threshold, most, mine[own] if some else None, c["side"][own] if c["side"][own].any() else None)
-            y.append(a + i)
-            x.append(b + i)
-            more.append(k)
-        y, x, more = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (y, x, more))
-        cols = [pa.array(c["doc_id"][y]), pa.array(c["line_no"][y]), pa.array(c["doc_id"][x]), pa.array(c["line_no"][x]), pa.array(more.astype(bool))]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "line_no", "p_doc", "p_line", "cut"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            # all words but the last, which may go on in the next batch
-            h = batch.column("h").to_numpy()
-            start = int(np.searchsorted(h, h[-1]))
-            if start:
-                yield join(pa.Table.from_batches([*held[:-1], batch.slice(0, start)]))
-                held = [batch.slice(start)]
-        if held:
-            yield join(pa.Table.from_batches(held))
-
-    return posts.mapInArrow(run, PAIR)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, line_no of those pairs whose lines' whole word sets are similar."""
-    keys = materialise(pairs.select("doc_id", "line_no").union(pairs.select("p_doc", "p_line")).distinct(), "line-keys")
-    keys = F.broadcast(keys) if keys.count() <= LINE_ROWS else keys
-    lines = materialise(line_rows(docs).join(keys, ["doc_id", "line_no"]).select("doc_id", "line_no", "line").distinct(), "line-texts")
-    other = lines.select(F.col("doc_id").alias("p_doc"), F.col("line_no").alias("p_line"), F.col("line").alias("other"))
-    both = pairs.select("doc_id", "line_no", "p_doc", "p_line").join(lines, ["doc_id", "line_no"]).join(other, ["p_doc", "p_line"])
-
-    def words(c: str) -> Column:
-        # A-Z alone are lower-cased, as in the postings
-        low = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        return F.array_remove(F.array_distinct(F.split(low, WORD_GAP)), "")
-
-    both = both.select("doc_id", "line_no", words("line").alias("s"), words("other").alias("t"))
-    shared = F.size(F.array_intersect("s", "t"))
-    return both.where(shared >= threshold * (F.size("s") + F.size("t") - shared) - 1e-9).select("doc_id", "line_no").distinct()
+    limit = SMALL_KEY if small_key is None else small_key
+    own = Window.partitionBy("k").orderBy("doc_id", "line_no", "line")
+    all_ = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = posts.select("*", F.row_number().over(own).alias("r"), F.count("*").over(all_).alias("c"), F.max("line").over(all_).alias("u"), F.min("line").over(all_).alias("v"))
+    a, b = ranked.where((F.col("c") > 1) & ((F.col("c") <= limit) | (F.col("r") == 1))).alias("a"), posts.alias("b")
+    tells = (F.col("a.c") > limit) & (F.col("b.line") == F.when(F.col("a.u") == F.col("a.line"), F.col("a.v")).otherwise(F.col("a.u")))
+    both = a.join(b, (F.col("a.k") == F.col("b.k")) & (tells | _met("a", "b", threshold)))
+    return both.select(F.col("a.line").alias("a"), F.col("b.line").alias("b"), F.when(tells, F.col("a.k")).alias("hot"))
+
+
+def more_pairs(posts: DataFrame, hot: DataFrame, gone: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b of the keys in hot (stored, column k): lines b that aren't in gone (stored, column line) with all earlier lines."""
+    some = posts.join(small(hot, hot.count()), "k", "left_semi")
+    a, b = some.alias("a"), some.join(small(gone, gone.count()), "line", "left_anti").alias("b")
+    return a.join(b, (F.col("a.k") == F.col("b.k")) & _met("a", "b", threshold)).select(F.col("a.line").alias("a"), F.col("b.line").alias("b")).distinct()
+
+
+def pair_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """A stored table of line, its place f and its different words t, for all lines in pairs (a, b)."""
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "pair-lines")
+    words = F.array_remove(F.array_distinct(F.split("low", " ")), "")
+    return materialise(lines.join(small(ids, ids.count()), "line", "left_semi").select("line", _place().alias("f"), words.alias("t")), "pair-words")
+
+
+def verified(pairs: DataFrame, some: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """line: the later one of every pair (a, b) whose word sets are similar; some: see pair_lines."""
+    a, b = (some.select(F.col("line").alias(x), F.col("f").alias(f"f{x}"), F.col("t").alias(f"t{x}")) for x in "ab")
+    both = pairs.select("a", "b").join(a, "a").join(b, "b")
+    both = both.select("a", "b", "fa", "fb", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.explode(F.array(F.size(F.array_intersect("ta", "tb")))).alias("shared"))
+    alike = both.where(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9)
+    return alike.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("line")).distinct()
+
+
+def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """line of every one of lines (see distinct_lines) to which an earlier one is similar."""
+    posts = posting_rows(lines, rarity_table(lines), threshold)
+    pairs = materialise(first_pairs(posts, threshold).groupBy("a", "b").agg(F.count("*").alias("c"), F.collect_set("hot").alias("hot")), "line-pairs")
+    some = pair_lines(pairs, lines)
+    # of each line the candidate with most common first words is verified first, the rest only if that one isn't similar
+    best = materialise(pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"), "best-pairs")
+    gone = materialise(verified(best, some, threshold), "lines-gone")
+    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(small(gone.withColumnRenamed("line", "b"), gone.count()), "b", "left_anti")
+    gone = materialise(gone.union(verified(rest, some, threshold)).distinct(), "lines-gone")
+    hot = materialise(pairs.select(F.explode("hot").alias("k")).distinct(), "hot-keys")
+    if hot.count():
+        more = materialise(more_pairs(posts, hot, gone, threshold).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "line-pairs")
+        gone = materialise(gone.union(verified(more, pair_lines(more, lines), threshold)).distinct(), "lines-gone")
+    return gone
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, line_no of every line with a word to which an earlier line is similar, equal lines included.
+    """doc_id, text_key (xxhash64 of the text), line_no of every line with a word to which an earlier line is similar, equal lines included.
 
-    Rows with a null doc_id take no part. Lines of rows that share a doc_id count as lines of one document.
+    Rows with a null doc_id take no part. Rows with equal doc_id and text are one document. Rows that share a doc_id alone are
+    documents of their own; among their lines the order is line number, then text_key.
     """
-    docs = documents(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    table = rarity_table(docs)
-    # equal lines: all but the first go, whatever their number; only the first takes part below
-    hashed = line_rows(docs).where(F.regexp_like("line", F.lit(r"[^\x20\x09-\x0D]"))).select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
-    hashed = materialise(hashed, "line-hashes")
-    firsts = hashed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    copies = hashed.join(firsts, ["k1", "k2"]).where((F.col("doc_id") != F.col("f.doc_id")) | (F.col("line_no") != F.col("f.line_no"))).select("doc_id", "line_no").distinct()
-    copies = materialise(copies, "line-copies")
-    some = with_lists(docs, copies)
-    counts = posting_counts(some.select("doc_id", "text", "_gone"), table, threshold)
-    posts = postings(some.select("doc_id", "text", "_gone"), table, threshold, counts).repartition("h").sortWithinPartitions("h", "doc_id", "line_no")
-    found = materialise(candidates(posts, threshold).groupBy("doc_id", "line_no", "p_doc", "p_line").agg(F.max("cut").alias("cut")), "line-pairs")
-    gone = materialise(_verified(found, docs, threshold), "lines-gone")
-    # lines with more candidates, none of those seen similar: now all of theirs
-    open_ = materialise(found.where("cut").select("doc_id", "line_no").distinct().join(gone, ["doc_id", "line_no"], "left_anti"), "lines-open")
-    waiting = open_.count()
-    if waiting:
-        mark = F.broadcast(open_) if waiting <= LINE_ROWS else open_
-        own = some.select("doc_id", "text", "_gone")
-        # words of the open lines, from their documents alone
-        few = own.join(F.broadcast(open_.select("doc_id").distinct()) if waiting <= LINE_ROWS else open_.select("doc_id").distinct(), "doc_id", "left_semi")
-        words = materialise(postings(few, table, threshold, counts).join(mark, ["doc_id", "line_no"], "left_semi").select("h").distinct(), "open-words")
-        words = F.broadcast(words) if words.count() <= LINE_ROWS else words
-        again = postings(own, table, threshold, counts).join(words, "h", "left_semi").join(mark.withColumn("mine", F.lit(True)), ["doc_id", "line_no"], "left")
-        again = again.withColumn("mine", F.coalesce("mine", F.lit(False))).repartition("h").sortWithinPartitions("h", "doc_id", "line_no")
-        more = candidates(again, threshold, None).select("doc_id", "line_no", "p_doc", "p_line").distinct()
-        more = materialise(more.join(found, ["doc_id", "line_no", "p_doc", "p_line"], "left_anti"), "line-pairs")
-        gone = gone.union(_verified(more, docs, threshold))
-    return copies.union(gone).distinct()
-
-
-def with_lists(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs with _gone: the line numbers of each document in gone, a stored table; null if it has none."""
-    lists = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    lists = F.broadcast(lists) if gone.count() <= LINE_ROWS else lists
-    return docs.join(lists, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    rows = line_rows(docs)
+    lines = distinct_lines(rows)
+    gone = similar_lines(lines, threshold)
+    firsts = lines.join(small(gone, gone.count()), "line", "left_semi").select("doc_id", "text_key", "line_no")
+    return copied_lines(rows, lines).union(firsts).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with text less its later similar lines, and n_lines, n_removed (long). Columns of docs of these names are replaced.
 
     A null text stays null, with 0 lines; rows with a null doc_id stay as they are. A text all of whose lines go is empty.
-    Other columns stay; an empty table gives an empty result.
+    Rows with equal doc_id and text come out alike (see removed_lines). Other columns stay; an empty table gives an empty
+    result. Columns named _doc, _key or _gone are refused.
     """
-    docs = docs.drop("n_lines", "n_removed", "_gone", "_doc")
-    joined = with_lists(docs, materialise(removed_lines(docs, threshold), "lines-removed"))
-    columns = docs.columns
-
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, counts, dropped = batch.column("text").to_pylist(), [], []
-            for i, (t, gone) in enumerate(zip(texts, batch.column("_gone").to_pylist())):
-                counts.append(0 if t is None else t.count("\n") + 1)
-                dropped.append(0 if t is None or gone is None else len(gone))
-                if dropped[-1]:
-                    out = set(gone)
-                    texts[i] = "\n".join([x for k, x in enumerate(t.split("\n")) if k not in out])
-            cols = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], [*columns, "n_lines", "n_removed"])
-
-    schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
-    return joined.mapInArrow(rebuild, schema)
+    if {"_doc", "_key", "_gone"} & set(docs.columns):
+        raise ValueError("columns _doc, _key and _gone are reserved")
+    docs = docs.drop("n_lines", "n_removed")
+    lists = removed_lines(docs, threshold).groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("_gone"), F.count("*").alias("c"))
+    lists = materialise(lists, "lines-removed")
+    # the numbers of a document's removed lines are within its text's size, so a broadcast is bounded by both counts
+    size = lists.agg(F.count("*").alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()
+    lists = small(lists.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "_gone"), size["n"] + size["c"] // 2)
+    joined = docs.join(lists, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    out = {c: F.col(c) for c in docs.columns} | {"text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)}
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
+    return joined.select(*(v.alias(c) for c, v in out.items()), n_lines.alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"))

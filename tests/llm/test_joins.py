@@ -3,7 +3,7 @@ import random
 import duckdb
 import pytest
 
-from brute import components, removed_lines
+from brute import ascii_lower, components, removed_lines, words
 from conforma.llm import line_dedup, ngram_join, sharding, simhash
 
 DOCS = "doc_id long, text string, n long, h long, pos long, lang string"
@@ -69,34 +69,8 @@ def test_signature_tree_loses_no_pair():
     assert len(found) < 150 * 149 / 2
 
 
-def test_pairs_of_a_large_group_are_all_found_or_marked():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    size = 1300
-    n, pos = rng.integers(20, 26, size), rng.integers(0, 3, size)
-    sigs = rng.integers(0, 2**63, (3, 40), dtype=np.uint64)[:, rng.integers(0, 40, size)]
-    sigs ^= np.uint64(1) << rng.integers(0, 60, (3, size)).astype(np.uint64)
-    want = {}
-    for y in range(size):
-        need = np.ceil((n[y] + n[:y]) * (0.75 / 1.75) - 1e-9)
-        good = (np.minimum(n[y], n[:y]) >= 0.75 * np.maximum(n[y], n[:y])) & (np.minimum(pos[y], pos[:y]) + np.minimum(n[y] - pos[y], n[:y] - pos[:y]) >= need)
-        good &= np.bitwise_count(sigs[:, y : y + 1] ^ sigs[:, :y]).sum(axis=0) <= n[y] + n[:y] - 2 * need
-        want[y] = np.flatnonzero(good).tolist()
-    y, x, cut = line_dedup.group_pairs(n, pos, sigs, 0.75, None)
-    assert not cut.any() and sorted(zip(y.tolist(), x.tolist())) == [(a, b) for a in want for b in want[a]] and len(y) > 1000
-    y, x, cut = line_dedup.group_pairs(n, pos, sigs, 0.75, 2)
-    for a, found in want.items():
-        assert sorted(x[(y == a) & ~cut].tolist()) == found[:2]
-        assert (x[(y == a) & cut].tolist() in ([found[2]], [])) if len(found) > 2 else not (cut & (y == a)).any()
-    assert {a for a in want if len(want[a]) > 2} == set(y[cut].tolist())
-    mine = rng.random(size) < 0.1
-    y, x, _ = line_dedup.group_pairs(n, pos, sigs, 0.75, None, mine)
-    assert sorted(zip(y.tolist(), x.tolist())) == [(a, b) for a in want if mine[a] for b in want[a]]
-
-
-def test_lines_whose_first_candidates_are_not_similar_look_further(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "candidates", lambda posts, threshold, most=1, own=line_dedup.candidates: own(posts, threshold, most))
+def test_lines_whose_best_candidate_is_not_similar_look_further(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SMALL_KEY", 5)
     rows = [(i, " ".join([f"w{i}x{k}" for k in range(300)] + [f"s{k}" for k in range(300)])) for i in range(60)]
     rows.append((99, rows[57][1] + " more"))
     assert {(r["doc_id"], r["line_no"]) for r in line_dedup.removed_lines(frame(spark, rows)).collect()} == {(99, 0)} == removed_lines(rows)
@@ -115,34 +89,47 @@ def test_line_dedup_removes_exactly_the_later_similar_lines(spark, seed):
         assert r["n_removed"] == len(lines) - len(stay)
 
 
-def test_line_dedup_splits_frequent_words(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "CHUNK", 8)
+@pytest.mark.parametrize("limits", [(2, 1 << 14, 512), (2, 8, 512), (2, 8, 6), (4, 1 << 14, 4), (512, 1 << 14, 512)])
+def test_line_dedup_splits_frequent_words_and_large_keys(spark, monkeypatch, limits):
+    for name, limit in zip(("BAND_LINES", "SPLIT_LINES", "SMALL_KEY"), limits):
+        monkeypatch.setattr(line_dedup, name, limit)
     rng = random.Random(9)
-    rows = [(10000 + i, f"user u{i} logged in\nuser u{i % 90} in logged " + "again " * (i % 2)) for i in range(120)]
-    rows += [(20000 + i, " ".join(["user", "logged"] + [f"k{k}" for k in range(14)] + [f"r{rng.randrange(40)}" for _ in range(rng.randrange(6))])) for i in range(80)]
-    rows += near_copies(7)
+    rows = [(10000 + i, f"user u{i} logged in\nuser u{i % 90} in logged " + "again " * (i % 2)) for i in range(60)]
+    rows += [(20000 + i, " ".join(["user", "logged"] + [f"k{k}" for k in range(14)] + [f"r{rng.randrange(40)}" for _ in range(rng.randrange(6))])) for i in range(60)]
+    rows += [(30000 + i, w) for i, w in enumerate(["once", "once once", "x", "x x x", "Once", "a b", "b a", "b a b", "a b c", "c\tb\ta"])]
+    rows += [(40000 + i, " ".join(f"z{k + i // 3}" for k in range(150))) for i in range(40)] + near_copies(7, 60)
     got = {(r["doc_id"], r["line_no"]) for r in line_dedup.removed_lines(frame(spark, rows)).collect()}
     assert got == removed_lines(rows)
-    # a word of 100,000 different short lines of one form: no key holds more than a few of them
-    import numpy as np
 
-    size = 100_000
-    sigs = [rng_.integers(0, 2**63, size, dtype=np.uint64) for rng_ in [np.random.default_rng(2)] for _ in range(3)]
-    line = np.arange(size, dtype=np.uint64)
-    at, key, side = line_dedup.split_postings(np.full(size, 5, np.uint64), line, np.full(size, 4), sigs, np.full(1, size), 0.75, 1 << 12)
-    assert set(at.tolist()) == set(range(size)) and np.unique(key, return_counts=True)[1].max() < 10
-    # long lines: each two meet in exactly one key, on different sides or in their own chunk's
-    line = line_dedup._mix(line[:600])
-    at, key, side = line_dedup.split_postings(np.full(600, 5, np.uint64), line, np.full(600, 40), [s[:600] for s in sigs], np.full(1, 600), 0.75, 64)
-    met = {}
-    for k in np.unique(key):
-        own = [(a, b) for a, b in zip(at[key == k].tolist(), side[key == k].tolist())]
-        assert len(own) < 200
-        for a, x in own:
-            for b, y in own:
-                if a < b and (x != y or x == 0):
-                    met[a, b] = met.get((a, b), 0) + 1
-    assert len(met) == 600 * 599 // 2 and set(met.values()) == {1}
+
+def test_a_key_of_one_form_of_lines_is_split_by_lengths(spark):
+    # a very frequent word of many short lines that differ in one word: no key holds two lines that could be compared
+    lines = spark.createDataFrame([(i, 10 * i, 0, f"user u{i} logged in") for i in range(200)], "line long, doc_id long, line_no int, low string")
+    posts = line_dedup.posting_rows(lines, line_dedup.rarity_table(lines), band_lines=2, split_lines=8)
+    assert posts.count() > 0 and posts.groupBy("k").agg({"side": "max"}).where("`max(side)` = 0").count() == 0
+    assert line_dedup.first_pairs(posts).count() == 0
+
+
+def test_line_dedup_keeps_rows_that_share_a_doc_id_apart(spark):
+    same = "same line of words"
+    other = "totally different unrelated words here"
+    get = lambda rows: sorted(r["text"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+    # equal rows are one document; other rows of a doc_id are documents of their own
+    assert get([(1, same), (1, same)]) == [same, same]
+    assert get([(1, same), (2, same), (2, other)]) == ["", same, other]
+    rows = [(d // 3, t) for d, t in near_copies(8, 60) if t]
+    keys = {(r["doc_id"], r["text"]): r["k"] for r in frame(spark, rows).selectExpr("doc_id", "text", "xxhash64(text) AS k").collect()}
+    lines = sorted({(d, i, keys[d, t], x) for d, t in rows for i, x in enumerate(t.split("\n"))})
+    sets = [(x[:3], frozenset(words(ascii_lower(x[3])))) for x in lines]
+    want = {(k[0], k[2], k[1]) for j, (k, s) in enumerate(sets) if s and any(len(s & o) >= 0.75 * len(s | o) - 1e-9 for _, o in sets[:j])}
+    assert {(r["doc_id"], r["text_key"], r["line_no"]) for r in line_dedup.removed_lines(frame(spark, rows)).collect()} == want
+
+
+def test_line_dedup_takes_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " more"), (3, "short line of text"), (4, "x" * 300_000), (5, "x" * 300_000)]
+    got = {r["doc_id"]: (len(r["text"]), r["n_removed"]) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: (len(long), 0), 2: (0, 1), 3: (18, 0), 4: (300_000, 0), 5: (0, 1)}
 
 
 def test_line_dedup_handles_nulls_and_empty_tables(spark):
