@@ -92,7 +92,7 @@ def _class_of(count: int) -> int:
 def posting_rows(lines: DataFrame, table: DataFrame, threshold: float = THRESHOLD, band_lines: int | None = None, split_lines: int | None = None) -> DataFrame:
     """k, side, line, doc_id, line_no, n, pos, s0, s1: a row for every key of every line.
 
-    Two lines of a key are compared unless both are on the same side, 1 or 2. n: different words; pos: place of the word that
+    Two lines of a key are compared unless side % 3 is 1 for both or 2 for both; side is 3 more for lines with keys of two words. n: different words; pos: place of the word that
     the key is of; s0, s1: a parity signature of 64 bits, of 128 for over 64 words.
     """
     bits = TABLE_BITS
@@ -140,8 +140,8 @@ def posting_rows(lines: DataFrame, table: DataFrame, threshold: float = THRESHOL
         return F.transform(lengths, at)
 
     keys = F.when(rank <= bands, F.array(k(0))).when(rank <= splits, F.array(k(0, band), k(1, band - 1))).otherwise(F.flatten(F.transform(second, split)))
-    rows = rows.select(F.explode_outer(keys).alias("e"), "line", "doc_id", "line_no", "n", "pos", "s0", "s1").where(F.col("e").isNotNull())
-    return rows.select("e.k", "e.side", "line", "doc_id", "line_no", "n", "pos", "s0", "s1")
+    rows = rows.select(F.explode_outer(keys).alias("e"), F.col("first").isNotNull().alias("loose"), "line", "doc_id", "line_no", "n", "pos", "s0", "s1").where(F.col("e").isNotNull())
+    return rows.select("e.k", (F.col("e.side") + F.when(F.col("loose"), 3).otherwise(0)).alias("side"), "line", "doc_id", "line_no", "n", "pos", "s0", "s1")
 
 
 def possible(a: str, b: str, threshold: float) -> Column:
@@ -159,14 +159,16 @@ def possible(a: str, b: str, threshold: float) -> Column:
 
 def _met(a: str, b: str, threshold: float) -> Column:
     earlier = (F.col(f"{a}.doc_id") < F.col(f"{b}.doc_id")) | ((F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & ((F.col(f"{a}.line_no") < F.col(f"{b}.line_no")) | ((F.col(f"{a}.line_no") == F.col(f"{b}.line_no")) & (F.col(f"{a}.line") < F.col(f"{b}.line")))))
-    sides = (F.col(f"{a}.side") != F.col(f"{b}.side")) | (F.col(f"{a}.side") == 0)
+    sides = (F.col(f"{a}.side") % 3 != F.col(f"{b}.side") % 3) | (F.col(f"{a}.side") % 3 == 0)
     return possible(a, b, threshold) & earlier & sides
 
 
 def first_pairs(posts: DataFrame, threshold: float = THRESHOLD, small_key: int | None = None) -> DataFrame:
-    """a, b (lines), hot: all pairs of keys of at most small_key lines, in larger ones those with the earliest line.
+    """a, b (lines), c, hot: all pairs of keys of at most small_key lines, in larger ones those with the earliest line.
 
-    For every larger key one row tells it in hot, which is null otherwise; its pair needn't pass the filters.
+    For every larger key one pair, which needn't pass the filters, tells it in hot (a list of keys). c: common first words.
+    Beyond the first words of the line whose first words end earlier, t n - 1 words at most are common, so with too few common
+    first words a pair isn't given, unless it may have more of them in keys of two words, or its lines meet in a larger key.
     """
     limit = SMALL_KEY if small_key is None else small_key
     own = Window.partitionBy("k").orderBy("doc_id", "line_no", "line")
@@ -175,7 +177,11 @@ def first_pairs(posts: DataFrame, threshold: float = THRESHOLD, small_key: int |
     a, b = ranked.where((F.col("c") > 1) & ((F.col("c") <= limit) | (F.col("r") == 1))).alias("a"), posts.alias("b")
     tells = (F.col("a.c") > limit) & (F.col("b.line") == F.when(F.col("a.u") == F.col("a.line"), F.col("a.v")).otherwise(F.col("a.u")))
     both = a.join(b, (F.col("a.k") == F.col("b.k")) & (tells | _met("a", "b", threshold)))
-    return both.select(F.col("a.line").alias("a"), F.col("b.line").alias("b"), F.when(tells, F.col("a.k")).alias("hot"))
+    n, m = F.col("a.n"), F.col("b.n")
+    lacks = F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9) - F.ceil(F.greatest(n, m) * threshold - 1e-9) + 1
+    rows = both.select(F.col("a.line").alias("a"), F.col("b.line").alias("b"), F.when((F.col("a.c") > limit) | ((F.col("a.side") >= 3) & (F.col("b.side") >= 3)), 0).otherwise(lacks).cast("int").alias("need"), F.when(tells, F.col("a.k")).alias("hot"))
+    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need"), F.collect_set("hot").alias("hot"))
+    return pairs.where(F.col("c") >= F.col("need")).drop("need")
 
 
 def more_pairs(posts: DataFrame, hot: DataFrame, gone: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -204,7 +210,7 @@ def verified(pairs: DataFrame, some: DataFrame, threshold: float = THRESHOLD) ->
 def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """line of every one of lines (see distinct_lines) to which an earlier one is similar."""
     posts = posting_rows(lines, rarity_table(lines), threshold)
-    pairs = materialise(first_pairs(posts, threshold).groupBy("a", "b").agg(F.count("*").alias("c"), F.collect_set("hot").alias("hot")), "line-pairs")
+    pairs = materialise(first_pairs(posts, threshold), "line-pairs")
     some = pair_lines(pairs, lines)
     # of each line the candidate with most common first words is verified first, the rest only if that one isn't similar
     best = materialise(pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"), "best-pairs")

@@ -106,7 +106,7 @@ def test_a_key_of_one_form_of_lines_is_split_by_lengths(spark):
     # a very frequent word of many short lines that differ in one word: no key holds two lines that could be compared
     lines = spark.createDataFrame([(i, 10 * i, 0, f"user u{i} logged in") for i in range(200)], "line long, doc_id long, line_no int, low string")
     posts = line_dedup.posting_rows(lines, line_dedup.rarity_table(lines), band_lines=2, split_lines=8)
-    assert posts.count() > 0 and posts.groupBy("k").agg({"side": "max"}).where("`max(side)` = 0").count() == 0
+    assert posts.count() > 0 and posts.where("side % 3 = 0").count() == 0
     assert line_dedup.first_pairs(posts).count() == 0
 
 
