@@ -202,7 +202,8 @@ def held_out() -> F.Column:
 def fit_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS, seed: int = 7) -> Model:
     """Fit on the labelled documents that are not held out, at most max_rows of them, the first by a seeded hash of doc_id.
 
-    Rows with a null doc_id or label are left out; of several labels of a document the smallest counts.
+    Rows with a null doc_id or label are left out; of several labels of a document the smallest counts, and of rows that share
+    a doc_id the smallest text.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("_label")).dropna()
     marks = marks.where(~held_out()).groupBy("doc_id").agg(F.min("_label").alias("_label"))
@@ -218,8 +219,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_RO
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(f, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_label"), lists], ["doc_id", "_label", "f"])
 
-    # at most max_rows rows of two numbers
-    sample = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(extract, "doc_id long, _label int, f array<int>")
+    # at most max_rows rows of two numbers; of rows that share a doc_id the smallest text counts, so the sample is bounded
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text")).mapInArrow(extract, "doc_id long, _label int, f array<int>")
     table = sample.toArrow().sort_by([("doc_id", "ascending")])
     return fit([np.asarray(x.values, np.int64) for x in table["f"]], table["_label"].to_numpy())
 

@@ -1,7 +1,9 @@
 """Licence scans: normalised units of a text against licence templates, by the Dice coefficient over word bigrams.
 
 Units are the lines of a text, the text as a whole, and runs of adjacent sentences (a line's end also ends a sentence), so
-notices that wrap over lines or share a line with other text are found too. Only DataFrame functions are used. A unit is
+notices that wrap over lines or share a line with other text are found too. Runs are compared with templates of at most
+RUN_BIGRAMS bigrams; the whole texts of long licences (folder license_texts) with lines and whole texts alone, where they are
+found if a text consists of the licence for the most part. Only DataFrame functions are used. A unit is
 compared only with templates whose size allows the wanted Dice value (2 min(a, b) / (a + b) bounds it); units without any
 of the words that a match must have, and units too large for all templates, are dropped before any bigram is made. Runs
 begin and end in sentences with a bigram of the template, and only where so many lie close enough for a match.
@@ -12,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import documents, materialise
 
 THRESHOLD = 0.8
+#: Templates of more bigrams are compared with lines and whole texts, not with runs of sentences.
+RUN_BIGRAMS = 400
 #: Ends a sentence within a line.
 SENTENCE_GAP = r"(?<=[.!?;:])[ \t]+"
 
@@ -95,6 +100,11 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+# The whole texts of long licences, as published, one file each.
+FILES = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+for _name, _file in FILES.items():
+    TEMPLATES.setdefault(_name, []).append((Path(__file__).parent / "license_texts" / f"{_file}.txt").read_text(encoding="utf-8"))
+
 
 def normalised(text: Column) -> Column:
     """Lower-case ASCII letters and digits, words parted by single spaces; every other run of characters is a gap."""
@@ -112,7 +122,7 @@ def template_bigrams(spark, templates: dict[str, list[str]]) -> DataFrame:
     """(license, template, t_size, bigram): as many rows as the given templates have bigrams, however large the corpus is."""
     rows = [(name, f"{name}#{k}", text) for name, texts in templates.items() for k, text in enumerate(texts)]
     table = spark.createDataFrame(rows, "license string, template string, t_text string").withColumn("_b", bigrams(normalised(F.col("t_text"))))
-    return table.select("license", "template", F.size("_b").alias("t_size"), F.explode("_b").alias("bigram"))
+    return table.select("license", "template", F.size("_b").alias("t_size"), F.explode_outer("_b").alias("bigram"))
 
 
 def _template_pairs(text: str) -> set[tuple[str, ...]]:
@@ -159,7 +169,7 @@ def scan_units(docs: DataFrame, templates: dict[str, list[str]] | None = None, t
 
     # 2 min(a, b) / (a + b) >= t holds if a lies between b t / (2 - t) and b (2 - t) / t
     allowed = reduce(lambda a, b: a | b, [F.col("n").between(s * threshold / (2 - threshold), s * (2 - threshold) / threshold) for s in sizes])
-    base = _texts(docs, words)
+    base = _texts(docs, words).dropDuplicates(["_d", "_h"])
     rows = base.select("doc_id", "_d", "_h", F.posexplode(F.split("text", "\n")).alias("k", "t")).select("doc_id", "_d", "_h", (F.col("k") + 1).alias("unit"), "t")
     rows = _once(rows, F.lower("t"), "low").where(_has_word(F.col("low"), words)).drop("low")
     # a text of one line is its own unit
@@ -177,13 +187,13 @@ def scan_units(docs: DataFrame, templates: dict[str, list[str]] | None = None, t
 
 
 def scan_runs(docs: DataFrame, hits: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, unit, license, dice) of runs of adjacent sentences with dice >= threshold; unit is -1 - the run's first sentence.
+    """(doc_id, _d, _h, unit, license, dice) of runs of adjacent sentences with dice >= threshold; unit is -1 - the run's first sentence.
 
     hits: stored rows of scan_units. A run lies between the lines in them, and a text has none of a licence that it
     matches as a whole. Of runs that overlap, one counts if none of them has a larger dice times shared bigrams. A run's shared bigrams lie within as many words as the
     largest unit allowed for its template has bigrams.
     """
-    templates = templates or TEMPLATES
+    templates = {name: [t for t in texts if len(_template_pairs(t)) <= RUN_BIGRAMS] for name, texts in (templates or TEMPLATES).items()}
     words = needed_words(templates, threshold)
     key = ["_d", "_h"]
     known = hits.groupBy(*key).agg(F.collect_set("unit").alias("_lines"))
@@ -226,20 +236,21 @@ def scan_runs(docs: DataFrame, hits: DataFrame, templates: dict[str, list[str]]
     found = materialise(found.select("doc_id", *key, "i", "j", "license", "c", "dice"), "license-found")
     # the best run at each of its sentences
     order = F.struct((-F.col("dice") * F.col("c")).alias("s"), "i", "j", "license", (-F.col("dice")).alias("d"))
-    best = found.select("doc_id", *key, "i", "j", order.alias("o"), F.explode(F.sequence("i", "j")).alias("part")).groupBy("doc_id", *key, "part").agg(F.min("o").alias("o"))
+    best = found.select("doc_id", *key, "i", "j", order.alias("o"), F.explode_outer(F.sequence("i", "j")).alias("part")).groupBy("doc_id", *key, "part").agg(F.min("o").alias("o"))
     stay = best.groupBy("doc_id", *key, "o").agg(F.count("*").alias("k")).where(F.col("k") == F.col("o.j") - F.col("o.i") + 1)
-    return stay.select("doc_id", (-1 - F.col("o.i")).alias("unit"), F.col("o.license").alias("license"), (-F.col("o.d")).alias("dice"))
+    return stay.select("doc_id", "_d", "_h", (-1 - F.col("o.i")).alias("unit"), F.col("o.license").alias("license"), (-F.col("o.d")).alias("dice"))
 
 
 def scan_documents(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per distinct doc_id: doc_id, n_matches (units that match a template: lines, the text, and runs apart from them), license (of the best match), dice.
 
     Ties of dice go to the licence first in the alphabet. Documents without a match, null and empty texts have 0, null, null.
-    Rows with a null doc_id count as one document. Other columns are ignored; an empty table gives an empty result.
+    Rows with a null doc_id count as one document. Rows with equal doc_id and text are one; of different texts that share a
+    doc_id the units add up. Other columns are ignored; an empty table gives an empty result.
     """
     hits = materialise(scan_units(docs, templates, threshold), "license-hits")
-    hits = hits.select("doc_id", "unit", "license", "dice").unionByName(scan_runs(docs, hits, templates, threshold))
-    best = hits.groupBy("doc_id").agg(F.countDistinct("unit").alias("n_matches"), F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("b"))
+    hits = hits.select("doc_id", "_d", "_h", "unit", "license", "dice").unionByName(scan_runs(docs, hits, templates, threshold))
+    best = hits.groupBy("doc_id").agg(F.countDistinct("_h", "unit").alias("n_matches"), F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("b"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     none = ids.select("doc_id", F.lit(0).cast("long").alias("n_matches"), F.lit(None).cast("struct<d:double,license:string>").alias("b"))
     merged = best.unionByName(none).groupBy("doc_id").agg(F.max("n_matches").alias("n_matches"), F.max("b").alias("b"))

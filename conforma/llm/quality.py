@@ -24,9 +24,10 @@ WINDOW = 5
 MIN_WORDS = 10
 BASE_PERCENT = 20
 #: The method's own limits: repeats of MIN_REPEAT words and more may cover at most MAX_PERCENT of the words, and the
-#: longest may have at most MAX_REPEAT words.
+#: longest may have at most MAX_REPEAT words. Such repeats lie within the base's windows, so MAX_PERCENT must be less than
+#: BASE_PERCENT to say anything of its own.
 MIN_REPEAT = 10
-MAX_PERCENT = 20
+MAX_PERCENT = 10
 MAX_REPEAT = 50
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_repeats_covered", "longest_repeat"]
 

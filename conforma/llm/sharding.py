@@ -12,14 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import fresh_path, materialise
+from .common import fresh_path, materialise, small
 
 #: Bytes of rows that a bucket holds about; a task holds one bucket.
 BUCKET_BYTES = 8 << 20
+#: Buckets whose rows are summed up together.
+BLOCK_BUCKETS = 4096
+RESERVED = {"_bucket", "_place", "_key", "_rows", "_before", "_at"}
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -32,19 +35,27 @@ def shuffle_rows(df: DataFrame, size: str, seed: int = 17, bucket_bytes: int = B
 
     size: SQL expression of a row's bytes. The order depends on doc_id, text, the seed and the number of buckets alone,
     so a task that runs again after a lost executor gives the same rows. Rows with equal doc_id and text are
-    interchangeable. A row larger than a bucket makes its bucket that much larger. Columns of df named _bucket or
-    _place are refused. An empty table gives no rows.
+    interchangeable and share a bucket. A row larger than a bucket makes its bucket that much larger. Columns of df with
+    names in RESERVED are refused. An empty table gives no rows.
     """
-    if {"_bucket", "_place"} & set(df.columns):
-        raise ValueError("columns _bucket and _place are reserved")
+    if RESERVED & set(df.columns):
+        raise ValueError(f"columns {', '.join(sorted(RESERVED))} are reserved")
     total = df.agg(F.sum(F.expr(size)).alias("b")).first()["b"] or 0
     n = max(1, math.ceil(total / bucket_bytes))
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text")))
     # the bits that place a row within its bucket must not be those that chose the bucket
-    keyed = df.withColumn("_key", place).withColumn("_bucket", F.pmod(F.shiftright("_key", 7), F.lit(n)).cast("int"))
-    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = materialise(counts.withColumn("_before", before), "bucket-starts")
+    keyed = df.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("_bucket", F.pmod(F.shiftright("_key", 7), F.lit(n)).cast("int"))
+    counts = materialise(keyed.groupBy("_bucket").agg(F.count("*").alias("_rows")), "bucket-rows")
+
+    def ahead(window, rows: str) -> Column:
+        return F.coalesce(F.sum(rows).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    # rows before a bucket: those of the blocks of buckets before its own, and of the buckets before it in its block
+    block = F.floor(F.col("_bucket") / BLOCK_BUCKETS)
+    blocks = counts.groupBy(block.alias("_block")).agg(F.sum("_rows").alias("_n"))
+    blocks = blocks.select("_block", ahead(Window.orderBy("_block"), "_n").alias("_first"))
+    within = counts.withColumn("_block", block).withColumn("_within", ahead(Window.partitionBy("_block").orderBy("_bucket"), "_rows"))
+    starts = within.join(small(blocks, -(-n // BLOCK_BUCKETS)), "_block").select("_bucket", "_rows", (F.col("_first") + F.col("_within")).alias("_before"))
+    starts = materialise(starts, "bucket-starts")
     out_schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, _bucket int, _place long"
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +85,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, seed: int = 17, path: s
     """Write docs, shuffled and cut into n_shards shards, as Parquet under path (shard=0, shard=1, ...), and read them back.
 
     Adds shard (int), slot (long, gapless from 0 within the shard) and size (UTF-8 bytes of text plus 8; a null text counts
-    none). Columns of docs named like these are dropped. Null doc_ids are dealt by their text. Empty table: empty result.
+    none). Columns of docs named like these are dropped; names in RESERVED are refused. Empty table: empty result.
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot", "size")
@@ -89,7 +100,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, seed: int = 17, path: s
     shard = F.when(at < edge, F.floor(at / F.lit(base + 1))).otherwise(short).cast("int")
     first = F.col("shard") * F.lit(base) + F.least(F.col("shard"), F.lit(longer))
     # one row a bucket: as many as the table has memory-sized buckets
-    out = rows.join(F.broadcast(starts.drop("_rows")), "_bucket").withColumn("_at", at).withColumn("shard", shard)
+    out = rows.join(small(starts.drop("_rows"), starts.count()), "_bucket").withColumn("_at", at).withColumn("shard", shard)
     out = out.withColumn("slot", (F.col("_at") - first).cast("long")).withColumn("size", F.expr(size).cast("long"))
     out.drop("_bucket", "_place", "_before", "_at").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     schema = out.drop("_bucket", "_place", "_before", "_at", "shard").schema.add("shard", IntegerType())

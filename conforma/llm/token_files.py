@@ -30,10 +30,14 @@ COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = 0
 FIRST = 1
+#: Bits of the numbers below 2**16.
+_SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int8)
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bits of each id, 0 for 0. Above 53 bits it may be one too many, which costs room but no id."""
+    if len(ids) and ids.max() < len(_SHORT):
+        return _SHORT[ids.astype(np.int64)]
     return np.frexp(ids.astype(np.float64))[1].astype(np.int8)
 
 
@@ -50,16 +54,18 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
     grid = np.full((n_blocks, block + int(COUNTS.max())), 64, np.int8)
     grid[:, :block] = padded.reshape(n_blocks, block)
     choice = np.full((n_blocks, block), ESCAPE, np.int8)
-    widest, run = {1: grid}, 1
-    while run < 64:
-        last = widest[run]
-        widest[run * 2] = np.maximum(last, np.concatenate([last[:, run:], np.full((n_blocks, run), 64, np.int8)], axis=1))
-        run *= 2
+    widest = {1: grid}
     for s in range(len(COUNTS) - 1, FIRST - 1, -1):
         c = int(COUNTS[s])
         p = 1 << (c.bit_length() - 1)
-        m = np.maximum(widest[p][:, :block], widest[p][:, c - p : c - p + block])
-        np.copyto(choice, np.int8(s), where=m <= WIDTHS[s])
+        if p not in widest:
+            last, run = widest[p // 2], p // 2
+            widest[p] = np.maximum(last, np.concatenate([last[:, run:], np.full((n_blocks, run), 64, np.int8)], axis=1))
+        fits = np.maximum(widest[p][:, :block], widest[p][:, c - p : c - p + block]) <= WIDTHS[s]
+        # where no run of a length fits, no longer run of a narrower width does
+        if not fits.any():
+            break
+        np.copyto(choice, np.int8(s), where=fits)
     del widest, grid
     # the words of all blocks are found side by side
     step = COUNTS.astype(np.int8)[choice]
@@ -202,7 +208,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     # ties are broken by text, so a task that runs again writes the same bytes
     ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     made = ordered.mapInArrow(write, "file string, n_docs long, n_ids long").collect()
-    return path, sorted((r["file"], r["n_docs"], r["n_ids"]) for r in made)
+    # by the number in the name: names of different length don't sort so
+    return path, sorted(((r["file"], r["n_docs"], r["n_ids"]) for r in made), key=lambda x: int(x[0].split("-")[1].split(".")[0]))
 
 
 def read_token_files(spark, path: str, manifest: list[tuple[str, int, int]], with_ids: bool = True) -> DataFrame:

@@ -16,9 +16,12 @@ from itertools import chain
 import numpy as np
 
 #: Characters that one of the engines takes for white space and the other doesn't.
-DOUBTFUL = re.compile("[\x00\x1c-\x1f\x85]")
-#: A space that doesn't follow a character that isn't white space.
-LOOSE_SPACE = re.compile(r"\s |\A ")
+DOUBTFUL = "\x00\x1c\x1d\x1e\x1f\x85"
+#: White space before a space, so that the space doesn't follow a character that isn't white space.
+LOOSE_ASCII = [f"{c} " for c in " \t\n\x0b\x0c\r"]
+LOOSE = LOOSE_ASCII + [f"{chr(c)} " for c in range(128, 0x3001) if chr(c).isspace()]
+#: Signs that end a chunk as parts of their own, if letters stand before them.
+STOPS = ".,"
 #: Characters beyond those whose lower case and normal form are the same in every version.
 BEYOND = re.compile("[\u0130-\U0010ffff]")
 #: A stop or comma that touches another mark, with which it may make one part.
@@ -82,6 +85,18 @@ class Encoder:
         raw, cuts = ids.tobytes(), (bounds * 4).tolist()
         self.chunks.update(zip(chunks, [raw[i:j] for i, j in zip(cuts, cuts[1:])]))
 
+    def _learn_spaced(self, missing: list[str]) -> None:
+        """Put chunks that start with a space, or a text, into the memo. A stop after letters is a part of its own."""
+        ends = {c: c[:-1] for c in missing if c[-1:] in STOPS and c[:1] == " " and c[1:-1].isalpha() and max(c) < "\u0130"}
+        wanted = set(missing).difference(ends).union(x for x in ends.values() if x not in self.chunks)
+        alone = [c for c in wanted if c[:1] != " "] + [c for c in STOPS if c not in self.chunks]
+        spaced = [c for c in wanted if c[:1] == " "]
+        if spaced:
+            self._learn(spaced)
+        self.chunks.update(zip(alone, self._library(alone)))
+        get = self.chunks.__getitem__
+        self.chunks.update((c, get(x) + get(c[-1])) for c, x in ends.items())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mode == "whole":
             return self._library(texts)
@@ -89,23 +104,31 @@ class Encoder:
             self.chunks.clear()
         if self.mode == "spaced":
             # every space after a character that isn't white space starts a token; a chunk keeps its leading space
-            cut = [None if LOOSE_SPACE.search(t) or DOUBTFUL.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
+            cut = [None if _loose(t) or _doubtful(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
             missing = list(set(chain.from_iterable(c for c in cut if c)).difference(self.chunks))
-            alone = [c for c in missing if not c.startswith(" ")]
-            missing = [c for c in missing if c.startswith(" ")]
+            if missing:
+                self._learn_spaced(missing)
         else:
-            cut = [None if DOUBTFUL.search(t) else _bare_chunks(t) for t in texts]
+            cut = [None if _doubtful(t) else _bare_chunks(t) for t in texts]
             missing = list(set(chain.from_iterable(c for c in cut if c)).difference(self.chunks))
             alone = [c for c in missing if SEPARATOR in c]
             missing = [c for c in missing if SEPARATOR not in c]
-        if missing:
-            self._learn(missing)
-        if alone:
-            self.chunks.update(zip(alone, self._library(alone)))
+            if missing:
+                self._learn(missing)
+            if alone:
+                self.chunks.update(zip(alone, self._library(alone)))
         get = self.chunks.__getitem__
         return [self._library([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
+def _doubtful(text: str) -> bool:
+    return any(c in text for c in DOUBTFUL)
+
+
+def _loose(text: str) -> bool:
+    return text[:1] == " " or any(x in text for x in (LOOSE_ASCII if text.isascii() else LOOSE))
+
+
 def _bare_chunks(text: str) -> list[str]:
     """Chunks of a text whose white space and case don't matter: fewer different ones, as case and stops are taken away."""
     if not BEYOND.search(text):

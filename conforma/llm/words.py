@@ -5,15 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 IS_GAP = np.zeros(256, dtype=bool)
 IS_GAP[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Spans of more bytes are hashed one by one by the xxhash library.
+LONG = 64
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,22 +26,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end): a polynomial in an odd base, taken from prefix sums, then mixed."""
-    n = len(data)
-    up, down = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the byte spans [start, end). Eight bytes at a time are mixed in; up to eight, different spans of a length differ.
+
+    Memory beyond the spans' own is one copy of data, however long a span is.
+    """
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    # the eight bytes from every place on, as one little-endian number
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live, k = np.flatnonzero((lengths > 0) & (lengths <= LONG)), 0
+    while len(live):
+        part = eight[starts[live] + k]
+        left = lengths[live] - k
+        short = left < 8
+        part[short] &= _KEEP[left[short]]
+        out[live] = mix(out[live] ^ part)
+        k += 8
+        live = live[left > 8]
+    view = memoryview(padded)
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(view[starts[i] : ends[i]])
+    return out
 
 
 @dataclass
