@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-top", "--topology", required=True, help="a PDB file")
     p.add_argument("-m", "--measures", default="cbcn", help="of cbcn, cacn, caba, cata, sasa; commas between")
     p.add_argument("-r", "--ref", type=int, default=0, help="place of the reference ensemble")
-    p.add_argument("-o", "--output-dir", default=None)
+    p.add_argument("-o", "--output-dir", default=".", help="folder in which a folder <measure>_output is made for each measure")
     p.add_argument("-d", "--dimred", default="pca,mds,tsne", help="of pca, mds, tsne; or none")
     p.add_argument("-v", "--verbose", action="store_true")
     p.add_argument("--x-num", type=int, default=GRID)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 SAMPLE_SIZE = 1000
 S_NUM = 5
+#: Frames named by two numbers that may be broadcast.
+BROADCAST_FRAMES = 2_000_000
 
 
 def draw_table(s: int, variant: str = "v2") -> list[tuple[int, int]]:
@@ -87,11 +89,19 @@ def keys_as_columns(keys: list[str]) -> list[Column]:
     return [F.col(k) for k in keys]
 
 
-def drawn_values(wide: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(ensemble, draw, feature, value, weight) of the drawn frames. Frames that no draw holds are dropped before values are exploded."""
+def drawn_values(wide: DataFrame, drawn: DataFrame, most: int | None = None) -> DataFrame:
+    """(ensemble, draw, feature, value, weight) of the drawn frames.
+
+    Draws meet the index of frames first, both without values. The frames they need then filter the wide table where it is
+    read, before any of its values is shuffled. most: a bound on the number of drawn frames; if it is small enough, they are
+    broadcast to the scan.
+    """
     index = frame_index(wide).select(F.col("ensemble").alias("source"), "frame", "idx")
-    rows = wide.select(F.col("ensemble").alias("source"), "frame", "vals").join(index, ["source", "frame"])
-    met = drawn.join(rows, ["source", "idx"])
+    picked = drawn.join(index, ["source", "idx"]).drop("idx")
+    needed = picked.select("source", "frame").distinct()
+    needed = F.broadcast(needed) if most is not None and most <= BROADCAST_FRAMES else needed
+    rows = wide.select(F.col("ensemble").alias("source"), "frame", "vals").join(needed, ["source", "frame"], "left_semi")
+    met = picked.join(rows, ["source", "frame"])
     if "feature" in drawn.columns:
         return met.select("ensemble", "draw", "feature", F.element_at("vals", F.col("feature") + 1).alias("value"), "weight")
     return met.select("ensemble", "draw", "weight", F.posexplode("vals").alias("feature", "value")).select("ensemble", "draw", "feature", "value", "weight")

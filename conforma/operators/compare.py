@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bootstrap import S_NUM, SAMPLE_SIZE, draws, drawn_values, schedule_frame
+from .bootstrap import S_NUM, SAMPLE_SIZE, draw_table, draws, drawn_values, schedule_frame
 from .density import GRID, densities, jsd_between, jsd_rows, value_range
 from .ranktest import mann_whitney, small_samples_exact
 
@@ -52,7 +52,9 @@ def bootstrap_distances(wide: DataFrame, ref: int, s_num: int = S_NUM, sample_si
     spark, sizes = wide.sparkSession, ensemble_sizes(wide)
     features = wide.select(F.size("vals").alias("n")).first()["n"]
     drawn = draws(spark, sizes, ref, s_num, sample_size, seed, variant, features)
-    dens = densities(drawn_values(wide, drawn), ["ensemble", "draw", "feature"], lo, hi, x_num, on_degenerate)
+    # no more frames are drawn than there are places, nor than there are frames
+    places = (len(sizes) - 1) * len(draw_table(s_num, variant)) * sample_size * (features if variant == "v1" else 1)
+    dens = densities(drawn_values(wide, drawn, min(places, sum(sizes.values()))), ["ensemble", "draw", "feature"], lo, hi, x_num, on_degenerate)
     dens = dens.select("ensemble", "draw", "feature", "sums")
     plan = F.broadcast(schedule_frame(spark, s_num, variant))
     a = dens.join(plan, dens["draw"] == plan["draw_a"]).select("ensemble", "feature", "kind", "pair", "draw_b", F.col("sums").alias("p"))

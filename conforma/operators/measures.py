@@ -77,24 +77,23 @@ def sphere_points(n: int = POINTS) -> np.ndarray:
     return np.stack([np.cos(angle) * around, y, np.sin(angle) * around], axis=1)
 
 
-def surface_areas(xyz: np.ndarray, radii: np.ndarray, residues: np.ndarray, points: int = POINTS) -> np.ndarray:
+def surface_areas(xyz: np.ndarray, radii: np.ndarray, residues: np.ndarray, points: int = POINTS, block: int = 256) -> np.ndarray:
+    """Accessible area of each residue in each frame: shares of sphere points outside all near atoms' spheres, many frames at once."""
     sphere, reach = sphere_points(points), radii + PROBE
     n_res = int(residues.max()) + 1 if len(residues) else 0
     out = np.zeros((len(xyz), n_res))
-    for f, p in enumerate(xyz):
-        gap = p[:, None] - p[None, :]
-        square = (gap * gap).sum(axis=2)
-        near = square < (reach[:, None] + reach[None, :]) ** 2
-        np.fill_diagonal(near, False)
-        for i in range(len(p)):
-            open_ = np.ones(points, dtype=bool)
-            at = p[i] + reach[i] * sphere
-            for j in np.flatnonzero(near[i]):
-                d = at[open_] - p[j]
-                open_[open_] = (d * d).sum(axis=1) >= reach[j] ** 2
-                if not open_.any():
-                    break
-            out[f, residues[i]] += 4 * np.pi * reach[i] ** 2 * open_.mean()
+    for first in range(0, len(xyz), block):
+        p = xyz[first : first + block]
+        for i in range(len(reach)):
+            near = ((p - p[:, i : i + 1]) ** 2).sum(axis=2) < (reach + reach[i]) ** 2
+            near[:, i] = False
+            open_ = np.ones((len(p), points), dtype=bool)
+            for j in np.flatnonzero(near.any(axis=0)).tolist():
+                f = np.flatnonzero(near[:, j])
+                # |c + r u|^2 >= R^2 along the centres' difference c: the sphere's points are the same in all frames
+                c = p[f, i] - p[f, j]
+                open_[f] &= (c * c).sum(axis=1)[:, None] + 2 * reach[i] * (c @ sphere.T) + reach[i] ** 2 >= reach[j] ** 2
+            out[first : first + block, residues[i]] += 4 * np.pi * reach[i] ** 2 * open_.mean(axis=1)
     return out
 
 

@@ -20,6 +20,8 @@ from ..model import normalise_techniques
 SEED = 42
 LANDMARKS = 1000
 NEIGHBOURS = 5
+#: Query frames of distances_from() that the driver holds at most.
+MOST_QUERIES = 10_000
 PERPLEXITY = 30.0
 OUT = "ensemble int, frame long, c1 double, c2 double"
 
@@ -35,12 +37,45 @@ def pca(wide: DataFrame) -> DataFrame:
     return model.transform(centred).select("ensemble", "frame", (y[0] * float(signs[0] or 1)).alias("c1"), (y[1] * float(signs[1] or 1)).alias("c2"))
 
 
-def distance_matrix(wide: DataFrame) -> DataFrame:
-    """(frame_a, frame_b, d), frame_a < frame_b: Euclidean distances of all frames. The result itself is quadratic; for landmarks only."""
-    a = wide.select(F.col("frame").alias("frame_a"), F.col("vals").alias("va"))
+def distance_matrix(wide: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(frame_a, frame_b, d): Euclidean distances of all frames, frame_a < frame_b, or of queries to all other frames. The result itself is quadratic; for landmarks only."""
+    a = (wide if queries is None else queries).select(F.col("frame").alias("frame_a"), F.col("vals").alias("va"))
     b = wide.select(F.col("frame").alias("frame_b"), F.col("vals").alias("vb"))
     square = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, F.col("frame_a") < F.col("frame_b")).select("frame_a", "frame_b", F.sqrt(square).alias("d"))
+    on = F.col("frame_a") < F.col("frame_b") if queries is None else F.col("frame_a") != F.col("frame_b")
+    return a.join(b, on).select("frame_a", "frame_b", F.sqrt(square).alias("d"))
+
+
+def distances_from(queries: DataFrame, wide: DataFrame, block: int = 256) -> DataFrame:
+    """(frame_a, frame_b, d): Euclidean distances of every frame of queries, a stated set, to every other frame of wide.
+
+    Queries go to all frames in blocks of so many rows at a time; each block meets all frames once, in a map over them.
+    """
+    rows = queries.select("frame", "vals").orderBy("frame")
+    numbered = [(r["frame"], r["vals"]) for r in rows.limit(MOST_QUERIES + 1).collect()]
+    if len(numbered) > MOST_QUERIES:
+        # too many for the driver: the same pairs by a join, whose blocks are Spark's
+        return distance_matrix(wide, queries)
+    out = None
+    for k in range(0, max(1, len(numbered)), block):
+        part = numbered[k : k + block]
+        ids = np.array([x[0] for x in part], np.int64)
+        shared = wide.sparkSession.sparkContext.broadcast((ids, np.array([x[1] for x in part], float)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            a, va = shared.value
+            for batch in batches:
+                for i in range(0, batch.num_rows if len(a) else 0, 512):
+                    some = batch.slice(i, 512)
+                    b, vb = some.column("frame").to_numpy(), some.column("vals").flatten().to_numpy().reshape(some.num_rows, -1)
+                    # differences, not the expanded square, so that near frames lose no digits
+                    d = np.sqrt(np.stack([((v - vb) ** 2).sum(axis=1) for v in va]))
+                    x, y = np.nonzero(a[:, None] != b[None, :])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(b[y]), pa.array(d[x, y])], ["frame_a", "frame_b", "d"])
+
+        got = wide.select(F.col("frame").cast("long").alias("frame"), "vals").mapInArrow(run, "frame_a long, frame_b long, d double")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -159,4 +194,4 @@ def points_of(reduced: DataFrame, ensemble: int) -> DataFrame:
     return reduced.where(F.col("ensemble") == ensemble)
 
 
-__all__ = ["distance_matrix", "mds", "neighbour_embedding", "pca", "points_of", "reduce", "scale_metric", "stress", "tsne"]
+__all__ = ["distance_matrix", "distances_from", "mds", "neighbour_embedding", "pca", "points_of", "reduce", "scale_metric", "stress", "tsne"]

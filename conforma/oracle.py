@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from .functions.special import ERFC_A, ERFC_P
 from .operators.bootstrap import draw_table, pair_schedule
+from .operators.measures import POINTS, PROBE, RADII
 from .plans.figures import PALETTE
-from .queries import MATRIX_FRAMES, REF, S_NUM, SAMPLE, SEED
+from .queries import GATE_SAMPLE, QUERY_FRAMES, REF, S_NUM, SAMPLE, SEED
 
 REP = """rep AS (SELECT CAST(label AS INT) AS ensemble, vec_id AS frame, CAST(i - 1 AS INT) AS feature, CAST(embedding[i] AS DOUBLE) AS value
   FROM embeddings, range(1, 65) t(i))"""
@@ -73,7 +74,7 @@ loc AS (SELECT b.ensemble, b.feature, {jsd_of('sum(' + jsd_term('a.p', 'b.p') +
 LOCAL_REST = LOCAL[len(REP) + 2 :]
 
 
-def drawn(variant: str) -> str:
+def drawn(variant: str, sample: int = SAMPLE) -> str:
     """CTEs up to boot(ensemble, kind, pair, feature, value) of the bootstrap; those of REP and RANGE stand before."""
     sides = ", ".join(f"({d}, {s})" for d, s in draw_table(S_NUM, variant))
     plan = ", ".join(f"('{kind}', {p}, {a}, {b})" for kind, p, a, b in pair_schedule(S_NUM, variant))
@@ -84,15 +85,15 @@ def drawn(variant: str) -> str:
     return f"""{IDX}, sides(draw, side) AS (VALUES {sides}),
 plan AS (SELECT e.ensemble, CAST(draw AS INT) AS draw, CASE WHEN side = 0 THEN {REF} ELSE e.ensemble END AS source FROM (SELECT DISTINCT ensemble FROM rep WHERE ensemble <> {REF}) e CROSS JOIN sides),
 sized AS (SELECT plan.*, n FROM plan JOIN (SELECT DISTINCT source, n FROM idx) USING (source)),
-picks AS (SELECT ensemble, draw{feature}, source, CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % n AS idx FROM sized {each} CROSS JOIN range(0, {SAMPLE}) q(k)),
+picks AS (SELECT ensemble, draw{feature}, source, CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % n AS idx FROM sized {each} CROSS JOIN range(0, {sample}) q(k)),
 dr AS (SELECT ensemble, draw{feature}, source, idx, count(*) AS weight FROM picks GROUP BY ALL),
 dv AS (SELECT dr.ensemble, dr.draw, rep.feature, rep.value, CAST(dr.weight AS DOUBLE) AS weight FROM dr JOIN idx USING (source, idx) JOIN rep ON rep.ensemble = dr.source AND rep.frame = idx.frame{' AND rep.feature = dr.feature' if v1 else ''})"""
 
 
-def boot(variant: str) -> str:
+def boot(variant: str, sample: int = SAMPLE) -> str:
     plan = ", ".join(f"('{kind}', {p}, {a}, {b})" for kind, p, a, b in pair_schedule(S_NUM, variant))
     dens = density("dv", "ensemble, draw, feature", "weight").replace("bw AS", "dbw AS").replace("JOIN bw", "JOIN dbw").replace("pdf AS", "dpdf AS")
-    return f"""{drawn(variant)}, {dens},
+    return f"""{drawn(variant, sample)}, {dens},
 dnorm AS (SELECT ensemble, draw, feature, k, s / sum(s) OVER (PARTITION BY ensemble, draw, feature) AS p FROM dpdf),
 sched(kind, pair, draw_a, draw_b) AS (VALUES {plan}),
 boot AS (SELECT a.ensemble, kind, CAST(pair AS INT) AS pair, a.feature, round({jsd_of('sum(' + jsd_term('a.p', 'b.p') + ')')}, 9) AS value
@@ -120,16 +121,25 @@ def colour(index: str) -> str:
     return f"CASE WHEN {index} < {len(PALETTE)} THEN [{', '.join(repr(c) for c in PALETTE)}][{index} + 1] ELSE '#' || substr(md5(CAST({index} AS VARCHAR)), 1, 6) END"
 
 
-GLOBAL = f"WITH {LOCAL}, gl AS (SELECT ensemble AS ensemble_index, avg(jsd) AS y FROM loc GROUP BY ensemble)"
-BANDWIDTH = "CAST(count(*) AS BIGINT) AS n, {sd} AS sd, {h} AS h"
+GATED = "CASE WHEN p >= 0.05 THEN 0.0::DOUBLE ELSE jsd END"
+#: gl: gated local values of each comparison, with its p.
+RECORDS = f"WITH {LOCAL}, {boot('v2')}, {tests('ensemble')}, gl AS (SELECT ensemble, feature, {GATED} AS local, p FROM loc JOIN mw USING (ensemble))"
+GLOBAL = f"{RECORDS}, gb AS (SELECT ensemble AS ensemble_index, avg(local) AS y FROM gl GROUP BY ensemble)"
+#: Each alpha carbon's share of sphere points outside all other atoms' spheres; all atoms have one radius.
+REACH = f"({RADII['C']}::DOUBLE + {PROBE}::DOUBLE)"
+SASA = f"""WITH {XYZ}, u AS (SELECT k, 2.0::DOUBLE * k / {POINTS} - 1.0::DOUBLE + 1.0::DOUBLE / {POINTS} AS uy, k * pi() * (3.0::DOUBLE - sqrt(5.0::DOUBLE)) AS t FROM range(0, {POINTS}) s(k)),
+sp AS (SELECT k, cos(t) * sqrt(1.0::DOUBLE - uy * uy) AS ux, uy, sin(t) * sqrt(1.0::DOUBLE - uy * uy) AS uz FROM u),
+nb AS (SELECT a.ensemble, a.frame, a.atom, a.x - b.x AS cx, a.y - b.y AS cy, a.z - b.z AS cz FROM xyz a JOIN xyz b ON a.ensemble = b.ensemble AND a.frame = b.frame AND a.atom <> b.atom
+  WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 4.0::DOUBLE * {REACH} * {REACH}),
+shut AS (SELECT ensemble, frame, atom, count(DISTINCT k) AS n FROM nb CROSS JOIN sp WHERE cx * cx + cy * cy + cz * cz + 2.0::DOUBLE * {REACH} * (cx * ux + cy * uy + cz * uz) < 0.0::DOUBLE GROUP BY ensemble, frame, atom)
+SELECT ensemble, frame, atom AS feature, {r(f'4.0::DOUBLE * pi() * {REACH} * {REACH} * ({POINTS} - coalesce(n, 0)) / {POINTS}')} AS value FROM (SELECT ensemble, frame, atom FROM xyz) LEFT JOIN shut USING (ensemble, frame, atom)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    gated = "CASE WHEN p >= 0.05 THEN 0.0::DOUBLE ELSE jsd END"
     all_v1 = f"WITH {LOCAL}, {boot('v1')}, {tests('ensemble, feature')}"
     all_v2 = f"WITH {LOCAL}, {boot('v2')}, {tests('ensemble')}"
     h = "stddev_samp({v}) * pow(CAST(count(*) AS DOUBLE) * 0.75::DOUBLE, -0.2::DOUBLE)"
-    first = MATRIX_FRAMES // 8
+    gate_v1 = f"WITH {LOCAL}, {boot('v1', GATE_SAMPLE)}, {tests('ensemble, feature')}"
     return {
         "atom_select": f"WITH {XYZ}, {CB} SELECT ensemble, frame, pos, {r('x')} AS x, {r('y')} AS y, {r('z')} AS z FROM xyz JOIN sel USING (atom)",
         "pair_distances": f"WITH {XYZ}, {CB}, c AS (SELECT * FROM xyz JOIN sel USING (atom)) SELECT a.ensemble, a.frame, a.pos AS i, b.pos AS j, {r('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))')} AS d FROM c a JOIN c b ON a.ensemble = b.ensemble AND a.frame = b.frame AND a.pos < b.pos AND abs(a.atom - b.atom) > 2",
@@ -152,19 +162,21 @@ def oracle_sql() -> dict[str, str]:
         "jsd_bootstrap": f"WITH {REP}, {RANGE}, {boot('v2')} SELECT ensemble, kind, pair, feature, {r('value')} AS value FROM boot",
         "mann_whitney": f"WITH {REP}, {RANGE}, {boot('v2')}, {tests('ensemble')} SELECT ensemble, n1, n2, {r('u', 1)} AS u, {r('z')} AS z, {r('p')} AS p FROM mw",
         "mann_whitney_v1": f"WITH {REP}, {RANGE}, {boot('v1')}, {tests('ensemble, feature')} SELECT ensemble, feature, n1, n2, {r('u', 1)} AS u, {r('z')} AS z, {r('p')} AS p FROM mw",
-        "significance_gate": f"{all_v1} SELECT ensemble, feature, {r('jsd')} AS jsd, {r(gated)} AS gated, {r('p')} AS p FROM loc JOIN mw USING (ensemble, feature)",
-        "compare_ensembles": f"{all_v2}, g AS (SELECT ensemble, feature, {gated} AS local, p FROM loc JOIN mw USING (ensemble)) SELECT ensemble, feature, {r('local')} AS local, {r('avg(local) OVER (PARTITION BY ensemble)')} AS global_dissimilarity, {r('p')} AS p FROM g",
-        "compare_ensembles_v1": f"{all_v1}, g AS (SELECT ensemble, {gated} AS local FROM loc JOIN mw USING (ensemble, feature)) SELECT ensemble, {r('avg(local)')} AS global_dissimilarity, CAST(count(*) FILTER (local > 0) AS BIGINT) AS significant FROM g GROUP BY ensemble",
+        "significance_gate": f"{gate_v1} SELECT ensemble, feature, {r('jsd')} AS jsd, {r(GATED)} AS gated, {r('p')} AS p FROM loc JOIN mw USING (ensemble, feature)",
+        "compare_ensembles": f"{all_v2}, g AS (SELECT ensemble, feature, {GATED} AS local, p FROM loc JOIN mw USING (ensemble)) SELECT ensemble, feature, {r('local')} AS local, {r('avg(local) OVER (PARTITION BY ensemble)')} AS global_dissimilarity, {r('p')} AS p FROM g",
+        "compare_ensembles_v1": f"{all_v1}, g AS (SELECT ensemble, {GATED} AS local FROM loc JOIN mw USING (ensemble, feature)) SELECT ensemble, {r('avg(local)')} AS global_dissimilarity, CAST(count(*) FILTER (local > 0) AS BIGINT) AS significant FROM g GROUP BY ensemble",
         "exclude_reference": f"SELECT CAST(label AS INT) AS ensemble, CAST(count(*) AS BIGINT) AS frames, {r('avg(CAST(embedding[1] AS DOUBLE))')} AS mean0 FROM embeddings WHERE label <> {REF} GROUP BY label",
         "stack_ensembles": f"SELECT CAST(dense_rank() OVER (ORDER BY label) - 1 AS INT) AS ensemble, vec_id AS frame, {r('CAST(embedding[1] AS DOUBLE)')} AS f0 FROM embeddings",
-        "concat_trajectories": "SELECT row_number() OVER (ORDER BY label, vec_id) - 1 AS frame, vec_id FROM embeddings WHERE label IN (0, 1, 2)",
+        "concat_trajectories": "SELECT row_number() OVER (ORDER BY label, vec_id) - 1 AS frame, vec_id FROM embeddings",
         "heatmap_ticks": f"WITH c AS ({contact_raw()}), m AS (SELECT ensemble, CAST(floor(min(v)) AS BIGINT) AS lo, CAST(ceil(max(v)) AS BIGINT) AS hi FROM c GROUP BY ensemble), s AS (SELECT *, CAST(CASE WHEN hi - lo <= 10 THEN 1 WHEN hi - lo <= 50 THEN 5 ELSE 10 END AS BIGINT) AS step FROM m) SELECT ensemble, unnest(range(lo, lo + CAST(ceil((hi - lo) / step) AS BIGINT) * step + 1, step)) AS tick FROM s",
-        "local_axis": f"WITH {LOCAL} SELECT ensemble AS ensemble_index, CAST(feature + 1 AS INT) AS x, {r('jsd')} AS y, CAST(CASE WHEN count(*) OVER (PARTITION BY ensemble) <= 20 THEN 2 WHEN count(*) OVER (PARTITION BY ensemble) <= 50 THEN 5 ELSE 10 END AS INT) AS step FROM loc",
-        "combined_local": f"WITH {LOCAL} SELECT 'Ensemble ' || ensemble AS legend, {colour('ensemble')} AS colour, CAST(feature + 1 AS INT) AS x, {r('jsd')} AS y FROM loc",
-        "palette_global_bar": f"{GLOBAL} SELECT ensemble_index, {r('y')} AS y, {colour('ensemble_index')} AS colour FROM gl",
-        "palette_global_line": f"{GLOBAL} SELECT ensemble_index, {r('y')} AS y, 'black' AS colour, 'o' AS marker FROM gl",
-        "comparison_json": f"WITH {LOCAL} SELECT ensemble AS ensemble_index, {r('avg(jsd)')} AS global_dissimilarity, CAST(count(*) AS INT) AS features, {r('max(jsd)')} AS largest FROM loc GROUP BY ensemble",
-        "pairwise_distance_matrix": f"WITH {REP}, {IDX}, l AS (SELECT rep.frame, feature, value FROM rep JOIN idx ON idx.source = rep.ensemble AND idx.frame = rep.frame WHERE idx.idx < {first}) SELECT a.frame AS frame_a, b.frame AS frame_b, {r('sqrt(sum((a.value - b.value) * (a.value - b.value)))')} AS d FROM l a JOIN l b ON a.feature = b.feature AND a.frame < b.frame GROUP BY a.frame, b.frame",
+        "local_axis": f"{RECORDS} SELECT ensemble AS ensemble_index, CAST(feature + 1 AS INT) AS x, {r('local')} AS y, CAST(CASE WHEN count(*) OVER (PARTITION BY ensemble) <= 20 THEN 2 WHEN count(*) OVER (PARTITION BY ensemble) <= 50 THEN 5 ELSE 10 END AS INT) AS step FROM gl",
+        "combined_local": f"{RECORDS} SELECT 'Ensemble ' || ensemble AS legend, {colour('ensemble')} AS colour, CAST(feature + 1 AS INT) AS x, {r('local')} AS y FROM gl",
+        "palette_global_bar": f"{GLOBAL} SELECT ensemble_index, {r('y')} AS y, {colour('ensemble_index')} AS colour FROM gb",
+        "palette_global_line": f"{GLOBAL} SELECT ensemble_index, {r('y')} AS y, 'black' AS colour, 'o' AS marker FROM gb",
+        "comparison_json": f"{RECORDS} SELECT ensemble AS ensemble_index, {r('avg(local)')} AS global_dissimilarity, CAST(count(*) AS INT) AS features, {r('max(local)')} AS largest, {r('max(p)')} AS p_value FROM gl GROUP BY ensemble",
+        "heatmap_cells": f"WITH c AS ({contact_raw()}) SELECT ensemble, frame AS y, CAST(feature AS INT) AS x, {r('v')} AS value, CAST(floor(min(v) OVER (PARTITION BY ensemble)) AS BIGINT) AS vmin, CAST(ceil(max(v) OVER (PARTITION BY ensemble)) AS BIGINT) AS vmax FROM c",
+        "sasa": SASA,
+        "pairwise_distance_matrix": f"WITH {REP} SELECT a.frame AS frame_a, b.frame AS frame_b, {r('sqrt(sum((a.value - b.value) * (a.value - b.value)))')} AS d FROM rep a JOIN rep b ON a.feature = b.feature AND a.frame % {QUERY_FRAMES} = 0 AND a.frame <> b.frame GROUP BY a.frame, b.frame",
         "event_moments": f"SELECT CAST(ts AS DATE) AS day, event_type AS ensemble, CAST(count(value) AS BIGINT) AS n, {r('avg(value)', 4)} AS mean, {r('stddev_samp(value)', 4)} AS sd, {r('min(value)', 4)} AS lo, {r('max(value)', 4)} AS hi FROM events GROUP BY ALL",
     }
 

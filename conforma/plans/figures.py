@@ -16,6 +16,14 @@ def colour(index: Column) -> Column:
     return F.when(index < len(PALETTE), F.element_at(names, F.least(index, F.lit(len(PALETTE) - 1)).cast("int") + 1)).otherwise(made)
 
 
+def heatmap_cells(wide: DataFrame) -> DataFrame:
+    """(ensemble, y, x, value, vmin, vmax): a cell for each value, y the frame's and x the feature's number; vmin and vmax are the ensemble's least and largest value, rounded outwards."""
+    span = wide.groupBy("ensemble").agg(F.floor(F.min(F.array_min("vals"))).cast("long").alias("vmin"), F.ceil(F.max(F.array_max("vals"))).cast("long").alias("vmax"))
+    # one row an ensemble, far fewer than frames
+    met = wide.join(span, "ensemble")
+    return met.select("ensemble", F.col("frame").alias("y"), F.posexplode("vals").alias("x", "value"), "vmin", "vmax")
+
+
 def heatmap_ticks(wide: DataFrame) -> DataFrame:
     """(ensemble, tick): whole-number colour-bar ticks from floor(min), in steps of 1, 5 or 10, until ceil(max) is reached or passed."""
     span = wide.groupBy("ensemble").agg(F.floor(F.min(F.array_min("vals"))).cast("long").alias("lo"), F.ceil(F.max(F.array_max("vals"))).cast("long").alias("hi"))

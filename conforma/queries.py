@@ -13,10 +13,11 @@ from .plans import figures
 from .streaming.moments import windowed_moments
 
 REF = 0
-#: Small enough that some comparisons and features stay insignificant.
-S_NUM, SAMPLE, SEED = 5, 50, 0
-#: Frames that the quadratic distance matrix of the landmark method takes.
-MATRIX_FRAMES = 64
+S_NUM, SAMPLE, SEED = 5, bootstrap.SAMPLE_SIZE, 0
+#: The gate's own query draws so few frames that some features stay insignificant, so both of its branches are met.
+GATE_SAMPLE = 50
+#: Frames whose number this divides are compared with all frames.
+QUERY_FRAMES = 50
 
 
 def rounded(c: str | Column, digits: int = 6) -> Column:
@@ -174,14 +175,14 @@ def mann_whitney_v1(spark, d):
     return got.select("ensemble", "feature", "n1", "n2", rounded("u", 1).alias("u"), rounded("z").alias("z"), rounded("p").alias("p"))
 
 
-def _compared(spark, d, variant: str = "v2") -> DataFrame:
+def _compared(spark, d, variant: str = "v2", sample: int = SAMPLE) -> DataFrame:
     wide = _embeddings(spark, d)
     lo, hi = compare.bounds(wide)
-    return compare.compare(wide, REF, s_num=S_NUM, sample_size=SAMPLE, seed=SEED, variant=variant, lo=lo, hi=hi, exact_erfc=False)
+    return compare.compare(wide, REF, s_num=S_NUM, sample_size=sample, seed=SEED, variant=variant, lo=lo, hi=hi, exact_erfc=False)
 
 
 def significance_gate(spark, d):
-    got = _compared(spark, d, "v1")
+    got = _compared(spark, d, "v1", GATE_SAMPLE)
     return got.select("ensemble", "feature", rounded("jsd").alias("jsd"), rounded("local").alias("gated"), rounded("p").alias("p"))
 
 
@@ -217,11 +218,18 @@ def stack_ensembles(spark, d):
 
 
 def concat_trajectories(spark, d):
-    index = bootstrap.frame_index(_embeddings(spark, d))
-    parts = [index.where(F.col("ensemble") == e).select(F.col("idx").alias("frame"), F.col("frame").alias("vec_id")) for e in (0, 1, 2)]
+    """All ensembles, in their order, as one trajectory."""
+    wide = _embeddings(spark, d)
+    index = bootstrap.frame_index(wide)
+    parts = [index.where(F.col("ensemble") == e).select(F.col("idx").alias("frame"), F.col("frame").alias("vec_id")) for e in sorted(compare.ensemble_sizes(wide))]
     return atoms.concat_trajectories(parts).select("frame", "vec_id")
 
 
+def heatmap_cells(spark, d):
+    got = figures.heatmap_cells(_measure(spark, d, "cbcn"))
+    return got.select("ensemble", "y", "x", rounded("value").alias("value"), "vmin", "vmax")
+
+
 def heatmap_ticks(spark, d):
     return figures.heatmap_ticks(_measure(spark, d, "cbcn"))
 
@@ -230,41 +238,35 @@ def _records(spark, d) -> DataFrame:
     return compare.comparison_records(_compared(spark, d))
 
 
-def _plain_records(spark, d) -> DataFrame:
-    """Comparison records without the test: every local value stays."""
-    return compare.comparison_records(_local(spark, d).select("ensemble", "feature", F.col("jsd").alias("local"), F.lit(0.0).alias("p")))
-
-
 def local_axis(spark, d):
-    got = figures.local_lines(_plain_records(spark, d))
+    got = figures.local_lines(_records(spark, d))
     return got.select("ensemble_index", F.col("x").cast("int").alias("x"), rounded("y").alias("y"), F.col("step").cast("int").alias("step"))
 
 
 def combined_local(spark, d):
-    got = figures.local_lines(_plain_records(spark, d))
+    got = figures.local_lines(_records(spark, d))
     return got.select("legend", "colour", F.col("x").cast("int").alias("x"), rounded("y").alias("y"))
 
 
 def palette_global_bar(spark, d):
-    return figures.global_bars(_plain_records(spark, d)).select("ensemble_index", rounded("y").alias("y"), "colour")
+    return figures.global_bars(_records(spark, d)).select("ensemble_index", rounded("y").alias("y"), "colour")
 
 
 def palette_global_line(spark, d):
-    return figures.global_line(_plain_records(spark, d)).select("ensemble_index", rounded("y").alias("y"), "colour", "marker")
+    return figures.global_line(_records(spark, d)).select("ensemble_index", rounded("y").alias("y"), "colour", "marker")
 
 
 def comparison_json(spark, d):
-    records = _plain_records(spark, d)
+    records = _records(spark, d)
     schema = records.drop("ensemble_index").schema
     back = figures.records_json(records).select("ensemble_index", F.from_json("json", schema).alias("r"))
-    return back.select("ensemble_index", rounded("r.global_dissimilarity").alias("global_dissimilarity"), F.size("r.local_dissimilarity").alias("features"), rounded(F.array_max("r.local_dissimilarity")).alias("largest"))
+    return back.select("ensemble_index", rounded("r.global_dissimilarity").alias("global_dissimilarity"), F.size("r.local_dissimilarity").alias("features"), rounded(F.array_max("r.local_dissimilarity")).alias("largest"), rounded("r.p_value").alias("p_value"))
 
 
 def pairwise_distance_matrix(spark, d):
-    """Distances of the frames of each ensemble's first frames in frame order: landmarks, as the matrix is quadratic."""
-    index = bootstrap.frame_index(_embeddings(spark, d)).where(F.col("idx") < MATRIX_FRAMES // 8).select("ensemble", "frame")
-    landmarks = _embeddings(spark, d).join(index, ["ensemble", "frame"])
-    return reduce.distance_matrix(landmarks).select("frame_a", "frame_b", rounded("d").alias("d"))
+    """Distances of every frame whose number QUERY_FRAMES divides, a stated query set, to all frames."""
+    wide = _embeddings(spark, d)
+    return reduce.distances_from(wide.where(F.col("frame") % QUERY_FRAMES == 0), wide).select("frame_a", "frame_b", rounded("d").alias("d"))
 
 
 def pca(spark, d):
@@ -285,12 +287,12 @@ def event_moments(spark, d):
     return got.select(F.col("window_start").cast("date").alias("day"), "ensemble", "n", *[rounded(c, 4).alias(c) for c in ("mean", "sd", "lo", "hi")])
 
 
-ROWS_ONLY = ("sasa", "pca", "mds", "tsne")
+ROWS_ONLY = ("pca", "mds", "tsne")
 ALL = [
     atom_select, pair_distances, pair_degrees, contact_cb, contact_ca, bond_angle, bond_angle_v1, torsion, sasa, rep_long_to_wide,
     value_range, bandwidth, bandwidth_lineitem, kde_pdf, kde_pdf_events, jsd_local, jsd_global, bootstrap_draws, bootstrap_draws_v1,
     jsd_bootstrap, mann_whitney, mann_whitney_v1, significance_gate, compare_ensembles, compare_ensembles_v1, exclude_reference,
-    stack_ensembles, concat_trajectories, heatmap_ticks, local_axis, combined_local, palette_global_bar, palette_global_line,
+    stack_ensembles, concat_trajectories, heatmap_cells, heatmap_ticks, local_axis, combined_local, palette_global_bar, palette_global_line,
     comparison_json, pairwise_distance_matrix, pca, mds, tsne, event_moments,
 ]
 

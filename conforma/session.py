@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .model import normalise_measure, normalise_measures, normalise_techniques
 from .operators.bootstrap import S_NUM, SAMPLE_SIZE
@@ -87,13 +86,9 @@ class EnsembleSession:
     def figures(self, measure: str) -> dict[str, DataFrame]:
         """All figures of a measure as tables."""
         records = self._needed(measure)
-        out = {"heatmap_ticks": figures.heatmap_ticks(self.represent(measure)), "global_bar": figures.global_bars(records), "global_line": figures.global_line(records), "local": figures.local_lines(records)}
+        out = {"heatmap": figures.heatmap_cells(self.represent(measure)), "heatmap_ticks": figures.heatmap_ticks(self.represent(measure)), "global_bar": figures.global_bars(records), "global_line": figures.global_line(records), "local": figures.local_lines(records)}
         return out | {f"scatter_{t}": figures.scatter(df) for t, df in self.projections.get(normalise_measure(measure), {}).items()}
 
     def close(self) -> None:
         for df in [*self.representations.values(), *self.comparisons.values(), *(d for p in self.projections.values() for d in p.values())]:
             df.unpersist()
-
-
-def ensemble_count(frames: DataFrame) -> int:
-    return frames.select(F.count_distinct("ensemble").alias("n")).first()["n"]
