@@ -55,7 +55,7 @@ def fingerprints(texts: DataFrame, keys: list[str], carry: tuple[str, ...] = (),
         for i in plan:
             for j in range(2):
                 ones = F.shiftrightunsigned(F.coalesce(f"_{k}_{i}", F.lit(0)), j * LANE).bitwiseAND(F.lit((1 << LANE) - 1))
-                out = out.bitwiseOR(F.shiftleft((2 * ones > F.col("n_terms")).cast("long"), i + j))
+                out = out.bitwiseOR(F.shiftleft(((2 * ones > F.col("n_terms")) & (F.col("n_terms") > 0)).cast("long"), i + j))
         return F.lower(F.lpad(F.hex(out), 16, "0"))
 
     return voted.select(*keys, *carry, "n_terms", F.concat(*[word(k) for k in range(words)]).alias("fingerprint"))
@@ -114,16 +114,16 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int | None = Non
 
 
 def near_counts(prints: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
-    """A stored table of the fingerprints that have others within radius bits: fingerprint, n_near (their number), near_id (the smallest doc_id among these and its own).
+    """A stored table of the fingerprints of several documents or with others within radius bits: fingerprint, n_near (the number of these others), near_id (the smallest doc_id of them and its own).
 
     prints: doc_id, fingerprint.
     """
-    owner = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    owner = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     pairs = materialise(near_pairs(prints, radius, bits=bits), "near-pairs")
     links = pairs.select("a", "b").union(pairs.select("b", "a"))
-    met = links.join(owner.withColumnRenamed("fingerprint", "b"), "b").groupBy("a").agg(F.count("*").alias("n_near"), F.min("doc_id").alias("m"))
-    met = met.join(owner.withColumnRenamed("fingerprint", "a"), "a")
-    return materialise(met.select(F.col("a").alias("fingerprint"), "n_near", F.least("m", "doc_id").alias("near_id")), "near-counts")
+    met = links.join(owner.select(F.col("fingerprint").alias("b"), "doc_id"), "b").groupBy("a").agg(F.count("*").alias("n_near"), F.min("doc_id").alias("m"))
+    near = owner.join(met.withColumnRenamed("a", "fingerprint"), "fingerprint", "left").where((F.col("copies") > 1) | F.col("n_near").isNotNull())
+    return materialise(near.select("fingerprint", "n_near", F.least("m", "doc_id").alias("near_id")), "near-counts")
 
 
 def with_next(docs: DataFrame) -> DataFrame:

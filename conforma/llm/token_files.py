@@ -172,6 +172,10 @@ def _opener(folder: str) -> Callable[[str, bytes], None]:
     return put
 
 
+def file_number(entry: tuple[str, int, int]) -> int:
+    return int(entry[0].split("-")[1].split(".")[0])
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 0, files: int | None = None, file_text_bytes: int = 16 << 20) -> tuple[str, list[tuple[str, int, int]]]:
     """Encode all texts, append end_id to each, and write the ids in ascending doc_id order; (folder, [(file, documents, ids)]).
 
@@ -209,7 +213,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     made = ordered.mapInArrow(write, "file string, n_docs long, n_ids long").collect()
     # by the number in the name: names of different length don't sort so
-    return path, sorted(((r["file"], r["n_docs"], r["n_ids"]) for r in made), key=lambda x: int(x[0].split("-")[1].split(".")[0]))
+    return path, sorted(((r["file"], r["n_docs"], r["n_ids"]) for r in made), key=file_number)
 
 
 def read_token_files(spark, path: str, manifest: list[tuple[str, int, int]], with_ids: bool = True) -> DataFrame:

@@ -162,6 +162,53 @@ def test_simhash_texts_edits_and_likeness(spark):
     assert sorted(str(r["doc_id"]) for r in odd) == ["3", "9", "None"]
 
 
+def plain_fingerprint(text):
+    """SimHash of 128 bits by counting each bit's votes, with the hashes that Spark's xxhash64 gives."""
+    import xxhash
+
+    def h(*parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x, seed=seed)
+        return seed
+
+    w = [h(x.encode()).to_bytes(8, "little") for x in words(text)]
+    terms = [h(a, b).to_bytes(8, "little") for a, b in zip(w, w[1:])] or w
+    votes = [int.from_bytes(t, "little") | h((1).to_bytes(4, "little"), t) << 64 for t in terms]
+    ones = [2 * sum(v >> k & 1 for v in votes) > len(votes) for k in range(128)]
+    return "".join(f"{sum(b << k for k, b in enumerate(ones[64 * i : 64 * i + 64])):016x}" for i in range(2))
+
+
+def test_simhash_bits_against_plain_votes(spark):
+    rows = [(d, t) for d, t in near_copies(9, 40)] + [(7000, "one"), (7001, "two words"), (7002, "é ü é"), (7003, "again again again")]
+    got = {r["doc_id"]: r["fingerprint"] for r in simhash.fingerprint_edits(frame(spark, rows)).collect()}
+    assert got == {d: plain_fingerprint(t or "") for d, t in rows}
+
+
+def test_simhash_takes_texts_of_millions_of_terms(spark):
+    rows = [(1, "x " * 2_200_000), (2, "x x x"), (3, "y z " * 10)]
+    got = {r["doc_id"]: r for r in simhash.fingerprint_edits(frame(spark, rows)).collect()}
+    assert got[1]["fingerprint"] == got[2]["fingerprint"] == plain_fingerprint("x x") and got[1]["n_chars"] == 4_400_000
+
+
+def test_simhash_counts_near_fingerprints(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(i % 4):
+            w[rng.randrange(400)] = f"v{rng.randrange(900)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(f"u{rng.randrange(900)}" for _ in range(50))) for i in range(30)] + [(200, None), (201, "")]
+    got = {r["doc_id"]: r for r in simhash.fingerprint_edits(frame(spark, rows)).collect()}
+    prints = {r["fingerprint"] for r in got.values()}
+    for r in got.values():
+        near = {p for p in prints if (int(p, 16) ^ int(r["fingerprint"], 16)).bit_count() <= simhash.RADIUS}
+        assert r["n_near"] == len(near) - 1 and r["near_id"] == min(d for d, x in got.items() if x["fingerprint"] in near)
+    assert max(r["n_near"] for r in got.values()) > 0
+
+
 def test_simhash_block_tables_find_all_near_fingerprints(spark):
     rng = random.Random(6)
     base = [rng.getrandbits(128) for _ in range(20)]
@@ -169,7 +216,9 @@ def test_simhash_block_tables_find_all_near_fingerprints(spark):
     prints = sorted(f"{v:032x}" for v in values if v < 1 << 128)
     want = {(a, b, (int(a, 16) ^ int(b, 16)).bit_count()) for a in prints for b in prints if a < b and (int(a, 16) ^ int(b, 16)).bit_count() <= 3}
     table = spark.createDataFrame([(p,) for p in [*prints, prints[0], None]], "fingerprint string")
-    assert {tuple(r) for r in simhash.near_pairs(table, 3).collect()} == want and want
+    for blocks in (None, 4, 5):
+        found = [tuple(r) for r in simhash.near_pairs(table, 3, blocks).collect()]
+        assert len(found) == len(set(found)) and set(found) == want and want
 
 
 def test_simhash_with_next_over_many_ranges(spark, monkeypatch):
@@ -193,3 +242,26 @@ def test_sharding_is_a_seeded_shuffle_with_equal_counts(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert {r["doc_id"]: r["size"] for r in one.collect()}[2000] == 8
     assert sharding.shard_documents(frame(spark, []), 24).count() == 0
+
+
+def test_sharding_query_columns_reserved_names_and_repeated_ids(spark, tmp_path, monkeypatch):
+    import zlib
+
+    from conforma.llm import queries
+
+    monkeypatch.setattr(sharding, "BLOCK_BUCKETS", 3)
+    rows = [(i % 7, f"é{i}" * (i % 30)) for i in range(300)] + [(3, None), (4, "same"), (4, "same")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_sharding(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(slots) == list(range(24)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    small = sharding.shard_documents(frame(spark, rows), 5, bucket_bytes=500).collect()
+    assert sorted(r["slot"] for r in small if r["shard"] == 2) == list(range(sum(r["shard"] == 2 for r in small))) and len(small) == len(rows)
+    for name in sharding.RESERVED:
+        with pytest.raises(ValueError):
+            sharding.shuffle_rows(frame(spark, rows).withColumnRenamed("n", name), "1")
