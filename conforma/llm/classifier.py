@@ -220,9 +220,20 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_RO
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_label"), lists], ["doc_id", "_label", "f"])
 
     # at most max_rows rows of two numbers; of rows that share a doc_id the smallest text counts, so the sample is bounded
-    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text")).mapInArrow(extract, "doc_id long, _label int, f array<int>")
-    table = sample.toArrow().sort_by([("doc_id", "ascending")])
-    return fit([np.asarray(x.values, np.int64) for x in table["f"]], table["_label"].to_numpy())
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text")).select("doc_id", "text", "_label").mapInArrow(extract, "doc_id long, _label int, f array<int>")
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            table = pa.Table.from_batches(got).sort_by([("doc_id", "ascending")])
+            m = fit([np.asarray(x.values, np.int64) for x in table["f"]], table["_label"].to_numpy())
+            yield pa.RecordBatch.from_pydict({"scale": [m.scale.tobytes()], "weights": [m.weights.tobytes()], "bias": [m.bias], "slope": [m.slope], "level": [m.level]})
+
+    # the bounded sample is fit in one task; the driver gets the model alone
+    found = sample.coalesce(1).mapInArrow(train, "scale binary, weights binary, bias double, slope double, level double").collect()
+    if not found:
+        return fit([], np.zeros(0))
+    r = found[0]
+    return Model(np.frombuffer(r["scale"]), np.frombuffer(r["weights"]), r["bias"], r["slope"], r["level"])
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -186,7 +186,8 @@ def first_pairs(posts: DataFrame, threshold: float = THRESHOLD, small_key: int |
 
 def more_pairs(posts: DataFrame, hot: DataFrame, gone: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b of the keys in hot (stored, column k): lines b that aren't in gone (stored, column line) with all earlier lines."""
-    some = posts.join(small(hot, hot.count()), "k", "left_semi")
+    # the rows of few keys: stored, as they are read twice
+    some = materialise(posts.join(small(hot, hot.count()), "k", "left_semi"), "hot-postings")
     a, b = some.alias("a"), some.join(small(gone, gone.count()), "line", "left_anti").alias("b")
     return a.join(b, (F.col("a.k") == F.col("b.k")) & _met("a", "b", threshold)).select(F.col("a.line").alias("a"), F.col("b.line").alias("b")).distinct()
 
