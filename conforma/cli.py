@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("conforma").getOrCreate()
-    session = EnsembleSession(spark, a.trajectories, a.topology, a.output_dir, a.verbose)
+    session = EnsembleSession(spark, a.trajectories, a.topology, a.output_dir, a.verbose, single_files=True)
     found = session.compare(a.measures, a.ref, a.x_num, a.s_num, a.dimred, a.sample_size, a.seed)
     sys.stdout.write(results_json(found) + "\n")
     session.close()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Residues between two atoms of a contact: more than so many apart.
 MIN_SEPARATION = 2
+#: Rows of a few numbers that may be broadcast; a topology of a thousand selected atoms has half a million pairs.
+BROADCAST_ROWS = 2_000_000
 
 
 def select_atoms(atoms: DataFrame, name: str) -> DataFrame:
@@ -15,9 +17,14 @@ def select_atoms(atoms: DataFrame, name: str) -> DataFrame:
     return atoms.where(F.col("name") == name).select((F.row_number().over(order) - 1).alias("pos"), "atom", "res_index")
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if rows, its counted size, is within BROADCAST_ROWS."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def pair_table(selected: DataFrame, separation: int = MIN_SEPARATION) -> DataFrame:
     """Unordered pairs (i, j) of positions, i < j, whose residues are more than separation apart."""
-    a, b = selected.alias("a"), F.broadcast(selected).alias("b")
+    a, b = selected.alias("a"), small(selected, selected.count()).alias("b")
     far = (F.col("a.pos") < F.col("b.pos")) & (F.abs(F.col("a.res_index") - F.col("b.res_index")) > separation)
     return a.join(b, far).select(F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), F.col("a.atom").alias("atom_i"), F.col("b.atom").alias("atom_j"))
 
@@ -28,7 +35,14 @@ def incident_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def pair_distances(frames: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(ensemble, frame, i, j, d) of each pair in each frame. The pair table goes to the frames: frames aren't shuffled."""
+    """(ensemble, frame, i, j, d) of each pair in each frame. The pair table goes to the frames: frames aren't shuffled.
+
+    The result has a row for every frame and pair; more pairs than may be broadcast raise. Measures take their pairs in
+    arrays instead (see measures), whatever their number.
+    """
+    pairs_count = pairs.count()
+    if pairs_count > BROADCAST_ROWS:
+        raise ValueError(f"{pairs_count} pairs are too many for a row each; use a measure")
 
     def axis(k: int):
         return F.element_at("xyz", F.col("atom_i") * 3 + k + 1) - F.element_at("xyz", F.col("atom_j") * 3 + k + 1)

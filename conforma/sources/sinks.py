@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 def output_dir(measure: str, root: str | None = None) -> str:
     """<root>/<measure>_output, or <measure>_output here; made if it is missing."""
-    path = os.path.join(root, f"{measure}_output") if root else f"{measure}_output"
+    # absolute, as Spark's own working folder may be another
+    path = os.path.abspath(os.path.join(root or "", f"{measure}_output"))
     os.makedirs(path, exist_ok=True)
     return path
 
@@ -41,6 +43,21 @@ def write_matrix_csv(wide: DataFrame, ensemble: int, folder: str) -> str:
     return path
 
 
+def merge_parts(path: str) -> str:
+    """Replace a folder of text parts, on a file system that the driver sees, by one file of the same name with the parts in order.
+
+    Parts are streamed one after the other, so nothing is held whole; use it where a tool wants one file.
+    """
+    whole = f"{path}.whole"
+    with open(whole, "wb") as out:
+        for part in sorted(n for n in os.listdir(path) if n.startswith("part-")):
+            with open(os.path.join(path, part), "rb") as f:
+                shutil.copyfileobj(f, out, 1 << 20)
+    shutil.rmtree(path)
+    os.replace(whole, path)
+    return path
+
+
 def write_projection_csv(reduced: DataFrame, technique: str, folder: str) -> tuple[str, str]:
     """dim_reduction_<technique>_data.csv and _labels.csv, in the order of ensemble and frame; labels are written as floats."""
     data, labels = (os.path.join(folder, f"dim_reduction_{technique}_{k}.csv") for k in ("data", "labels"))

@@ -91,7 +91,7 @@ def test_session_from_files_to_results(spark, folder):
     want = [r["vals"] for r in s.representation("caba").where("ensemble = 1").orderBy("frame").collect()]
     assert text == "".join(",".join(f"{v:.18e}" for v in row) + "\n" for row in want)
     figures = s.figures("cbcn")
-    assert set(figures) == {"heatmap_ticks", "global_bar", "global_line", "local", "scatter_pca"}
+    assert set(figures) == {"heatmap", "heatmap_ticks", "global_bar", "global_line", "local", "scatter_pca"}
     assert {r["colour"] for r in s.replot_local("caba", 1, color="red").collect()} == {"red"}
     assert {r["title"] for r in s.replot_global("caba", title="T").collect()} == {"T"}
     with pytest.raises(ValueError):
@@ -103,9 +103,31 @@ def test_session_from_files_to_results(spark, folder):
     s.close()
 
 
-def test_command_line(folder, capsys, spark):
+def test_command_line(folder, capsys, spark, monkeypatch):
+    monkeypatch.chdir(folder)
     assert cli.main(["-traj", ",".join(str(folder / f"e{k}.dcd") for k in (0, 1)), "-top", str(folder / "top.pdb"), "-m", "cata", "-d", "none", "--s-num", "2", "--sample-size", "20"]) == 0
     assert [r["ensemble_index"] for r in json.loads(capsys.readouterr().out)["cata"]] == [1]
+    # without an output folder results are written here, each matrix as one file
+    lines = (folder / "cata_output" / "ensemble_1_matrix.csv").read_text().splitlines()
+    assert len(lines) == 35 and all(len(x.split(",")) == 5 for x in lines)
+
+
+def test_heatmap_cells(spark):
+    df = wide(spark, [[1.5, 2.5], [-0.5, 3.0]], [0, 0])
+    got = [tuple(r) for r in P.heatmap_cells(df).orderBy("y", "x").collect()]
+    assert got == [(0, 0, 0, 1.5, -1, 3), (0, 0, 1, 2.5, -1, 3), (0, 1, 0, -0.5, -1, 3), (0, 1, 1, 3.0, -1, 3)]
+
+
+def test_distances_of_query_frames(spark):
+    x = np.random.default_rng(2).normal(size=(23, 4))
+    df = wide(spark, x, [0] * 23)
+    want = {(a, b): float(np.sqrt(((x[a] - x[b]) ** 2).sum())) for a in (0, 5, 10) for b in range(23) if a != b}
+    for most in (X.MOST_QUERIES, 2):
+        X.MOST_QUERIES, before = most, X.MOST_QUERIES
+        got = {(r["frame_a"], r["frame_b"]): r["d"] for r in X.distances_from(df.where("frame in (0, 5, 10)"), df, block=2).collect()}
+        X.MOST_QUERIES = before
+        assert got == pytest.approx(want)
+    assert X.distances_from(df.limit(0), df).count() == 0
 
 
 def wide(spark, x, labels):

@@ -87,6 +87,34 @@ def test_draws_have_the_asked_size_and_depend_on_the_seed(spark):
     assert sorted(map(tuple, got.collect())) == again != other
 
 
+def test_drawn_frames_filter_the_wide_table_before_its_values_are_shuffled(spark):
+    wide = ensembles(spark, n=(200, 300))
+    drawn = B.draws(spark, {0: 200, 1: 300}, 0, 2, 3, 5)
+    for most in (None, 100):
+        got = B.drawn_values(wide, drawn, most)
+        rows = {(r["source"], r["idx"]): r["weight"] for r in drawn.groupBy("source", "idx").agg(F.sum("weight").alias("weight")).collect()}
+        assert got.where("feature = 0").agg(F.sum("weight")).first()[0] == sum(rows.values())
+        values = {(r["ensemble"], r["frame"]): r["vals"] for r in wide.collect()}
+        assert {r["value"] for r in got.where("feature = 1").collect()} == {values[k][1] for k in rows}
+    plan = B.drawn_values(wide, drawn, 100)._jdf.queryExecution().executedPlan().toString()
+    semi = plan[plan.index("LeftSemi") :].split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in semi
+
+
+def test_older_version_compares_stacked_ensembles_with_the_first(spark):
+    # ranges come from all ensembles stacked; then each is compared with the first
+    wide = ensembles(spark, n=(60, 60, 60))
+    lo, hi = C.bounds(wide)
+    alone = {}
+    for e in (1, 2):
+        pair = wide.where(F.col("ensemble").isin(0, e))
+        got = C.compare(pair, 0, s_num=3, sample_size=50, variant="v1", lo=lo, hi=hi).collect()
+        assert {r["ensemble"] for r in got} == {e} and all(0 <= r["local"] <= r["jsd"] <= 1 for r in got)
+        alone |= {(e, r["feature"]): (r["jsd"], r["local"]) for r in got}
+    both = {(r["ensemble"], r["feature"]): (r["jsd"], r["local"]) for r in C.compare(wide, 0, s_num=3, sample_size=50, variant="v1", lo=lo, hi=hi).collect()}
+    assert both.keys() == alone.keys() and all(both[k][0] == pytest.approx(alone[k][0]) for k in both)
+
+
 def test_mann_whitney_by_hand(spark):
     rows = [("inter", v) for v in (1.0, 2.0, 2.0, 5.0)] + [("intra", v) for v in (2.0, 3.0, 7.0)]
     df = spark.createDataFrame([(0, k, v) for k, v in rows], "ensemble int, kind string, value double")
