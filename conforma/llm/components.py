@@ -11,8 +11,8 @@ from .common import materialise
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every id in links: component is the smallest id reachable. Ids are numbers, without nulls.
 
-    Each step shuffles by id and joins each id's smallest neighbour, one row an id, so an id with many links is no group
-    that a task must hold. Steps end when no link changes; each is a stored table.
+    Each step shuffles by id and joins each id's smallest neighbour, one row an id. An id with many links is one key of that
+    join, on the side of which Spark can split a large key; no task holds a group. Steps end when no link changes; each is a stored table.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     edges = materialise(edges, "links")

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, documents, materialise, string_buffers, text_slices
@@ -318,11 +318,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = materialise(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "set-classes")
     others = materialise(full.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).where("doc_id != rep").select("doc_id", "k1", "k2").distinct(), "class-copies")
     reps = full.join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, ["doc_id", "k1", "k2"], "left_anti")
-    # documents that meet in a shingle, each with the smallest of them
-    word = Window.partitionBy("h").orderBy("doc_id")
-    posts = reps.select("doc_id", F.explode("prefix").alias("h"))
-    posts = posts.select("h", "doc_id", F.first("doc_id").over(word).alias("pivot"), F.lead(F.lit(1)).over(word).alias("another"))
-    posts = materialise(posts.where((F.col("doc_id") != F.col("pivot")) | F.col("another").isNotNull()).drop("another"), "shingle-posts")
+    # documents that meet in a shingle, each with the smallest of them; a shingle of very many documents is pre-aggregated, and
+    # its side of the join is one that Spark can split
+    posts = reps.select("doc_id", F.explode_outer("prefix").alias("h"))
+    meets = posts.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot != last")
+    posts = materialise(posts.join(meets.select("h", "pivot"), "h"), "shingle-posts")
     sizes = reps.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("n").alias("low"))
     near = posts.where("doc_id != pivot").groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("c"))
     pairs = materialise(_enough(near, sizes), "pivot-pairs")
