@@ -1,9 +1,8 @@
 """Licence scans: normalised units of a text against licence templates, by the Dice coefficient over word bigrams.
 
 Units are the lines of a text, the text as a whole, and runs of adjacent sentences (a line's end also ends a sentence), so
-notices that wrap over lines or share a line with other text are found too. Runs are compared with templates of at most
-RUN_BIGRAMS bigrams; the whole texts of long licences (folder license_texts) with lines and whole texts alone, where they are
-found if a text consists of the licence for the most part. Only DataFrame functions are used. A unit is
+notices that wrap over lines or share a line with other text are found too. Long licences are found by the passages with which
+their texts open. Templates of more than RUN_BIGRAMS bigrams, if any are given, are compared with lines and whole texts alone. Only DataFrame functions are used. A unit is
 compared only with templates whose size allows the wanted Dice value (2 min(a, b) / (a + b) bounds it); units without any
 of the words that a match must have, and units too large for all templates, are dropped before any bigram is made. Runs
 begin and end in sentences with a bigram of the template, and only where so many lie close enough for a match.
@@ -14,7 +13,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,10 +104,18 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
-# The whole texts of long licences, as published, one file each.
-FILES = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
-for _name, _file in FILES.items():
-    TEMPLATES.setdefault(_name, []).append((Path(__file__).parent / "license_texts" / f"{_file}.txt").read_text(encoding="utf-8"))
+# The passages with which the texts of long licences open.
+OPENINGS = {
+    "Apache-2.0": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions.",
+    "CC0-1.0": "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP.",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "MPL-2.0": "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+}
+for _name, _text in OPENINGS.items():
+    TEMPLATES.setdefault(_name, []).append(_text)
 
 
 def normalised(text: Column) -> Column:
@@ -174,7 +180,7 @@ def scan_units(docs: DataFrame, templates: dict[str, list[str]] | None = None, t
     words = needed_words(templates, threshold)
 
     # 2 min(a, b) / (a + b) >= t holds if a lies between b t / (2 - t) and b (2 - t) / t
-    allowed = reduce(lambda a, b: a | b, [F.col("n").between(s * threshold / (2 - threshold), s * (2 - threshold) / threshold) for s in sizes])
+    allowed = reduce(lambda a, b: a | b, [F.col("n").between(s * threshold / (2 - threshold) - 1e-9, s * (2 - threshold) / threshold + 1e-9) for s in sizes])
     base = _texts(docs, words).dropDuplicates(["_d", "_h"])
     rows = base.select("doc_id", "_d", "_h", F.posexplode(F.split("text", "\n")).alias("k", "t")).select("doc_id", "_d", "_h", (F.col("k") + 1).alias("unit"), "t")
     rows = _once(rows, F.lower("t"), "low").where(_has_word(F.col("low"), words)).drop("low")
@@ -182,11 +188,11 @@ def scan_units(docs: DataFrame, templates: dict[str, list[str]] | None = None, t
     whole = base.where(F.instr("text", "\n") > 0).select("doc_id", "_d", "_h", F.lit(0).alias("unit"), F.col("text").alias("t"))
     units = _once(rows.unionByName(whole), normalised(F.col("t")), "w").drop("t").where(F.col("w") != "")
     # k different words make k - 1 different pairs at least, so long texts are dropped before their pairs are made
-    units = units.where(F.size(F.array_distinct(F.split("w", " "))) - 1 <= max(sizes) * (2 - threshold) / threshold)
+    units = units.where(F.size(F.array_distinct(F.split("w", " "))) - 1 <= max(sizes) * (2 - threshold) / threshold + 1e-9)
     units = _once(units, bigrams(F.col("w")), "_b").withColumn("n", F.size("_b")).where(allowed)
     table = F.broadcast(template_bigrams(docs.sparkSession, templates))
     joined = units.select("doc_id", "_d", "_h", "unit", "n", F.explode("_b").alias("bigram")).join(table, "bigram")
-    joined = joined.where(F.col("n").between(F.col("t_size") * threshold / (2 - threshold), F.col("t_size") * (2 - threshold) / threshold))
+    joined = joined.where(F.col("n").between(F.col("t_size") * threshold / (2 - threshold) - 1e-9, F.col("t_size") * (2 - threshold) / threshold + 1e-9))
     counted = joined.groupBy("doc_id", "_d", "_h", "unit", "n", "license", "template", "t_size").agg(F.count("*").alias("c"))
     dice = 2 * F.col("c") / (F.col("n") + F.col("t_size"))
     return counted.withColumn("dice", dice).where(F.col("dice") >= threshold).select("doc_id", "_d", "_h", "unit", "license", "template", "dice")
@@ -215,7 +221,7 @@ def scan_runs(docs: DataFrame, hits: DataFrame, templates: dict[str, list[str]]
     pairs = F.zip_with(F.slice("_w", 1, F.size("_w") - 1), F.slice("_w", 2, F.size("_w") - 1), lambda a, b: F.struct(a["seg"].alias("seg"), b["seg"].alias("to_seg"), a["part"].alias("part"), b["part"].alias("to_part"), F.concat_ws(" ", a["w"], b["w"]).alias("bigram")))
     pairs = left.select("doc_id", *key, F.posexplode(pairs).alias("pos", "x")).select("doc_id", *key, "pos", "x.*").where(F.col("seg") == F.col("to_seg"))
     table = template_bigrams(docs.sparkSession, templates)
-    share, most = F.col("t_size") * (threshold / (2 - threshold)), F.col("t_size") * ((2 - threshold) / threshold)
+    share, most = F.col("t_size") * (threshold / (2 - threshold)), F.col("t_size") * ((2 - threshold) / threshold) + 1e-9
     met = pairs.join(F.broadcast(table), "bigram")
     # sentences of a template by the place of their first and last shared pair; a sum of counts bounds the distinct pairs
     spots = met.groupBy("doc_id", *key, "seg", "license", "template", "t_size", "part").agg(F.count("*").alias("c"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max("to_part").alias("to_part"))

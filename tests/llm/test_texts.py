@@ -319,10 +319,16 @@ def test_licence_scans_against_plain_dice(spark):
 
 
 def test_licence_scans_find_whole_licences_and_count_equal_rows_once(spark):
-    rows = [(k, licenses.TEMPLATES[name][-1] + tail) for k, (name, tail) in enumerate([("Apache-2.0", ""), ("GPL-3.0", "\nA short note on this copy.\n"), ("GPL-2.0", ""), ("MIT", ""), ("BSD-3-Clause", ""), ("MPL-2.0", "\n")])]
+    from pathlib import Path
+
+    files = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").iterdir())}
+    names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0"}
+    want = [names.get(n, n) for n in files] + ["MIT", "BSD-3-Clause"]
+    rows = list(enumerate([*files.values(), licenses.MIT_TEXT, licenses.TEMPLATES["BSD-3-Clause"][-1]]))
+    rows += [(20 + k, f"A short note on this copy.\n{t}") for k, t in enumerate(files.values())]
     rows += [(50, "Released under the MIT License."), (50, "Released under the MIT License."), (51, "Released under the MIT License."), (51, "Licensed under CC BY 4.0.")]
     got = {r["doc_id"]: (r["license"], r["dice"], r["n_matches"]) for r in licenses.scan_documents(frame(spark, rows)).collect()}
-    assert [got[k][0] for k in range(6)] == ["Apache-2.0", "GPL-3.0", "GPL-2.0", "MIT", "BSD-3-Clause", "MPL-2.0"]
+    assert [got[k][0] for k in range(len(want))] == want and [got[20 + k][0] for k in range(len(files))] == want[: len(files)]
     assert all(0.8 <= got[k][1] <= 1 for k in got) and got[50] == ("MIT", 1.0, 1) and got[51][2] == 2
 
 
