@@ -76,10 +76,10 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     A fingerprint is cut into blocks; two within the radius differ in at most radius blocks, so they agree on some
     blocks - radius of them. For every choice of such blocks a table is keyed by them (the permuted tables of the
     method, all in one keyed by the choice), and pairs within a key are compared. A pair comes once: from the choice of the
-    first blocks that it agrees on. Equal fingerprints count as one. By default half of the blocks must agree, that is 64 of
-    128 bits, so only near copies share a key; the join of a large key is one that Spark can split.
+    first blocks that it agrees on. Equal fingerprints count as one. By default two of radius + 2 blocks must agree, 51 bits or so
+    of 128, so hardly any but near copies share a key; the join of a large key is one that Spark can split.
     """
-    blocks = blocks or min(2 * radius, bits // 4) if radius else 1
+    blocks = blocks or min(radius + 2, bits // 4)
     digits = bits // 4
     if blocks <= radius or blocks > digits:
         raise ValueError("blocks must be over radius and at most bits / 4")
@@ -89,7 +89,7 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     choices = list(combinations(range(blocks), blocks - radius))
     keys = F.array(*[F.xxhash64(F.lit(c), *[parts[i] for i in choice]) for c, choice in enumerate(choices)])
     numbers = _longs(F.col("fingerprint"), bits)
-    keyed = distinct.select("fingerprint", *[x.alias(f"w{i}") for i, x in enumerate(numbers)], F.posexplode_outer(keys).alias("c", "k"))
+    keyed = distinct.select(*[x.alias(f"w{i}") for i, x in enumerate(numbers)], F.posexplode_outer(keys).alias("c", "k"))
     a, b = keyed.alias("a"), keyed.alias("b")
     apart = [F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}")) for i in range(len(numbers))]
     far = sum((F.bit_count(x) for x in apart), F.lit(0))
@@ -109,8 +109,12 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int | None = Non
         for x in set(range(choice[-1])).difference(choice):
             here = here & differ(x)
         first = first | here
-    met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.c") == F.col("b.c")) & (far <= radius) & (F.col("a.fingerprint") < F.col("b.fingerprint")) & first)
-    return met.select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"), far.cast("int").alias("distance"))
+    met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.c") == F.col("b.c")) & (far <= radius) & (F.struct(*[f"a.w{i}" for i in range(len(numbers))]) < F.struct(*[f"b.w{i}" for i in range(len(numbers))])) & first)
+
+    def digits_of(row: str) -> Column:
+        return F.concat(*[F.lower(F.lpad(F.hex(f"{row}.w{i}"), 8, "0")) for i in range(len(numbers))])
+
+    return met.select(digits_of("a").alias("a"), digits_of("b").alias("b"), far.cast("int").alias("distance"))
 
 
 def near_counts(prints: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
