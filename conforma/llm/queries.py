@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, licenses, line_dedup, ngram_join, packing, pieces, quality, sharding, simhash, token_files
+from . import classifier, licenses, line_dedup, ngram_join, packing, pieces, quality, runs, sharding, simhash, token_files
 
 TOKENIZER_WORDS = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER_BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +64,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, manifest, with_ids=False)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), edit=True)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_sharding, op3_line_dedup, op4_quality_rules, op5_sentencepiece, op6_quality_classifier, op7_ngram_join, op8_simhash, op9_license_scans, op10_token_files, pipeline]
+    found = [op1_best_fit_packing, op2_sharding, op3_line_dedup, op4_quality_rules, op5_sentencepiece, op6_quality_classifier, op7_ngram_join, op8_simhash, op9_license_scans, op10_token_files, op11_periodic_runs, pipeline]
     return {f.__name__: f for f in found}
 
 
