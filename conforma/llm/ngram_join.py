@@ -35,10 +35,10 @@ FANOUT = 8
 CHUNK = 1024
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, edges): distinct shingle hashes of row i, ascending, are hashes[edges[i]:edges[i + 1]].
 
-    A-Z are lower-cased; a text of fewer than SHINGLE words has its whole sequence as one shingle; without words it has none.
+    A-Z are lower-cased; a text of fewer than width words has its whole sequence as one shingle; without words it has none.
     """
     n = len(offsets) - 1
     data = LOWER[data]
@@ -48,17 +48,17 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     five = np.uint64(0x9E3779B97F4A7C15)
     total = len(h)
     parts, rows = [], []
-    if total >= SHINGLE:
-        s = h[: total - SHINGLE + 1].copy()
-        for k in range(1, SHINGLE):
-            s = s * five + h[k : total - SHINGLE + 1 + k]
-        inside = w.rows[SHINGLE - 1 :] == w.rows[: total - SHINGLE + 1]
+    if total >= width:
+        s = h[: total - width + 1].copy()
+        for k in range(1, width):
+            s = s * five + h[k : total - width + 1 + k]
+        inside = w.rows[width - 1 :] == w.rows[: total - width + 1]
         parts.append(mix(s[inside]))
-        rows.append(w.rows[SHINGLE - 1 :][inside])
-    short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
+        rows.append(w.rows[width - 1 :][inside])
+    short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
         s = np.zeros(len(short), np.uint64)
-        for k in range(SHINGLE - 1):
+        for k in range(width - 1):
             has = counts[short] > k
             s[has] = s[has] * five + h[w.first[short][has] + k]
         parts.append(mix(s + counts[short].astype(np.uint64)))
@@ -283,7 +283,7 @@ def _enough(counted: DataFrame, sizes: DataFrame) -> DataFrame:
     return both.where(alike & (F.col("c") + rest >= need)).select("a", "b")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Of pairs (a, b) of doc_ids, a stored table, those whose whole shingle sets are similar enough."""
     ids = materialise(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "pair-ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
@@ -293,13 +293,13 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, 1 << 20):
-                x, xe = shingle_hashes(*string_buffers(part.column("text")))
-                y, ye = shingle_hashes(*string_buffers(part.column("other")))
+                x, xe = shingle_hashes(*string_buffers(part.column("text")), width)
+                y, ye = shingle_hashes(*string_buffers(part.column("other")), width)
                 keep = []
                 for k in range(part.num_rows):
                     p, q = x[xe[k] : xe[k + 1]], y[ye[k] : ye[k + 1]]
                     shared = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(shared > 0 and 100 * shared >= PERCENT * (len(p) + len(q) - shared))
+                    keep.append(shared > 0 and 100 * shared >= percent * (len(p) + len(q) - shared))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "text", "other").mapInArrow(verify, "a long, b long")
@@ -326,7 +326,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sizes = reps.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("n").alias("low"))
     near = posts.where("doc_id != pivot").groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("c"))
     pairs = materialise(_enough(near, sizes), "pivot-pairs")
-    links = materialise(_linked(pairs, known), "pivot-links")
+    links = materialise(linked(pairs, known), "pivot-links")
     found = materialise(components(links), "pivot-components")
     # shingles that still hold more than one component
     posts = posts.join(found, posts["doc_id"] == found["id"], "left").select("h", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -342,7 +342,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # a pair comes once for each first shingle that both hold, as that shingle has two components
     more = met.mapInArrow(_tree_pairs, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("c"))
     more = materialise(_enough(more, sizes).join(pairs, ["a", "b"], "left_anti"), "tree-pairs")
-    links = links.union(_linked(more, known))
+    links = links.union(linked(more, known))
     final = materialise(components(links), "components")
     named = classes.join(final, classes["rep"] == final["id"], "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(named.withColumnRenamed("n", "m").withColumnRenamed("k1", "l1").withColumnRenamed("k2", "l2"), (F.col("n") == F.col("m")) & (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")), "left")

@@ -14,16 +14,16 @@ def ascii_lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def shingles(text):
+def shingles(text, width=5):
     w = words(ascii_lower(text))
     if not w:
         return frozenset()
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
+    return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)])
 
 
-def components(docs):
+def components(docs, width=5, percent=75):
     """{doc_id: (n_shingles, component)} by comparing every two documents that share a shingle."""
-    sets = {d: shingles(t) for d, t in docs}
+    sets = {d: shingles(t, width) for d, t in docs}
     index = defaultdict(list)
     for d, s in sets.items():
         for x in s:
@@ -38,7 +38,7 @@ def components(docs):
 
     for d, s in sets.items():
         for e, n in Counter(e for x in s for e in index[x] if e > d).items():
-            if 100 * n >= 75 * (len(s) + len(sets[e]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[e]) - n):
                 a, b = sorted((find(d), find(e)))
                 root[b] = a
     return {d: (len(s), find(d)) for d, s in sets.items()}
