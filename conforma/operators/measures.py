@@ -77,26 +77,101 @@ def sphere_points(n: int = POINTS) -> np.ndarray:
     return np.stack([np.cos(angle) * around, y, np.sin(angle) * around], axis=1)
 
 
+def near_atoms(xyz: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(frame, i, j) of the atoms i != j of each frame with |p_i - p_j| < reach_i + reach_j, by frame, then i, then j.
+
+    Atoms are hashed into cubic cells as wide as the largest reach of two atoms, so partners lie in the 27 cells around; work
+    grows with atoms times their partners. Cells that share a hash only add candidates, which the distance test drops.
+    """
+    frames, atoms = xyz.shape[:2]
+    if frames * atoms == 0:
+        return (np.zeros(0, np.int64),) * 3
+    flat = xyz.reshape(-1, 3)
+    width = max(2 * float(reach.max()), 1e-9)
+    with np.errstate(invalid="ignore"):
+        cell = np.nan_to_num(np.floor(flat / width), nan=0.0, posinf=0.0, neginf=0.0).clip(-(1 << 40), 1 << 40).astype(np.int64)
+    frame = np.repeat(np.arange(frames), atoms)
+
+    def hashed(c: np.ndarray) -> np.ndarray:
+        x = (frame * 0x1F1F1F1F + c[:, 0]) * 0x5851F42D4C957F2D + c[:, 1]
+        return (x ^ (x >> 29)) * 0x14057B7EF767814F + c[:, 2]
+
+    with np.errstate(over="ignore"):
+        key = hashed(cell)
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+        left, right = [], []
+        for shift in np.ndindex(3, 3, 3):
+            near = hashed(cell + (np.array(shift) - 1))
+            lo, hi = np.searchsorted(ranked, near, "left"), np.searchsorted(ranked, near, "right")
+            n = hi - lo
+            i = np.repeat(np.arange(len(flat)), n)
+            j = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(i))]
+            d = flat[i] - flat[j]
+            keep = (i != j) & (frame[i] == frame[j]) & ((d * d).sum(axis=1) < (reach[i % atoms] + reach[j % atoms]) ** 2)
+            left.append(i[keep])
+            right.append(j[keep])
+    # a pair found twice by two cells of one hash stays once
+    pairs = np.unique(np.concatenate(left) * len(flat) + np.concatenate(right))
+    i, j = np.divmod(pairs, len(flat))
+    return frame[i], i % atoms, j % atoms
+
+
 def surface_areas(xyz: np.ndarray, radii: np.ndarray, residues: np.ndarray, points: int = POINTS, block: int = 256) -> np.ndarray:
-    """Accessible area of each residue in each frame: shares of sphere points outside all near atoms' spheres, many frames at once."""
+    """Accessible area of each residue in each frame: shares of sphere points outside the spheres of the atoms near by."""
     sphere, reach = sphere_points(points), radii + PROBE
     n_res = int(residues.max()) + 1 if len(residues) else 0
     out = np.zeros((len(xyz), n_res))
-    for first in range(0, len(xyz), block):
-        p = xyz[first : first + block]
-        for i in range(len(reach)):
-            near = ((p - p[:, i : i + 1]) ** 2).sum(axis=2) < (reach + reach[i]) ** 2
-            near[:, i] = False
-            open_ = np.ones((len(p), points), dtype=bool)
-            for j in np.flatnonzero(near.any(axis=0)).tolist():
-                f = np.flatnonzero(near[:, j])
-                # |c + r u|^2 >= R^2 along the centres' difference c: the sphere's points are the same in all frames
-                c = p[f, i] - p[f, j]
-                open_[f] &= (c * c).sum(axis=1)[:, None] + 2 * reach[i] * (c @ sphere.T) + reach[i] ** 2 >= reach[j] ** 2
-            out[first : first + block, residues[i]] += 4 * np.pi * reach[i] ** 2 * open_.mean(axis=1)
+    atoms = len(reach)
+    full = 4 * np.pi * reach**2
+    # frames at once: as many as make some 30,000 atoms, so that large systems take one at a time
+    step = max(1, min(block, 30_000 // max(1, atoms)))
+    for first in range(0, len(xyz) if atoms else 0, step):
+        p = xyz[first : first + step]
+        f, i, j = near_atoms(p, reach)
+        owner = f * atoms + i
+        share = np.ones(len(p) * atoms)
+        cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+        ends = np.append(cuts[1:], len(owner))
+        k = 0
+        while k < len(cuts):
+            # whole atoms, some 2048 pairs at a time
+            last = max(k + 1, int(np.searchsorted(ends, cuts[k] + 2048, side="right")))
+            some = slice(cuts[k], ends[last - 1])
+            c, own = p[f[some], i[some]] - p[f[some], j[some]], reach[i[some]]
+            # |c + r u|^2 < R^2 along the centres' difference c: the sphere's points are the same for all atoms
+            shut = (c * c).sum(axis=1)[:, None] + 2 * own[:, None] * (c @ sphere.T) + own[:, None] ** 2 < (reach[j[some]] ** 2)[:, None]
+            buried = np.logical_or.reduceat(shut, cuts[k:last] - cuts[k], axis=0)
+            share[owner[cuts[k:last]]] = 1 - buried.mean(axis=1)
+            k = last
+        areas = share.reshape(len(p), atoms) * full
+        for a in range(atoms):
+            out[first : first + len(p), residues[a]] += areas[:, a]
     return out
 
 
+def neighbours(frames: DataFrame, reach: float) -> DataFrame:
+    """(ensemble, frame, atom, n, nearest): number of atoms of the frame nearer than reach to each atom, and the least such distance (null without one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                xyz = part.column("xyz").flatten().to_numpy().reshape(part.num_rows, -1, 3)
+                atoms = xyz.shape[1]
+                f, i, j = near_atoms(xyz, np.full(atoms, reach / 2))
+                owner, d = f * atoms + i, np.sqrt(((xyz[f, i] - xyz[f, j]) ** 2).sum(axis=1))
+                nearest = np.full(part.num_rows * atoms, np.inf)
+                np.minimum.at(nearest, owner, d)
+                row = pa.array(np.repeat(np.arange(part.num_rows), atoms))
+                cols = [part.column("ensemble").take(row), part.column("frame").take(row), pa.array(np.tile(np.arange(atoms, dtype=np.int32), part.num_rows))]
+                cols += [pa.array(np.bincount(owner, minlength=len(nearest)).astype(np.int64)), pa.array(nearest, mask=np.isinf(nearest))]
+                yield pa.RecordBatch.from_arrays(cols, ["ensemble", "frame", "atom", "n", "nearest"])
+
+    rows = frames.select(F.col("ensemble").cast("int").alias("ensemble"), F.col("frame").cast("long").alias("frame"), "xyz")
+    return rows.mapInArrow(run, "ensemble int, frame long, atom int, n long, nearest double")
+
+
 def _kernel(measure: str, atoms: list, drop_last_angle: bool) -> Callable[[np.ndarray, np.ndarray | None], np.ndarray]:
     name = "CB" if measure == "cbcn" else "CA"
     chosen = [a for a in atoms if a["name"] == name]

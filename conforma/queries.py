@@ -18,6 +18,8 @@ S_NUM, SAMPLE, SEED = 5, bootstrap.SAMPLE_SIZE, 0
 GATE_SAMPLE = 50
 #: Frames whose number this divides are compared with all frames.
 QUERY_FRAMES = 50
+#: Distance in nm under which near_atoms counts an atom.
+REACH = 0.8
 
 
 def rounded(c: str | Column, digits: int = 6) -> Column:
@@ -89,6 +91,12 @@ def sasa(spark, d):
     return _measure_rows(spark, d, "sasa")
 
 
+def near_atoms(spark, d):
+    """Atoms nearer than REACH to each atom, by the cells that surfaces use."""
+    got = measures.neighbours(model.frames_of_embeddings(spark, d), REACH)
+    return got.select("ensemble", "frame", "atom", F.col("n").alias("near"), rounded("nearest").alias("nearest"))
+
+
 def rep_long_to_wide(spark, d):
     wide = model.to_wide(model.to_long(_embeddings(spark, d)))
     return wide.select("ensemble", "frame", F.size("vals").alias("n"), *[rounded(F.element_at("vals", k + 1)).alias(f"f{k}") for k in (0, 31, 63)])
@@ -289,7 +297,7 @@ def event_moments(spark, d):
 
 ROWS_ONLY = ("pca", "mds", "tsne")
 ALL = [
-    atom_select, pair_distances, pair_degrees, contact_cb, contact_ca, bond_angle, bond_angle_v1, torsion, sasa, rep_long_to_wide,
+    atom_select, pair_distances, pair_degrees, contact_cb, contact_ca, bond_angle, bond_angle_v1, torsion, sasa, near_atoms, rep_long_to_wide,
     value_range, bandwidth, bandwidth_lineitem, kde_pdf, kde_pdf_events, jsd_local, jsd_global, bootstrap_draws, bootstrap_draws_v1,
     jsd_bootstrap, mann_whitney, mann_whitney_v1, significance_gate, compare_ensembles, compare_ensembles_v1, exclude_reference,
     stack_ensembles, concat_trajectories, heatmap_cells, heatmap_ticks, local_axis, combined_local, palette_global_bar, palette_global_line,

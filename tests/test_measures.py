@@ -109,3 +109,46 @@ def test_names(spark):
 def test_wide_and_long_are_inverse(spark):
     wide = spark.createDataFrame([(0, 1, [1.0, 2.0]), (0, 2, [3.0, 4.0])], "ensemble int, frame long, vals array<double>")
     assert sorted(map(tuple, model.to_wide(model.to_long(wide)).collect()), key=str) == sorted(map(tuple, wide.collect()), key=str)
+
+
+def plain_areas(xyz, radii, residues):
+    """Areas from the definition: every sphere point against every other atom."""
+    sphere, reach = M.sphere_points(), radii + M.PROBE
+    out = np.zeros((len(xyz), residues.max() + 1))
+    for f, p in enumerate(xyz):
+        for i in range(len(p)):
+            on = p[i] + reach[i] * sphere
+            shut = np.zeros(len(sphere), dtype=bool)
+            for j in range(len(p)):
+                if j != i:
+                    shut |= ((on - p[j]) ** 2).sum(axis=1) < reach[j] ** 2
+            out[f, residues[i]] += 4 * np.pi * reach[i] ** 2 * (1 - shut.mean())
+    return out
+
+
+@pytest.mark.parametrize(("atoms", "box"), [(1, 1.0), (40, 0.4), (60, 1.5), (60, 500.0)])
+def test_surfaces_by_cells_equal_all_pairs(atoms, box):
+    rng = np.random.default_rng(atoms)
+    xyz, radii = rng.normal(size=(3, atoms, 3)) * box, rng.choice([0.12, 0.155, 0.18], atoms)
+    residues = np.sort(rng.integers(0, 5, atoms))
+    assert M.surface_areas(xyz, radii, residues) == pytest.approx(plain_areas(xyz, radii, residues), abs=0.002)
+
+
+def test_near_atoms_equal_all_pairs_and_grow_with_atoms():
+    rng = np.random.default_rng(3)
+    xyz, reach = rng.random((2, 500, 3)) * 3 - 1, rng.random(500) * 0.2
+    f, i, j = M.near_atoms(xyz, reach)
+    d = np.sqrt(((xyz[:, :, None] - xyz[:, None]) ** 2).sum(axis=3))
+    want = np.argwhere((d < reach[:, None] + reach[None, :]) & ~np.eye(500, dtype=bool))
+    assert np.stack([f, i, j], axis=1).tolist() == want.tolist() and len(want) > 500
+    # a frame of 5000 atoms at the same density has ten times the pairs, found without 25 million distances
+    big = rng.random((1, 5000, 3)) * 3 * 10 ** (1 / 3)
+    assert len(M.near_atoms(big, np.full(5000, 0.1))[0]) < 100 * 5000
+    nowhere = np.full((1, 4, 3), np.nan)
+    assert len(M.near_atoms(nowhere, np.full(4, 0.1))[0]) == 0 and len(M.near_atoms(xyz[:0], reach)[0]) == 0
+
+
+def test_neighbour_counts(spark):
+    df = spark.createDataFrame([(0, 1, [0.0] * 3 + [0.5, 0.0, 0.0] + [9.0] * 3), (0, 2, [0.0] * 9)], "ensemble int, frame long, xyz array<double>")
+    got = sorted(map(tuple, M.neighbours(df, 0.8).collect()))
+    assert got == [(0, 1, 0, 1, 0.5), (0, 1, 1, 1, 0.5), (0, 1, 2, 0, None)] + [(0, 2, a, 2, 0.0) for a in range(3)]
