@@ -9,11 +9,20 @@ every feature is drawn on its own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .density import GRID, jensen_shannon
+
 SAMPLE_SIZE = 1000
 S_NUM = 5
+#: Features whose drawn values meet in one group, and numbers of one draw in it.
+FEATURE_BLOCK = 8
+GROUP_VALUES = 1 << 20
 #: Frames named by two numbers that may be broadcast.
 BROADCAST_FRAMES = 2_000_000
 
@@ -89,8 +98,8 @@ def keys_as_columns(keys: list[str]) -> list[Column]:
     return [F.col(k) for k in keys]
 
 
-def drawn_values(wide: DataFrame, drawn: DataFrame, most: int | None = None) -> DataFrame:
-    """(ensemble, draw, feature, value, weight) of the drawn frames.
+def drawn_frames(wide: DataFrame, drawn: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of drawn, with vals of their frames in place of idx.
 
     Draws meet the index of frames first, both without values. The frames they need then filter the wide table where it is
     read, before any of its values is shuffled. most: a bound on the number of drawn frames; if it is small enough, they are
@@ -101,7 +110,85 @@ def drawn_values(wide: DataFrame, drawn: DataFrame, most: int | None = None) ->
     needed = picked.select("source", "frame").distinct()
     needed = F.broadcast(needed) if most is not None and most <= BROADCAST_FRAMES else needed
     rows = wide.select(F.col("ensemble").alias("source"), "frame", "vals").join(needed, ["source", "frame"], "left_semi")
-    met = picked.join(rows, ["source", "frame"])
+    return picked.join(rows, ["source", "frame"])
+
+
+def drawn_values(wide: DataFrame, drawn: DataFrame, most: int | None = None) -> DataFrame:
+    """(ensemble, draw, feature, value, weight) of the drawn frames (see drawn_frames)."""
+    met = drawn_frames(wide, drawn, most)
     if "feature" in drawn.columns:
         return met.select("ensemble", "draw", "feature", F.element_at("vals", F.col("feature") + 1).alias("value"), "weight")
     return met.select("ensemble", "draw", "weight", F.posexplode("vals").alias("feature", "value")).select("ensemble", "draw", "feature", "value", "weight")
+
+
+def sampled_distances(met: DataFrame, schedule: list[tuple[str, int, int, int]], lo: float, hi: float, features: int, sample_size: int, grid: int = GRID, on_degenerate: str = "error") -> DataFrame:
+    """(ensemble, kind, pair, feature, value): distances between the densities of drawn samples, for rows of drawn_frames.
+
+    One shuffle brings together the drawn values of a comparison and a block of features, a group whose size the draws bound,
+    whatever the number of frames. A task then estimates each draw's densities once, bandwidths included, and compares them.
+    """
+    if on_degenerate not in ("error", "zero"):
+        raise ValueError("on_degenerate is 'error' or 'zero'")
+    one = "feature" in met.columns
+    width = 1 if one else max(1, min(FEATURE_BLOCK, GROUP_VALUES // max(1, sample_size)))
+    if one:
+        rows = met.select("ensemble", F.col("feature").alias("block"), "draw", "frame", "weight", F.array(F.element_at("vals", F.col("feature") + 1)).alias("part"))
+    else:
+        parts = F.transform(F.sequence(F.lit(0), F.lit(-(-features // width) - 1)), lambda b: F.slice("vals", b * width + 1, F.lit(width)))
+        rows = met.select("ensemble", "draw", "frame", "weight", F.posexplode(parts).alias("block", "part"))
+    # a fixed number of tasks, as the kernels' work has no relation to the bytes of the values
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("ensemble", "block", "draw", "frame", "weight", "part").repartition(n, "ensemble", "block").sortWithinPartitions("ensemble", "block", "draw", "frame")
+    at = lo + np.arange(grid) * ((hi - lo) / (grid - 1))
+    kinds, pairs, left, right = zip(*schedule)
+    left, right = np.array(left), np.array(right)
+
+    def distances(ensemble: int, block: int, draw: np.ndarray, weight: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.append(True, draw[1:] != draw[:-1]))
+        sums = np.zeros((int(draw.max()) + 1, part.shape[1], grid))
+        for first, last in zip(starts, np.append(starts[1:], len(draw))):
+            w, x = weight[first:last], part[first:last]
+            total = w.sum()
+            mean = w @ x / total
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sd = np.sqrt(np.maximum((w @ (x * x) - total * mean * mean) / (total - 1), 0))
+            if on_degenerate == "error" and not (sd >= 1e-300).all():
+                raise ValueError("a feature has one value only, or equal values: no density can be estimated")
+            h = sd * (total * 0.75) ** -0.2
+            for f in np.flatnonzero(h > 0).tolist():
+                for k in range(0, len(w), 4096):
+                    u = (at[:, None] - x[None, k : k + 4096, f]) / h[f]
+                    sums[draw[first], f] += np.exp(-0.5 * u * u) @ w[k : k + 4096]
+        found = np.stack([jensen_shannon(sums[a], sums[b]) for a, b in zip(left, right)])
+        count = found.shape[1]
+        feature = np.tile(block * width + np.arange(count, dtype=np.int32), len(left))
+        cols = [pa.array(np.full(found.size, ensemble, np.int32)), pa.array(np.repeat(np.array(kinds), count)), pa.array(np.repeat(np.array(pairs, np.int32), count)), pa.array(feature.astype(np.int32)), pa.array(found.ravel())]
+        return pa.RecordBatch.from_arrays(cols, ["ensemble", "kind", "pair", "feature", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            e, b, d, w = (table[c].to_numpy() for c in ("ensemble", "block", "draw", "weight"))
+            x = table["part"].combine_chunks().flatten().to_numpy()
+            size = np.append(0, np.cumsum(table["part"].combine_chunks().value_lengths().to_numpy()))
+            cut = np.flatnonzero(np.append(True, (e[1:] != e[:-1]) | (b[1:] != b[:-1])))
+            for first, last in zip(cut.tolist(), np.append(cut[1:], len(e)).tolist()):
+                yield distances(int(e[first]), int(b[first]), d[first:last], w[first:last], x[size[first] : size[last]].reshape(last - first, -1))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            # all groups but the last, which may go on in the next batch
+            e, b = (batch.column(c).to_numpy() for c in ("ensemble", "block"))
+            other = np.flatnonzero((e != e[-1]) | (b != b[-1]))
+            if len(other):
+                cut = int(other[-1]) + 1
+                yield from groups(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+        if held:
+            yield from groups(pa.Table.from_batches(held))
+
+    got = rows.mapInArrow(run, "ensemble int, kind string, pair int, feature int, value double")
+    return got.select("ensemble", "kind", "pair", "feature", F.round("value", 9).alias("value"))

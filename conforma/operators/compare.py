@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bootstrap import S_NUM, SAMPLE_SIZE, draw_table, draws, drawn_values, schedule_frame
-from .density import GRID, densities, jsd_between, jsd_rows, value_range
+from ..storage import stored
+from .bootstrap import S_NUM, SAMPLE_SIZE, draw_table, draws, drawn_frames, pair_schedule, sampled_distances
+from .density import GRID, densities, jsd_between, value_range
 from .ranktest import mann_whitney, small_samples_exact
 
 ALPHA = 0.05
@@ -54,13 +55,8 @@ def bootstrap_distances(wide: DataFrame, ref: int, s_num: int = S_NUM, sample_si
     drawn = draws(spark, sizes, ref, s_num, sample_size, seed, variant, features)
     # no more frames are drawn than there are places, nor than there are frames
     places = (len(sizes) - 1) * len(draw_table(s_num, variant)) * sample_size * (features if variant == "v1" else 1)
-    dens = densities(drawn_values(wide, drawn, min(places, sum(sizes.values()))), ["ensemble", "draw", "feature"], lo, hi, x_num, on_degenerate)
-    dens = dens.select("ensemble", "draw", "feature", "sums")
-    plan = F.broadcast(schedule_frame(spark, s_num, variant))
-    a = dens.join(plan, dens["draw"] == plan["draw_a"]).select("ensemble", "feature", "kind", "pair", "draw_b", F.col("sums").alias("p"))
-    b = dens.select(F.col("ensemble"), F.col("feature"), F.col("draw").alias("draw_b"), F.col("sums").alias("q"))
-    pairs = a.join(b, ["ensemble", "feature", "draw_b"]).select("ensemble", "kind", "pair", "feature", "p", "q")
-    return jsd_rows(pairs, "p", "q").select("ensemble", "kind", "pair", "feature", F.round("jsd", 9).alias("value"))
+    met = drawn_frames(wide, drawn, min(places, sum(sizes.values())))
+    return sampled_distances(met, pair_schedule(s_num, variant), lo, hi, features, sample_size, x_num, on_degenerate)
 
 
 def compare(wide: DataFrame, ref: int = 0, x_num: int = GRID, s_num: int = S_NUM, sample_size: int = SAMPLE_SIZE, seed: int = 0, variant: str = "v2", lo: float | None = None, hi: float | None = None, on_degenerate: str = "error", exact_erfc: bool = True, exact_small: bool = False) -> DataFrame:
@@ -75,6 +71,7 @@ def compare(wide: DataFrame, ref: int = 0, x_num: int = GRID, s_num: int = S_NUM
     ref = resolve_reference(sorted(ensemble_sizes(wide)), ref)
     full = local_dissimilarity(wide, ref, x_num, lo, hi, on_degenerate)
     values = bootstrap_distances(wide, ref, s_num, sample_size, x_num, seed, variant, lo, hi, on_degenerate)
+    values = stored(values, "bootstrap") if exact_small else values
     keys = ["ensemble", "feature"] if variant == "v1" else ["ensemble"]
     tests = mann_whitney(values, keys, exact_erfc)
     if exact_small:

@@ -9,9 +9,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import erfc, erfc_approx
+from ..storage import stored
 
 #: With so few values in the smaller sample and no ties, the exact distribution is used (if asked for).
 EXACT_UP_TO = 8
+#: Different values of a group ranked in one range; a group has at most MOST_RANGES ranges.
+RANGE_ROWS = 100_000
+MOST_RANGES = 1000
+
+
+def rank_sums(values: DataFrame, keys: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(keys, n1, n2, r1, ties): sizes of the samples, sum of the average ranks of 'inter' values, and sum of t^3 - t over ties.
+
+    Equal values of a group are counted first, so a tie is one row. Groups of more than range_rows different values are cut into
+    ranges of values (by approximate quantiles, whose errors only move the cuts); ranks run within a range, and the ranges'
+    counts, a few rows a group, give what lies before each. No task holds a whole group.
+    """
+    inter = F.col("kind") == "inter"
+    tied = values.groupBy(*keys, "value").agg(F.sum(inter.cast("long")).alias("a"), F.count("*").alias("t"))
+    tied = stored(tied, "ties")
+    most = tied.groupBy(*keys).count().agg(F.max("count").alias("most")).first()["most"] or 0
+    ranges = min(MOST_RANGES, -(-most // range_rows))
+    if ranges > 1:
+        cuts = tied.groupBy(*keys).agg(F.percentile_approx("value", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("cuts"))
+        at = F.size(F.filter("cuts", lambda c: c < F.col("value")))
+        tied = tied.join(cuts, keys).select(*keys, "value", "a", "t", at.alias("at"))
+    else:
+        tied = tied.withColumn("at", F.lit(0))
+    before = F.coalesce(F.sum("t").over(Window.partitionBy(*keys, "at").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = tied.select(*keys, "at", "a", "t", (before + (F.col("t") + 1) / 2).alias("r"))
+    t = F.col("t").cast("double")
+    counted = ranked.groupBy(*keys, "at").agg(F.sum("a").alias("a"), F.sum("t").alias("t"), F.sum(F.col("a") * F.col("r")).alias("r"), F.sum(t * t * t - t).alias("ties"))
+    ahead = F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = counted.withColumn("ahead", ahead).groupBy(*keys)
+    n1 = F.sum("a").cast("double")
+    return whole.agg(n1.alias("n1"), (F.sum("t") - n1).cast("double").alias("n2"), F.sum(F.col("r") + F.col("ahead") * F.col("a")).alias("r1"), F.sum("ties").alias("ties"))
 
 
 def mann_whitney(values: DataFrame, keys: list[str], exact_erfc: bool = True) -> DataFrame:
@@ -19,18 +51,7 @@ def mann_whitney(values: DataFrame, keys: list[str], exact_erfc: bool = True) ->
 
     U = max(U1, n1 n2 - U1), z = (U - n1 n2 / 2 - 1/2) / sd, p = erfc(z / sqrt 2), at most 1. All equal: sd is 0, z and p NaN.
     """
-    group = Window.partitionBy(*keys)
-    tied = Window.partitionBy(*keys, "value")
-    rank = F.rank().over(group.orderBy("value")).cast("double") + (F.count("*").over(tied).cast("double") - 1) / 2
-    ranked = values.select(*keys, "kind", "value", rank.alias("r"), F.count("*").over(tied).cast("double").alias("t"))
-    inter = F.col("kind") == "inter"
-    got = ranked.groupBy(*keys).agg(
-        F.sum(inter.cast("long")).cast("double").alias("n1"),
-        F.sum((~inter).cast("long")).cast("double").alias("n2"),
-        F.sum(F.when(inter, F.col("r")).otherwise(0.0)).alias("r1"),
-        # each tied value adds (t^3 - t) / t
-        F.sum(F.col("t") * F.col("t") - 1).alias("ties"),
-    )
+    got = rank_sums(values, keys)
     n1, n2 = F.col("n1"), F.col("n2")
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
     total = n1 + n2
