@@ -5,10 +5,11 @@
    factors). Each ROWS minima form a band. A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: at
    the threshold of 0.8 a pair is missed once in 10^9, and ever more rarely above.
 3. Each document of a band's key is compared with the smallest one there. A pair whose signatures agree in fewer than
-   LEAST_EQUAL minima is dropped (at 0.8 once in 10^9); the others are verified on their whole sets. The links give components
+   LEAST_EQUAL minima is dropped (at 0.8 once in 10^9), and so is one whose parity maps differ in more bits than the sets of a
+   linked pair may differ in shingles (never wrongly); the others are verified on their whole sets. The links give components
    by alternating large-star and small-star, so a large group of near copies needs about one pair a document.
-4. Keys that still hold several components compare all their documents of different components, by signatures, in chunks;
-   what is left is verified too. No key, bucket or number of candidates is capped.
+4. Keys that still hold several components compare all their documents of different components, by signatures and parity maps, in
+   chunks; what is left is verified too. No key, bucket or number of candidates is capped.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ LOSS = 1e-9
 CHUNK = 4096
 #: Minima compared first where whole chunks meet.
 FIRST = 32
+#: Bits of a parity map for each shingle, at least (the next power of two), and of any map.
+MAP_BITS, LEAST_MAP = 4, 256
 #: Keys of so many documents are compared size by size, all keys of a size at once.
 FEW = 64
 
@@ -89,8 +92,60 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return key
 
 
+def parity_maps(sets: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """For each set a map whose bits tell whether an odd number of its hashes falls there; its size, a power of two, grows with the set.
+
+    The maps of two sets, the larger folded onto the smaller, differ in at most as many bits as the sets in elements.
+    """
+    n = np.diff(edges)
+    size = np.maximum(LEAST_MAP, 1 << np.ceil(np.log2(np.maximum(MAP_BITS * n, 1))).astype(np.int64))
+    ends = np.cumsum(size)
+    at = (mix(sets ^ np.uint64(0x3C6EF372FE94F82B)) & np.repeat(size - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(ends - size, n)
+    odd = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    np.bitwise_xor.at(odd, at, 1)
+    data = np.packbits(odd, bitorder="little").tobytes()
+    return [data[(e - m) // 8 : e // 8] for e, m in zip(ends.tolist(), size.tolist())]
+
+
+class Sketches:
+    """Signatures, set sizes and parity maps of documents, to be compared pairwise."""
+
+    def __init__(self, sig: pa.ChunkedArray | pa.Array, n: np.ndarray, odd: pa.ChunkedArray | pa.Array):
+        self.sig, self.n = sig_matrix(sig), n
+        maps = [x.as_buffer() for x in odd]
+        self.bytes = np.array([m.size for m in maps], np.int64)
+        self.place, self.maps = np.zeros(len(maps), np.int64), {}
+        for b in np.unique(self.bytes).tolist():
+            of = np.flatnonzero(self.bytes == b)
+            self.place[of] = np.arange(len(of))
+            self.maps[b] = np.frombuffer(b"".join(maps[k] for k in of.tolist()), np.uint64).reshape(len(of), -1)
+
+    def near(self, i: np.ndarray, other: "Sketches", j: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+        """Which pairs (i, j) the signatures and the maps leave."""
+        out = np.zeros(len(i), dtype=bool)
+        for k in range(0, len(i), block):
+            a, b = i[k : k + block], j[k : k + block]
+            keep = np.flatnonzero((self.sig[a] == other.sig[b]).sum(axis=1) >= LEAST_EQUAL)
+            out[k + keep[self._few(a[keep], other, b[keep])]] = True
+        return out
+
+    def _few(self, i: np.ndarray, other: "Sketches", j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), dtype=bool)
+        most = (100 - PERCENT) * (self.n[i] + other.n[j]) // (100 + PERCENT)
+        x, y = self.bytes[i], other.bytes[j]
+        for b, c in {*zip(x.tolist(), y.tolist())}:
+            at = np.flatnonzero((x == b) & (y == c))
+            p, q = self.maps[b][self.place[i[at]]], other.maps[c][other.place[j[at]]]
+            while p.shape[1] > q.shape[1]:
+                p = p[:, : p.shape[1] // 2] ^ p[:, p.shape[1] // 2 :]
+            while q.shape[1] > p.shape[1]:
+                q = q[:, : q.shape[1] // 2] ^ q[:, q.shape[1] // 2 :]
+            out[at] = np.bitwise_count(p ^ q).sum(axis=1) <= most[at]
+        return out
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), k1, k2 (hashes of the set), keys (of bands), sig (low 16 bits of the minima) of every row."""
+    """doc_id, n (set size), k1, k2 (hashes of the set), keys (of bands), sig (low 16 bits of the minima), odd (parity map) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,45 +157,44 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys = band_keys(low)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
                 short = pa.array([x.tobytes() for x in low.astype(np.uint16)], pa.binary())
-                cols = [part.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array((k[edges[1:]] - k[edges[:-1]]).view(np.int64)) for k in sums), lists, short]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "k1", "k2", "keys", "sig"])
+                cols = [part.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array((k[edges[1:]] - k[edges[:-1]]).view(np.int64)) for k in sums), lists, short, pa.array(parity_maps(s, edges), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "k1", "k2", "keys", "sig", "odd"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, keys array<long>, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, keys array<long>, sig binary, odd binary")
 
 
 def sig_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint16).reshape(-1, HASHES)
 
 
-def agree(a: np.ndarray, b: np.ndarray, block: int = 1 << 14) -> np.ndarray:
-    """Which rows of two signature matrices agree in LEAST_EQUAL minima."""
-    return np.concatenate([np.zeros(0, bool), *((a[k : k + block] == b[k : k + block]).sum(axis=1) >= LEAST_EQUAL for k in range(0, len(a), block))])
-
-
 def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose signatures agree enough."""
-    both = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
+    """Of pairs (a, b), those that signatures and parity maps leave."""
+    a, b = (sigs.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "odd")]) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = agree(sig_matrix(batch.column("x")), sig_matrix(batch.column("y")))
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+                x, y = (Sketches(batch.column(f"sig_{c}"), batch.column(f"n_{c}").to_numpy(), batch.column(f"odd_{c}")) for c in "ab")
+                at = np.arange(batch.num_rows)
+                yield batch.select(["a", "b"]).filter(pa.array(x.near(at, y, at)))
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+    return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def chunk_pairs(a: np.ndarray, b: np.ndarray, block: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of two signature matrices that agree enough; FIRST minima are compared before the others."""
+def chunk_pairs(s: Sketches, a: np.ndarray, b: np.ndarray, apart: np.ndarray, block: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members a and b of s, of different values of apart, that signatures and maps leave; FIRST minima are compared before the others."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    other = np.ascontiguousarray(s.sig[b, :FIRST].T)
     for k in range(0, len(a), block):
         some = a[k : k + block]
         equal = np.zeros((len(some), len(b)), np.uint8)
         for c in range(FIRST):
-            equal += some[:, c : c + 1] == b[:, c]
-        i, j = np.nonzero(equal >= LEAST_FIRST)
-        keep = agree(some[i], b[j])
-        left.append(i[keep] + k)
+            equal += s.sig[some, c, None] == other[c]
+        i, j = np.nonzero((equal >= LEAST_FIRST) & (apart[some, None] != apart[b]))
+        i, j = some[i], b[j]
+        keep = s.near(i, s, j)
+        left.append(i[keep])
         right.append(j[keep])
     return np.concatenate(left), np.concatenate(right)
 
@@ -150,35 +204,32 @@ def _key_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def join(table: pa.Table) -> pa.RecordBatch:
         c = {k: table[k].to_numpy() for k in ("h", "lo", "hi", "side", "doc_id", "component")}
-        sig = sig_matrix(table["sig"])
+        s = Sketches(table["sig"], table["n"].to_numpy(), table["odd"])
         new = np.ones(table.num_rows, dtype=bool)
         new[1:] = (c["h"][1:] != c["h"][:-1]) | (c["lo"][1:] != c["lo"][:-1]) | (c["hi"][1:] != c["hi"][:-1])
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, table.num_rows))
         one = c["lo"][start] == c["hi"][start]
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def take(i: np.ndarray, j: np.ndarray) -> None:
-            apart = c["component"][i] != c["component"][j]
-            left.append(i[apart])
-            right.append(j[apart])
-
         few = one & (size <= FEW)
         for g in np.unique(size[few]).tolist():
             at = start[few & (size == g)]
             x, y = np.triu_indices(g, 1)
-            for k in range(0, len(at), 1 + (1 << 16) // max(1, len(x))):
-                some = at[k : k + 1 + (1 << 16) // max(1, len(x))]
+            step = 1 + (1 << 16) // max(1, len(x))
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
                 i, j = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
                 apart = c["component"][i] != c["component"][j]
                 i, j = i[apart], j[apart]
-                keep = agree(sig[i], sig[j])
-                take(i[keep], j[keep])
+                keep = s.near(i, s, j)
+                left.append(i[keep])
+                right.append(j[keep])
         for k in np.flatnonzero(~few).tolist():
             at = np.arange(start[k], start[k] + size[k])
             sides = [at, at] if one[k] else [at[c["side"][at] == 0], at[c["side"][at] == 1]]
-            i, j = chunk_pairs(sig[sides[0]], sig[sides[1]])
-            take(sides[0][i], sides[1][j])
+            i, j = chunk_pairs(s, *sides, c["component"])
+            left.append(i)
+            right.append(j)
         i, j = (c["doc_id"][np.concatenate(x)] for x in (left, right))
         pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -213,7 +264,7 @@ def minhash_components(docs: DataFrame) -> DataFrame:
     classes = materialise(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "set-classes")
     others = materialise(full.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).where("doc_id != rep").select("doc_id", "k1", "k2").distinct(), "class-copies")
     reps = full.join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, ["doc_id", "k1", "k2"], "left_anti")
-    sigs = reps.select("doc_id", "sig")
+    sigs = reps.select("doc_id", "n", "sig", "odd")
     # a key of very many documents is pre-aggregated, and its side of the join is one that Spark can split
     posts = reps.select("doc_id", F.explode("keys").alias("h"))
     meets = posts.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot != last")
@@ -230,7 +281,7 @@ def minhash_components(docs: DataFrame) -> DataFrame:
     met = posts.join(mixed, "h").join(sigs, "doc_id")
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     met = met.withColumn("chunk", chunk).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("h", F.least("chunk", "x").alias("lo"), F.greatest("chunk", "x").alias("hi"), (F.col("chunk") > F.col("x")).cast("int").alias("side"), "doc_id", "component", "sig")
+    met = met.select("h", F.least("chunk", "x").alias("lo"), F.greatest("chunk", "x").alias("hi"), (F.col("chunk") > F.col("x")).cast("int").alias("side"), "doc_id", "component", "n", "sig", "odd")
     met = met.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "doc_id")
     more = met.mapInArrow(_key_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     more = materialise(more, "key-pairs")

@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conforma.llm import minhash
 
@@ -65,3 +66,20 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
     got = sorted(map(tuple, minhash.minhash_components(df).collect()), key=str)
     assert got == sorted([(None, 5, None, True), (None, 0, None, True), (4, 5, 4, True), (4, 5, 4, True), (7, 5, 4, False)], key=str)
     assert minhash.minhash_components(df.limit(0)).count() == 0
+
+
+def test_parity_maps_never_drop_a_linked_pair():
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 40, 63, 65, 700, 9000):
+        pool = rng.integers(0, 1 << 63, size + size // 5 + 2, dtype=np.uint64)
+        for shared in range(size - size // 8 - 1, size + 1):
+            if shared < 0 or shared % 7 and size > 700:
+                continue
+            a, b = pool[:size], pool[size - shared : size + (size - shared) // 2]
+            maps = minhash.parity_maps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            s = minhash.Sketches(pa.array([bytes(2 * minhash.HASHES)] * 2, pa.binary()), np.array([len(a), len(b)]), pa.array(maps, pa.binary()))
+            if 100 * shared >= 80 * (len(a) + len(b) - shared):
+                assert s.near(np.array([0]), s, np.array([1])).all()
+    far = minhash.parity_maps(rng.integers(0, 1 << 63, 400, dtype=np.uint64), np.array([0, 200, 400]))
+    s = minhash.Sketches(pa.array([bytes(2 * minhash.HASHES)] * 2, pa.binary()), np.array([200, 200]), pa.array(far, pa.binary()))
+    assert not s.near(np.array([0]), s, np.array([1])).any()
