@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bootstrap import frame_index
+
 #: Residues between two atoms of a contact: more than so many apart.
 MIN_SEPARATION = 2
 #: Rows of a few numbers that may be broadcast; a topology of a thousand selected atoms has half a million pairs.
@@ -86,3 +88,25 @@ def stack_ensembles(parts: list[DataFrame]) -> DataFrame:
     if out is None:
         raise ValueError("no ensemble given")
     return out
+
+
+def number_ensembles(rep: DataFrame) -> DataFrame:
+    """A table of several ensembles with ensemble as the place in their order, in one scan: the ids, a row an ensemble, are counted and joined."""
+    ids = [r["ensemble"] for r in rep.select("ensemble").distinct().collect()]
+    numbers = rep.sparkSession.createDataFrame([(e, k) for k, e in enumerate(sorted(ids))], "id int, place int")
+    return rep.join(small(numbers, len(ids)), rep["ensemble"] == numbers["id"]).withColumn("ensemble", F.col("place")).drop("id", "place")
+
+
+def joined_trajectory(rep: DataFrame) -> DataFrame:
+    """(frame, ensemble, source_frame): all ensembles' frames as one trajectory, ensemble after ensemble in their order.
+
+    One dense index of the whole table gives each frame's place in its ensemble; the ensembles' sizes, a row each, give what lies before.
+    """
+    index = frame_index(rep)
+    sizes = sorted((r["ensemble"], r["n"]) for r in rep.groupBy("ensemble").agg(F.count("*").alias("n")).collect())
+    before, offsets = 0, []
+    for e, n in sizes:
+        offsets.append((e, before))
+        before += n
+    named = rep.sparkSession.createDataFrame(offsets, "id int, before long")
+    return index.join(small(named, len(offsets)), index["ensemble"] == named["id"]).select((F.col("idx") + F.col("before")).alias("frame"), "ensemble", F.col("frame").alias("source_frame"))

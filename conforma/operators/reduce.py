@@ -1,7 +1,7 @@
 """Projection of frames to two dimensions: principal components, metric scaling, and stochastic neighbour embedding.
 
-Principal components run distributed at any size. The other two are quadratic in frames: they run on a bounded number of
-landmark frames, chosen by hash, and place every other frame by its nearest landmarks in a distributed map.
+All three run distributed on all frames (see components and embedding). For very many frames the latter two also take landmarks: the
+plain method on so many frames, chosen by hash, and every other frame placed by its nearest landmarks.
 """
 
 from __future__ import annotations
@@ -10,31 +10,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import normalise_techniques
+from .components import OUT, pca
+from .embedding import PERPLEXITY, embed_all, scale_all
 
 SEED = 42
-LANDMARKS = 1000
 NEIGHBOURS = 5
 #: Query frames of distances_from() that the driver holds at most.
 MOST_QUERIES = 10_000
-PERPLEXITY = 30.0
-OUT = "ensemble int, frame long, c1 double, c2 double"
-
-
-def pca(wide: DataFrame) -> DataFrame:
-    """First two principal components of the centred, unscaled features; the largest loading of each is positive."""
-    rows = wide.select("ensemble", "frame", array_to_vector("vals").alias("x"))
-    centred = StandardScaler(inputCol="x", outputCol="c", withMean=True, withStd=False).fit(rows).transform(rows)
-    model = PCA(k=2, inputCol="c", outputCol="y").fit(centred)
-    loads = model.pc.toArray()
-    signs = np.sign(loads[np.abs(loads).argmax(axis=0), range(2)])
-    y = vector_to_array("y")
-    return model.transform(centred).select("ensemble", "frame", (y[0] * float(signs[0] or 1)).alias("c1"), (y[1] * float(signs[1] or 1)).alias("c2"))
 
 
 def distance_matrix(wide: DataFrame, queries: DataFrame | None = None) -> DataFrame:
@@ -173,14 +159,14 @@ def _by_landmarks(wide: DataFrame, embed: Callable[[np.ndarray], np.ndarray], la
     return rows.mapInArrow(place, OUT)
 
 
-def mds(wide: DataFrame, landmarks: int = LANDMARKS) -> DataFrame:
-    """Metric scaling to two dimensions (seeded). Up to landmarks frames it is the plain method on all frames."""
-    return _by_landmarks(wide, lambda x: scale_metric(_distances(x, x)), landmarks)
+def mds(wide: DataFrame, landmarks: int | None = None) -> DataFrame:
+    """Metric scaling to two dimensions (seeded) of all frames; with landmarks, of so many, with the others by their nearest ones."""
+    return scale_all(wide)[0] if landmarks is None else _by_landmarks(wide, lambda x: scale_metric(_distances(x, x)), landmarks)
 
 
-def tsne(wide: DataFrame, landmarks: int = LANDMARKS, perplexity: float = PERPLEXITY) -> DataFrame:
-    """Stochastic neighbour embedding to two dimensions (seeded). Up to landmarks frames it is the plain method on all frames."""
-    return _by_landmarks(wide, lambda x: neighbour_embedding(x, perplexity), landmarks)
+def tsne(wide: DataFrame, landmarks: int | None = None, perplexity: float = PERPLEXITY) -> DataFrame:
+    """Stochastic neighbour embedding to two dimensions (seeded) of all frames; with landmarks, of so many, with the others by their nearest ones."""
+    return embed_all(wide, perplexity) if landmarks is None else _by_landmarks(wide, lambda x: neighbour_embedding(x, perplexity), landmarks)
 
 
 def reduce(wide: DataFrame, technique: str) -> DataFrame:

@@ -6,7 +6,7 @@ from .functions.special import ERFC_A, ERFC_P
 from .operators.bootstrap import draw_table, pair_schedule
 from .operators.measures import POINTS, PROBE, RADII
 from .plans.figures import PALETTE
-from .queries import GATE_SAMPLE, QUERY_FRAMES, REACH as NEAR, REF, S_NUM, SAMPLE, SEED
+from .queries import GATE_SAMPLE, NEAREST, ONE, QUERY_FRAMES, REACH as NEAR, REF, S_NUM, SAMPLE, SEED
 
 REP = """rep AS (SELECT CAST(label AS INT) AS ensemble, vec_id AS frame, CAST(i - 1 AS INT) AS feature, CAST(embedding[i] AS DOUBLE) AS value
   FROM embeddings, range(1, 65) t(i))"""
@@ -135,6 +135,24 @@ shut AS (SELECT ensemble, frame, atom, count(DISTINCT k) AS n FROM nb CROSS JOIN
 SELECT ensemble, frame, atom AS feature, {r(f'4.0::DOUBLE * pi() * {REACH} * {REACH} * ({POINTS} - coalesce(n, 0)) / {POINTS}')} AS value FROM (SELECT ensemble, frame, atom FROM xyz) LEFT JOIN shut USING (ensemble, frame, atom)"""
 
 
+def eigen(name: str, matrix: str) -> str:
+    """CTEs {name}(v, l): leading eigenvector, its largest entry positive, and eigenvalue of the list of lists m of a CTE, by squaring m thirteen times."""
+    return f"""{name}s AS (SELECT 0 AS k, m FROM {matrix} UNION ALL SELECT k + 1, [[x / t FOR x IN a] FOR a IN q]
+  FROM (SELECT k, q, list_sum([q[i][i] FOR i IN range(1, len(q) + 1)]) AS t FROM (SELECT k, [[list_dot_product(a, b) FOR b IN m] FOR a IN m] AS q FROM {name}s WHERE k < 13))),
+{name}c AS (SELECT [a FOR a, i IN m IF a[i] = list_max([b[j] FOR b, j IN m])][1] AS u FROM {name}s WHERE k = 13),
+{name}n AS (SELECT [x / sqrt(list_dot_product(u, u)) * (CASE WHEN list_max(u) >= -list_min(u) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) FOR x IN u] AS v FROM {name}c),
+{name} AS (SELECT v, list_dot_product(v, [list_dot_product(a, v) FOR a IN m]) AS l FROM {name}n, {matrix})"""
+
+
+COMPONENTS = f"""WITH RECURSIVE {REP}, mu AS (SELECT feature, avg(value) AS mu FROM rep GROUP BY feature),
+cen AS (SELECT ensemble, frame, feature, value - mu AS value FROM rep JOIN mu USING (feature)),
+cov AS (SELECT a.feature AS i, b.feature AS j, sum(a.value * b.value) / (count(*) - 1) AS c FROM cen a JOIN cen b ON a.frame = b.frame AND a.ensemble = b.ensemble GROUP BY ALL),
+m1 AS MATERIALIZED (SELECT list(a ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS a FROM cov GROUP BY i)), {eigen('e1', 'm1')},
+m2 AS MATERIALIZED (SELECT [[x - l * v[i] * v[j] FOR x, j IN a] FOR a, i IN m] AS m FROM m1, e1), {eigen('e2', 'm2')},
+wide AS (SELECT ensemble, frame, list(value ORDER BY feature) AS x FROM cen GROUP BY ensemble, frame),
+pc AS (SELECT ensemble, frame, {r('list_dot_product(x, e1.v)', 5)} AS c1, {r('list_dot_product(x, e2.v)', 5)} AS c2 FROM wide, e1, e2)"""
+
+
 def oracle_sql() -> dict[str, str]:
     all_v1 = f"WITH {LOCAL}, {boot('v1')}, {tests('ensemble, feature')}"
     all_v2 = f"WITH {LOCAL}, {boot('v2')}, {tests('ensemble')}"
@@ -178,6 +196,10 @@ def oracle_sql() -> dict[str, str]:
         "sasa": SASA,
         "near_atoms": f"WITH {XYZ}, nb AS (SELECT a.ensemble, a.frame, a.atom, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM xyz a JOIN xyz b ON a.ensemble = b.ensemble AND a.frame = b.frame AND a.atom <> b.atom) SELECT ensemble, frame, atom, CAST(count(*) FILTER (d < {NEAR}) AS BIGINT) AS near, {r(f'min(d) FILTER (d < {NEAR})')} AS nearest FROM nb GROUP BY ALL",
         "pairwise_distance_matrix": f"WITH {REP} SELECT a.frame AS frame_a, b.frame AS frame_b, {r('sqrt(sum((a.value - b.value) * (a.value - b.value)))')} AS d FROM rep a JOIN rep b ON a.feature = b.feature AND a.frame % {QUERY_FRAMES} = 0 AND a.frame <> b.frame GROUP BY a.frame, b.frame",
+        "nearest_frames": f"WITH {REP}, d AS (SELECT a.ensemble AS ea, a.frame AS frame_a, b.ensemble AS eb, b.frame AS frame_b, sqrt(sum((a.value - b.value) * (a.value - b.value))) AS d FROM rep a JOIN rep b ON a.feature = b.feature AND a.frame <> b.frame GROUP BY ALL) SELECT frame_a, CAST(row_number() OVER w AS INT) AS rank, frame_b, {r('d')} AS d FROM d WINDOW w AS (PARTITION BY frame_a ORDER BY d, eb, frame_b) QUALIFY row_number() OVER w <= {NEAREST}",
+        "pca": f"{COMPONENTS} SELECT ensemble, frame, c1, c2, {colour('ensemble')} AS colour FROM pc",
+        "pca_points": f"{COMPONENTS} SELECT frame, c1, c2 FROM pc WHERE ensemble = {ONE}",
+        "pca_variance": f"{COMPONENTS} SELECT CAST(1 AS INT) AS component, {r('l')} AS variance, {r('list_max(v)', 5)} AS largest FROM e1 UNION ALL SELECT CAST(2 AS INT), {r('l')}, {r('list_max(v)', 5)} FROM e2",
         "event_moments": f"SELECT CAST(ts AS DATE) AS day, event_type AS ensemble, CAST(count(value) AS BIGINT) AS n, {r('avg(value)', 4)} AS mean, {r('stddev_samp(value)', 4)} AS sd, {r('min(value)', 4)} AS lo, {r('max(value)', 4)} AS hi FROM events GROUP BY ALL",
     }
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import model
-from .operators import atoms, bootstrap, compare, density, measures, ranktest, reduce
+from .operators import atoms, bootstrap, compare, components, density, embedding, measures, ranktest, reduce
 from .plans import figures
 from .streaming.moments import windowed_moments
 
@@ -18,6 +18,8 @@ S_NUM, SAMPLE, SEED = 5, bootstrap.SAMPLE_SIZE, 0
 GATE_SAMPLE = 50
 #: Frames whose number this divides are compared with all frames.
 QUERY_FRAMES = 50
+#: Neighbours of nearest_frames, and the ensemble of pca_points.
+NEAREST, ONE = 15, 1
 #: Distance in nm under which near_atoms counts an atom.
 REACH = 0.8
 
@@ -219,18 +221,14 @@ def exclude_reference(spark, d):
 
 
 def stack_ensembles(spark, d):
-    wide = _embeddings(spark, d)
-    ids = [r["ensemble"] for r in wide.select("ensemble").distinct().orderBy("ensemble").collect()]
-    parts = [wide.where(F.col("ensemble") == e).drop("ensemble") for e in ids]
-    return atoms.stack_ensembles(parts).select("ensemble", "frame", rounded(F.element_at("vals", 1)).alias("f0"))
+    """Every ensemble, named by its place in their order: one scan."""
+    return atoms.number_ensembles(_embeddings(spark, d)).select("ensemble", "frame", rounded(F.element_at("vals", 1)).alias("f0"))
 
 
 def concat_trajectories(spark, d):
-    """All ensembles, in their order, as one trajectory."""
-    wide = _embeddings(spark, d)
-    index = bootstrap.frame_index(wide)
-    parts = [index.where(F.col("ensemble") == e).select(F.col("idx").alias("frame"), F.col("frame").alias("vec_id")) for e in sorted(compare.ensemble_sizes(wide))]
-    return atoms.concat_trajectories(parts).select("frame", "vec_id")
+    """All ensembles, in their order, as one trajectory: one index of the whole table."""
+    got = atoms.joined_trajectory(_embeddings(spark, d))
+    return got.select("frame", F.col("source_frame").alias("vec_id"))
 
 
 def heatmap_cells(spark, d):
@@ -277,8 +275,29 @@ def pairwise_distance_matrix(spark, d):
     return reduce.distances_from(wide.where(F.col("frame") % QUERY_FRAMES == 0), wide).select("frame_a", "frame_b", rounded("d").alias("d"))
 
 
+def nearest_frames(spark, d):
+    """The NEAREST nearest other frames of every frame, as the neighbour embedding finds them."""
+    got = embedding.nearest_frames(_embeddings(spark, d), NEAREST)
+    return got.select("frame_a", "rank", "frame_b", rounded("d").alias("d"))
+
+
 def pca(spark, d):
-    return figures.scatter(reduce.pca(_embeddings(spark, d)))
+    got = figures.scatter(reduce.pca(_embeddings(spark, d)))
+    return got.select("ensemble", "frame", rounded("c1", 5).alias("c1"), rounded("c2", 5).alias("c2"), "colour")
+
+
+def pca_points(spark, d):
+    """The projected frames of one ensemble."""
+    got = reduce.points_of(reduce.pca(_embeddings(spark, d)), ONE)
+    return got.select("frame", rounded("c1", 5).alias("c1"), rounded("c2", 5).alias("c2"))
+
+
+def pca_variance(spark, d):
+    """Variance along the first components, as sums over all features' covariances have it."""
+    _, loads, values = components.fit_components(_embeddings(spark, d))
+    rows = [(k + 1, float(v), float(loads[:, k].max())) for k, v in enumerate(values)]
+    got = spark.createDataFrame(rows, "component int, variance double, largest double")
+    return got.select("component", rounded("variance").alias("variance"), rounded("largest", 5).alias("largest"))
 
 
 def mds(spark, d):
@@ -295,13 +314,13 @@ def event_moments(spark, d):
     return got.select(F.col("window_start").cast("date").alias("day"), "ensemble", "n", *[rounded(c, 4).alias(c) for c in ("mean", "sd", "lo", "hi")])
 
 
-ROWS_ONLY = ("pca", "mds", "tsne")
+ROWS_ONLY = ("mds", "tsne")
 ALL = [
     atom_select, pair_distances, pair_degrees, contact_cb, contact_ca, bond_angle, bond_angle_v1, torsion, sasa, near_atoms, rep_long_to_wide,
     value_range, bandwidth, bandwidth_lineitem, kde_pdf, kde_pdf_events, jsd_local, jsd_global, bootstrap_draws, bootstrap_draws_v1,
     jsd_bootstrap, mann_whitney, mann_whitney_v1, significance_gate, compare_ensembles, compare_ensembles_v1, exclude_reference,
     stack_ensembles, concat_trajectories, heatmap_cells, heatmap_ticks, local_axis, combined_local, palette_global_bar, palette_global_line,
-    comparison_json, pairwise_distance_matrix, pca, mds, tsne, event_moments,
+    comparison_json, pairwise_distance_matrix, nearest_frames, pca, pca_points, pca_variance, mds, tsne, event_moments,
 ]
 
 

@@ -165,3 +165,66 @@ def test_comparison_and_records(spark, variant):
             C.compare(wide, 0, variant="v1")
     with pytest.raises(ValueError):
         C.compare(wide, 9)
+
+
+def plain_distances(wide, drawn, schedule, lo, hi):
+    """Distances of drawn samples from the textbook formulas, one value at a time."""
+    values = {(r["ensemble"], r["frame"]): r["vals"] for r in wide.collect()}
+    index = {(r["ensemble"], r["idx"]): r["frame"] for r in B.frame_index(wide).collect()}
+    grid, samples = np.linspace(lo, hi, 100), {}
+    for r in drawn.collect():
+        vals = values[r["source"], index[r["source"], r["idx"]]]
+        for f, v in enumerate(vals):
+            if "feature" not in r or r["feature"] == f:
+                samples.setdefault((r["ensemble"], r["draw"], f), []).extend([v] * int(r["weight"]))
+    dens = {}
+    for k, x in samples.items():
+        x = np.array(x)
+        h = x.std(ddof=1) * (len(x) * 0.75) ** -0.2
+        dens[k] = np.exp(-(((grid[:, None] - x) / h) ** 2) / 2).sum(axis=1)
+    out = {}
+    for e, f in {(e, f) for e, _, f in dens}:
+        for kind, pair, a, b in schedule:
+            out[e, kind, pair, f] = D.jensen_shannon(dens[e, a, f][None], dens[e, b, f][None])[0]
+    return out
+
+
+@pytest.mark.parametrize("variant", ["v1", "v2"])
+def test_distances_of_samples_equal_the_textbook(spark, variant, monkeypatch):
+    monkeypatch.setattr(B, "FEATURE_BLOCK", 2)
+    wide = ensembles(spark, n=(20, 25, 30), features=5)
+    drawn = B.draws(spark, {0: 20, 1: 25, 2: 30}, 0, 2, 40, 3, variant, 5)
+    got = B.sampled_distances(B.drawn_frames(wide, drawn), B.pair_schedule(2, variant), -5.0, 6.0, 5, 40)
+    want = plain_distances(wide, drawn, B.pair_schedule(2, variant), -5.0, 6.0)
+    rows = {(r["ensemble"], r["kind"], r["pair"], r["feature"]): r["value"] for r in got.collect()}
+    assert rows.keys() == want.keys() and all(rows[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+def test_degenerate_samples_stop_or_give_zero(spark):
+    wide = spark.createDataFrame([(e, f, [1.0, float(f)]) for e in (0, 1) for f in range(9)], WIDE)
+    with pytest.raises(Exception, match="no density"):
+        C.bootstrap_distances(wide, 0, 2, 10, lo=0.0, hi=9.0).collect()
+    rows = C.bootstrap_distances(wide, 0, 2, 10, lo=0.0, hi=9.0, on_degenerate="zero").collect()
+    assert {r["value"] for r in rows if r["feature"] == 0} == {0.0} and any(r["value"] > 0 for r in rows)
+
+
+def plain_ranks(rows):
+    """(n1, n2, rank sum, ties) of (kind, value) rows, by sorting."""
+    values = sorted(v for _, v in rows)
+    first = {v: values.index(v) for v in values}
+    count = {v: values.count(v) for v in values}
+    rank = lambda v: first[v] + (count[v] + 1) / 2
+    n1 = sum(k == "inter" for k, _ in rows)
+    return (float(n1), float(len(rows) - n1), sum(rank(v) for k, v in rows if k == "inter"), float(sum(c**3 - c for c in count.values())))
+
+
+@pytest.mark.parametrize("range_rows", [1, 7, 100_000])
+def test_ranks_by_ranges_equal_one_sort(spark, range_rows):
+    rng = np.random.default_rng(9)
+    # one group is far larger, one is all ties, and a value spans what cuts would be
+    groups = {0: np.round(rng.normal(size=400), 1), 1: np.full(30, 2.5), 2: rng.normal(size=3), 3: np.append(np.zeros(200), rng.normal(size=50))}
+    rows = [(g, "inter" if rng.random() < 0.4 else "intra", float(v)) for g, x in groups.items() for v in x]
+    df = spark.createDataFrame(rows, "g int, kind string, value double").repartition(5)
+    got = {r["g"]: (r["n1"], r["n2"], r["r1"], r["ties"]) for r in R.rank_sums(df, ["g"], range_rows).collect()}
+    assert got == {g: plain_ranks([(k, v) for h, k, v in rows if h == g]) for g in groups}
+    assert R.rank_sums(df.limit(0), ["g"], range_rows).count() == 0
