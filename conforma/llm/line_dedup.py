@@ -5,8 +5,9 @@
    word's hash. It is a total order, so lines with Jaccard >= t share a word among their first n - ceil(t n) + 1.
 3. Lines meet by these words. A word that occurs once meets nothing. Frequent words are split by length: a line goes to the
    keys of its own band of lengths and the one below, as lines of similar sets have lengths in the same or adjacent bands.
-   Very frequent words are split further, by the second common word (which lies among the first n - ceil(t n) + 2) and by
-   the exact lengths that the positional filter allows.
+   Very frequent words of lines of at most LONG words are split further, by the second common word (which lies among the first
+   n - ceil(t n) + 2) and by the exact lengths that the positional filter allows. Longer lines, of which this would make keys by
+   the cube of their words, keep the bands; lines that may have partners on both sides of LONG have keys of both kinds.
 4. Within a key, pairs must pass the length filter, the positional filter and a bound on the bits in which their parity
    signatures differ. In large keys each line first meets the earliest line alone, which settles groups of near copies without
    making their pairs; lines still open after that meet all earlier ones.
@@ -30,6 +31,8 @@ TABLE_BITS = 20
 #: Words on more lines are split by bands of lengths; beyond SPLIT_LINES by a second word and exact lengths.
 BAND_LINES = 512
 SPLIT_LINES = 1 << 14
+#: Lines of more different words have two keys a word at most, however frequent it is.
+LONG = 32
 #: Keys of at most so many lines are compared in full at once; in larger ones the earliest line comes first.
 SMALL_KEY = 512
 #: Classes of counts: steps to a doubling. Class 0 is a count of one.
@@ -111,7 +114,7 @@ def posting_rows(lines: DataFrame, table: DataFrame, threshold: float = THRESHOL
     low = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
     rows = rows.withColumn("p", F.col("n") - low + 1)
     # the words behind the prefix's are of use only if one of the prefix is split by a second word
-    first = F.when(F.shiftrightunsigned(F.get("t", F.col("p") - 1), 56) > splits, F.slice("t", 1, F.col("p") + 1))
+    first = F.when((F.col("n") <= LONG) & (F.shiftrightunsigned(F.get("t", F.col("p") - 1), 56) > splits), F.slice("t", 1, F.col("p") + 1))
     sign = "aggregate(t, 0L, (a, x) -> a ^ {})"
     bit = "shiftleft(1L, cast(x & 63 as int))"
     half = sign.format(f"case when x & 64 = {{}} then {bit} else 0L end")
@@ -139,7 +142,11 @@ def posting_rows(lines: DataFrame, table: DataFrame, threshold: float = THRESHOL
 
         return F.transform(lengths, at)
 
-    keys = F.when(rank <= bands, F.array(k(0))).when(rank <= splits, F.array(k(0, band), k(1, band - 1))).otherwise(F.flatten(F.transform(second, split)))
+    banded = F.array(k(0, band), k(1, band - 1))
+    # a line of at most LONG words may have a partner of more
+    both = F.when(F.col("n") > LONG * threshold - 1e-9, banded).otherwise(F.array().cast(rows.select(banded.alias("x")).schema["x"].dataType))
+    short = F.concat(both, F.flatten(F.transform(second, split)))
+    keys = F.when(rank <= bands, F.array(k(0))).when((rank <= splits) | (F.col("n") > LONG), banded).otherwise(short)
     rows = rows.select(F.explode_outer(keys).alias("e"), F.col("first").isNotNull().alias("loose"), "line", "doc_id", "line_no", "n", "pos", "s0", "s1").where(F.col("e").isNotNull())
     return rows.select("e.k", (F.col("e.side") + F.when(F.col("loose"), 3).otherwise(0)).alias("side"), "line", "doc_id", "line_no", "n", "pos", "s0", "s1")
 
@@ -248,14 +255,22 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if {"_doc", "_key", "_gone"} & set(docs.columns):
         raise ValueError("columns _doc, _key and _gone are reserved")
     docs = docs.drop("n_lines", "n_removed")
-    lists = removed_lines(docs, threshold).groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("_gone"), F.count("*").alias("c"))
+    # the numbers of removed lines in order, behind a -1: what stays lies between them
+    gone = F.array_sort(F.concat(F.array(F.lit(-1)), F.collect_list("line_no")))
+    lists = removed_lines(docs, threshold).groupBy("doc_id", "text_key").agg(gone.alias("_gone"), F.count("*").alias("c"))
     lists = materialise(lists, "lines-removed")
     # the numbers of a document's removed lines are within its text's size, so a broadcast is bounded by both counts
     size = lists.agg(F.count("*").alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("c")).first()
     lists = small(lists.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "_gone"), size["n"] + size["c"] // 2)
     joined = docs.join(lists, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+
+    def between(lines: Column) -> Column:
+        # slices of the lines, so that a text's work grows with its lines alone
+        cut = lambda k: F.slice(lines, F.get("_gone", k) + 2, F.coalesce(F.get("_gone", k + 1), F.size(lines)) - F.get("_gone", k) - 1)
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone") - 1), cut)), "\n")
+
+    kept = F.get(F.transform(F.array(F.split("text", "\n")), between), 0)
     out = {c: F.col(c) for c in docs.columns} | {"text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)}
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
+    n_removed = (F.size("_gone") - 1).cast("long")
     return joined.select(*(v.alias(c) for c, v in out.items()), n_lines.alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"))

@@ -89,9 +89,9 @@ def test_line_dedup_removes_exactly_the_later_similar_lines(spark, seed):
         assert r["n_removed"] == len(lines) - len(stay)
 
 
-@pytest.mark.parametrize("limits", [(2, 1 << 14, 512), (2, 8, 512), (2, 8, 6), (4, 1 << 14, 4), (512, 1 << 14, 512)])
+@pytest.mark.parametrize("limits", [(2, 1 << 14, 512, 32), (2, 8, 512, 32), (2, 8, 6, 32), (2, 8, 512, 16), (2, 8, 6, 3), (4, 1 << 14, 4, 32), (512, 1 << 14, 512, 32)])
 def test_line_dedup_splits_frequent_words_and_large_keys(spark, monkeypatch, limits):
-    for name, limit in zip(("BAND_LINES", "SPLIT_LINES", "SMALL_KEY"), limits):
+    for name, limit in zip(("BAND_LINES", "SPLIT_LINES", "SMALL_KEY", "LONG"), limits):
         monkeypatch.setattr(line_dedup, name, limit)
     rng = random.Random(9)
     rows = [(10000 + i, f"user u{i} logged in\nuser u{i % 90} in logged " + "again " * (i % 2)) for i in range(60)]
@@ -102,6 +102,22 @@ def test_line_dedup_splits_frequent_words_and_large_keys(spark, monkeypatch, lim
     assert got == removed_lines(rows)
 
 
+def test_a_long_line_of_frequent_words_has_few_keys(spark):
+    rows = [(i, f"w{i} " * 9) for i in range(2000)] + [(9000 + k, " ".join(f"w{i}" for i in range(2000 - k))) for k in range(3)]
+    lines = spark.createDataFrame([(k, d, 0, t.strip()) for k, (d, t) in enumerate(rows)], "line long, doc_id long, line_no int, low string")
+    posts = line_dedup.posting_rows(lines, line_dedup.rarity_table(lines), band_lines=1, split_lines=1)
+    assert posts.groupBy("line").count().agg({"count": "max"}).first()[0] <= 2 * 501
+    got = {(r["doc_id"], r["line_no"]) for r in line_dedup.removed_lines(frame(spark, rows)).collect()}
+    assert got == {(9001, 0), (9002, 0)}
+
+
+def test_texts_of_very_many_lines_are_rebuilt_in_order(spark):
+    keep = [f"line number{k} of{k * 7} its own{k * 3} text{k * 5}" for k in range(40_000)]
+    text = "\n".join(x for k, x in enumerate(keep) for x in ([x, x] if k % 2 else [x]))
+    r = line_dedup.dedup_lines(frame(spark, [(1, text), (2, "\n".join(keep[:5])), (3, "free\n\n")])).orderBy("doc_id").collect()
+    assert [x["n_removed"] for x in r] == [20_000, 5, 0] and [x["text"] for x in r] == ["\n".join(keep), "", "free\n\n"]
+
+
 def test_a_key_of_one_form_of_lines_is_split_by_lengths(spark):
     # a very frequent word of many short lines that differ in one word: no key holds two lines that could be compared
     lines = spark.createDataFrame([(i, 10 * i, 0, f"user u{i} logged in") for i in range(200)], "line long, doc_id long, line_no int, low string")
