@@ -1,26 +1,31 @@
 """Licence scans: normalised units of a text against licence templates, by the Dice coefficient over word bigrams.
 
 Units are the lines of a text, the text as a whole, and runs of adjacent sentences (a line's end also ends a sentence), so
-notices that wrap over lines or share a line with other text are found too. Long licences are found by the passages with which
-their texts open. Templates of more than RUN_BIGRAMS bigrams, if any are given, are compared with lines and whole texts alone. Only DataFrame functions are used. A unit is
+notices that wrap over lines or share a line with other text are found too. Only DataFrame functions are used. A unit is
 compared only with templates whose size allows the wanted Dice value (2 min(a, b) / (a + b) bounds it); units without any
 of the words that a match must have, and units too large for all templates, are dropped before any bigram is made. Runs
 begin and end in sentences with a bigram of the template, and only where so many lie close enough for a match.
+
+Whole texts of long licences (folder license_texts) are templates too. Words hardly tell such matches, but any of their units
+shares t / (2 - t) of the template's bigrams, and so does its text: texts large enough are counted by hashed bigrams, and only
+those with as many are looked at further. A run of a long template is the stretch of sentences with the largest sum of 2 c - t n
+(c shared and n own bigrams, each counted where it first occurs): Dice is t or more where 2 c - t n is t times the template's size.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import reduce
+from functools import lru_cache, reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, small
 
 THRESHOLD = 0.8
-#: Templates of more bigrams are compared with lines and whole texts, not with runs of sentences.
+#: Templates of more bigrams are long: their texts are found by counts of bigrams, their runs by sums over sentences.
 RUN_BIGRAMS = 400
 #: Ends a sentence within a line.
 SENTENCE_GAP = r"(?<=[.!?;:])[ \t]+"
@@ -104,18 +109,10 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
-# The passages with which the texts of long licences open.
-OPENINGS = {
-    "Apache-2.0": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions.",
-    "CC0-1.0": "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP.",
-    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
-    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
-    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
-    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
-    "MPL-2.0": "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
-}
-for _name, _text in OPENINGS.items():
-    TEMPLATES.setdefault(_name, []).append(_text)
+# The whole texts of long licences, as published, one file each.
+FILES = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+for _name, _file in FILES.items():
+    TEMPLATES.setdefault(_name, []).append((Path(__file__).parent / "license_texts" / f"{_file}.txt").read_text(encoding="utf-8"))
 
 
 def normalised(text: Column) -> Column:
@@ -130,26 +127,40 @@ def bigrams(norm: Column) -> Column:
     return F.when(norm == "", F.array().cast("array<string>")).when(F.size(words) == 1, words).otherwise(F.array_distinct(pairs))
 
 
-def template_bigrams(spark, templates: dict[str, list[str]]) -> DataFrame:
+def _named(templates: dict) -> list[tuple[str, str, str]]:
+    """(license, template, text): templates are named by licence and place, or as given by a dict of names."""
+    return [(name, *x) for name, texts in templates.items() for x in (texts.items() if isinstance(texts, dict) else ((f"{name}#{k}", t) for k, t in enumerate(texts)))]
+
+
+def template_bigrams(spark, templates: dict) -> DataFrame:
     """(license, template, t_size, bigram): as many rows as the given templates have bigrams, however large the corpus is."""
-    rows = [(name, f"{name}#{k}", text) for name, texts in templates.items() for k, text in enumerate(texts)]
+    rows = [(name, template, text) for name, template, text in _named(templates)]
     table = spark.createDataFrame(rows, "license string, template string, t_text string").withColumn("_b", bigrams(normalised(F.col("t_text"))))
     return table.select("license", "template", F.size("_b").alias("t_size"), F.explode_outer("_b").alias("bigram"))
 
 
-def _template_pairs(text: str) -> set[tuple[str, ...]]:
+@lru_cache(maxsize=256)
+def _template_pairs(text: str) -> frozenset[tuple[str, ...]]:
     """Word pairs of a template, as bigrams() makes them."""
     words = re.sub("[^A-Za-z0-9]+", " ", text).strip().lower().split(" ")
-    return set(zip(words, words[1:])) or {(words[0],)}
+    return frozenset(zip(words, words[1:])) or frozenset({(words[0],)})
 
 
-def needed_words(templates: dict[str, list[str]], threshold: float) -> list[str]:
+def by_size(templates: dict[str, list[str]]) -> tuple[dict, dict]:
+    """(short, long): templates by licence and name, parted by RUN_BIGRAMS."""
+    out: tuple[dict, dict] = ({}, {})
+    for name, template, text in _named(templates):
+        out[len(_template_pairs(text)) > RUN_BIGRAMS].setdefault(name, {})[template] = text
+    return out
+
+
+def needed_words(templates: dict, threshold: float) -> list[str]:
     """Words of which every unit that matches some template has at least one.
 
     A match shares at least t / (2 - t) of the template's b pairs, so words are taken until fewer of each template's pairs
     have none of them: first the word that leads most templates nearer to that, long words before short ones.
     """
-    open_ = [(pairs, len(pairs) * threshold / (2 - threshold)) for texts in templates.values() for pairs in map(_template_pairs, texts)]
+    open_ = [(pairs, len(pairs) * threshold / (2 - threshold)) for pairs in (_template_pairs(text) for *_, text in _named(templates))]
     found: list[str] = []
     while open_ := [(rest, need) for pairs, need in open_ if len(rest := {p for p in pairs if not any(v in w for v in found for w in p)}) >= need - 1e-9]:
         uses = Counter(w for rest, _ in open_ for w in {w for p in rest for w in p})
@@ -167,30 +178,58 @@ def _has_word(low: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
 
 
-def _texts(docs: DataFrame, words: list[str]) -> DataFrame:
-    """_d, _h (never null: of doc_id and text), doc_id and text of the texts with any of words."""
-    rows = _once(documents(docs), F.lower("text"), "low").where(_has_word(F.col("low"), words)).drop("low")
+def _keyed(rows: DataFrame) -> DataFrame:
+    """_d, _h (never null: of doc_id and text), doc_id and text."""
     return rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), F.xxhash64("text").alias("_h"), "doc_id", "text")
 
 
-def scan_units(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, _d, _h, unit, license, template, dice) of every unit and template with dice >= threshold; unit 0 is the whole text, 1.. its lines."""
-    templates = templates or TEMPLATES
-    sizes = sorted({len(_template_pairs(t)) for texts in templates.values() for t in texts})
-    words = needed_words(templates, threshold)
+def _texts(docs: DataFrame, words: list[str]) -> DataFrame:
+    """_keyed rows of the texts with any of words."""
+    return _keyed(_once(documents(docs), F.lower("text"), "low").where(_has_word(F.col("low"), words)).drop("low"))
+
+
+def long_texts(docs: DataFrame, templates: dict, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Stored (_keyed rows, and _d, _h, license, template, t_size) of the texts that share as many bigrams with a long template as a match must.
+
+    Bigrams are counted by 64-bit hashes, whose collisions could only add texts. Texts too short for any template are left out.
+    """
+    table = template_bigrams(docs.sparkSession, templates)
+    words = F.split("bigram", " ")
+    hashed = table.select("license", "template", "t_size", F.xxhash64(F.get(words, 0), F.get(words, 1)).alias("g")).where("g IS NOT NULL")
+    share = threshold / (2 - threshold)
+    least = min(len(_template_pairs(text)) for *_, text in _named(templates)) * share
+    # m pairs take m + 1 words, and these as many letters and gaps between
+    rows = _keyed(documents(docs).where(F.octet_length("text") >= int(2 * least)))
+    rows = _once(rows.select("_d", "_h", "text"), F.split(normalised(F.col("text")), " "), "w").drop("text").where(F.size("w") > least)
+    pairs = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.xxhash64(a, b)))
+    # equal texts of a doc_id would count twice: counts are of one of them
+    met = rows.withColumn("row", F.monotonically_increasing_id()).select("_d", "_h", "row", F.explode(pairs).alias("g")).join(F.broadcast(hashed), "g")
+    counts = met.groupBy("_d", "_h", "row", "license", "template", "t_size").agg(F.count("*").alias("c"))
+    found = materialise(counts.where(F.col("c") >= F.col("t_size") * share - 1e-9).select("_d", "_h", "license", "template", "t_size").distinct(), "license-candidates")
+    ids = found.select("_d", "_h").distinct()
+    texts = _keyed(documents(docs)).join(small(ids, ids.count()), ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"])
+    return materialise(texts, "license-texts"), found
+
+
+def scan_units(base: DataFrame, templates: dict, threshold: float = THRESHOLD, words: list[str] | None = None) -> DataFrame:
+    """(doc_id, _d, _h, unit, license, template, dice) of every unit and template with dice >= threshold; unit 0 is the whole text, 1.. its lines.
+
+    base: _keyed rows, each _d, _h once. words: if given, every matching unit has one of them.
+    """
+    sizes = sorted({len(_template_pairs(text)) for *_, text in _named(templates)})
 
     # 2 min(a, b) / (a + b) >= t holds if a lies between b t / (2 - t) and b (2 - t) / t
     allowed = reduce(lambda a, b: a | b, [F.col("n").between(s * threshold / (2 - threshold) - 1e-9, s * (2 - threshold) / threshold + 1e-9) for s in sizes])
-    base = _texts(docs, words).dropDuplicates(["_d", "_h"])
     rows = base.select("doc_id", "_d", "_h", F.posexplode(F.split("text", "\n")).alias("k", "t")).select("doc_id", "_d", "_h", (F.col("k") + 1).alias("unit"), "t")
-    rows = _once(rows, F.lower("t"), "low").where(_has_word(F.col("low"), words)).drop("low")
+    if words:
+        rows = _once(rows, F.lower("t"), "low").where(_has_word(F.col("low"), words)).drop("low")
     # a text of one line is its own unit
     whole = base.where(F.instr("text", "\n") > 0).select("doc_id", "_d", "_h", F.lit(0).alias("unit"), F.col("text").alias("t"))
     units = _once(rows.unionByName(whole), normalised(F.col("t")), "w").drop("t").where(F.col("w") != "")
     # k different words make k - 1 different pairs at least, so long texts are dropped before their pairs are made
     units = units.where(F.size(F.array_distinct(F.split("w", " "))) - 1 <= max(sizes) * (2 - threshold) / threshold + 1e-9)
     units = _once(units, bigrams(F.col("w")), "_b").withColumn("n", F.size("_b")).where(allowed)
-    table = F.broadcast(template_bigrams(docs.sparkSession, templates))
+    table = F.broadcast(template_bigrams(base.sparkSession, templates))
     joined = units.select("doc_id", "_d", "_h", "unit", "n", F.explode("_b").alias("bigram")).join(table, "bigram")
     joined = joined.where(F.col("n").between(F.col("t_size") * threshold / (2 - threshold) - 1e-9, F.col("t_size") * (2 - threshold) / threshold + 1e-9))
     counted = joined.groupBy("doc_id", "_d", "_h", "unit", "n", "license", "template", "t_size").agg(F.count("*").alias("c"))
@@ -198,29 +237,41 @@ def scan_units(docs: DataFrame, templates: dict[str, list[str]] | None = None, t
     return counted.withColumn("dice", dice).where(F.col("dice") >= threshold).select("doc_id", "_d", "_h", "unit", "license", "template", "dice")
 
 
-def scan_runs(docs: DataFrame, hits: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, _d, _h, unit, license, dice) of runs of adjacent sentences with dice >= threshold; unit is -1 - the run's first sentence.
+def sentence_pairs(base: DataFrame, hits: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """doc_id, _d, _h, pos, seg, part, to_part, bigram: word pairs of the lines that aren't in hits (stored rows of scan_units).
 
-    hits: stored rows of scan_units. A run lies between the lines in them, and a text has none of a licence that it
-    matches as a whole. Of runs that overlap, one counts if none of them has a larger dice times shared bigrams. A run's shared bigrams lie within as many words as the
-    largest unit allowed for its template has bigrams.
+    seg: matching lines before; part, to_part: sentences of the pair's words, counted over the text's other lines; pos: place of the pair.
     """
-    templates = {name: [t for t in texts if len(_template_pairs(t)) <= RUN_BIGRAMS] for name, texts in (templates or TEMPLATES).items()}
-    words = needed_words(templates, threshold)
-    key = ["_d", "_h"]
-    known = hits.groupBy(*key).agg(F.collect_set("unit").alias("_lines"))
-    rows = _texts(docs, words).dropDuplicates(key).join(known, key, "left").withColumn("_lines", F.coalesce("_lines", F.array().cast("array<int>")))
-    # lines that match by themselves part the text: seg counts those before
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("t")))
-    lines = F.filter(lines, lambda x: ~F.array_contains("_lines", x["line"]))
-    left = _once(rows, lines, "_rest").where(F.exists("_rest", lambda x: _has_word(F.lower(x["t"]), words)))
-    parts = F.flatten(F.transform("_rest", lambda x: F.transform(F.split(x["t"], SENTENCE_GAP), lambda t: F.struct(F.size(F.filter("_lines", lambda k: k < x["line"])).alias("seg"), normalised(t).alias("t")))))
+    cuts = F.array_sort(F.concat(F.array(F.lit(0)), F.collect_set(F.when(F.col("unit") > 0, F.col("unit")))))
+    known = hits.groupBy("_d", "_h").agg(cuts.alias("_cuts"))
+    rows = base.join(known, ["_d", "_h"], "left").withColumn("_cuts", F.coalesce("_cuts", F.array(F.lit(0))))
+
+    def rest(lines: Column) -> Column:
+        # slices between the matching lines, so that a text's work grows with its lines alone
+        def seg(k: Column) -> Column:
+            some = F.slice(lines, F.get("_cuts", k) + 1, F.coalesce(F.get("_cuts", k + 1), F.size(lines) + 1) - F.get("_cuts", k) - 1)
+            return F.transform(some, lambda t: F.struct(k.alias("seg"), t.alias("t")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size("_cuts") - 1), seg))
+
+    left = _once(rows, F.get(F.transform(F.array(F.split("text", "\n")), rest), 0), "_rest")
+    if words:
+        left = left.where(F.exists("_rest", lambda x: _has_word(F.lower(x["t"]), words)))
+    parts = F.flatten(F.transform("_rest", lambda x: F.transform(F.split(x["t"], SENTENCE_GAP), lambda t: F.struct(x["seg"].alias("seg"), normalised(t).alias("t")))))
     left = _once(left.drop("text"), F.filter(parts, lambda x: x["t"] != ""), "_parts")
     flat = F.flatten(F.transform("_parts", lambda x, i: F.transform(F.split(x["t"], " "), lambda w: F.struct(x["seg"].alias("seg"), i.alias("part"), w.alias("w")))))
     left = _once(left, flat, "_w").where(F.size("_w") > 1)
     pairs = F.zip_with(F.slice("_w", 1, F.size("_w") - 1), F.slice("_w", 2, F.size("_w") - 1), lambda a, b: F.struct(a["seg"].alias("seg"), b["seg"].alias("to_seg"), a["part"].alias("part"), b["part"].alias("to_part"), F.concat_ws(" ", a["w"], b["w"]).alias("bigram")))
-    pairs = left.select("doc_id", *key, F.posexplode(pairs).alias("pos", "x")).select("doc_id", *key, "pos", "x.*").where(F.col("seg") == F.col("to_seg"))
-    table = template_bigrams(docs.sparkSession, templates)
+    pairs = left.select("doc_id", "_d", "_h", F.posexplode(pairs).alias("pos", "x")).select("doc_id", "_d", "_h", "pos", "x.*")
+    return pairs.where(F.col("seg") == F.col("to_seg")).drop("to_seg")
+
+
+def short_runs(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """A stored table of doc_id, _d, _h, seg, license, template, t_size, i, j: runs of sentences i..j that may match a template of table.
+
+    A run's shared bigrams lie within as many words as the largest unit allowed for its template has bigrams.
+    """
+    key = ["_d", "_h"]
     share, most = F.col("t_size") * (threshold / (2 - threshold)), F.col("t_size") * ((2 - threshold) / threshold) + 1e-9
     met = pairs.join(F.broadcast(table), "bigram")
     # sentences of a template by the place of their first and last shared pair; a sum of counts bounds the distinct pairs
@@ -238,19 +289,47 @@ def scan_runs(docs: DataFrame, hits: DataFrame, templates: dict[str, list[str]]
     # a pair may end in the next sentence, so a run may end there as well as in its last first word's sentence
     last = spots.where(F.col("_back") >= share - 1e-9).select(*within, "_cell", "lo", "_upto", "hi", "part", F.explode(F.array_distinct(F.array("part", "to_part"))).alias("j"))
     runs = first.join(last, [*within, "_cell"]).where((F.col("part") >= F.col("i")) & (F.col("j") >= F.col("i")) & (F.col("lo") - F.col("_from") <= most) & (F.col("_upto") - F.col("_before") >= share - 1e-9))
-    runs = materialise(runs.select("doc_id", *key, "seg", "license", "template", "t_size", "i", "j").distinct(), "license-runs")
+    return materialise(runs.select("doc_id", *key, "seg", "license", "template", "t_size", "i", "j").distinct(), "license-runs")
+
+
+def long_runs(pairs: DataFrame, table: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """A stored table like that of short_runs, with the best stretch of sentences of each seg for each template in found (see long_texts)."""
+    key = ["_d", "_h", "seg"]
+    firsts = pairs.groupBy("doc_id", *key, "bigram").agg(F.min(F.struct("part", "to_part")).alias("f")).select("doc_id", *key, "bigram", "f.part")
+    own = firsts.groupBy("doc_id", *key, "part").agg(F.count("*").alias("n")).join(found, ["_d", "_h"])
+    shared = firsts.join(F.broadcast(table.select("template", "bigram")), "bigram").groupBy(*key, "template", "part").agg(F.count("*").alias("c"))
+    rows = own.join(shared, [*key, "template", "part"], "left").withColumn("s", 2 * F.coalesce("c", F.lit(0)) - threshold * F.col("n"))
+    upto = Window.partitionBy(*key, "template").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sum", F.sum("s").over(upto)).withColumn("low", F.min(F.struct((F.col("sum") - F.col("s")).alias("before"), F.col("part").alias("i"))).over(upto))
+    best = rows.groupBy("doc_id", *key, "license", "template", "t_size").agg(F.max(F.struct((F.col("sum") - F.col("low.before")).alias("gain"), (-F.col("part")).alias("j"), F.col("low.i").alias("i"))).alias("b"))
+    return materialise(best.where(F.col("b.gain") > 0).select("doc_id", *key, "license", "template", "t_size", F.col("b.i").alias("i"), (-F.col("b.j")).alias("j")), "license-runs")
+
+
+def measured_runs(runs: DataFrame, pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, _d, _h, i, j, license, c, dice of the stored runs with dice >= threshold; pairs: see sentence_pairs."""
+    key = ["_d", "_h"]
     ranges = runs.select(*key, "i", "j").distinct().select("*", F.explode(F.sequence("i", "j")).alias("part"))
     unit = pairs.select(*key, "part", "to_part", "bigram").join(ranges, [*key, "part"]).where(F.col("to_part") <= F.col("j")).select(*key, "i", "j", "bigram").distinct()
     size = Window.partitionBy(*key, "i", "j")
     shared = unit.withColumn("n", F.count("*").over(size)).join(F.broadcast(table.select("template", "bigram")), "bigram").groupBy(*key, "i", "j", "template").agg(F.count("*").alias("c"), F.first("n").alias("n"))
     found = runs.join(shared, [*key, "i", "j", "template"]).withColumn("dice", 2 * F.col("c") / (F.col("n") + F.col("t_size"))).where(F.col("dice") >= threshold)
+    return found.select("doc_id", *key, "i", "j", "license", "c", "dice")
+
+
+def best_runs(found: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, _d, _h, unit, license, dice) of measured runs; unit is -1 - the run's first sentence.
+
+    A text has no run of a licence that it matches as a whole. Of runs that overlap, one counts if none of them has a larger dice
+    times shared bigrams.
+    """
+    key = ["_d", "_h"]
     found = found.join(hits.where("unit = 0").select(*key, "license").distinct(), [*key, "license"], "left_anti")
-    found = materialise(found.select("doc_id", *key, "i", "j", "license", "c", "dice"), "license-found")
+    found = materialise(found, "license-found")
     # the best run at each of its sentences
     order = F.struct((-F.col("dice") * F.col("c")).alias("s"), "i", "j", "license", (-F.col("dice")).alias("d"))
     best = found.select("doc_id", *key, "i", "j", order.alias("o"), F.explode_outer(F.sequence("i", "j")).alias("part")).groupBy("doc_id", *key, "part").agg(F.min("o").alias("o"))
     stay = best.groupBy("doc_id", *key, "o").agg(F.count("*").alias("k")).where(F.col("k") == F.col("o.j") - F.col("o.i") + 1)
-    return stay.select("doc_id", "_d", "_h", (-1 - F.col("o.i")).alias("unit"), F.col("o.license").alias("license"), (-F.col("o.d")).alias("dice"))
+    return stay.select("doc_id", *key, (-1 - F.col("o.i")).alias("unit"), F.col("o.license").alias("license"), (-F.col("o.d")).alias("dice"))
 
 
 def scan_documents(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -260,8 +339,24 @@ def scan_documents(docs: DataFrame, templates: dict[str, list[str]] | None = Non
     Rows with a null doc_id count as one document. Rows with equal doc_id and text are one; of different texts that share a
     doc_id the units add up. Other columns are ignored; an empty table gives an empty result.
     """
-    hits = materialise(scan_units(docs, templates, threshold), "license-hits")
-    hits = hits.select("doc_id", "_d", "_h", "unit", "license", "dice").unionByName(scan_runs(docs, hits, templates, threshold))
+    short, long = by_size(templates or TEMPLATES)
+    units, scans = [], []
+    if short:
+        words = needed_words(short, threshold)
+        base = _texts(docs, words).dropDuplicates(["_d", "_h"])
+        units.append(scan_units(base, short, threshold, words))
+    if long:
+        texts, candidates = long_texts(docs, long, threshold)
+        units.append(scan_units(texts, long, threshold))
+    hits = materialise(reduce(DataFrame.unionByName, units), "license-hits")
+    if short:
+        pairs, table = sentence_pairs(base, hits, words), template_bigrams(docs.sparkSession, short)
+        scans.append(measured_runs(short_runs(pairs, table, threshold), pairs, table, threshold))
+    if long:
+        pairs, table = sentence_pairs(texts, hits), template_bigrams(docs.sparkSession, long)
+        scans.append(measured_runs(long_runs(pairs, table, candidates, threshold), pairs, table, threshold))
+    runs = best_runs(reduce(DataFrame.unionByName, scans), hits)
+    hits = hits.select("doc_id", "_d", "_h", "unit", "license", "dice").unionByName(runs)
     best = hits.groupBy("doc_id").agg(F.countDistinct("_h", "unit").alias("n_matches"), F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("b"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     none = ids.select("doc_id", F.lit(0).cast("long").alias("n_matches"), F.lit(None).cast("struct<d:double,license:string>").alias("b"))

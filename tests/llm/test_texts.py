@@ -321,7 +321,7 @@ def test_licence_scans_against_plain_dice(spark):
 def test_licence_scans_find_whole_licences_and_count_equal_rows_once(spark):
     from pathlib import Path
 
-    files = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").iterdir())}
+    files = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(licenses.__file__).parent / "license_texts").iterdir())}
     names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0"}
     want = [names.get(n, n) for n in files] + ["MIT", "BSD-3-Clause"]
     rows = list(enumerate([*files.values(), licenses.MIT_TEXT, licenses.TEMPLATES["BSD-3-Clause"][-1]]))
@@ -332,6 +332,53 @@ def test_licence_scans_find_whole_licences_and_count_equal_rows_once(spark):
     assert all(0.8 <= got[k][1] <= 1 for k in got) and got[50] == ("MIT", 1.0, 1) and got[51][2] == 2
 
 
+def test_long_licences_are_found_by_their_bodies_alone(spark):
+    from pathlib import Path
+
+    rng = random.Random(14)
+    prose = "\n".join(" ".join(f"w{rng.randrange(900)}" for _ in range(11)) + "." for _ in range(300))
+    folder = Path(licenses.__file__).parent / "license_texts"
+    read = {n: (folder / f"{f}.txt").read_text(encoding="utf-8") for n, f in licenses.FILES.items()}
+    # bodies: without the opening, and without the appendix on how to apply them (which holds other notices)
+    body = {n: t[len(t) // 20 :].split("END OF TERMS AND CONDITIONS")[0] for n, t in read.items()}
+    rows = [(k, body[n]) for k, n in enumerate(read)] + [(20 + k, f"{prose}\n{body[n]}\n{prose}") for k, n in enumerate(read)]
+    # a heading without a body, half a body, a body on one line, and two licences in one file
+    rows += [(40, "\n".join(read["GPL-3.0"].split("\n")[:8]) + "\n" + prose), (41, read["MPL-2.0"][: len(read["MPL-2.0"]) // 2] + prose)]
+    rows += [(42, prose + "\n" + " ".join(body["Apache-2.0"].split()) + "\n"), (43, f"{body['Apache-2.0']}\n{prose}\n{body['MPL-2.0']}"), (44, None), (45, "")]
+    got = {r["doc_id"]: r for r in licenses.scan_documents(frame(spark, rows)).collect()}
+    # the Mozilla licence's exhibit is a line that matches by itself
+    for k, n in enumerate(read):
+        assert got[k]["license"] == n and got[20 + k]["license"] == n and got[20 + k]["n_matches"] == 1 + (n == "MPL-2.0") and got[20 + k]["dice"] > 0.85, (n, got[k], got[20 + k])
+    assert [got[k]["n_matches"] for k in (40, 41, 44, 45)] == [0] * 4
+    assert (got[42]["license"], got[42]["n_matches"]) == ("Apache-2.0", 1) and got[43]["n_matches"] == 3
+
+
+def test_candidates_of_long_licences_lose_no_match(spark):
+    from pathlib import Path
+
+    # texts that share ever less of a licence: those that a plain count keeps are the candidates
+    text = (Path(licenses.__file__).parent / "license_texts" / "CC0-1.0.txt").read_text(encoding="utf-8")
+    words = text.split(" ")
+    rng = random.Random(15)
+    rows = []
+    for k in range(40):
+        w = words[:]
+        for _ in range(k * 8):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    _, long = licenses.by_size({"CC0-1.0": [text]})
+    texts, found = licenses.long_texts(frame(spark, rows), long)
+    own = licenses._template_pairs(text)
+    want = {k for k, t in rows if len(licenses._template_pairs(t) & own) >= len(own) * 0.8 / 1.2 - 1e-9}
+    assert {r["doc_id"] for r in texts.collect()} == want and 5 < len(want) < 40 and found.count() == len(want)
+
+
+def test_licence_scans_of_very_many_lines(spark):
+    lines = ["Released under the MIT License." if k % 2 else f"plain line {k} of text" for k in range(20_000)]
+    r = licenses.scan_documents(frame(spark, [(1, "\n".join(lines))])).first()
+    assert (r["n_matches"], r["license"]) == (10_000, "MIT")
+
+
 def test_licence_scans_find_wrapped_notices_and_sentences(spark):
     import textwrap
 
