@@ -53,6 +53,8 @@ def pair_distances(frames: DataFrame, pairs: DataFrame) -> DataFrame:
         d = axis(k)
         return F.when(F.col("cell").isNull(), d).otherwise(d - F.element_at("cell", k + 1) * F.rint(d / F.element_at("cell", k + 1)))
 
+    skewed = F.raise_error(F.lit("distances of pairs need orthorhombic cells; measures take skewed ones")).cast("array<double>")
+    frames = frames.withColumn("cell", F.when(F.size("cell") > 3, skewed).otherwise(F.col("cell")))
     met = frames.crossJoin(F.broadcast(pairs))
     square = sum((image(k) * image(k) for k in range(3)), F.lit(0.0))
     return met.select("ensemble", "frame", "i", "j", F.sqrt(square).alias("d"))

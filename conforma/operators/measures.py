@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..model import normalise_measure
 from .atoms import MIN_SEPARATION
+from .cells import as_cells, nearest_image
 
 STEEPNESS = 50.0
 MIDPOINT = 1.0
@@ -29,23 +30,13 @@ RADII = {"H": 0.120, "C": 0.170, "N": 0.155, "O": 0.152, "F": 0.147, "P": 0.180,
 WIDE = "ensemble int, frame long, vals array<double>"
 
 
-def _imaged(d: np.ndarray, cell: np.ndarray | None) -> np.ndarray:
-    """Differences (frames, ..., 3) in the nearest image of an orthorhombic box."""
-    if cell is None:
-        return d
-    box = cell.reshape(len(cell), *[1] * (d.ndim - 2), 3)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        moved = d - box * np.rint(d / box)
-    return np.where(np.isfinite(box) & (box > 0), moved, d)
-
-
 def contact_numbers(xyz: np.ndarray, atoms: np.ndarray, residues: np.ndarray, cell: np.ndarray | None = None) -> np.ndarray:
     far = np.abs(residues[:, None] - residues[None, :]) > MIN_SEPARATION
     out = np.zeros((len(xyz), len(atoms)))
     p = xyz[:, atoms]
     for i in range(len(atoms)):
         j = np.flatnonzero(far[i])
-        d = _imaged(p[:, j] - p[:, i : i + 1], cell)
+        d = nearest_image(p[:, j] - p[:, i : i + 1], cell)
         power = np.clip(STEEPNESS * (np.sqrt((d * d).sum(axis=2)) - MIDPOINT), -LIMIT, LIMIT)
         out[:, i] = (1 / (1 + np.exp(power))).sum(axis=1)
     return out
@@ -55,7 +46,7 @@ def bond_angles(xyz: np.ndarray, atoms: np.ndarray, cell: np.ndarray | None = No
     p = xyz[:, atoms]
     if len(atoms) < 3:
         return np.zeros((len(xyz), 0))
-    u, v = _imaged(p[:, :-2] - p[:, 1:-1], cell), _imaged(p[:, 2:] - p[:, 1:-1], cell)
+    u, v = nearest_image(p[:, :-2] - p[:, 1:-1], cell), nearest_image(p[:, 2:] - p[:, 1:-1], cell)
     dot = (u * v).sum(axis=2) / (np.sqrt((u * u).sum(axis=2)) * np.sqrt((v * v).sum(axis=2)))
     return np.arccos(np.clip(dot, -1, 1))
 
@@ -63,7 +54,7 @@ def bond_angles(xyz: np.ndarray, atoms: np.ndarray, cell: np.ndarray | None = No
 def torsions(xyz: np.ndarray, atoms: np.ndarray, cell: np.ndarray | None = None) -> np.ndarray:
     if len(atoms) < 4:
         return np.zeros((len(xyz), 0))
-    step = _imaged(np.diff(xyz[:, atoms], axis=1), cell)
+    step = nearest_image(np.diff(xyz[:, atoms], axis=1), cell)
     a, b, c = step[:, :-2], step[:, 1:-1], step[:, 2:]
     bc, ab = np.cross(b, c), np.cross(a, b)
     return np.arctan2(np.sqrt((b * b).sum(axis=2)) * (a * bc).sum(axis=2), (ab * bc).sum(axis=2))
@@ -202,13 +193,7 @@ def represent(frames: DataFrame, atoms: DataFrame, measure: str, variant: str =
                 continue
             flat = batch.column("xyz").flatten().to_numpy()
             xyz = flat.reshape(batch.num_rows, -1, 3)
-            boxes = batch.column("cell")
-            cell = None
-            if boxes.null_count < batch.num_rows:
-                cell = np.array([b if b is not None else [np.nan] * 3 for b in boxes.to_pylist()], float)
-                if cell.shape[1] != 3:
-                    raise ValueError("only orthorhombic boxes (three lengths) are supported")
-            vals = np.asarray(kernel(xyz, cell), float)
+            vals = np.asarray(kernel(xyz, as_cells(batch.column("cell").to_pylist())), float)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vals) + 1) * vals.shape[1], pa.int32()), pa.array(vals.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("ensemble"), batch.column("frame"), lists], ["ensemble", "frame", "vals"])
 

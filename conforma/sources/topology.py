@@ -17,6 +17,18 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("line", "v", kind.alias("kind"), model.alias("model")).where(F.col("kind").isin("ATOM", "HETATM"))
 
 
+def _cell(spark: SparkSession, path: str) -> list[float] | None:
+    """Lengths in nm, with the angles unless all are right, of a PDB file's CRYST1 record; None without one or for the unit cube that stands for none."""
+    first = spark.read.text(path).where(F.col("value").startswith("CRYST1")).first()
+    if first is None:
+        return None
+    v = [float(first["value"][a:b]) for a, b in ((6, 15), (15, 24), (24, 33), (33, 40), (40, 47), (47, 54))]
+    if v[:3] == [1.0, 1.0, 1.0]:
+        return None
+    lengths = [x * ANGSTROM for x in v[:3]]
+    return lengths if v[3:] == [90.0, 90.0, 90.0] else lengths + v[3:]
+
+
 def read_topology(spark: SparkSession, path: str) -> DataFrame:
     """Atoms of the first model. res_index counts residues in file order: it rises where chain, number, insertion code or name changes."""
     rows = _records(spark, path)
@@ -36,9 +48,9 @@ def read_topology(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pdb_frames(spark: SparkSession, path: str, ensemble: int = 0) -> DataFrame:
-    """Frames of a PDB file: one per model."""
-    rows = _records(spark, path)
+    """Frames of a PDB file: one per model. All have the cell of its CRYST1 record, if it has one."""
+    rows, cell = _records(spark, path), _cell(spark, path)
     axes = F.array(*[F.trim(F.substring("v", at, 8)).cast("double") * ANGSTROM for at in (31, 39, 47)])
     packed = rows.select("model", "line", axes.alias("p")).groupBy("model").agg(F.array_sort(F.collect_list(F.struct("line", "p"))).alias("a"))
     frame = F.greatest(F.col("model") - 1, F.lit(0)).cast("long")
-    return packed.select(F.lit(ensemble).alias("ensemble"), frame.alias("frame"), F.flatten(F.col("a.p")).alias("xyz"), F.lit(None).cast("array<double>").alias("cell"))
+    return packed.select(F.lit(ensemble).alias("ensemble"), frame.alias("frame"), F.flatten(F.col("a.p")).alias("xyz"), (F.lit(None) if cell is None else F.array(*map(F.lit, cell))).cast("array<double>").alias("cell"))

@@ -23,12 +23,19 @@ def resolve_paths(given) -> list[str]:
     return sorted(glob.glob(given)) or [given]
 
 
-def load_trajectory(spark: SparkSession, path: str, ensemble: int = 0) -> DataFrame:
-    """Frames of a DCD or PDB file, or of a Parquet folder of frames. Other formats raise ValueError."""
+def load_trajectory(spark: SparkSession, path: str, ensemble: int = 0, atoms: list[int] | None = None) -> DataFrame:
+    """Frames of a DCD or PDB file, or of a Parquet folder of frames. Other formats raise ValueError.
+
+    atoms: of a DCD file, the atoms to read, numbered anew in this order. Filters on frame and ensemble reach its reader.
+    """
     kind = path.strip().lower()
+    if atoms is not None and not kind.endswith(".dcd"):
+        raise ValueError(f"{path}: atoms are chosen while reading .dcd files alone")
     if kind.endswith(".dcd"):
         spark.dataSource.register(DcdSource)
-        return spark.read.format("dcd").option("ensemble", ensemble).load(path)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        source = spark.read.format("dcd").option("ensemble", ensemble).option("pushFilters", "true")
+        return (source if atoms is None else source.option("atoms", ",".join(map(str, atoms)))).load(path)
     if kind.endswith(".pdb"):
         return read_pdb_frames(spark, path, ensemble)
     if kind.rstrip("/").endswith(".parquet"):

@@ -69,6 +69,46 @@ def test_dcd_round_trip_with_and_without_box(spark, tmp_path):
         dcd.read_header(str(tmp_path / "bad.dcd"))
 
 
+def test_dcd_reads_chosen_frames_and_atoms_alone(spark, tmp_path, monkeypatch):
+    from conforma.sources.trajectory import load_ensembles, load_trajectory
+
+    xyz = np.random.default_rng(2).normal(size=(50, 400, 3))
+    path, other = str(tmp_path / "a.dcd"), str(tmp_path / "b.dcd")
+    dcd.write_dcd(path, xyz, np.tile([3.0, 4.0, 5.0, 70.0, 80.0, 100.0], (50, 1)))
+    dcd.write_dcd(other, xyz[:9])
+    df = load_trajectory(spark, path, 3)
+    some = df.where("frame >= 10 AND frame < 13 AND ensemble = 3")
+    # the reader took the filter: Spark's plan has none of its own
+    assert "Filter (" not in some._jdf.queryExecution().executedPlan().toString() and [r["frame"] for r in some.orderBy("frame").collect()] == [10, 11, 12]
+    assert sorted(r["frame"] for r in df.where("frame IN (4, 5, 48, 99)").collect()) == [4, 5, 48]
+    assert df.where("ensemble = 4").count() == 0 and df.where("frame % 10 = 0 AND frame > 30").count() == 1
+    assert {r["ensemble"] for r in load_ensembles(spark, [path, other]).where("ensemble = 1").collect()} == {1}
+    assert df.first()["cell"] == pytest.approx([3, 4, 5, 70, 80, 100])
+    got = load_trajectory(spark, path, 0, [250, 3, 4]).orderBy("frame").collect()
+    assert np.allclose([r["xyz"] for r in got], xyz[:, [250, 3, 4]].reshape(50, 9), atol=1e-6)
+    # what the reader fetches: three frames of two atoms
+    read, plain = [], dcd._read
+    monkeypatch.setattr(dcd, "_read", lambda f, at, size: read.append(size) or plain(f, at, size))
+    reader = dcd.FilteringDcdReader({"path": path, "atoms": "3,250"})
+    left = list(reader.pushFilters([dcd.GreaterThan(("frame",), 6), dcd.LessThanOrEqual(("frame",), 9), dcd.EqualTo(("ensemble",), 0), dcd.EqualTo(("xyz",), 1)]))
+    assert [f.attribute for f in left] == [("xyz",)]
+    rows = [b for p in reader.partitions() for b in reader.read(p)]
+    assert sum(b.num_rows for b in rows) == 3 and sum(read) == 3 * (56 + 3 * 2 * 4)
+    with pytest.raises(ValueError, match="atoms"):
+        dcd.read_frames(path, dcd.read_header(path), 0, 1, [400])
+
+
+def test_pdb_cells(spark, tmp_path):
+    from conforma.sources.topology import read_pdb_frames
+
+    atom = "ATOM      1  CA  ALA A   1       1.000   2.000   3.000  1.00  0.00           C"
+    for head, cell in (("CRYST1   30.000   40.000   50.000  90.00  90.00  90.00 P 1", [3, 4, 5]), ("CRYST1   30.000   40.000   50.000  70.00  80.00 100.00 P 1", [3, 4, 5, 70, 80, 100]), ("CRYST1    1.000    1.000    1.000  90.00  90.00  90.00 P 1", None), ("REMARK", None)):
+        path = tmp_path / "x.pdb"
+        path.write_text(f"{head}\n{atom}\nEND\n")
+        got = read_pdb_frames(spark, str(path)).first()["cell"]
+        assert got is None if cell is None else got == pytest.approx(cell)
+
+
 def test_paths_and_joined_trajectories(spark, folder):
     assert trajectory.resolve_paths(" a.dcd, b.dcd ") == ["a.dcd", "b.dcd"]
     assert trajectory.resolve_paths(str(folder / "e*.dcd")) == [str(folder / f"e{k}.dcd") for k in range(3)]

@@ -152,3 +152,43 @@ def test_neighbour_counts(spark):
     df = spark.createDataFrame([(0, 1, [0.0] * 3 + [0.5, 0.0, 0.0] + [9.0] * 3), (0, 2, [0.0] * 9)], "ensemble int, frame long, xyz array<double>")
     got = sorted(map(tuple, M.neighbours(df, 0.8).collect()))
     assert got == [(0, 1, 0, 1, 0.5), (0, 1, 1, 1, 0.5), (0, 1, 2, 0, None)] + [(0, 2, a, 2, 0.0) for a in range(3)]
+
+
+@pytest.mark.parametrize("angles", [(60, 60, 90), (70, 100, 120), (33, 44, 55), (90, 90, 35), (109.471, 109.471, 109.471)])
+def test_nearest_images_in_skewed_cells_equal_a_wide_search(angles):
+    from conforma.operators import cells
+
+    rng = np.random.default_rng(int(sum(angles)))
+    box = np.array([[2.0, 3.1, 2.6, *angles], [5.0, 1.0, 1.2, *angles]])
+    d = rng.normal(size=(2, 40, 3)) * 6
+    got = cells.nearest_image(d, box)
+    h = cells.lattice(box)
+    n = np.array(list(np.ndindex(31, 31, 31))) - 15
+    for f in range(2):
+        red = cells.reduced(h[f : f + 1])[0]
+        assert abs(abs(np.linalg.det(red)) - abs(np.linalg.det(h[f]))) < 1e-9
+        near = d[f] - np.rint(d[f] @ np.linalg.inv(h[f])) @ h[f]
+        images = near[:, None] + (n @ h[f])[None]
+        assert np.sqrt((got[f] ** 2).sum(axis=1)) == pytest.approx(np.sqrt((images**2).sum(axis=2)).min(axis=1))
+        k = (got[f] - d[f]) @ np.linalg.inv(h[f])
+        assert k == pytest.approx(np.rint(k), abs=1e-6)
+
+
+def test_measures_in_skewed_cells(spark):
+    from conforma.operators import cells
+
+    box = [3.0, 3.0, 3.0, 60.0, 60.0, 90.0]
+    h = cells.lattice(np.array([box]))[0]
+    two = [[(0.1, 0, 0), tuple(np.array([0.3, 0, 0]) + h[2] - h[0])]]
+    assert values(spark, two, ["CA"] * 2, "cacn", [0, 5], cell=box)[0][0] > 0.999
+    assert values(spark, two, ["CA"] * 2, "cacn", [0, 5])[0][0] < 0.01
+    # torsions and angles of a chain that crosses the cell's faces
+    chain = np.cumsum(np.random.default_rng(2).normal(size=(6, 3)) * 0.3, axis=0)
+    moved = chain + np.array([[0, 0, 0], [1, 0, 0], [1, -1, 0], [0, 0, 2], [0, 1, 1], [0, 0, 0]]) @ h
+    for measure in ("caba", "cata"):
+        a, b = (values(spark, [x.tolist()], ["CA"] * 6, measure, cell=box)[0] for x in (chain, moved))
+        assert a == pytest.approx(b)
+    with pytest.raises(Exception, match="three lengths"):
+        values(spark, two, ["CA"] * 2, "cacn", [0, 5], cell=[1.0, 2.0])
+    with pytest.raises(Exception, match="orthorhombic"):
+        A.pair_distances(frames(spark, two, box), A.pair_table(A.select_atoms(topology(spark, ["CA"] * 2, [0, 5]), "CA"))).collect()
