@@ -23,6 +23,8 @@ from .words import mix, scan, span_hashes
 BYTE_BITS, WORD_BITS, SHAPE_BITS = 15, 17, 13
 N_FEATURES = (1 << BYTE_BITS) + (1 << WORD_BITS) + (1 << SHAPE_BITS)
 #: The model is fit on at most so many labelled documents, chosen by a seeded hash of doc_id.
+#: Bytes of text whose features are made at once.
+SLICE = 1 << 20
 MAX_FIT_ROWS = 2500
 THRESHOLD = 0.3
 FOLDS = 3
@@ -101,17 +103,16 @@ def fit_hinge(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np
     Row i has the value scale[f] / norm for each of its features f; cost[i] bounds its dual variable.
     """
     w, bias = np.zeros(len(scale)), 0.0
-    values = []
-    for f in rows:
-        v = scale[f]
-        norm = np.sqrt(v @ v)
-        values.append(v / norm if norm else v)
-    square = np.array([v @ v + 1.0 for v in values])
+    norms = np.array([np.sqrt(v @ v) for v in (scale[f] for f in rows)])
+    norms[norms == 0] = 1.0
+    square = np.array([v @ v + 1.0 for v in (scale[f] / n for f, n in zip(rows, norms))])
     alpha = np.zeros(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            f, v = rows[i], values[i]
+            # a row's values are made anew: all rows' together would take more than their features
+            f = rows[i]
+            v = scale[f] / norms[i]
             gradient = y[i] * (w[f] @ v + bias) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
             if new != alpha[i]:
@@ -214,18 +215,19 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_RO
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, SLICE):
                 f, edges = indicators(*string_buffers(part.column("text")))
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(f, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_label"), lists], ["doc_id", "_label", "f"])
 
     # at most max_rows rows of two numbers; of rows that share a doc_id the smallest text counts, so the sample is bounded
     sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text")).select("doc_id", "text", "_label").mapInArrow(extract, "doc_id long, _label int, f array<int>")
+
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if got:
             table = pa.Table.from_batches(got).sort_by([("doc_id", "ascending")])
-            m = fit([np.asarray(x.values, np.int64) for x in table["f"]], table["_label"].to_numpy())
+            m = fit([x.values.to_numpy() for x in table["f"]], table["_label"].to_numpy())
             yield pa.RecordBatch.from_pydict({"scale": [m.scale.tobytes()], "weights": [m.weights.tobytes()], "bias": [m.bias], "slope": [m.slope], "level": [m.level]})
 
     # the bounded sample is fit in one task; the driver gets the model alone
@@ -242,7 +244,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, SLICE):
                 score = shared.value.scores(*indicators(*string_buffers(part.column("text"))))
                 predicted = pa.array((score >= THRESHOLD).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), predicted], ["doc_id", "held_out", "score", "predicted"])
@@ -257,7 +259,7 @@ def keep_predicted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, SLICE):
                 yield part.filter(pa.array(shared.value.scores(*indicators(*string_buffers(part.column("text")))) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

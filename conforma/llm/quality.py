@@ -29,6 +29,8 @@ BASE_PERCENT = 20
 MIN_REPEAT = 10
 MAX_PERCENT = 10
 MAX_REPEAT = 50
+#: Bytes of text measured at once.
+SLICE = 1 << 20
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_repeats_covered", "longest_repeat"]
 
 
@@ -164,7 +166,7 @@ def score_quality(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, 1 << 21):
+            for part in text_slices(batch, SLICE):
                 m = measure(*string_buffers(part.column("text")))
                 failed, kept = _verdicts(m)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(m[x], pa.int64()) for x in FIELDS), pa.array(failed), pa.array(kept)], ["doc_id", *FIELDS, "base_failed", "kept"])
@@ -177,7 +179,7 @@ def keep_quality(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, 1 << 21):
+            for part in text_slices(batch, SLICE):
                 yield part.filter(pa.array(_verdicts(measure(*string_buffers(part.column("text"))))[1]))
 
     return docs.mapInArrow(run, docs.schema)
