@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..model import BROADCAST_ROWS
 
 GRID = 100
+#: Points of the linear bins of binned_densities.
+FINE = 4096
 
 
 def value_range(wide: DataFrame, column: str = "vals") -> DataFrame:
@@ -137,6 +139,85 @@ def densities(values: DataFrame, keys: list[str], lo: float, hi: float, grid: in
     return kernel_sums(values, keys, lo, hi, grid, known).join(F.broadcast(few), keys)
 
 
+def linear_bins(x: np.ndarray, w: np.ndarray, lo: float, hi: float, fine: int) -> np.ndarray:
+    """Weights w of values x shared out to the two nearest of fine points from lo to hi, by nearness; values beyond count at the ends."""
+    at = np.clip((x - lo) * ((fine - 1) / (hi - lo)), 0, fine - 1)
+    left = np.minimum(at.astype(np.int64), fine - 2)
+    right = at - left
+    return np.bincount(left, weights=w * (1 - right), minlength=fine) + np.bincount(left + 1, weights=w * right, minlength=fine)
+
+
+def sums_of_bins(bins: np.ndarray, h: np.ndarray, lo: float, hi: float, grid: int = GRID) -> np.ndarray:
+    """Kernel sums on the grid of rows of linear bins, each with its bandwidth; zeros where h is 0.
+
+    A kernel between two points of distance d is off by at most d^2 / (8 h^2), so a sum over n values is by n times that.
+    """
+    at, points = np.linspace(lo, hi, grid), np.linspace(lo, hi, bins.shape[1])
+    out = np.zeros((len(bins), grid))
+    for k in np.flatnonzero(h > 0).tolist():
+        u = (at[:, None] - points) / h[k]
+        out[k] = np.exp(-0.5 * u * u) @ bins[k]
+    return out
+
+
+def binned_densities(values: DataFrame, keys: list[str], lo: float, hi: float, grid: int = GRID, fine: int = FINE, on_degenerate: str = "error") -> DataFrame:
+    """densities(), in one pass over the values: moments and linear bins are summed, and kernels are laid over the bins.
+
+    Work grows with values plus groups times fine, not with values times grid. See sums_of_bins for the error; at 4096 points over
+    20 bandwidths it is under 0.000003 of n. Values beyond lo and hi count at the ends. values has keys and value, and weight perhaps.
+    """
+    if on_degenerate not in ("error", "zero"):
+        raise ValueError("on_degenerate is 'error' or 'zero'")
+    schema = ", ".join(f"{k} {t}" for k, t in values.select(*keys).dtypes)
+    types = [_ARROW[t] for _, t in values.select(*keys).dtypes]
+    weighted = "weight" in values.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            order = np.lexsort(own[::-1])
+            own = [k[order] for k in own]
+            x = batch.column("value").to_numpy(zero_copy_only=False)[order]
+            w = batch.column("weight").to_numpy(zero_copy_only=False)[order].astype(float) if weighted else np.ones(len(x))
+            cuts = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in own])))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(x)]):
+                key = tuple(k[a].item() if hasattr(k[a], "item") else k[a] for k in own)
+                # moments about lo lose fewer digits
+                d, v = x[a:b] - lo, w[a:b]
+                part = np.concatenate([[v.sum(), v @ d, v @ (d * d)], linear_bins(x[a:b], v, lo, hi, fine)])
+                held[key] = held[key] + part if key in held else part
+        if held:
+            rows = np.stack(list(held.values()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in held], t) for k, t in enumerate(types)), lists], [*keys, "sums"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.column("sums").flatten().to_numpy().reshape(batch.num_rows, -1)
+                n, h = moments_width(*rows[:, :3].T, on_degenerate)
+                sums = sums_of_bins(rows[:, 3:], h, lo, hi, grid)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * grid, pa.int32()), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(n), pa.array(h), lists], [*keys, "n", "h", "sums"])
+
+    columns = [*keys, "value", *["weight"] * weighted]
+    added = _add_up(values.select(*columns).mapInArrow(run, f"{schema}, sums array<double>"), keys, 3 + fine)
+    return added.mapInArrow(finish, f"{schema}, n double, h double, sums array<double>")
+
+
+def moments_width(n: np.ndarray, total: np.ndarray, square: np.ndarray, on_degenerate: str = "error") -> tuple[np.ndarray, np.ndarray]:
+    """(n, h) of groups with these sums of weights, values and squares (see bandwidth)."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sd = np.sqrt(np.maximum((square - total * total / n) / (n - 1), 0))
+    bad = ~(sd >= 1e-300)
+    if bad.any() and on_degenerate == "error":
+        raise ValueError("a feature has one value only, or equal values: no density can be estimated")
+    return n.copy(), np.where(bad, 0.0, sd * (n * 0.75) ** -0.2)
+
+
 def pdf_points(dens: DataFrame, keys: list[str], lo: float, hi: float, grid: int = GRID) -> DataFrame:
     """(keys, k, x, p): the density estimates at the grid points."""
     norm = F.col("n") * F.col("h") * F.lit(float(np.sqrt(2 * np.pi)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .functions.special import ERFC_A, ERFC_P
 from .operators.bootstrap import draw_table, pair_schedule
+from .operators.density import FINE
 from .operators.measures import POINTS, PROBE, RADII
 from .plans.figures import PALETTE
 from .queries import GATE_SAMPLE, NEAREST, ONE, QUERY_FRAMES, REACH as NEAR, REF, S_NUM, SAMPLE, SEED
@@ -172,6 +173,11 @@ def oracle_sql() -> dict[str, str]:
         "bandwidth": f"WITH {REP} SELECT ensemble, feature, CAST(count(*) AS BIGINT) AS n, {r('stddev_samp(value)')} AS sd, {r(h.format(v='value'))} AS h FROM rep GROUP BY ensemble, feature",
         "bandwidth_lineitem": f"WITH li AS (SELECT l_returnflag AS ensemble, 0 AS feature, l_quantity AS value FROM lineitem UNION ALL SELECT l_returnflag, 1, l_extendedprice FROM lineitem UNION ALL SELECT l_returnflag, 2, l_discount FROM lineitem UNION ALL SELECT l_returnflag, 3, l_tax FROM lineitem) SELECT ensemble, CAST(feature AS INT) AS feature, CAST(count(*) AS BIGINT) AS n, {r('stddev_samp(value)', 4)} AS sd, {r(h.format(v='value'), 4)} AS h FROM li GROUP BY ensemble, feature",
         "kde_pdf": f"WITH {REP}, {RANGE}, {density('rep', 'ensemble, feature')} SELECT pdf.ensemble, pdf.feature, CAST(k AS INT) AS k, {r('lo + k * ((hi - lo) / 99.0::DOUBLE)')} AS x, {r('s / (n * h * sqrt(2.0::DOUBLE * pi()))')} AS p FROM pdf JOIN bw USING (ensemble, feature) CROSS JOIN rng",
+        "kde_pdf_binned": f"""WITH {REP}, {RANGE}, bw AS (SELECT ensemble, feature, CAST(count(*) AS DOUBLE) AS n, {h.format(v='value')} AS h FROM rep GROUP BY ensemble, feature),
+spot AS (SELECT ensemble, feature, (value - lo) * ({FINE - 1} / (hi - lo)) AS t, least(CAST(floor((value - lo) * ({FINE - 1} / (hi - lo))) AS BIGINT), {FINE - 2}) AS b FROM rep CROSS JOIN rng),
+bins AS (SELECT ensemble, feature, b, sum(w) AS w FROM (SELECT ensemble, feature, b, 1 - (t - b) AS w FROM spot UNION ALL SELECT ensemble, feature, b + 1, t - b FROM spot) GROUP BY ALL)
+SELECT ensemble, feature, CAST(k AS INT) AS k, {r('s / (n * h * sqrt(2.0::DOUBLE * pi()))')} AS p FROM (SELECT ensemble, feature, k, n, h, sum(w * exp(-0.5::DOUBLE * pow((lo + k * ((hi - lo) / 99.0::DOUBLE) - (lo + b * ((hi - lo) / {FINE - 1}))) / h, 2))) AS s
+  FROM bins JOIN bw USING (ensemble, feature) CROSS JOIN rng CROSS JOIN range(0, 100) g(k) GROUP BY ALL)""",
         "kde_pdf_events": f"WITH rep AS (SELECT CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INT) AS ensemble, 0 AS feature, CAST(value AS DOUBLE) AS value FROM events), {RANGE}, {density('rep', 'ensemble, feature')} SELECT pdf.ensemble, CAST(k AS INT) AS k, {r('lo + k * ((hi - lo) / 99.0::DOUBLE)')} AS x, {r('s / (n * h * sqrt(2.0::DOUBLE * pi()))')} AS p FROM pdf JOIN bw USING (ensemble, feature) CROSS JOIN rng",
         "jsd_local": f"WITH {LOCAL} SELECT ensemble, feature, {r('jsd')} AS jsd FROM loc",
         "jsd_global": f"WITH {LOCAL} SELECT ensemble, {r('avg(jsd)')} AS jsd FROM loc GROUP BY ensemble",
