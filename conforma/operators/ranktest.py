@@ -89,6 +89,11 @@ def exact_p(u: float, n1: int, n2: int) -> float:
 def small_samples_exact(tests: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     """tests with p replaced by the exact one where a sample has at most EXACT_UP_TO values and no value is tied."""
     distinct = values.groupBy(*keys).agg((F.countDistinct("value") == F.count("*")).alias("_plain"))
-    of = F.udf(lambda u, a, b: exact_p(u, a, b), "double")
     few = F.col("_plain") & (F.least("n1", "n2") <= EXACT_UP_TO)
-    return tests.join(distinct, keys).withColumn("p", F.when(few, of("u", "n1", "n2")).otherwise(F.col("p"))).drop("_plain")
+    got = tests.join(distinct, keys)
+    # the sizes of samples follow from the schedule, so there are few; each has a p for every value of U
+    sizes = [(r["n1"], r["n2"]) for r in got.where(few).select("n1", "n2").distinct().collect()]
+    table = [(a, b, u, exact_p(u, a, b)) for a, b in sizes for u in range(a * b + 1)]
+    exact = tests.sparkSession.createDataFrame(table, "n1 long, n2 long, _u long, _exact double")
+    got = got.withColumn("_u", F.when(few, F.ceil("u")).cast("long")).join(exact, ["n1", "n2", "_u"], "left")
+    return got.withColumn("p", F.coalesce("_exact", "p")).select(*tests.columns)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .functions.special import ERFC_A, ERFC_P
-from .operators.bootstrap import draw_table, pair_schedule
 from .operators.density import FINE
 from .operators.measures import POINTS, PROBE, RADII
 from .plans.figures import PALETTE
@@ -77,13 +76,14 @@ LOCAL_REST = LOCAL[len(REP) + 2 :]
 
 def drawn(variant: str, sample: int = SAMPLE) -> str:
     """CTEs up to boot(ensemble, kind, pair, feature, value) of the bootstrap; those of REP and RANGE stand before."""
-    sides = ", ".join(f"({d}, {s})" for d, s in draw_table(S_NUM, variant))
-    plan = ", ".join(f"('{kind}', {p}, {a}, {b})" for kind, p, a, b in pair_schedule(S_NUM, variant))
-    v1 = variant == "v1"
+    s, v1 = S_NUM, variant == "v1"
+    # draws of the reference are side 0. v2: s of the reference, one of the other ensemble for each of the s * s pairs, then two for each pair within the reference, and within the other
+    within = s * (s - 1)
+    sides = f"SELECT d AS draw, CASE WHEN d < {s} THEN 0 ELSE 1 END AS side FROM range(0, {2 * s}) t(d)" if v1 else f"SELECT d AS draw, CASE WHEN d < {s} OR d BETWEEN {s + s * s} AND {s + s * s + within - 1} THEN 0 ELSE 1 END AS side FROM range(0, {s + s * s + 2 * within}) t(d)"
     feature = ", feature" if v1 else ""
     each = "CROSS JOIN (SELECT CAST(f AS INT) AS feature FROM range(0, 64) f(f))" if v1 else ""
     key = f"'{SEED}:' || ensemble || ':' || draw || ':' || {'feature || ' + chr(39) + ':' + chr(39) + ' || ' if v1 else ''}k"
-    return f"""{IDX}, sides(draw, side) AS (VALUES {sides}),
+    return f"""{IDX}, sides AS ({sides}),
 plan AS (SELECT e.ensemble, CAST(draw AS INT) AS draw, CASE WHEN side = 0 THEN {REF} ELSE e.ensemble END AS source FROM (SELECT DISTINCT ensemble FROM rep WHERE ensemble <> {REF}) e CROSS JOIN sides),
 sized AS (SELECT plan.*, n FROM plan JOIN (SELECT DISTINCT source, n FROM idx) USING (source)),
 picks AS (SELECT ensemble, draw{feature}, source, CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % n AS idx FROM sized {each} CROSS JOIN range(0, {sample}) q(k)),
@@ -92,11 +92,15 @@ dv AS (SELECT dr.ensemble, dr.draw, rep.feature, rep.value, CAST(dr.weight AS DO
 
 
 def boot(variant: str, sample: int = SAMPLE) -> str:
-    plan = ", ".join(f"('{kind}', {p}, {a}, {b})" for kind, p, a, b in pair_schedule(S_NUM, variant))
+    s, v1 = S_NUM, variant == "v1"
+    other = "j" if v1 else f"i * {s} + j"
+    inner = (f"side * {s} + a", f"side * {s} + b") if v1 else tuple(f"{s + s * s} + side * {s * (s - 1)} + 2 * k + {x}" for x in (0, 1))
     dens = density("dv", "ensemble, draw, feature", "weight").replace("bw AS", "dbw AS").replace("JOIN bw", "JOIN dbw").replace("pdf AS", "dpdf AS")
     return f"""{drawn(variant, sample)}, {dens},
 dnorm AS (SELECT ensemble, draw, feature, k, s / sum(s) OVER (PARTITION BY ensemble, draw, feature) AS p FROM dpdf),
-sched(kind, pair, draw_a, draw_b) AS (VALUES {plan}),
+two AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS k FROM range(0, {s}) x(a), range(0, {s}) y(b) WHERE a < b),
+sched(kind, pair, draw_a, draw_b) AS (SELECT 'inter', i * {s} + j, i, {s} + {other} FROM range(0, {s}) x(i), range(0, {s}) y(j)
+  UNION ALL SELECT 'intra', side * {s * (s - 1) // 2} + k, {inner[0]}, {inner[1]} FROM two, range(0, 2) z(side)),
 boot AS (SELECT a.ensemble, kind, CAST(pair AS INT) AS pair, a.feature, round({jsd_of('sum(' + jsd_term('a.p', 'b.p') + ')')}, 9) AS value
   FROM sched JOIN dnorm a ON a.draw = draw_a JOIN dnorm b ON b.draw = draw_b AND b.ensemble = a.ensemble AND b.feature = a.feature AND b.k = a.k GROUP BY ALL)"""
 
