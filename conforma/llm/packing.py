@@ -23,6 +23,8 @@ CAPACITY = 2048
 #: Ranks are counted in so many pieces a bucket, about.
 RANK_ROWS = 20_000
 PLAN = "length int, lo long, hi long, first long, per int, at int"
+#: Columns that pack adds on the way.
+RESERVED = {"_bucket", "_n", "_before", "_rank", "_length", "_lo", "_hi", "_first", "_per", "_at"}
 
 
 def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -115,8 +117,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Within a sequence the offsets run gapless from 0. pieces is read twice, so it should be a stored table. Pieces of equal
     length are interchangeable; ranks within a length come from hash buckets, so no length is gathered into one task.
-    An empty table gives an empty result. Columns named sequence_id or offset are replaced.
+    An empty table gives an empty result. Columns named sequence_id or offset are replaced; those in RESERVED are refused.
     """
+    if RESERVED & set(pieces.columns):
+        raise ValueError(f"columns {', '.join(sorted(RESERVED))} are reserved")
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
     keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*[c for c, t in pieces.dtypes if t in ("bigint", "int", "string")]), F.lit(1 << 20)))
@@ -131,11 +135,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(before, ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
     # the plan's size depends on capacity alone (see plan_packing)
-    plan = F.broadcast(spark.createDataFrame(plan_packing(histogram, capacity), PLAN).withColumnRenamed("length", "_length"))
-    out = ranked.join(plan, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
-    step = F.col("_rank") - F.col("lo")
-    out = out.withColumn("sequence_id", (F.col("first") + F.floor(step / F.col("per"))).cast("long"))
-    out = out.withColumn("offset", (F.col("at") + step % F.col("per") * F.col("length")).cast("long"))
+    plan = F.broadcast(spark.createDataFrame(plan_packing(histogram, capacity), PLAN))
+    plan = plan.toDF(*[f"_{c}" for c in plan.columns])
+    out = ranked.join(plan, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
+    step = F.col("_rank") - F.col("_lo")
+    out = out.withColumn("sequence_id", (F.col("_first") + F.floor(step / F.col("_per"))).cast("long"))
+    out = out.withColumn("offset", (F.col("_at") + step % F.col("_per") * F.col("length")).cast("long"))
     return out.select(*pieces.columns, "sequence_id", "offset")
 
 

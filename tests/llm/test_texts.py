@@ -122,6 +122,15 @@ def test_plan_is_best_fit_decreasing():
         packing.plan_packing({11: 1}, 10)
 
 
+def test_pack_takes_columns_of_any_name_but_its_own(spark):
+    df = spark.createDataFrame([(k, 1 + k % 5, k, 2, 3, 4, 5, "x") for k in range(40)], "doc_id long, length int, lo long, hi long, first long, per int, at int, n string")
+    got = packing.pack(df, 5)
+    assert got.columns == [*df.columns, "sequence_id", "offset"] and got.count() == 40
+    assert {(r["doc_id"], r["lo"], r["at"]) for r in got.collect()} == {(k, k, 5) for k in range(40)}
+    with pytest.raises(ValueError, match="reserved"):
+        packing.pack(df.withColumnRenamed("lo", "_lo"), 5)
+
+
 def test_packed_pieces_of_documents(spark):
     rows = [(i, t) for i, t in enumerate(invented(6, 150))] + [(500, "w " * 500), (501, None), (None, "a"), (7, "again"), (7, "again")]
     got = packing.pack_documents(frame(spark, rows), TOKENIZER_WORDS, capacity=128).collect()
