@@ -70,8 +70,10 @@ def distance(a: Column, b: Column, bits: int = BITS) -> Column:
     return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(_longs(a, bits), _longs(b, bits))), F.lit(0))
 
 
-def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, bits: int = BITS) -> DataFrame:
-    """All pairs of different fingerprints within radius bits: a, b, distance (a < b). prints: a column fingerprint.
+def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, bits: int = BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of different fingerprints within radius bits: a, b, distance (a < b), and a_<name>, b_<name> of each carried column.
+
+    prints: a column fingerprint and the carried ones, which equal fingerprints must have alike.
 
     A fingerprint is cut into blocks; two within the radius differ in at most radius blocks, so they agree on some
     blocks - radius of them. For every choice of such blocks a table is keyed by them (the permuted tables of the
@@ -84,12 +86,13 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     if blocks <= radius or blocks > digits:
         raise ValueError("blocks must be over radius and at most bits / 4")
     edges = [digits * i // blocks for i in range(blocks + 1)]
-    distinct = prints.select("fingerprint").dropna().distinct()
+    distinct = prints.select("fingerprint", *carry).dropna(subset=["fingerprint"])
+    distinct = distinct.dropDuplicates(["fingerprint"]) if carry else distinct.distinct()
     parts = [F.substring("fingerprint", edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)]
     choices = list(combinations(range(blocks), blocks - radius))
     keys = F.array(*[F.xxhash64(F.lit(c), *[parts[i] for i in choice]) for c, choice in enumerate(choices)])
     numbers = _longs(F.col("fingerprint"), bits)
-    keyed = distinct.select(*[x.alias(f"w{i}") for i, x in enumerate(numbers)], F.posexplode_outer(keys).alias("c", "k"))
+    keyed = distinct.select(*carry, *[x.alias(f"w{i}") for i, x in enumerate(numbers)], F.posexplode_outer(keys).alias("c", "k"))
     a, b = keyed.alias("a"), keyed.alias("b")
     apart = [F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}")) for i in range(len(numbers))]
     far = sum((F.bit_count(x) for x in apart), F.lit(0))
@@ -114,7 +117,7 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     def digits_of(row: str) -> Column:
         return F.concat(*[F.lower(F.lpad(F.hex(f"{row}.w{i}"), 8, "0")) for i in range(len(numbers))])
 
-    return met.select(digits_of("a").alias("a"), digits_of("b").alias("b"), far.cast("int").alias("distance"))
+    return met.select(digits_of("a").alias("a"), digits_of("b").alias("b"), far.cast("int").alias("distance"), *[F.col(f"{row}.{c}").alias(f"{row}_{c}") for row in "ab" for c in carry])
 
 
 def near_counts(prints: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
@@ -123,10 +126,11 @@ def near_counts(prints: DataFrame, radius: int = RADIUS, bits: int = BITS) -> Da
     prints: doc_id, fingerprint.
     """
     owner = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    pairs = materialise(near_pairs(prints, radius, bits=bits), "near-pairs")
-    links = pairs.select("a", "b").union(pairs.select("b", "a"))
-    met = links.join(owner.select(F.col("fingerprint").alias("b"), "doc_id"), "b").groupBy("a").agg(F.count("*").alias("n_near"), F.min("doc_id").alias("m"))
-    near = owner.join(met.withColumnRenamed("a", "fingerprint"), "fingerprint", "left").where((F.col("copies") > 1) | F.col("n_near").isNotNull())
+    # pairs are counted where they are found, and stored nowhere
+    pairs = near_pairs(owner.select("fingerprint", "doc_id"), radius, bits=bits, carry=("doc_id",))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("f"), F.col("b_doc_id").alias("d")), F.struct(F.col("b").alias("f"), F.col("a_doc_id").alias("d")))).alias("x")
+    met = pairs.select(ends).groupBy(F.col("x.f").alias("fingerprint")).agg(F.count("*").alias("n_near"), F.min("x.d").alias("m"))
+    near = owner.join(met, "fingerprint", "left").where((F.col("copies") > 1) | F.col("n_near").isNotNull())
     return materialise(near.select("fingerprint", "n_near", F.least("m", "doc_id").alias("near_id")), "near-counts")
 
 
@@ -137,6 +141,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     also gets a copy of the first document of the next range. Of equal doc_ids the order is by text. Null texts are empty;
     rows with a null doc_id come first.
     """
+    return _with_next(docs).drop("_bucket")
+
+
+def _with_next(docs: DataFrame) -> DataFrame:
+    """The rows of with_next and the range of each, _bucket, by which they are dealt to tasks."""
     rows = documents(docs).withColumn("text", F.coalesce("text", F.lit("")))
     n = rows.count()
     cuts = max(2, min(RANGES, n // BUCKET_ROWS))
@@ -159,7 +168,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     both = rows.withColumn("_copy", F.lit(0)).unionByName(copies)
     own = Window.partitionBy("_bucket").orderBy("_copy", F.col("doc_id").asc_nulls_first(), "text")
     linked = both.select("*", F.lead("doc_id").over(own).alias("next_id"), F.lead("text").over(own).alias("next_text"))
-    return linked.where(F.col("_copy") == 0).select("doc_id", "text", "next_id", "next_text")
+    return linked.where(F.col("_copy") == 0).select("_bucket", "doc_id", "text", "next_id", "next_text")
 
 
 def fingerprint_edits(docs: DataFrame, bits: int = BITS, radius: int = RADIUS) -> DataFrame:
@@ -169,20 +178,21 @@ def fingerprint_edits(docs: DataFrame, bits: int = BITS, radius: int = RADIUS) -
     of the next document (see with_next), or all of it. Likeness is 1 - distance / bits. Null texts are empty. n_near: how many
     other fingerprints are within radius bits (see near_pairs); near_id: the smallest doc_id among these and the own one.
     """
-    rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = _with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("next_h", F.xxhash64("next_text"))
     # the digest as numbers of 15 hex digits, 4 in the last, so that what is carried through the votes is numbers
     digest, parts = F.sha2(F.encode("edited", "UTF-8"), 256), [(1 + 15 * i, min(15, 64 - 15 * i)) for i in range(5)]
-    rows = rows.select("doc_id", "text", "edited", "h", "next_id", "next_h", "n_chars", F.explode_outer(F.array(digest)).alias("digest"))
+    rows = rows.select("_bucket", "doc_id", "text", "edited", "h", "next_id", "next_h", "n_chars", F.explode_outer(F.array(digest)).alias("digest"))
     rows = rows.select("*", *[F.conv(F.substring("digest", at, n), 16, 10).cast("long").alias(f"e{i}") for i, (at, n) in enumerate(parts)])
     carry = ("next_id", "next_h", "n_chars", *(f"e{i}" for i in range(5)))
     both = F.explode_outer(F.array(F.struct(F.lit(0).alias("w"), F.col("text")), F.struct(F.lit(1).alias("w"), F.col("edited").alias("text")))).alias("x")
-    texts = rows.select("doc_id", "h", *carry, both).select("doc_id", "h", *carry, "x.w", "x.text")
-    prints = fingerprints(texts, ["doc_id", "h", "w"], carry, bits)
-    merged = prints.groupBy("doc_id", "h").agg(*(F.max(c).alias(c) for c in carry), F.max(F.when(F.col("w") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("w") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    merged = materialise(merged, "fingerprints")
+    # a range is in one task, so grouping within it moves no votes
+    texts = rows.select("_bucket", "doc_id", "h", *carry, both).select("_bucket", "doc_id", "h", *carry, "x.w", "x.text")
+    prints = fingerprints(texts, ["_bucket", "doc_id", "h", "w"], carry, bits)
+    merged = prints.groupBy("_bucket", "doc_id", "h").agg(*(F.max(c).alias(c) for c in carry), F.max(F.when(F.col("w") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("w") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
+    merged = materialise(merged.drop("_bucket"), "fingerprints")
     following = merged.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), F.col("fingerprint").alias("_f"))
     out = merged.join(following, F.col("next_id").eqNullSafe(F.col("_i")) & (F.col("next_h") == F.col("_h")), "left")
     near = near_counts(merged.select("doc_id", "fingerprint"), radius, bits)
