@@ -6,7 +6,7 @@ from .functions.special import ERFC_A, ERFC_P
 from .operators.density import FINE
 from .operators.measures import POINTS, PROBE, RADII
 from .plans.figures import PALETTE
-from .queries import GATE_SAMPLE, NEAREST, ONE, QUERY_FRAMES, REACH as NEAR, REF, S_NUM, SAMPLE, SEED
+from .queries import GATE_SAMPLE, NEAREST, ONE, PICTURE_SIDE, QUERY_FRAMES, REACH as NEAR, REF, S_NUM, SAMPLE, SEED
 
 REP = """rep AS (SELECT CAST(label AS INT) AS ensemble, vec_id AS frame, CAST(i - 1 AS INT) AS feature, CAST(embedding[i] AS DOUBLE) AS value
   FROM embeddings, range(1, 65) t(i))"""
@@ -203,6 +203,7 @@ SELECT ensemble, feature, CAST(k AS INT) AS k, {r('s / (n * h * sqrt(2.0::DOUBLE
         "palette_global_line": f"{GLOBAL} SELECT ensemble_index, {r('y')} AS y, 'black' AS colour, 'o' AS marker FROM gb",
         "comparison_json": f"{RECORDS} SELECT ensemble AS ensemble_index, {r('avg(local)')} AS global_dissimilarity, CAST(count(*) AS INT) AS features, {r('max(local)')} AS largest, {r('max(p)')} AS p_value FROM gl GROUP BY ensemble",
         "heatmap_cells": f"WITH c AS ({contact_raw()}) SELECT ensemble, frame AS y, CAST(feature AS INT) AS x, {r('v')} AS value, CAST(floor(min(v) OVER (PARTITION BY ensemble)) AS BIGINT) AS vmin, CAST(ceil(max(v) OVER (PARTITION BY ensemble)) AS BIGINT) AS vmax FROM c",
+        "heatmap_pixels": f"WITH c AS ({contact_raw()}), m AS (SELECT *, max(frame) OVER w + 1 AS rs, max(feature) OVER w + 1 AS cs FROM c WINDOW w AS (PARTITION BY ensemble)) SELECT ensemble, CAST(frame * least(rs, {PICTURE_SIDE}) // rs AS INT) AS py, CAST(feature * least(cs, {PICTURE_SIDE}) // cs AS INT) AS px, CAST(count(*) AS BIGINT) AS n, {r('avg(v)')} AS value FROM m GROUP BY 1, 2, 3",
         "sasa": SASA,
         "near_atoms": f"WITH {XYZ}, nb AS (SELECT a.ensemble, a.frame, a.atom, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM xyz a JOIN xyz b ON a.ensemble = b.ensemble AND a.frame = b.frame AND a.atom <> b.atom) SELECT ensemble, frame, atom, CAST(count(*) FILTER (d < {NEAR}) AS BIGINT) AS near, {r(f'min(d) FILTER (d < {NEAR})')} AS nearest FROM nb GROUP BY ALL",
         "pairwise_distance_matrix": f"WITH {REP} SELECT a.frame AS frame_a, b.frame AS frame_b, {r('sqrt(sum((a.value - b.value) * (a.value - b.value)))')} AS d FROM rep a JOIN rep b ON a.feature = b.feature AND a.frame % {QUERY_FRAMES} = 0 AND a.frame <> b.frame GROUP BY a.frame, b.frame",

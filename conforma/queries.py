@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import model
 from .operators import atoms, bootstrap, compare, components, density, embedding, measures, ranktest, reduce
-from .plans import figures
+from .plans import figures, pictures
 from .streaming.moments import windowed_moments
 
 REF = 0
@@ -22,6 +22,8 @@ QUERY_FRAMES = 50
 NEAREST, ONE = 15, 1
 #: Distance in nm under which near_atoms counts an atom.
 REACH = 0.8
+#: Pixels of the picture of heatmap_pixels each way: fewer than frames and than features, so pixels are means.
+PICTURE_SIDE = 16
 
 
 def rounded(c: str | Column, digits: int = 6) -> Column:
@@ -245,6 +247,11 @@ def heatmap_cells(spark, d):
     return got.select("ensemble", "y", "x", rounded("value").alias("value"), "vmin", "vmax")
 
 
+def heatmap_pixels(spark, d):
+    got = pictures.pixels(_measure(spark, d, "cbcn"), PICTURE_SIDE, PICTURE_SIDE)
+    return got.select("ensemble", "py", "px", "n", rounded("value").alias("value"))
+
+
 def heatmap_ticks(spark, d):
     return figures.heatmap_ticks(_measure(spark, d, "cbcn"))
 
@@ -328,7 +335,7 @@ ALL = [
     atom_select, pair_distances, pair_degrees, contact_cb, contact_ca, bond_angle, bond_angle_v1, torsion, sasa, near_atoms, rep_long_to_wide,
     value_range, bandwidth, bandwidth_lineitem, kde_pdf, kde_pdf_binned, kde_pdf_events, jsd_local, jsd_global, bootstrap_draws, bootstrap_draws_v1,
     jsd_bootstrap, mann_whitney, mann_whitney_v1, significance_gate, compare_ensembles, compare_ensembles_v1, exclude_reference,
-    stack_ensembles, concat_trajectories, heatmap_cells, heatmap_ticks, local_axis, combined_local, palette_global_bar, palette_global_line,
+    stack_ensembles, concat_trajectories, heatmap_cells, heatmap_pixels, heatmap_ticks, local_axis, combined_local, palette_global_bar, palette_global_line,
     comparison_json, pairwise_distance_matrix, nearest_frames, pca, pca_points, pca_variance, mds, tsne, event_moments,
 ]
 

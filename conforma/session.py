@@ -12,7 +12,7 @@ from .operators.density import GRID
 from .operators.measures import represent
 from .operators.reduce import reduce
 from .plans import figures
-from .sources.sinks import merge_parts, output_dir, write_matrix_csv, write_projection_csv
+from .sources.sinks import output_dir, write_matrix_csv, write_matrix_png, write_projection_csv
 from .sources.topology import read_topology
 from .sources.trajectory import load_ensembles
 
@@ -22,7 +22,7 @@ class EnsembleSession:
 
     trajectories: paths (a list, or a string with commas or a pattern), or a DataFrame of frames; topology: a PDB path, or a
     DataFrame of atoms. With output_dir, matrices and projections are written there, as folders of text parts, or with
-    single_files as one file each. Results are kept by measure.
+    single_files as one file each, and a picture of each matrix. Results are kept by measure.
     """
 
     def __init__(self, spark: SparkSession, trajectories, topology, output_dir: str | None = None, verbose: bool = False, single_files: bool = False):
@@ -37,10 +37,6 @@ class EnsembleSession:
         if self.verbose:
             print(text)
 
-    def _wrote(self, *paths: str) -> None:
-        for path in paths if self.single_files else ():
-            merge_parts(path)
-
     def represent(self, measure: str) -> DataFrame:
         """Wide representation by a measure, kept in memory or on disk for the steps that read it again."""
         measure = normalise_measure(measure)
@@ -60,10 +56,12 @@ class EnsembleSession:
             if self.output_dir:
                 folder = output_dir(measure, self.output_dir)
                 for e in [r["ensemble"] for r in wide.select("ensemble").distinct().orderBy("ensemble").collect()]:
-                    self._wrote(write_matrix_csv(wide, e, folder))
+                    write_matrix_csv(wide, e, folder, self.single_files)
+                    if self.single_files:
+                        write_matrix_png(wide, e, folder)
                 self.comparisons[measure].write.mode("overwrite").parquet(f"{folder}/comparisons.parquet")
                 for t, df in self.projections[measure].items():
-                    self._wrote(*write_projection_csv(df, t, folder))
+                    write_projection_csv(df, t, folder, self.single_files)
             out[measure] = self.comparisons[measure]
         return out
 

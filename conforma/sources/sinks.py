@@ -1,16 +1,20 @@
-"""Sinks: matrices and projections as CSV text, comparisons as JSON, all as Parquet."""
+"""Sinks: matrices and projections as CSV text, matrices as pictures, comparisons as JSON, all as Parquet."""
 
 from __future__ import annotations
 
 import json
+import math
 import os
-import shutil
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import pictures
+from ..storage import stored
+from .onefile import write_one_file
+
 
 def output_dir(measure: str, root: str | None = None) -> str:
     """<root>/<measure>_output, or <measure>_output here; made if it is missing."""
@@ -35,35 +39,40 @@ def csv_lines(wide: DataFrame, order: list[str]) -> DataFrame:
     return wide.select(*order, "vals").mapInArrow(run, schema)
 
 
-def write_matrix_csv(wide: DataFrame, ensemble: int, folder: str) -> str:
-    """ensemble_<i>_matrix.csv: a folder of text files whose lines, in file order, are the frames in order."""
-    path = os.path.join(folder, f"ensemble_{ensemble}_matrix.csv")
-    rows = csv_lines(wide.where(F.col("ensemble") == ensemble), ["frame"])
-    rows.orderBy("frame").select("value").write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, single: bool) -> str:
+    """Write a column value as lines of text, in order: one file, or a folder of text parts whose order is that of their names."""
+    if single:
+        return write_one_file(lines, path)
+    lines.write.mode("overwrite").text(path)
     return path
 
 
-def merge_parts(path: str) -> str:
-    """Replace a folder of text parts, on a file system that the driver sees, by one file of the same name with the parts in order.
+def write_matrix_csv(wide: DataFrame, ensemble: int, folder: str, single: bool = False) -> str:
+    """ensemble_<i>_matrix.csv: lines that are the frames in order (see write_lines)."""
+    rows = csv_lines(wide.where(F.col("ensemble") == ensemble), ["frame"])
+    return write_lines(rows.orderBy("frame").select("value"), os.path.join(folder, f"ensemble_{ensemble}_matrix.csv"), single)
+
+
+def write_matrix_png(wide: DataFrame, ensemble: int, folder: str, side: int = pictures.SIDE) -> str | None:
+    """ensemble_<i>_matrix.png: the ensemble's matrix, frames downwards and features to the right, at most side pixels each way.
 
-    Parts are streamed one after the other, so nothing is held whole; use it where a tool wants one file.
+    Colours run from the floor of the least value to the ceiling of the greatest, as in heatmap_cells. None without cells.
     """
-    whole = f"{path}.whole"
-    with open(whole, "wb") as out:
-        for part in sorted(n for n in os.listdir(path) if n.startswith("part-")):
-            with open(os.path.join(path, part), "rb") as f:
-                shutil.copyfileobj(f, out, 1 << 20)
-    shutil.rmtree(path)
-    os.replace(whole, path)
-    return path
+    one = wide.where(F.col("ensemble") == ensemble)
+    span = pictures.spans(one).first()
+    if not span or not span["cols"] or span["cols"] < 1:
+        return None
+    low, high = (math.floor(span["low"]), math.ceil(span["high"])) if span["low"] is not None else (0, 0)
+    rows = pictures.png_rows(pictures.pixels(one, side, side), min(side, span["rows"]), min(side, span["cols"]), low, high, lambda df: stored(df, "bands"))
+    return write_one_file(rows, os.path.join(folder, f"ensemble_{ensemble}_matrix.png"))
 
 
-def write_projection_csv(reduced: DataFrame, technique: str, folder: str) -> tuple[str, str]:
+def write_projection_csv(reduced: DataFrame, technique: str, folder: str, single: bool = False) -> tuple[str, str]:
     """dim_reduction_<technique>_data.csv and _labels.csv, in the order of ensemble and frame; labels are written as floats."""
     data, labels = (os.path.join(folder, f"dim_reduction_{technique}_{k}.csv") for k in ("data", "labels"))
     for path, vals in ((data, F.array("c1", "c2")), (labels, F.array(F.col("ensemble").cast("double")))):
         lines = csv_lines(reduced.select("ensemble", "frame", vals.alias("vals")), ["ensemble", "frame"])
-        lines.orderBy("ensemble", "frame").select("value").write.mode("overwrite").text(path)
+        write_lines(lines.orderBy("ensemble", "frame").select("value"), path, single)
     return data, labels
 
 

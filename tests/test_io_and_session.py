@@ -150,6 +150,7 @@ def test_command_line(folder, capsys, spark, monkeypatch):
     # without an output folder results are written here, each matrix as one file
     lines = (folder / "cata_output" / "ensemble_1_matrix.csv").read_text().splitlines()
     assert len(lines) == 35 and all(len(x.split(",")) == 5 for x in lines)
+    assert (folder / "cata_output" / "ensemble_0_matrix.png").read_bytes()[:4] == b"\x89PNG"
 
 
 def test_heatmap_cells(spark):
