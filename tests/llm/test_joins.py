@@ -260,6 +260,24 @@ def test_sharding_is_a_seeded_shuffle_with_equal_counts(spark):
     assert sharding.shard_documents(frame(spark, []), 24).count() == 0
 
 
+def test_sharding_order_does_not_depend_on_the_number_of_parts(spark, monkeypatch):
+    df = frame(spark, [(i, "x" * (i % 50)) for i in range(1500)] + [(i, "copy") for i in (7, 7, 8)] * 20)
+
+    def order():
+        return sorted((r["shard"], r["slot"], r["doc_id"], r["text"]) for r in sharding.shard_documents(df, 5, bucket_bytes=700).collect())
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        found = []
+        for partitions, per_part in (("1", 64), ("1", 3), ("13", 64), ("500", 64)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            monkeypatch.setattr(sharding, "PART_BUCKETS", per_part)
+            found.append(order())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found[0]) == 1560 and all(x == found[0] for x in found)
+
+
 def test_sharding_query_columns_reserved_names_and_repeated_ids(spark, tmp_path, monkeypatch):
     import zlib
 
