@@ -1,8 +1,11 @@
-"""Frames packed into blocks of rows, and sums of arrays over tasks."""
+"""Frames packed into blocks of rows, blocks that tasks read by themselves, and sums of arrays over tasks."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,8 @@ from ..storage import stored
 #: Frames of a block at most, and numbers in it.
 ROWS = 512
 VALUES = 1 << 22
+#: Blocks of a stored file at most.
+FILE_BLOCKS = 16
 PACKED = "part int, chunk int, n int, ensembles array<int>, frames array<long>, x binary"
 
 
@@ -60,26 +65,68 @@ def block_rows(features: int, rows: int) -> int:
 
 
 def ordered_blocks(wide: DataFrame, rows: int = ROWS) -> tuple[DataFrame, int, int]:
-    """(block, first, n, ensembles, frames, x) in the order of (ensemble, frame), stored; the numbers of frames and of blocks.
+    """(block, first, n, ensembles, frames, x, file, chunk) in the order of (ensemble, frame), stored; the numbers of frames and of blocks.
 
-    first is the number of frames before the block. One shuffle sorts the frames; a few numbers a block come to the driver.
+    first is the number of frames before the block; the block is the row of its file with that chunk. One shuffle sorts the
+    frames; a few numbers a block come to the driver.
     """
-    rows = block_rows(width_of(wide), rows)
+    features = width_of(wide)
+    rows = block_rows(features, rows)
     frames = wide.count()
-    parts = max(1, -(-frames // rows))
+    together = max(1, min(FILE_BLOCKS, VALUES // (rows * max(1, features))))
+    parts = max(1, -(-frames // (rows * together)))
     ranged = wide.select("ensemble", "frame", "vals").repartitionByRange(parts, "ensemble", "frame").sortWithinPartitions("ensemble", "frame")
     blocks = stored(packed(ranged, rows), "blocks")
-    known = sorted((r["part"], r["chunk"], r["n"]) for r in blocks.select("part", "chunk", "n").collect())
+    known = sorted((r["part"], r["chunk"], r["n"], r["file"]) for r in blocks.select("part", "chunk", "n", F.input_file_name().alias("file")).collect())
     first, numbered = 0, []
-    for k, (part, chunk, n) in enumerate(known):
-        numbered.append((part, chunk, k, first))
+    for k, (part, chunk, n, file) in enumerate(known):
+        numbered.append((part, chunk, k, first, file))
         first += n
-    numbers = blocks.sparkSession.createDataFrame(numbered, "part int, chunk int, block int, first long")
-    # two numbers a block of frames
-    named = blocks.join(F.broadcast(numbers), ["part", "chunk"]).select("block", "first", "n", "ensembles", "frames", "x")
+    numbers = blocks.sparkSession.createDataFrame(numbered, "part int, chunk int, block int, first long, file string")
+    # two numbers and a name a block of frames
+    named = blocks.join(F.broadcast(numbers), ["part", "chunk"]).select("block", "first", "n", "ensembles", "frames", "x", "file", "chunk")
     return named, frames, len(known)
 
 
+class Place(NamedTuple):
+    """Where a block lies: frames before it, its frames, its file in the shared folder, and its chunk there."""
+
+    first: int
+    n: int
+    file: str
+    chunk: int
+
+
+def block_groups(blocks: DataFrame, count: int) -> list[list[Place]]:
+    """Places of ordered_blocks in order, in runs of blocks: a task has one run as its own. A run has at most VALUES numbers, or is one block."""
+    found = blocks.select("first", "n", "file", "chunk", F.octet_length("x").alias("size")).collect()
+    numbers = sum(r["size"] for r in found) // 8
+    places = [Place(*x) for x in sorted((r["first"], r["n"], r["file"], r["chunk"]) for r in found)]
+    groups = min(count, max(2 * blocks.sparkSession.sparkContext.defaultParallelism, -(-numbers // VALUES)))
+    cuts = [k * count // groups for k in range(groups + 1)]
+    return [places[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def read_blocks(places: list[Place]) -> Iterator[tuple[Place, np.ndarray, np.ndarray]]:
+    """(place, frames, values) of blocks, file after file, read by a task from the shared folder: no block is shuffled or broadcast."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    for file, some in groupby(places, key=lambda p: p.file):
+        system, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", file))
+        with system.open_input_file(path) as f:
+            table = pq.read_table(f, columns=["chunk", "frames", "x"])
+        row = {chunk: k for k, chunk in enumerate(table["chunk"].to_pylist())}
+        for place in some:
+            k = row[place.chunk]
+            yield place, table["frames"][k].values.to_numpy(), np.frombuffer(table["x"][k].as_buffer()).reshape(place.n, -1)
+
+
+def by_group(blocks: DataFrame, groups: list[list[Place]]) -> DataFrame:
+    """One task for each of groups, with its number in column id."""
+    return blocks.sparkSession.range(0, len(groups), 1, len(groups))
+
+
 def summed(parts: DataFrame, tasks: int, numbers: int) -> dict[int, np.ndarray]:
     """Sums of the arrays of float64 in column x by the number in column key, on the driver: as many numbers as the keys' arrays have.
 

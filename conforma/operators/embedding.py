@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .blocks import ROWS, ordered_blocks, summed
+from .blocks import ROWS, block_groups, by_group, ordered_blocks, read_blocks, summed
 from .components import OUT, pca
 
 SEED = 42
@@ -35,6 +35,10 @@ ANGLE = 0.5
 DEPTH = 16
 #: Edges of a stored row.
 EDGES = 1 << 17
+#: Frames of a task's own that meet a block at a time.
+CHUNK = 1024
+#: Pairs whose values are gathered at a time.
+GATHERED = 1 << 14
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -69,6 +73,27 @@ def _placed(blocks: DataFrame, y: np.ndarray) -> DataFrame:
     return blocks.select("first", "n", "ensembles", "frames").mapInArrow(run, OUT)
 
 
+class _Products:
+    """Squared distances of rows x about centre to other rows, one product of matrices of the given type."""
+
+    def __init__(self, x: np.ndarray, kind: type):
+        self.centre, self.kind = x.mean(axis=0), kind
+        x = x - self.centre
+        # a power of two, so that the smaller type neither overflows nor loses a digit by it
+        top = float(np.abs(x).max(initial=0))
+        self.scale = 2.0 ** -np.frexp(top)[1] if np.isfinite(top) and top else 1.0
+        x = x * self.scale
+        self.square = (x * x).sum(axis=1)
+        self.left = np.column_stack([-2 * x, self.square, np.ones(len(x))]).astype(kind)
+
+    def right(self, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The other factor for rows other, and their squares."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            z = (other - self.centre) * self.scale
+            square = (z * z).sum(axis=1)
+            return np.ascontiguousarray(np.column_stack([z, np.ones(len(z)), square]).astype(self.kind).T), square
+
+
 def _pairs(blocks: DataFrame, count: int, both: bool) -> DataFrame:
     """Blocks met by blocks: each unordered pair once (with itself too), or each ordered pair. An equi-join; a block goes to every other by need."""
     own = blocks.select(F.col("block").alias("a"), F.col("first").alias("first_a"), F.col("n").alias("n_a"), F.col("x").alias("x_a"))
@@ -159,46 +184,101 @@ def scale_all(wide: DataFrame, rows: int = ROWS, rounds: int = SCALING_ROUNDS, t
 # -- neighbour embedding -----------------------------------------------------------------------------------------------
 
 
-def nearest(blocks: DataFrame, count: int, k: int) -> DataFrame:
-    """(first, n, near, d2): for each block of frames the numbers of their k nearest other frames (n by k) and the squared distances.
+class _Nearest:
+    """The k nearest others of rows x, the first of which has number first: exact, ties to the smaller number; blocks are met in any order.
 
-    Exact; ties go to the smaller number. A block meets all others one after another and keeps k of each frame, nothing more.
+    Products in single precision drop what lies beyond the k-th nearest so far by more than their largest error; what is left is
+    measured by differences, so that equal rows are equally far. Of each row k are kept, and at most as many wait, or a block's.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = first = n = ids = d2 = None
-
-        def result() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([n], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([d2.tobytes()], pa.binary())], ["first", "n", "near", "d2"])
+    def __init__(self, x: np.ndarray, first: int, k: int):
+        self.x, self.first, self.k = x, first, k
+        self.own = _Products(x, np.float32)
+        self.d2, self.ids, self.names = np.full((len(x), k), np.inf), np.full((len(x), k), np.iinfo(np.int64).max), np.zeros((len(x), k), np.int64)
+        self.waiting: dict[int, list[tuple[np.ndarray, ...]]] = {at: [] for at in range(0, len(x), CHUNK)}
+
+    def meet(self, first: int, names: np.ndarray, other: np.ndarray) -> None:
+        own, k = self.own, self.k
+        right, square = own.right(other)
+        # rounding of a product of so many terms, and of the factors
+        unit = (self.x.shape[1] + 8) * 2.0**-23
+        for at in self.waiting:
+            rows = slice(at, at + CHUNK)
+            with np.errstate(over="ignore", invalid="ignore"):
+                near = own.left[rows] @ right
+                error = unit * (np.sqrt(own.square[rows]) + np.sqrt(square.max())) ** 2
+                bar = self.d2[rows, -1] * own.scale**2
+                if np.isinf(bar).any() and len(other) > k + 1:
+                    # one more, as a frame may meet itself
+                    bar = np.minimum(bar, np.partition(near, k, axis=1)[:, k] + error)
+                limit = np.nextafter((bar + error).astype(np.float32), np.float32(np.inf))
+            # no nearer place is left, and no smaller number
+            limit[(self.d2[rows, -1] == 0) & (self.ids[rows, -1] < first)] = -np.inf
+            i, j = np.divmod(np.flatnonzero(~(near > limit[:, None])), len(other))
+            away = self.first + at + i != first + j
+            i, j = i[away], j[away]
+            if not len(i):
+                continue
+            d2 = np.empty(len(i))
+            for s in range(0, len(i), max(1, GATHERED * 64 // max(64, self.x.shape[1]))):
+                e = s + max(1, GATHERED * 64 // max(64, self.x.shape[1]))
+                apart = self.x[at + i[s:e]] - other[j[s:e]]
+                d2[s:e] = (apart * apart).sum(axis=1)
+            d2[np.isnan(d2)] = np.inf
+            self.waiting[at].append((i, d2, first + j, names[j]))
+            if sum(len(w[0]) for w in self.waiting[at]) >= k * len(near):
+                self._settle(at)
+
+    def _settle(self, at: int) -> None:
+        some = self.waiting[at]
+        if not some:
+            return
+        i, d2, ids, names = (np.concatenate(c) for c in zip(*some))
+        self.waiting[at] = []
+        rows = slice(at, at + CHUNK)
+        n = len(self.d2[rows])
+        row = np.concatenate([np.repeat(np.arange(n), self.k), i])
+        d2, ids, names = (np.concatenate([a[rows].ravel(), b]) for a, b in ((self.d2, d2), (self.ids, ids), (self.names, names)))
+        order = np.lexsort((ids, d2, row))
+        counts = self.k + np.bincount(i, minlength=n)
+        best = order[(np.cumsum(counts) - counts)[:, None] + np.arange(self.k)]
+        self.d2[rows], self.ids[rows], self.names[rows] = d2[best], ids[best], names[best]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, squared distances, names), in order of distance."""
+        for at in self.waiting:
+            self._settle(at)
+        return self.ids, self.d2, self.names
+
+
+def nearest(blocks: DataFrame, count: int, k: int, named: bool = False) -> DataFrame:
+    """(first, n, near, d2): for each block of frames the numbers of their k nearest other frames (n by k) and the squared distances, nearest first, stored.
+
+    Exact; ties go to the smaller number. With named also frames and names, the frames' own names and those of near. A task's
+    blocks meet all others one after another and keep k of each frame, nothing more.
+    """
+    groups = block_groups(blocks, count)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                fa, na, fb, nb = (row.column(c)[0].as_py() for c in ("first_a", "n_a", "first_b", "n_b"))
-                if fa != first:
-                    if first is not None:
-                        yield result()
-                    first, n = fa, na
-                    ids, d2 = np.zeros((na, 0), np.int64), np.zeros((na, 0))
-                    own = _matrix(row.column("x_a")[0], na)
-                d = squared(own, _matrix(row.column("x_b")[0], nb))
-                if fa == fb:
-                    np.fill_diagonal(d, np.inf)
-                d2 = np.hstack([d2, d])
-                ids = np.hstack([ids, np.broadcast_to(fb + np.arange(nb), (na, nb))])
-                if d2.shape[1] > k:
-                    bar = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
-                    # all below the bar and, of those at it, the first by number
-                    at = np.cumsum((d2 == bar), axis=1) <= k - (d2 < bar).sum(axis=1, keepdims=True)
-                    keep = (d2 < bar) | ((d2 == bar) & at)
-                    d2, ids = d2[keep].reshape(na, k), ids[keep].reshape(na, k)
-        if first is not None:
-            yield result()
-
-    met = _pairs(blocks, count, both=True).select("a", "b", "first_a", "n_a", "first_b", "n_b", "x_a", "x_b")
-    # a block's own pairs in one task, in ascending order of the other block, so that ties keep the smaller number
-    met = met.repartition(count, "a").sortWithinPartitions("a", "b")
-    return stored(met.mapInArrow(run, "first long, n int, near binary, d2 binary"), "nearest")
+            for group in batch.column("id").to_pylist():
+                own = list(read_blocks(groups[group]))
+                start = own[0][0].first
+                search = _Nearest(np.concatenate([x for _, _, x in own]), start, k)
+                for some in groups:
+                    for place, frames, other in read_blocks(some):
+                        search.meet(place.first, frames, other)
+                results = search.result()
+                for place, frames, _ in own:
+                    rows = slice(place.first - start, place.first - start + place.n)
+                    near, d2, names = (pa.array([a[rows].tobytes()], pa.binary()) for a in results)
+                    cols = {"first": pa.array([place.first], pa.int64()), "n": pa.array([place.n], pa.int32()), "near": near, "d2": d2}
+                    if named:
+                        cols |= {"frames": pa.array([frames.astype(np.int64).tobytes()], pa.binary()), "names": names}
+                    yield pa.RecordBatch.from_pydict(cols)
+
+    schema = "first long, n int, near binary, d2 binary" + ", frames binary, names binary" * named
+    return stored(by_group(blocks, groups).mapInArrow(run, schema), "nearest")
 
 
 def nearest_frames(wide: DataFrame, k: int, rows: int = ROWS) -> DataFrame:
@@ -207,21 +287,15 @@ def nearest_frames(wide: DataFrame, k: int, rows: int = ROWS) -> DataFrame:
     k = min(k, frames - 1)
     if k < 1:
         return wide.sparkSession.createDataFrame([], "frame_a long, rank int, frame_b long, d double")
-    near = nearest(blocks, count, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, n, ids, d2 in zip(batch.column("first").to_pylist(), batch.column("n").to_pylist(), batch.column("near"), batch.column("d2")):
-                ids, d2 = np.frombuffer(ids.as_buffer(), np.int64).reshape(n, -1), _matrix(d2, n)
-                order = np.lexsort((ids, d2))
-                ids, d2 = np.take_along_axis(ids, order, 1), np.take_along_axis(d2, order, 1)
-                cols = [np.repeat(first + np.arange(n), k), np.tile(np.arange(1, k + 1, dtype=np.int32), n), ids.ravel(), np.sqrt(d2.ravel())]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["i", "rank", "j", "d"])
-
-    edges = near.mapInArrow(run, "i long, rank int, j long, d double")
-    names = blocks.select(F.col("first"), F.posexplode("frames").alias("at", "frame")).select((F.col("first") + F.col("at")).alias("i"), "frame")
-    got = edges.join(names.withColumnRenamed("frame", "frame_a"), "i").join(names.select(F.col("i").alias("j"), F.col("frame").alias("frame_b")), "j")
-    return got.select("frame_a", "rank", "frame_b", "d")
+            for n, d2, own, names in zip(batch.column("n").to_pylist(), *(batch.column(c) for c in ("d2", "frames", "names"))):
+                own, names = (np.frombuffer(c.as_buffer(), np.int64) for c in (own, names))
+                cols = [np.repeat(own, k), np.tile(np.arange(1, k + 1, dtype=np.int32), n), names, np.sqrt(np.frombuffer(d2.as_buffer()))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["frame_a", "rank", "frame_b", "d"])
+
+    return nearest(blocks, count, k, named=True).mapInArrow(run, "frame_a long, rank int, frame_b long, d double")
 
 
 def affinities(d2: np.ndarray, perplexity: float) -> np.ndarray:

@@ -1,5 +1,7 @@
 """Distributed projections against plain versions."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -149,3 +151,38 @@ def test_numbered_and_joined_ensembles_take_one_scan(spark):
     df = spark.createDataFrame(rows, WIDE)
     assert sorted((r["ensemble"], r["frame"]) for r in A.number_ensembles(df).collect()) == [(0, 4), (1, 5), (1, 9), (2, 0)]
     assert sorted(map(tuple, A.joined_trajectory(df).collect())) == [(0, 3, 4), (1, 7, 5), (2, 7, 9), (3, 9, 0)]
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    jvm = spark.sparkContext._jvm
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def kept(spark):
+    """Bytes of intermediate tables."""
+    top = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    return sum(p.stat().st_size for p in top.rglob("*.parquet"))
+
+
+def test_nearest_frames_shuffle_and_store_no_pairs(spark):
+    # quadratic shuffles failed on larger tables: here each block went to each other, 30 times the frames' own size
+    x = np.random.default_rng(9).normal(size=(400, 16))
+    wide = frames(spark, x)
+    before = shuffled(spark) + kept(spark)
+    assert E.nearest_frames(wide, 3, rows=25).count() == 1200
+    assert shuffled(spark) + kept(spark) - before < 6 * x.nbytes
+
+
+def test_nearest_frames_among_copies_are_ordered_by_number(spark):
+    # far from the common centre a product of matrices tells no copies from near rows, and copies not from one another
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.normal(size=(9, 5)) + 1e4 * (np.arange(9) % 2)[:, None], 8, axis=0)[rng.permutation(72)]
+    got = {(r["frame_a"], r["rank"]): (r["frame_b"], r["d"]) for r in E.nearest_frames(frames(spark, x), 11, rows=7).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    for a in range(72):
+        want = np.lexsort((np.arange(72), d[a]))[:11]
+        assert [got[a, k + 1][0] for k in range(11)] == want.tolist() and [got[a, k + 1][1] for k in range(11)] == pytest.approx(np.sqrt(d[a, want]))
