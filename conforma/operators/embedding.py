@@ -1,9 +1,11 @@
 """Metric scaling and stochastic neighbour embedding of all frames to two dimensions, in blocks of frames.
 
 Both methods move all frames at once, round by round. A round is one map over stored blocks: the frames' places, two numbers
-each and counted, go to the tasks, and the sums that move them come back. Distances of frames are computed once, block against block.
+each and counted, go to the tasks, and the sums that move them come back. Pairs of frames are neither shuffled nor stored: a task holds one
+run of blocks and reads the others, one after another, from where they are stored.
 
-Metric scaling: the Guttman transform over blocks of the distance matrix (majorisation, so the stress never rises).
+Metric scaling: the Guttman transform over blocks of the distance matrix, which are computed anew each round (majorisation, so
+the stress never rises).
 Neighbour embedding: exact nearest neighbours by blocks, a bounded list per frame; attraction along that graph; repulsion
 by a quadtree over the places (Barnes-Hut): cells that look small from a frame act as one point.
 """
@@ -11,6 +13,7 @@ by a quadtree over the places (Barnes-Hut): cells that look small from a frame a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .blocks import ROWS, block_groups, by_group, ordered_blocks, read_blocks, summed
+from .blocks import ROWS, VALUES, Place, block_groups, by_group, ordered_blocks, read_blocks, summed
 from .components import OUT, pca
 
 SEED = 42
@@ -94,61 +97,94 @@ class _Products:
             return np.ascontiguousarray(np.column_stack([z, np.ones(len(z)), square]).astype(self.kind).T), square
 
 
-def _pairs(blocks: DataFrame, count: int, both: bool) -> DataFrame:
-    """Blocks met by blocks: each unordered pair once (with itself too), or each ordered pair. An equi-join; a block goes to every other by need."""
-    own = blocks.select(F.col("block").alias("a"), F.col("first").alias("first_a"), F.col("n").alias("n_a"), F.col("x").alias("x_a"))
-    start = F.lit(0) if both else F.col("a")
-    own = own.withColumn("b", F.explode(F.sequence(start, F.lit(count - 1))))
-    other = blocks.select(F.col("block").alias("b"), F.col("first").alias("first_b"), F.col("n").alias("n_b"), F.col("x").alias("x_b"))
-    return own.join(other, "b")
+# -- metric scaling ----------------------------------------------------------------------------------------------------
 
 
-# -- metric scaling ----------------------------------------------------------------------------------------------------
+class Distances(NamedTuple):
+    """The matrix of distances of frames, by the places of their blocks; it is quadratic, so it is computed where it is used."""
 
+    blocks: DataFrame
+    groups: list[list[Place]]
 
-def distance_blocks(blocks: DataFrame, count: int) -> DataFrame:
-    """(first_a, n_a, first_b, n_b, d): Euclidean distances of the frames of each unordered pair of blocks, stored."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = ("first_a", "n_a", "first_b", "n_b")
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                fa, na, fb, nb = (row.column(c)[0].as_py() for c in names)
-                d = np.sqrt(squared(_matrix(row.column("x_a")[0], na), _matrix(row.column("x_b")[0], nb)))
-                if fa == fb:
-                    np.fill_diagonal(d, 0)
-                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in names), pa.array([d.tobytes()], pa.binary())], [*names, "d"])
+def distance_blocks(blocks: DataFrame, count: int) -> Distances:
+    return Distances(blocks, block_groups(blocks, count))
 
-    met = _pairs(blocks, count, both=False).select("first_a", "n_a", "first_b", "n_b", "x_a", "x_b")
-    return stored(met.mapInArrow(run, "first_a long, n_a int, first_b long, n_b int, d binary"), "distances")
 
+def _met_groups(group: int, groups: int, half: bool) -> list[int]:
+    """Groups that a group meets: all, or those that make each unordered pair once, equally many for each."""
+    if not half:
+        return list(range(groups))
+    return [(group + k) % groups for k in range(groups // 2 + 1) if 2 * k < groups or group < groups // 2]
 
-def guttman(distances: DataFrame, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """(next places, stress of y) for stored distance blocks: place i moves to the mean over j of d_ij / e_ij (y_i - y_j)."""
-    shared = distances.sparkSession.sparkContext.broadcast(y)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def guttman(distances: Distances, y: np.ndarray, kind: type = np.float64, half: bool | None = None) -> tuple[np.ndarray, float]:
+    """(next places, stress of y): place i moves to the mean over j of d_ij / e_ij (y_i - y_j). Distances are computed in type kind.
+
+    With half, each unordered pair is met once, and a task has sums of half of all places; otherwise each ordered pair, and a task
+    has its own places' sums alone. By default half if all tasks' sums are few.
+    """
+    groups = distances.groups
+    half = 2 * len(groups) * len(y) <= VALUES if half is None else half
+    shared = distances.blocks.sparkSession.sparkContext.broadcast(y)
+
+    def moves(group: int) -> dict[int, np.ndarray]:
         y = shared.value
-        sums: dict[int, np.ndarray] = {}
+        x = np.concatenate([x for _, _, x in read_blocks(groups[group])])
+        own, first = _Products(x, kind), groups[group][0].first
+        del x
+        sums = {g: np.zeros(2 * sum(p.n for p in groups[g]) + 1) for g in (_met_groups(group, len(groups), half) if half else [group])}
+        lost, room = 0.0, [np.zeros(0, kind)] * 3
+        for g in _met_groups(group, len(groups), half):
+            both = half and g != group
+            for place, _, other in read_blocks(groups[g]):
+                right, _ = own.right(other)
+                yb = y[place.first : place.first + place.n]
+                to, back = np.column_stack([yb, np.ones(len(yb))]).astype(kind), np.zeros((len(yb), 2))
+                for at in range(0, len(own.left), CHUNK):
+                    left = own.left[at : at + CHUNK]
+                    ya = y[first + at : first + at + len(left)]
+                    if room[0].size < len(left) * len(yb):
+                        room = [np.empty(len(left) * len(yb), kind) for _ in range(3)]
+                    d, e, f = (r[: len(left) * len(yb)].reshape(len(left), len(yb)) for r in room)
+                    np.matmul(left, right, out=d)
+                    np.sqrt(np.maximum(d, 0, out=d), out=d)
+                    d *= kind(1 / own.scale)
+                    np.subtract.outer(ya[:, 0].astype(kind), yb[:, 0].astype(kind), out=e)
+                    np.multiply(e, e, out=e)
+                    np.subtract.outer(ya[:, 1].astype(kind), yb[:, 1].astype(kind), out=f)
+                    np.multiply(f, f, out=f)
+                    np.sqrt(np.add(e, f, out=e), out=e)
+                    if g == group:
+                        # a frame and itself
+                        i = np.arange(max(first + at, place.first), min(first + at + len(left), place.first + len(yb)))
+                        d[i - first - at, i - place.first] = 0
+                    np.subtract(d, e, out=f)
+                    lost += float(np.einsum("ij,ij->i", f, f).sum(dtype=float)) / (1 if both else 2)
+                    one = e <= 1e-12
+                    if one.any():
+                        e[one] = np.inf
+                    ratio = np.divide(d, e, out=d)
+                    got = (ratio @ to).astype(float)
+                    sums[group][2 * at : 2 * (at + len(left))] += (got[:, 2:] * ya - got[:, :2]).ravel()
+                    if both:
+                        got = (ratio.T @ np.column_stack([ya, np.ones(len(ya))]).astype(kind)).astype(float)
+                        back += got[:, 2:] * yb - got[:, :2]
+                if both:
+                    start = 2 * (place.first - groups[g][0].first)
+                    sums[g][start : start + 2 * len(yb)] += back.ravel()
+        # the stress rides at the end
+        sums[group][-1] += lost
+        return sums
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for fa, na, fb, nb, d in zip(*(batch.column(c).to_pylist() for c in ("first_a", "n_a", "first_b", "n_b")), batch.column("d")):
-                d, ya, yb = _matrix(d, na), y[fa : fa + na], y[fb : fb + nb]
-                e = np.sqrt(squared(ya, yb))
-                if fa == fb:
-                    np.fill_diagonal(e, 0)
-                ratio = np.divide(d, e, out=np.zeros_like(d), where=e > 1e-12)
-                lost = ((d - e) ** 2).sum() / (2 if fa == fb else 1)
-                moved = [(fa, ratio.sum(axis=1)[:, None] * ya - ratio @ yb)]
-                if fa != fb:
-                    moved.append((fb, ratio.sum(axis=0)[:, None] * yb - ratio.T @ ya))
-                for key, m in moved:
-                    # the stress rides at the end of the first
-                    m, lost = np.append(m.ravel(), lost), 0.0
-                    sums[key] = sums[key] + m if key in sums else m
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([m.tobytes() for m in sums.values()], pa.binary())], ["key", "x"])
-
-    got = summed(distances.mapInArrow(run, "key long, x binary"), distances.rdd.getNumPartitions(), 3 * len(y))
+            for group in batch.column("id").to_pylist():
+                sums = moves(group)
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([m.tobytes() for m in sums.values()], pa.binary())], ["key", "x"])
+
+    numbers = -(-2 * len(y) // (1 if half else len(groups))) + len(groups)
+    got = summed(by_group(distances.blocks, groups).mapInArrow(run, "key long, x binary"), len(groups), numbers)
     shared.destroy()
     rows = [got[k] for k in sorted(got)]
     return np.concatenate([r[:-1].reshape(-1, 2) for r in rows]) / len(y), float(sum(r[-1] for r in rows))
@@ -165,7 +201,8 @@ def scale_all(wide: DataFrame, rows: int = ROWS, rounds: int = SCALING_ROUNDS, t
     distances = distance_blocks(blocks, count)
     best, least, step = y, np.inf, 1.0
     for _ in range(rounds):
-        moved, now = guttman(distances, y)
+        # digits that single precision lacks change the stress by far less than the tolerance
+        moved, now = guttman(distances, y, np.float32)
         gained = least - now
         if gained < 0 and step > 1:
             # an overlong step raised the stress: go on from the best with plain steps, which never do
@@ -178,7 +215,7 @@ def scale_all(wide: DataFrame, rows: int = ROWS, rounds: int = SCALING_ROUNDS, t
         # steps twice as long halve the rounds (relaxed majorisation)
         step = 2.0 if step > 1 or np.isfinite(gained) else 1.0
         y = y + step * (moved - y)
-    return _placed(blocks, best), float(least)
+    return _placed(blocks, best), guttman(distances, best)[1]
 
 
 # -- neighbour embedding -----------------------------------------------------------------------------------------------

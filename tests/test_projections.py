@@ -186,3 +186,28 @@ def test_nearest_frames_among_copies_are_ordered_by_number(spark):
     for a in range(72):
         want = np.lexsort((np.arange(72), d[a]))[:11]
         assert [got[a, k + 1][0] for k in range(11)] == want.tolist() and [got[a, k + 1][1] for k in range(11)] == pytest.approx(np.sqrt(d[a, want]))
+
+
+def test_scaling_stores_no_distances(spark):
+    x = np.random.default_rng(11).normal(size=(400, 4))
+    wide = frames(spark, x)
+    before = shuffled(spark) + kept(spark)
+    E.scale_all(wide, rows=25, rounds=3)
+    # the matrix of distances is 50 times the frames' own size
+    assert shuffled(spark) + kept(spark) - before < 25 * x.nbytes
+
+
+def test_rounds_of_scaling_by_half_of_the_pairs_and_in_single_precision_agree(spark):
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(83, 5)), rng.normal(size=(83, 2))
+    blocks, _, count = B.ordered_blocks(frames(spark, x), rows=9)
+    met = E.distance_blocks(blocks, count)
+    assert len(met.groups) > 2
+    moved, stress = E.guttman(met, y, half=False)
+    for kind, off in ((np.float64, 1e-9), (np.float32, 1e-4)):
+        for half in (True, False):
+            other, lost = E.guttman(met, y, kind, half)
+            assert other == pytest.approx(moved, abs=off) and lost == pytest.approx(stress, rel=off)
+    for groups in range(1, 8):
+        pairs = [frozenset((g, h)) for g in range(groups) for h in E._met_groups(g, groups, True)]
+        assert len(pairs) == len(set(pairs)) == groups * (groups + 1) // 2
