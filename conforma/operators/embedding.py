@@ -365,8 +365,10 @@ def affinity_graph(near: DataFrame, frames: int, perplexity: float, rows: int) -
                 i, j, p = np.append(i, j.ravel()), np.append(j.ravel(), i), np.append(p.ravel(), p.ravel())
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(p)], ["i", "j", "p"])
 
-    both = near.mapInArrow(directed, "i long, j long, p double").groupBy("i", "j").agg(F.sum("p").alias("p"))
-    both = both.withColumn("block", F.floor(F.col("i") / rows))
+    tasks = max(1, -(-frames // rows))
+    # dealt by block once: sums, order and packing all lie within a block
+    both = near.mapInArrow(directed, "i long, j long, p double").withColumn("block", F.floor(F.col("i") / rows)).repartition(tasks, "block")
+    both = both.groupBy("block", "i", "j").agg(F.sum("p").alias("p"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -394,8 +396,7 @@ def affinity_graph(near: DataFrame, frames: int, perplexity: float, rows: int) -
         if held:
             yield row(pa.Table.from_batches(held))
 
-    tasks = max(1, -(-frames // rows))
-    packed = both.repartition(tasks, "block").sortWithinPartitions("block", "i", "j").mapInArrow(pack, "block long, head boolean, i binary, j binary, p binary")
+    packed = both.select("i", "j", "p", "block").sortWithinPartitions("block", "i", "j").mapInArrow(pack, "block long, head boolean, i binary, j binary, p binary")
     return stored(packed, "affinities")
 
 

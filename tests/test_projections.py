@@ -211,3 +211,13 @@ def test_rounds_of_scaling_by_half_of_the_pairs_and_in_single_precision_agree(sp
     for groups in range(1, 8):
         pairs = [frozenset((g, h)) for g in range(groups) for h in E._met_groups(g, groups, True)]
         assert len(pairs) == len(set(pairs)) == groups * (groups + 1) // 2
+
+
+def test_affinities_are_dealt_once(spark):
+    x = np.random.default_rng(13).normal(size=(400, 4))
+    blocks, n, count = B.ordered_blocks(frames(spark, x), rows=25)
+    near = E.nearest(blocks, count, 60)
+    before = shuffled(spark)
+    E.affinity_graph(near, n, 20.0, rows=25)
+    # 48,000 edges of three numbers and a block's, each dealt to its block; they were dealt for their sums before that
+    assert shuffled(spark) - before < 48_000 * 25
