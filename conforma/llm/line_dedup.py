@@ -20,10 +20,12 @@ hash of the text (which matters only for rows that share a doc_id).
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, small
+from .common import documents, small
+from .common import materialise as written
 
 THRESHOLD = 0.75
 #: Size of the table of hashed word counts, one class byte each, however large the corpus is.
@@ -47,6 +49,17 @@ def lowered(line: Column) -> Column:
     return F.when(ascii_only & ~F.regexp_like(line, F.lit(r"[\x09\x0B-\x0D]")), F.lower(line)).otherwise(F.translate(spaced, UPPER, LOWER))
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df stored (see common.materialise), after which its shuffle files go: nothing reads them again, and a corpus leaves many."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 # Arrays are exploded by the outer forms, even where none is empty: for the others the optimizer adds a filter on the array's
 # size to the scan, which makes the array a second time.
 
@@ -78,37 +91,46 @@ def copied_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def rarity_table(lines: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
-    """One stored row, classes: for each of 2**bits buckets of word hashes a byte, STEPS times the binary logarithm of the occurrences in all lines."""
+    """One stored row, classes: for each of 2**bits buckets of word hashes a number, STEPS times the binary logarithm of the occurrences in all lines."""
     words = lines.select(F.explode_outer(F.split("low", " ")).alias("w")).where("w != ''")
     counts = words.select(F.xxhash64("w").bitwiseAND((1 << bits) - 1).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("c"))
     # bounded by the table's size, whatever the corpus
     got = counts.where("c > 1").select("b", F.least(F.floor(STEPS * F.log2("c")), F.lit(127)).cast("int").alias("c")).toArrow()
-    table = np.zeros(1 << bits, np.uint8)
+    table = np.zeros(1 << bits, np.int8)
     table[got["b"].to_numpy()] = got["c"].to_numpy()
-    return materialise(lines.sparkSession.createDataFrame([(bytearray(table.tobytes()),)], "classes binary"), "word-classes")
+    return materialise(lines.sparkSession.createDataFrame(pa.table({"classes": pa.array([table], pa.list_(pa.int8()))})), "word-classes")
 
 
 def _class_of(count: int) -> int:
     return int(STEPS * np.log2(count))
 
 
+def line_order(lines: DataFrame) -> Column:
+    """A column that orders lines by doc_id and line number: one number where both fit into one, else the two."""
+    x = lines.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("line_no").alias("number")).first()
+    width = (x["number"] or 0) + 1
+    if x["least"] is None or (max(abs(x["least"]), abs(x["most"])) + 1) * width >= 1 << 63:
+        return F.struct("doc_id", "line_no")
+    return F.col("doc_id") * F.lit(width).cast("long") + F.col("line_no")
+
+
 def posting_rows(lines: DataFrame, table: DataFrame, threshold: float = THRESHOLD, band_lines: int | None = None, split_lines: int | None = None) -> DataFrame:
-    """k, side, line, doc_id, line_no, n, pos, s0, s1: a row for every key of every line.
+    """k, side, line, at, n, pos, s0, s1: a row for every key of every line.
 
-    Two lines of a key are compared unless side % 3 is 1 for both or 2 for both; side is 3 more for lines with keys of two words. n: different words; pos: place of the word that
-    the key is of; s0, s1: a parity signature of 64 bits, of 128 for over 64 words.
+    Two lines of a key are compared unless side % 3 is 1 for both or 2 for both; side is 3 more for lines with keys of two words. at: see line_order; n: different words;
+    pos: place of the word that the key is of; s0, s1: a parity signature of 64 bits, of 128 for over 64 words.
     """
     bits = TABLE_BITS
     hashes = F.array_remove(F.array_distinct(F.transform(F.split("low", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
     def key(h: Column) -> Column:
-        slot = h.bitwiseAND((1 << bits) - 1).cast("int") + 1
-        rank = F.ascii(F.substring(F.col("classes"), slot, F.lit(1)).cast("string")).cast("long")
+        slot = h.bitwiseAND((1 << bits) - 1).cast("int")
+        rank = F.get("classes", slot).cast("long")
         return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     # a scalar subquery, used in one place alone: it becomes part of that expression, and no row carries the table
-    rows = lines.select("line", "doc_id", "line_no", "low", table.scalar().alias("classes"))
-    rows = rows.select("line", "doc_id", "line_no", F.sort_array(F.transform(hashes, key)).alias("t"))
+    rows = lines.select("line", line_order(lines).alias("at"), "low", table.scalar().alias("classes"))
+    rows = rows.select("line", "at", F.sort_array(F.transform(hashes, key)).alias("t"))
     rows = rows.withColumn("n", F.size("t"))
     bands, splits = (_class_of(BAND_LINES if band_lines is None else band_lines), _class_of(SPLIT_LINES if split_lines is None else split_lines))
     low = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
@@ -119,8 +141,8 @@ def posting_rows(lines: DataFrame, table: DataFrame, threshold: float = THRESHOL
     bit = "shiftleft(1L, cast(x & 63 as int))"
     half = sign.format(f"case when x & 64 = {{}} then {bit} else 0L end")
     s0, s1 = f"case when n <= 64 then {sign.format(bit)} else {half.format(0)} end", f"case when n <= 64 then 0L else {half.format(64)} end"
-    rows = rows.select("line", "doc_id", "line_no", "n", "p", first.alias("first"), F.slice("t", 1, F.col("p")).alias("f"), F.expr(s0).alias("s0"), F.expr(s1).alias("s1"))
-    rows = rows.select("line", "doc_id", "line_no", "n", "p", "first", "s0", "s1", F.posexplode_outer("f").alias("pos", "w"))
+    rows = rows.select("line", "at", "n", "p", first.alias("first"), F.slice("t", 1, F.col("p")).alias("f"), F.expr(s0).alias("s0"), F.expr(s1).alias("s1"))
+    rows = rows.select("line", "at", "n", "p", "first", "s0", "s1", F.posexplode_outer("f").alias("pos", "w"))
     rank = F.shiftrightunsigned("w", 56)
     # a word that occurs once meets nothing
     rows = rows.where(rank > 0)
@@ -147,8 +169,8 @@ def posting_rows(lines: DataFrame, table: DataFrame, threshold: float = THRESHOL
     both = F.when(F.col("n") > LONG * threshold - 1e-9, banded).otherwise(F.array().cast(rows.select(banded.alias("x")).schema["x"].dataType))
     short = F.concat(both, F.flatten(F.transform(second, split)))
     keys = F.when(rank <= bands, F.array(k(0))).when((rank <= splits) | (F.col("n") > LONG), banded).otherwise(short)
-    rows = rows.select(F.explode_outer(keys).alias("e"), F.col("first").isNotNull().alias("loose"), "line", "doc_id", "line_no", "n", "pos", "s0", "s1").where(F.col("e").isNotNull())
-    return rows.select("e.k", (F.col("e.side") + F.when(F.col("loose"), 3).otherwise(0)).alias("side"), "line", "doc_id", "line_no", "n", "pos", "s0", "s1")
+    rows = rows.select(F.explode_outer(keys).alias("e"), F.col("first").isNotNull().alias("loose"), "line", "at", "n", "pos", "s0", "s1").where(F.col("e").isNotNull())
+    return rows.select("e.k", (F.col("e.side") + F.when(F.col("loose"), 3).otherwise(0)).alias("side"), "line", "at", "n", "pos", "s0", "s1")
 
 
 def possible(a: str, b: str, threshold: float) -> Column:
@@ -165,7 +187,8 @@ def possible(a: str, b: str, threshold: float) -> Column:
 
 
 def _met(a: str, b: str, threshold: float) -> Column:
-    earlier = (F.col(f"{a}.doc_id") < F.col(f"{b}.doc_id")) | ((F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & ((F.col(f"{a}.line_no") < F.col(f"{b}.line_no")) | ((F.col(f"{a}.line_no") == F.col(f"{b}.line_no")) & (F.col(f"{a}.line") < F.col(f"{b}.line")))))
+    at, on = F.col(f"{a}.at"), F.col(f"{b}.at")
+    earlier = (at < on) | ((at == on) & (F.col(f"{a}.line") < F.col(f"{b}.line")))
     sides = (F.col(f"{a}.side") % 3 != F.col(f"{b}.side") % 3) | (F.col(f"{a}.side") % 3 == 0)
     return possible(a, b, threshold) & earlier & sides
 
@@ -173,21 +196,22 @@ def _met(a: str, b: str, threshold: float) -> Column:
 def first_pairs(posts: DataFrame, threshold: float = THRESHOLD, small_key: int | None = None) -> DataFrame:
     """a, b (lines), c, hot: all pairs of keys of at most small_key lines, in larger ones those with the earliest line.
 
-    For every larger key one pair, which needn't pass the filters, tells it in hot (a list of keys). c: common first words.
+    c: common first words. hot: null, or a larger key; each of its lines is told in a row as b, with c = 0 if it doesn't pass the filters.
     Beyond the first words of the line whose first words end earlier, t n - 1 words at most are common, so with too few common
     first words a pair isn't given, unless it may have more of them in keys of two words, or its lines meet in a larger key.
     """
     limit = SMALL_KEY if small_key is None else small_key
-    own = Window.partitionBy("k").orderBy("doc_id", "line_no", "line")
+    own = Window.partitionBy("k").orderBy("at", "line")
     all_ = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = posts.select("*", F.row_number().over(own).alias("r"), F.count("*").over(all_).alias("c"), F.max("line").over(all_).alias("u"), F.min("line").over(all_).alias("v"))
+    ranked = posts.select("*", F.row_number().over(own).alias("r"), F.count("*").over(all_).alias("c"))
     a, b = ranked.where((F.col("c") > 1) & ((F.col("c") <= limit) | (F.col("r") == 1))).alias("a"), posts.alias("b")
-    tells = (F.col("a.c") > limit) & (F.col("b.line") == F.when(F.col("a.u") == F.col("a.line"), F.col("a.v")).otherwise(F.col("a.u")))
-    both = a.join(b, (F.col("a.k") == F.col("b.k")) & (tells | _met("a", "b", threshold)))
+    large, met = F.col("a.c") > limit, _met("a", "b", threshold)
+    both = a.join(b, (F.col("a.k") == F.col("b.k")) & (large | met))
     n, m = F.col("a.n"), F.col("b.n")
     lacks = F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9) - F.ceil(F.greatest(n, m) * threshold - 1e-9) + 1
-    rows = both.select(F.col("a.line").alias("a"), F.col("b.line").alias("b"), F.when((F.col("a.c") > limit) | ((F.col("a.side") >= 3) & (F.col("b.side") >= 3)), 0).otherwise(lacks).cast("int").alias("need"), F.when(tells, F.col("a.k")).alias("hot"))
-    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need"), F.collect_set("hot").alias("hot"))
+    need = F.when(large | ((F.col("a.side") >= 3) & (F.col("b.side") >= 3)), 0).otherwise(lacks).cast("int")
+    rows = both.select(F.col("a.line").alias("a"), F.col("b.line").alias("b"), need.alias("need"), F.when(large, F.col("a.k")).alias("hot"), F.when(~large | met, 1).alias("met"))
+    pairs = rows.groupBy("a", "b", "hot").agg(F.count("met").alias("c"), F.min("need").alias("need"))
     return pairs.where(F.col("c") >= F.col("need")).drop("need")
 
 
@@ -217,16 +241,21 @@ def verified(pairs: DataFrame, some: DataFrame, threshold: float = THRESHOLD) ->
 
 def similar_lines(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """line of every one of lines (see distinct_lines) to which an earlier one is similar."""
-    posts = posting_rows(lines, rarity_table(lines), threshold)
-    pairs = materialise(first_pairs(posts, threshold), "line-pairs")
+    table = rarity_table(lines)
+    found = materialise(first_pairs(posting_rows(lines, table, threshold), threshold), "line-pairs")
+    pairs = found.where("c > 0")
     some = pair_lines(pairs, lines)
     # of each line the candidate with most common first words is verified first, the rest only if that one isn't similar
     best = materialise(pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"), "best-pairs")
     gone = materialise(verified(best, some, threshold), "lines-gone")
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(small(gone.withColumnRenamed("line", "b"), gone.count()), "b", "left_anti")
+    rest = pairs.select("a", "b").distinct().join(best, ["a", "b"], "left_anti").join(small(gone.withColumnRenamed("line", "b"), gone.count()), "b", "left_anti")
     gone = materialise(gone.union(verified(rest, some, threshold)).distinct(), "lines-gone")
-    hot = materialise(pairs.select(F.explode("hot").alias("k")).distinct(), "hot-keys")
+    large = found.where("hot IS NOT NULL")
+    hot = materialise(large.select(F.col("hot").alias("k")).distinct(), "hot-keys")
     if hot.count():
+        # keys are made again for the lines of large keys alone
+        members = materialise(large.select(F.col("b").alias("line")).distinct(), "hot-lines")
+        posts = posting_rows(lines.join(small(members, members.count()), "line", "left_semi"), table, threshold)
         more = materialise(more_pairs(posts, hot, gone, threshold).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "line-pairs")
         gone = materialise(gone.union(verified(more, pair_lines(more, lines), threshold)).distinct(), "lines-gone")
     return gone

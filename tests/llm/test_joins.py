@@ -111,6 +111,25 @@ def test_a_long_line_of_frequent_words_has_few_keys(spark):
     assert got == {(9001, 0), (9002, 0)}
 
 
+def test_keys_are_made_again_for_lines_of_large_keys_alone(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SMALL_KEY", 8)
+    asked, made = [], line_dedup.posting_rows
+    monkeypatch.setattr(line_dedup, "posting_rows", lambda lines, *a: asked.append(lines.count()) or made(lines, *a))
+    rows = [(i, f"user u{i} logged in") for i in range(20)] + [(100 + i, f"a{i} b{i} c{i} d{i}") for i in range(50)] + [(200, "user u3 logged in again")]
+    got = {(r["doc_id"], r["line_no"]) for r in line_dedup.removed_lines(frame(spark, rows)).collect()}
+    assert got == removed_lines(rows) == {(200, 0)}
+    assert asked == [71, 20]
+
+
+@pytest.mark.parametrize("far", [1 << 20, (1 << 63) - 200])
+def test_lines_are_in_order_of_doc_id_and_number_however_large(spark, far):
+    rows = [(far - d, t) for d, t in near_copies(5, 60)] + [(-far + d, t) for d, t in near_copies(6, 30)]
+    lines = line_dedup.distinct_lines(line_dedup.line_rows(frame(spark, rows)))
+    got = lines.select("doc_id", "line_no", line_dedup.line_order(lines).alias("at")).orderBy("at").collect()
+    assert [(r[0], r[1]) for r in got] == sorted((r[0], r[1]) for r in got)
+    assert {(r["doc_id"], r["line_no"]) for r in line_dedup.removed_lines(frame(spark, rows)).collect()} == removed_lines(rows)
+
+
 def test_texts_of_very_many_lines_are_rebuilt_in_order(spark):
     keep = [f"line number{k} of{k * 7} its own{k * 3} text{k * 5}" for k in range(40_000)]
     text = "\n".join(x for k, x in enumerate(keep) for x in ([x, x] if k % 2 else [x]))
