@@ -44,9 +44,10 @@ UPPER, LOWER, GAPS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz",
 
 def lowered(line: Column) -> Column:
     """line with A-Z lower-cased and every white space a space. Plain ASCII takes the faster of two equal ways."""
-    spaced = F.translate(line, GAPS, " " * len(GAPS))
-    ascii_only = F.octet_length(line) == F.char_length(line)
-    return F.when(ascii_only & ~F.regexp_like(line, F.lit(r"[\x09\x0B-\x0D]")), F.lower(line)).otherwise(F.translate(spaced, UPPER, LOWER))
+    plain = F.octet_length(line) == F.char_length(line)
+    for gap in GAPS:
+        plain &= ~F.contains(line, F.lit(gap))
+    return F.when(plain, F.lower(line)).otherwise(F.translate(line, UPPER + GAPS, LOWER + " " * len(GAPS)))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -95,7 +96,9 @@ def rarity_table(lines: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
     words = lines.select(F.explode_outer(F.split("low", " ")).alias("w")).where("w != ''")
     counts = words.select(F.xxhash64("w").bitwiseAND((1 << bits) - 1).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("c"))
     # bounded by the table's size, whatever the corpus
-    got = counts.where("c > 1").select("b", F.least(F.floor(STEPS * F.log2("c")), F.lit(127)).cast("int").alias("c")).toArrow()
+    got = counts.where("c > 1").select("b", F.least(F.floor(STEPS * F.log2("c")), F.lit(127)).cast("int").alias("c"))
+    # stored, so that the shuffle files go
+    got = materialise(got, "word-counts").toArrow()
     table = np.zeros(1 << bits, np.int8)
     table[got["b"].to_numpy()] = got["c"].to_numpy()
     return materialise(lines.sparkSession.createDataFrame(pa.table({"classes": pa.array([table], pa.list_(pa.int8()))})), "word-classes")
@@ -125,7 +128,8 @@ def posting_rows(lines: DataFrame, table: DataFrame, threshold: float = THRESHOL
 
     def key(h: Column) -> Column:
         slot = h.bitwiseAND((1 << bits) - 1).cast("int")
-        rank = F.get("classes", slot).cast("long")
+        # never null: numbers that may be null would be sorted as objects
+        rank = F.coalesce(F.get("classes", slot).cast("long"), F.lit(0).cast("long"))
         return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     # a scalar subquery, used in one place alone: it becomes part of that expression, and no row carries the table

@@ -160,6 +160,25 @@ def test_line_dedup_keeps_rows_that_share_a_doc_id_apart(spark):
     assert {(r["doc_id"], r["text_key"], r["line_no"]) for r in line_dedup.removed_lines(frame(spark, rows)).collect()} == want
 
 
+def test_words_are_sorted_as_plain_numbers_and_their_counts_stored(spark, monkeypatch):
+    names, stored, arrays, sort_array = [], line_dedup.materialise, [], line_dedup.F.sort_array
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: names.append(name) or stored(df, name))
+    lines = spark.createDataFrame([(i, i, 0, f"user u{i} logged in") for i in range(9)], "line long, doc_id long, line_no int, low string")
+    table = line_dedup.rarity_table(lines)
+    # the shuffle of counts is cleaned with the table that it is stored in
+    assert "word-counts" in names
+    monkeypatch.setattr(line_dedup.F, "sort_array", lambda x: arrays.append(x) or sort_array(x))
+    line_dedup.posting_rows(lines, table)
+    made = lines.select("low", table.scalar().alias("classes")).select(arrays[0].alias("t")).schema["t"].dataType
+    assert made.elementType.typeName() == "long" and not made.containsNull
+
+
+def test_lowered_lines_keep_other_letters_and_have_spaces_alone(spark):
+    rows = ["Plain ASCII", "A\tB\x0bC\x0cD\rE", "ÉTÉ Où\tÇa", "", "Ümlaut\rZ", "x\nY"]
+    got = spark.createDataFrame([(x,) for x in rows], "x string").select(line_dedup.lowered(line_dedup.F.col("x")).alias("y")).collect()
+    assert [r["y"] for r in got] == [ascii_lower(x).translate({k: " " for k in (9, 10, 11, 12, 13)}) for x in rows]
+
+
 def test_line_dedup_takes_very_long_texts(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, long), (2, long + " more"), (3, "short line of text"), (4, "x" * 300_000), (5, "x" * 300_000)]
