@@ -97,32 +97,45 @@ class Place(NamedTuple):
     chunk: int
 
 
-def block_groups(blocks: DataFrame, count: int) -> list[list[Place]]:
-    """Places of ordered_blocks in order, in runs of blocks: a task has one run as its own. A run has at most VALUES numbers, or is one block."""
+def block_groups(blocks: DataFrame, count: int, more: int = 0) -> list[list[Place]]:
+    """Places of ordered_blocks in order, in runs of blocks: a task has one run as its own. A run has at most some VALUES numbers, or is one block.
+
+    more: numbers that a task holds for each frame besides its values.
+    """
     found = blocks.select("first", "n", "file", "chunk", F.octet_length("x").alias("size")).collect()
-    numbers = sum(r["size"] for r in found) // 8
+    numbers = sum(r["size"] // 8 + more * r["n"] for r in found)
     places = [Place(*x) for x in sorted((r["first"], r["n"], r["file"], r["chunk"]) for r in found)]
     groups = min(count, max(2 * blocks.sparkSession.sparkContext.defaultParallelism, -(-numbers // VALUES)))
     cuts = [k * count // groups for k in range(groups + 1)]
     return [places[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def read_blocks(places: list[Place]) -> Iterator[tuple[Place, np.ndarray, np.ndarray]]:
-    """(place, frames, values) of blocks, file after file, read by a task from the shared folder: no block is shuffled or broadcast."""
+def _table(file: str, columns: list[str]) -> pa.Table:
+    """Columns of a stored file, read by a task from the shared folder."""
     from pyarrow import fs
     from pyarrow import parquet as pq
 
+    system, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", file))
+    with system.open_input_file(path) as f:
+        return pq.read_table(f, columns=columns)
+
+
+def read_rows(file: str, columns: list[str]) -> Iterator[tuple[pa.Scalar, ...]]:
+    """Rows of a stored file, read by a task from the shared folder."""
+    yield from zip(*_table(file, columns).columns)
+
+
+def read_blocks(places: list[Place]) -> Iterator[tuple[Place, np.ndarray, np.ndarray]]:
+    """(place, frames, values) of blocks, file after file, read by a task from the shared folder: no block is shuffled or broadcast."""
     for file, some in groupby(places, key=lambda p: p.file):
-        system, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", file))
-        with system.open_input_file(path) as f:
-            table = pq.read_table(f, columns=["chunk", "frames", "x"])
+        table = _table(file, ["chunk", "frames", "x"])
         row = {chunk: k for k, chunk in enumerate(table["chunk"].to_pylist())}
         for place in some:
             k = row[place.chunk]
             yield place, table["frames"][k].values.to_numpy(), np.frombuffer(table["x"][k].as_buffer()).reshape(place.n, -1)
 
 
-def by_group(blocks: DataFrame, groups: list[list[Place]]) -> DataFrame:
+def by_group(blocks: DataFrame, groups: list) -> DataFrame:
     """One task for each of groups, with its number in column id."""
     return blocks.sparkSession.range(0, len(groups), 1, len(groups))
 

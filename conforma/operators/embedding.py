@@ -7,12 +7,14 @@ run of blocks and reads the others, one after another, from where they are store
 Metric scaling: the Guttman transform over blocks of the distance matrix, which are computed anew each round (majorisation, so
 the stress never rises).
 Neighbour embedding: exact nearest neighbours by blocks, a bounded list per frame; attraction along that graph; repulsion
-by a quadtree over the places (Barnes-Hut): cells that look small from a frame act as one point.
+from a grid over the places, whose nodes meet by one convolution, or, for places that are spread too far, by a quadtree (Barnes-Hut):
+cells that look small from a frame act as one point.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .blocks import ROWS, VALUES, Place, block_groups, by_group, ordered_blocks, read_blocks, summed
+from .blocks import ROWS, VALUES, Place, block_groups, by_group, ordered_blocks, read_blocks, read_rows, summed
 from .components import OUT, pca
 
 SEED = 42
@@ -36,12 +38,18 @@ EMBEDDING_ROUNDS = 250
 ANGLE = 0.5
 #: Levels of the quadtree.
 DEPTH = 16
-#: Edges of a stored row.
-EDGES = 1 << 17
+#: Steps of the grid of places (the kernel's own width is 1), and about its nodes a side at most.
+STEP, MOST_SIDE = 0.25, 2048
+#: Columns of the grid's transform at a time.
+BAND = 64
+#: Edges of a stored row, edges that a task deals at a time, and frames of the other ends that come together.
+EDGES, PACKETS, SPAN = 1 << 16, 1 << 20, 1 << 16
+#: Frames of a block of the graph at most.
+MOST_ROWS = 1 << 14
 #: Frames of a task's own that meet a block at a time.
-CHUNK = 1024
+CHUNK = 256
 #: Pairs whose values are gathered at a time.
-GATHERED = 1 << 14
+GATHERED = 1 << 10
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -221,71 +229,117 @@ def scale_all(wide: DataFrame, rows: int = ROWS, rounds: int = SCALING_ROUNDS, t
 # -- neighbour embedding -----------------------------------------------------------------------------------------------
 
 
+def _few(mask: np.ndarray) -> np.ndarray:
+    """As flatnonzero, for masks of few hits: eight cells are looked at as one first."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    hit = np.flatnonzero(flat[:whole].view(np.int64))
+    row, place = np.nonzero(flat[:whole].reshape(-1, 8)[hit])
+    return np.concatenate([8 * hit[row] + place, whole + np.flatnonzero(flat[whole:])])
+
+
 class _Nearest:
     """The k nearest others of rows x, the first of which has number first: exact, ties to the smaller number; blocks are met in any order.
 
     Products in single precision drop what lies beyond the k-th nearest so far by more than their largest error; what is left is
-    measured by differences, so that equal rows are equally far. Of each row k are kept, and at most as many wait, or a block's.
+    measured by differences, so that equal rows are equally far. Of each row k are kept, and at most half as many wait, or a block's.
     """
 
-    def __init__(self, x: np.ndarray, first: int, k: int):
-        self.x, self.first, self.k = x, first, k
+    def __init__(self, x: np.ndarray, first: int, k: int, named: bool = True):
+        self.x, self.first, self.k, self.named = x, first, k, named
         self.own = _Products(x, np.float32)
-        self.d2, self.ids, self.names = np.full((len(x), k), np.inf), np.full((len(x), k), np.iinfo(np.int64).max), np.zeros((len(x), k), np.int64)
+        self.length = np.sqrt(self.own.square)
+        self.d2, self.ids = np.full((len(x), k), np.inf), np.full((len(x), k), np.iinfo(np.int64).max)
+        self.names = np.zeros((len(x), k if named else 0), np.int64)
         self.waiting: dict[int, list[tuple[np.ndarray, ...]]] = {at: [] for at in range(0, len(x), CHUNK)}
+        # of each row the squared distance of the k-th one, beyond which nothing counts
+        self.bar = np.full(len(x), np.inf)
+        # tasks write to the same memory again and again
+        self.room, self.mask, self.pairs = np.zeros(0, np.float32), np.zeros(0, bool), np.empty((2, max(1, GATHERED * 64 // max(64, x.shape[1])), x.shape[1]))
 
     def meet(self, first: int, names: np.ndarray, other: np.ndarray) -> None:
         own, k = self.own, self.k
         right, square = own.right(other)
         # rounding of a product of so many terms, and of the factors
-        unit = (self.x.shape[1] + 8) * 2.0**-23
+        unit, far = (self.x.shape[1] + 8) * 2.0**-23, np.sqrt(square.max())
         for at in self.waiting:
             rows = slice(at, at + CHUNK)
             with np.errstate(over="ignore", invalid="ignore"):
-                near = own.left[rows] @ right
-                error = unit * (np.sqrt(own.square[rows]) + np.sqrt(square.max())) ** 2
-                bar = self.d2[rows, -1] * own.scale**2
+                left = own.left[rows]
+                if self.room.size < len(left) * len(other):
+                    self.room, self.mask = (np.empty(len(left) * len(other), t) for t in (np.float32, bool))
+                near = np.matmul(left, right, out=self.room[: len(left) * len(other)].reshape(len(left), len(other)))
+                error = unit * (self.length[rows] + far) ** 2
+                bar = self.bar[rows] * own.scale**2
                 if np.isinf(bar).any() and len(other) > k + 1:
                     # one more, as a frame may meet itself
                     bar = np.minimum(bar, np.partition(near, k, axis=1)[:, k] + error)
                 limit = np.nextafter((bar + error).astype(np.float32), np.float32(np.inf))
             # no nearer place is left, and no smaller number
-            limit[(self.d2[rows, -1] == 0) & (self.ids[rows, -1] < first)] = -np.inf
-            i, j = np.divmod(np.flatnonzero(~(near > limit[:, None])), len(other))
+            if (bar == 0).any():
+                limit[(bar == 0) & (self.ids[rows].max(axis=1) < first)] = -np.inf
+            mask = self.mask[: near.size].reshape(near.shape)
+            np.logical_not(np.greater(near, limit[:, None], out=mask), out=mask)
+            i, j = np.divmod(_few(mask), len(other))
             away = self.first + at + i != first + j
             i, j = i[away], j[away]
             if not len(i):
                 continue
             d2 = np.empty(len(i))
-            for s in range(0, len(i), max(1, GATHERED * 64 // max(64, self.x.shape[1]))):
-                e = s + max(1, GATHERED * 64 // max(64, self.x.shape[1]))
-                apart = self.x[at + i[s:e]] - other[j[s:e]]
-                d2[s:e] = (apart * apart).sum(axis=1)
+            step = self.pairs.shape[1]
+            for s in range(0, len(i), step):
+                apart, far_off = self.pairs[:, : len(i[s : s + step])]
+                np.take(self.x, at + i[s : s + step], axis=0, out=apart, mode="clip")
+                np.take(other, j[s : s + step], axis=0, out=far_off, mode="clip")
+                apart -= far_off
+                np.einsum("ij,ij->i", apart, apart, out=d2[s : s + step])
             d2[np.isnan(d2)] = np.inf
-            self.waiting[at].append((i, d2, first + j, names[j]))
-            if sum(len(w[0]) for w in self.waiting[at]) >= k * len(near):
+            # as far as the k-th one counts too: numbers decide
+            some = d2 <= self.bar[at + i]
+            self.waiting[at].append(tuple(c[some] for c in ((i, d2, first + j, names[j]) if self.named else (i, d2, first + j))))
+            if 2 * sum(len(w[0]) for w in self.waiting[at]) >= k * len(near):
                 self._settle(at)
 
     def _settle(self, at: int) -> None:
         some = self.waiting[at]
         if not some:
             return
-        i, d2, ids, names = (np.concatenate(c) for c in zip(*some))
+        i, *new = (np.concatenate(c) for c in zip(*some))
         self.waiting[at] = []
-        rows = slice(at, at + CHUNK)
-        n = len(self.d2[rows])
-        row = np.concatenate([np.repeat(np.arange(n), self.k), i])
-        d2, ids, names = (np.concatenate([a[rows].ravel(), b]) for a, b in ((self.d2, d2), (self.ids, ids), (self.names, names)))
-        order = np.lexsort((ids, d2, row))
-        counts = self.k + np.bincount(i, minlength=n)
-        best = order[(np.cumsum(counts) - counts)[:, None] + np.arange(self.k)]
-        self.d2[rows], self.ids[rows], self.names[rows] = d2[best], ids[best], names[best]
-
-    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(numbers, squared distances, names), in order of distance."""
+        rows, k = slice(at, at + CHUNK), self.k
+        held = [c[rows] for c in ((self.d2, self.ids, self.names) if self.named else (self.d2, self.ids))]
+        n = len(held[0])
+        counts = np.bincount(i, minlength=n)
+        # what waits is laid beside what is kept, row by row
+        order = np.argsort(i, kind="stable")
+        place = k + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+        both = []
+        for old, c, void in zip(held, new, (np.inf, np.iinfo(np.int64).max, 0)):
+            wide = np.full((n, k + int(counts.max(initial=0))), void, c.dtype)
+            wide[:, :k] = old
+            wide[i[order], place] = c[order]
+            both.append(wide)
+        d2, ids = both[:2]
+        last = np.partition(d2, k - 1, axis=1)[:, k - 1]
+        inside = d2 <= last[:, None]
+        # of equally far ones at the end the smallest numbers stay
+        for r in np.flatnonzero(inside.sum(axis=1) > k):
+            found = np.flatnonzero(inside[r])
+            inside[r, found[np.lexsort((ids[r, found], d2[r, found]))[k:]]] = False
+        for old, wide in zip(held, both):
+            old[:] = wide[inside].reshape(n, k)
+        self.bar[rows] = last
+
+    def result(self) -> tuple[np.ndarray, ...]:
+        """(numbers, squared distances) and, if named, names, in order of distance."""
         for at in self.waiting:
             self._settle(at)
-        return self.ids, self.d2, self.names
+            rows = slice(at, at + CHUNK)
+            for by in (self.ids, self.d2):
+                order = np.argsort(by[rows], axis=1, kind="stable")
+                for c in (self.ids, self.d2, self.names) if self.named else (self.ids, self.d2):
+                    c[rows] = np.take_along_axis(c[rows], order, 1)
+        return (self.ids, self.d2, self.names) if self.named else (self.ids, self.d2)
 
 
 def nearest(blocks: DataFrame, count: int, k: int, named: bool = False) -> DataFrame:
@@ -294,24 +348,26 @@ def nearest(blocks: DataFrame, count: int, k: int, named: bool = False) -> DataF
     Exact; ties go to the smaller number. With named also frames and names, the frames' own names and those of near. A task's
     blocks meet all others one after another and keep k of each frame, nothing more.
     """
-    groups = block_groups(blocks, count)
+    # a frame has its values, and k numbers of each kind
+    groups = block_groups(blocks, count, 2 * k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group in batch.column("id").to_pylist():
-                own = list(read_blocks(groups[group]))
+                own = [(place, frames) for place, frames, _ in read_blocks(groups[group])]
                 start = own[0][0].first
-                search = _Nearest(np.concatenate([x for _, _, x in own]), start, k)
-                for some in groups:
+                search = _Nearest(np.concatenate([x for _, _, x in read_blocks(groups[group])]), start, k, named)
+                # its own and the next ones first: frames of one ensemble follow one another
+                for some in groups[group:] + groups[:group]:
                     for place, frames, other in read_blocks(some):
                         search.meet(place.first, frames, other)
                 results = search.result()
-                for place, frames, _ in own:
+                for place, frames in own:
                     rows = slice(place.first - start, place.first - start + place.n)
-                    near, d2, names = (pa.array([a[rows].tobytes()], pa.binary()) for a in results)
+                    near, d2, *names = (pa.array([a[rows].tobytes()], pa.binary()) for a in results)
                     cols = {"first": pa.array([place.first], pa.int64()), "n": pa.array([place.n], pa.int32()), "near": near, "d2": d2}
                     if named:
-                        cols |= {"frames": pa.array([frames.astype(np.int64).tobytes()], pa.binary()), "names": names}
+                        cols |= {"frames": pa.array([frames.astype(np.int64).tobytes()], pa.binary()), "names": names[0]}
                     yield pa.RecordBatch.from_pydict(cols)
 
     schema = "first long, n int, near binary, d2 binary" + ", frames binary, names binary" * named
@@ -351,53 +407,83 @@ def affinities(d2: np.ndarray, perplexity: float) -> np.ndarray:
 
 
 def affinity_graph(near: DataFrame, frames: int, perplexity: float, rows: int) -> DataFrame:
-    """(block, head, i, j, p): symmetric affinities, arrays of some EDGES edges of the frames of one block (of rows frames), stored.
+    """(block, head, own, count, other, weight, i, j, p): symmetric affinities, some EDGES edges a row of the frames of one block (of rows frames), stored.
 
-    head: whether the row is its block's first. A frame that very many others have as a neighbour has several rows.
+    i, j, p are the edges one by one. They are made from what is stored when they are asked for: own are frames of the block, counted
+    from its first, which have count edges each, to the frames other with affinity weight. head: whether the row is its block's
+    first. Edges come in packets to the block of i, those with near j together, so that a frame that very many others have as a
+    neighbour fills no task's memory.
     """
+    spans = max(1, -(-frames // SPAN))
+    packets = "block long, span int, head boolean, i binary, j binary, p binary"
 
     def directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def dealt() -> pa.RecordBatch:
+            i, j, p = (np.concatenate(c) for c in zip(*held))
+            key = i // rows * spans + j // SPAN
+            order = np.argsort(key, kind="stable")
+            key, *edges = (c[order] for c in (key, i.astype(np.int32), j.astype(np.int32), p))
+            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            ends = np.append(cuts[1:], len(key))
+            named = [pa.array(key[cuts] // spans), pa.array((key[cuts] % spans).astype(np.int32)), pa.array([False] * len(cuts))]
+            return pa.RecordBatch.from_arrays([*named, *(pa.array([c[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for c in edges)], ["block", "span", "head", "i", "j", "p"])
+
         for batch in batches:
-            for first, n, ids, d2 in zip(batch.column("first").to_pylist(), batch.column("n").to_pylist(), batch.column("near"), batch.column("d2")):
-                j = np.frombuffer(ids.as_buffer(), np.int64).reshape(n, -1)
-                p = affinities(_matrix(d2, n), perplexity) / (2 * frames)
-                i = np.repeat(first + np.arange(n), j.shape[1])
-                i, j, p = np.append(i, j.ravel()), np.append(j.ravel(), i), np.append(p.ravel(), p.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(p)], ["i", "j", "p"])
+            for first, size, ids, d2 in zip(batch.column("first").to_pylist(), batch.column("n").to_pylist(), batch.column("near"), batch.column("d2")):
+                j = np.frombuffer(ids.as_buffer(), np.int64).reshape(size, -1)
+                p = (affinities(_matrix(d2, size), perplexity) / (2 * frames)).ravel().astype(np.float32)
+                i, j = np.repeat(first + np.arange(size), j.shape[1]), j.ravel()
+                held += [(i, j, p), (j, i, p)]
+                n += 2 * len(i)
+                heads = list(range(-(-first // rows), -(-(first + size) // rows)))
+                if heads:
+                    none = [pa.array([b""] * len(heads), pa.binary())] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), pa.array([0] * len(heads), pa.int32()), pa.array([True] * len(heads)), *none], ["block", "span", "head", "i", "j", "p"])
+                if n >= PACKETS:
+                    yield dealt()
+                    held, n = [], 0
+        if held:
+            yield dealt()
 
-    tasks = max(1, -(-frames // rows))
     # dealt by block once: sums, order and packing all lie within a block
-    both = near.mapInArrow(directed, "i long, j long, p double").withColumn("block", F.floor(F.col("i") / rows)).repartition(tasks, "block")
-    both = both.groupBy("block", "i", "j").agg(F.sum("p").alias("p"))
+    tasks = max(1, -(-frames // rows))
+    both = near.mapInArrow(directed, packets).repartitionById(tasks, F.col("block").cast("int"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        seen = None
-
-        def row(table: pa.Table) -> pa.RecordBatch:
-            nonlocal seen
-            block = table["block"][0].as_py()
-            head, seen = block != seen, block
-            cols = [pa.array([table[c].to_numpy().tobytes()], pa.binary()) for c in ("i", "j", "p")]
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([head]), *cols], ["block", "head", "i", "j", "p"])
-
-        def full(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            block = batch.column("block").to_numpy()
-            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() + [len(block)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                yield batch.slice(a, b - a)
-
+        def full(block: int, span: int, head: bool, some: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            i, j, p = (np.concatenate(c) for c in zip(*some))
+            key = (i - block * rows).astype(np.int64) * SPAN + (j - span * SPAN)
+            order = np.argsort(key, kind="stable")
+            key, p = key[order], p[order]
+            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            # an edge that both of its frames have comes twice
+            key, p = key[cuts], np.add.reduceat(p, cuts) if len(cuts) else p
+            for a in range(0, max(1, len(key)), EDGES):
+                own, count = np.unique(key[a : a + EDGES] // SPAN, return_counts=True)
+                other = key[a : a + EDGES] % SPAN + span * SPAN
+                cols = [pa.array([c.tobytes()], pa.binary()) for c in (own.astype(np.int32), count.astype(np.int32), other.astype(np.int32), p[a : a + EDGES])]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([head and a == 0]), *cols], ["block", "head", "own", "count", "other", "weight"])
+
+        seen, head, some = None, False, []
         for batch in batches:
-            for some in full(batch) if batch.num_rows else ():
-                if held and (held[0].column("block")[0] != some.column("block")[0] or sum(h.num_rows for h in held) + some.num_rows > EDGES):
-                    yield row(pa.Table.from_batches(held))
-                    held = []
-                held.append(some)
-        if held:
-            yield row(pa.Table.from_batches(held))
-
-    packed = both.select("i", "j", "p", "block").sortWithinPartitions("block", "i", "j").mapInArrow(pack, "block long, head boolean, i binary, j binary, p binary")
-    return stored(packed, "affinities")
+            for block, span, first, *edges in zip(*(batch.column(c).to_pylist() for c in ("block", "span", "head")), *(batch.column(c) for c in "ijp")):
+                if seen != (block, span):
+                    if some:
+                        yield from full(*seen, head, some)
+                    seen, head, some = (block, span), False, []
+                head = head or first
+                some.append(tuple(np.frombuffer(e.as_buffer(), t) for e, t in zip(edges, (np.int32, np.int32, np.float32))))
+        if some:
+            yield from full(*seen, head, some)
+
+    packed = both.sortWithinPartitions("block", "span").mapInArrow(pack, "block long, head boolean, own binary, count binary, other binary, weight binary")
+    graph = stored(packed, "affinities")
+    i = F.udf(lambda block, own, count: (np.repeat(np.frombuffer(own, np.int32), np.frombuffer(count, np.int32)) + np.int64(block * rows)).tobytes(), "binary")
+    j = F.udf(lambda other: np.frombuffer(other, np.int32).astype(np.int64).tobytes(), "binary")
+    p = F.udf(lambda weight: np.frombuffer(weight, np.float32).astype(float).tobytes(), "binary")
+    return graph.withColumns({"i": i("block", "own", "count"), "j": j("other"), "p": p("weight")})
 
 
 class QuadTree:
@@ -413,6 +499,8 @@ class QuadTree:
         order = np.argsort(code, kind="stable")
         code, total = code[order], np.vstack([np.zeros(2), np.cumsum(y[order], axis=0)])
         self.levels, before = [], None
+        # no part of the sum of all q is known beforehand
+        self.total = 0.0
         for level in range(depth + 1):
             own = code >> 2 * (depth - level)
             cut = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
@@ -454,35 +542,130 @@ class QuadTree:
         return force, total - len(y)
 
 
+@lru_cache(maxsize=1)
+def _kernels(step: float, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transforms of 1 / (1 + r^2), which are real, and of x and y / (1 + r^2)^2, which are imaginary, on a grid of side nodes, a step apart, without wrapping around; by columns."""
+    at = np.fft.fftfreq(2 * side, 1 / (2 * side)).astype(np.float32) * np.float32(step)
+    square, odd = at * at, at.copy()
+    # no two nodes are so far apart
+    odd[side] = 0
+    out = np.empty((3, side + 1, 2 * side), np.float32)
+    wave = np.empty((side + 1, 2 * side), np.complex64)
+    for k in range(3):
+        for a in range(0, 2 * side, BAND):
+            band = slice(a, a + BAND)
+            q = 1 / (1 + square[band, None] + square)
+            if k:
+                q *= q
+                q *= odd[band, None] if k == 1 else odd
+            wave[:, band] = np.fft.rfft(q).T
+        for a in range(0, side + 1, BAND):
+            some = np.fft.fft(wave[a : a + BAND])
+            out[k, a : a + BAND] = some.imag if k else some.real
+    return out[0], out[1], out[2]
+
+
+class Field:
+    """Repulsion of places from a grid: places are spread to its nodes by cubic interpolation, the nodes' sums over all nodes are
+    one convolution by Fourier transforms, and a place's sum is interpolated from its nodes. Work grows with places and nodes, not pairs.
+    """
+
+    def __init__(self, y: np.ndarray):
+        self.low, span = y.min(axis=0), self.width(y)
+        self.step = min(STEP, span / 192) if span else 1.0
+        # few different sides, of which transforms are fast
+        side = int(span / self.step) + 4
+        some = 1 << max(4, side.bit_length() - 3)
+        self.side = -(-side // some) * some
+        charge = np.zeros(self.side**2)
+        for node, weight in self._nodes(y):
+            charge += np.bincount(node, weight, self.side**2)
+        whole, east, north = _kernels(self.step, self.side)
+        # single precision has more digits than the interpolation. Half of the grid is there against wrapping around and stays out
+        wave = np.ascontiguousarray(np.fft.rfft(charge.astype(np.float32).reshape(self.side, -1), 2 * self.side).T)
+        pull = np.empty((2, *wave.shape), np.complex64)
+        power = np.zeros(len(wave))
+        for a in range(0, len(wave), BAND):
+            band = slice(a, a + BAND)
+            some = np.fft.fft(wave[band], 2 * self.side)
+            power[band] = ((some.real**2 + some.imag**2) * whole[band]).sum(axis=1, dtype=float)
+            some *= np.complex64(1j)
+            for k, kernel in enumerate((east, north)):
+                pull[k, band] = np.fft.ifft(some * kernel[band])[:, : self.side]
+        # Parseval; all but the first and the last stand for two. A place met itself once, with q = 1
+        self.total = float(2 * power.sum() - power[0] - power[-1]) / (2 * self.side) ** 2 - len(y)
+        self.force = np.zeros((self.side, self.side), np.complex64)
+        self.force.real = np.fft.irfft(np.ascontiguousarray(pull[0].T))[:, : self.side]
+        self.force.imag = np.fft.irfft(np.ascontiguousarray(pull[1].T))[:, : self.side]
+        self.force = self.force.ravel()
+
+    @staticmethod
+    def width(y: np.ndarray) -> float:
+        return float(np.ptp(y, axis=0).max())
+
+    def _nodes(self, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The sixteen nodes around places, and their weights."""
+        at = (y - self.low) / self.step
+        cell = np.floor(at).astype(np.int64)
+        f = at - cell
+        weights = (-f * (f - 1) * (f - 2) / 6, (f + 1) * (f - 1) * (f - 2) / 2, -(f + 1) * f * (f - 2) / 2, (f + 1) * f * (f - 1) / 6)
+        for a in range(4):
+            for b in range(4):
+                yield (cell[:, 0] + a) * self.side + cell[:, 1] + b, weights[a][:, 0] * weights[b][:, 1]
+
+    def repulsion(self, y: np.ndarray) -> tuple[np.ndarray, float]:
+        """As of QuadTree, without the sum of q, which is known for all places: total."""
+        force = np.zeros(len(y), complex)
+        for node, weight in self._nodes(y):
+            force += self.force[node] * weight
+        return force.view(float).reshape(-1, 2), 0.0
+
+
+def repelling(y: np.ndarray) -> Field | QuadTree:
+    """What gives the repulsion of places y: a grid; a quadtree if the grid would have too many nodes."""
+    return Field(y) if Field.width(y) <= STEP * MOST_SIDE else QuadTree(y)
+
+
 def _slope(graph: DataFrame, y: np.ndarray, rows: int, more: float) -> np.ndarray:
     """Gradient of the divergence at places y, its attraction times more: one map over the graph."""
-    shared = graph.sparkSession.sparkContext.broadcast((y, QuadTree(y)))
+    y = np.ascontiguousarray(y)
+    field = repelling(y)
+    shared = graph.sparkSession.sparkContext.broadcast((y, field))
+
+    # a task reads a file by itself: of what Spark would hand over, most time goes into handing over
+    files = sorted(graph.inputFiles())
+    columns = ["block", "head", "own", "count", "other", "weight"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y, tree = shared.value
-        for batch in batches:
-            for block, head, *edges in zip(batch.column("block").to_pylist(), batch.column("head").to_pylist(), *(batch.column(c) for c in "ijp")):
-                i, j = (np.frombuffer(e.as_buffer(), np.int64) for e in edges[:2])
-                p, own = np.frombuffer(edges[2].as_buffer()), y[block * rows : (block + 1) * rows]
-                apart = y[i] - y[j]
-                pull = (p / (1 + (apart * apart).sum(axis=1)))[:, None] * apart
-                out = np.zeros((len(own), 4))
-                for c in (0, 1):
-                    out[:, c] = np.bincount(i - block * rows, weights=pull[:, c], minlength=len(own))
+        y, field = shared.value
+        # pairs of numbers as complex ones
+        at = y.view(complex).ravel()
+        for file in (files[k] for batch in batches for k in batch.column("id").to_pylist()):
+            sums, z = {}, 0.0
+            for block, head, *edges in read_rows(file, columns):
+                own, count, other, p = (np.frombuffer(e.as_buffer(), t) for e, t in zip(edges, (np.int32, np.int32, np.int32, np.float32)))
+                mine = at[block.as_py() * rows : (block.as_py() + 1) * rows]
+                both = sums.setdefault(block.as_py(), np.zeros((2, len(mine)), complex))
+                if len(own):
+                    apart = np.repeat(mine[own], count)
+                    apart -= at[other]
+                    apart *= p / (1 + apart.real**2 + apart.imag**2)
+                    both[0, own] += np.add.reduceat(apart, np.cumsum(count) - count)
+                if head.as_py():
+                    force, some = field.repulsion(y[block.as_py() * rows : (block.as_py() + 1) * rows])
+                    both[1] += np.ascontiguousarray(force).view(complex).ravel()
+                    z += some
+            for block, x in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([z])], ["block", "x", "z"])
                 z = 0.0
-                if head:
-                    out[:, 2:], z = tree.repulsion(own)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([out.tobytes()], pa.binary()), pa.array([z])], ["block", "x", "z"])
-
-    attraction, repulsion, z = np.zeros_like(y), np.zeros_like(y), 0.0
-    for r in graph.mapInArrow(run, "block long, x binary, z double").collect():
-        own = np.frombuffer(r["x"]).reshape(-1, 4)
-        at = slice(r["block"] * rows, r["block"] * rows + len(own))
-        attraction[at] += own[:, :2]
-        repulsion[at] += own[:, 2:]
+
+    both, z = np.zeros((2, *y.shape)), field.total
+    for r in by_group(graph, files).mapInArrow(run, "block long, x binary, z double").collect():
+        some = np.frombuffer(r["x"]).reshape(2, -1, 2)
+        both[:, r["block"] * rows : r["block"] * rows + some.shape[1]] += some
         z += r["z"]
     shared.destroy()
-    return 4 * (more * attraction - repulsion / max(z, 1e-300))
+    return 4 * (more * both[0] - both[1] / max(z, 1e-300))
 
 
 def embed_all(wide: DataFrame, perplexity: float = PERPLEXITY, rounds: int = EMBEDDING_ROUNDS, rows: int = ROWS) -> DataFrame:
@@ -494,6 +677,9 @@ def embed_all(wide: DataFrame, perplexity: float = PERPLEXITY, rounds: int = EMB
         raise ValueError(f"perplexity {perplexity:g} needs more than {perplexity:g} frames; there are {frames}")
     y = _places(wide, frames)
     near = nearest(blocks, count, min(frames - 1, max(1, int(REACH * perplexity))))
+    # the graph's blocks are as many for each core, and at most so long
+    cores = wide.sparkSession.sparkContext.defaultParallelism
+    rows = max(rows, -(-frames // (cores * max(2, -(-frames // (cores * MOST_ROWS))))))
     graph = affinity_graph(near, frames, perplexity, rows)
     y = y / (y[:, 0].std() or 1.0) * 1e-4 + np.random.default_rng(SEED).normal(size=y.shape) * 1e-6
     speed, gain, rate = np.zeros_like(y), np.ones_like(y), max(frames / 48, 50.0)

@@ -221,3 +221,56 @@ def test_affinities_are_dealt_once(spark):
     E.affinity_graph(near, n, 20.0, rows=25)
     # 48,000 edges of three numbers and a block's, each dealt to its block; they were dealt for their sums before that
     assert shuffled(spark) - before < 48_000 * 20
+
+
+@pytest.mark.parametrize("n, width", [(48, 1.0), (1500, 1e-4), (1500, 10.0), (1500, 50.0)])
+def test_repulsion_from_the_grid_is_near_the_exact_sum(n, width):
+    rng = np.random.default_rng(14)
+    y = np.vstack([rng.normal(size=(n, 2)) * width, np.zeros((5, 2))])
+    d = y[:, None] - y[None]
+    q = 1 / (1 + (d**2).sum(axis=2))
+    np.fill_diagonal(q, 0)
+    exact = (q[:, :, None] ** 2 * d).sum(axis=1)
+    field = E.Field(y)
+    force, _ = field.repulsion(y)
+    assert np.abs(force - exact).max() < 0.02 * np.abs(exact).max() and field.total == pytest.approx(q.sum(), rel=5e-3)
+    # far apart, where a grid would have too many nodes, the quadtree does it
+    assert isinstance(E.repelling(y), E.Field) and isinstance(E.repelling(np.vstack([y, [[1e4, 0]]])), E.QuadTree)
+
+
+def test_rounds_of_embedding_take_no_walk_of_the_tree(spark, monkeypatch):
+    # each round walked the quadtree from each place, which took most of the time of larger tables
+    monkeypatch.setattr(E.QuadTree, "__init__", lambda self, y: pytest.fail("a quadtree"))
+    x = np.random.default_rng(15).normal(size=(60, 4))
+    assert E.embed_all(frames(spark, x), perplexity=8, rounds=12, rows=16).count() == 60
+
+
+def test_edges_come_in_packets_and_are_stored_without_their_frames(spark, monkeypatch):
+    x = np.random.default_rng(16).normal(size=(400, 4))
+    blocks, n, count = B.ordered_blocks(frames(spark, x), rows=25)
+    near = E.nearest(blocks, count, 60)
+    want = {(i, j): p for r in E.affinity_graph(near, n, 20.0, rows=25).collect() for i, j, p in zip(*(np.frombuffer(r[c], t) for c, t in (("i", np.int64), ("j", np.int64), ("p", float))))}
+    for name, value in (("SPAN", 64), ("PACKETS", 5000), ("EDGES", 300)):
+        monkeypatch.setattr(E, name, value)
+    graph = E.affinity_graph(near, n, 20.0, rows=100)
+    rows = graph.collect()
+    got = {(i, j): p for r in rows for i, j, p in zip(*(np.frombuffer(r[c], t) for c, t in (("i", np.int64), ("j", np.int64), ("p", float))))}
+    assert got.keys() == want.keys() and list(got.values()) == pytest.approx([want[k] for k in got])
+    assert sorted(r["block"] for r in rows if r["head"]) == [0, 1, 2, 3] and max(len(r["p"]) for r in rows) <= 8 * 300
+    y = np.random.default_rng(17).normal(size=(n, 2))
+    assert E._slope(graph, y, 100, 2.0) == pytest.approx(E._slope(E.affinity_graph(near, n, 20.0, rows=25), y, 25, 2.0), abs=1e-8)
+
+
+def test_nearest_frames_do_not_depend_on_chunks(spark, monkeypatch):
+    # small whole numbers: most distances tie, some with the last kept one
+    x = np.random.default_rng(18).integers(0, 3, size=(150, 4)).astype(float)
+    monkeypatch.setattr(E, "CHUNK", 8)
+    search = E._Nearest(x[60:90], 60, 9)
+    for a in (60, 80, 120, 0, 10):
+        b = {60: 80, 80: 120, 120: 150, 0: 10, 10: 60}[a]
+        search.meet(a, np.arange(a, b) * 10, x[a:b])
+    ids, d2, names = search.result()
+    d = ((x[60:90, None] - x[None]) ** 2).sum(axis=2)
+    d[np.arange(30), 60 + np.arange(30)] = np.inf
+    want = np.argsort(d, axis=1, kind="stable")[:, :9]
+    assert (ids == want).all() and (names == 10 * want).all() and (d2 == np.take_along_axis(d, want, 1)).all()
