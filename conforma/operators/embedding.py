@@ -5,7 +5,7 @@ each and counted, go to the tasks, and the sums that move them come back. Pairs
 run of blocks and reads the others, one after another, from where they are stored.
 
 Metric scaling: the Guttman transform over blocks of the distance matrix, which are computed anew each round (majorisation, so
-the stress never rises).
+the stress never rises); of very many frames places near the end come from rounds by some frames first.
 Neighbour embedding: exact nearest neighbours by blocks, a bounded list per frame; attraction along that graph; repulsion
 from a grid over the places, whose nodes meet by one convolution, or, for places that are spread too far, by a quadtree (Barnes-Hut):
 cells that look small from a frame act as one point.
@@ -34,6 +34,8 @@ REACH = 3
 MOST_FRAMES = 5_000_000
 SCALING_ROUNDS, SCALING_TOLERANCE = 300, 5e-5
 EMBEDDING_ROUNDS = 250
+#: Frames by which all others move at first in metric scaling, if they are a sixteenth of all or less.
+FEW = 8192
 #: A quadtree's cell acts as one point if its width is under this share of its distance.
 ANGLE = 0.5
 #: Levels of the quadtree.
@@ -126,51 +128,71 @@ def _met_groups(group: int, groups: int, half: bool) -> list[int]:
     return [(group + k) % groups for k in range(groups // 2 + 1) if 2 * k < groups or group < groups // 2]
 
 
-def guttman(distances: Distances, y: np.ndarray, kind: type = np.float64, half: bool | None = None) -> tuple[np.ndarray, float]:
+def _partners(places: list[Place], some: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers, values) of the frames of blocks, block by block; of those that some marks, as many as a block at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for place, _, other in read_blocks(places):
+        numbers = np.arange(place.first, place.first + place.n)
+        if some is None:
+            yield numbers, other
+            continue
+        held.append((numbers[some[numbers]], other[some[numbers]]))
+        if sum(len(h[0]) for h in held) >= ROWS:
+            yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            held = []
+    if sum(len(h[0]) for h in held):
+        yield np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+
+def guttman(distances: Distances, y: np.ndarray, kind: type = np.float64, half: bool | None = None, some: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """(next places, stress of y): place i moves to the mean over j of d_ij / e_ij (y_i - y_j). Distances are computed in type kind.
 
     With half, each unordered pair is met once, and a task has sums of half of all places; otherwise each ordered pair, and a task
-    has its own places' sums alone. By default half if all tasks' sums are few.
+    has its own places' sums alone. By default half if all tasks' sums are few. With some, every frame moves by the marked frames
+    alone, and the stress is that of their pairs, as of so many more.
     """
     groups = distances.groups
-    half = 2 * len(groups) * len(y) <= VALUES if half is None else half
-    shared = distances.blocks.sparkSession.sparkContext.broadcast(y)
+    half = some is None and (2 * len(groups) * len(y) <= VALUES if half is None else half)
+    shared = distances.blocks.sparkSession.sparkContext.broadcast((y, some))
 
     def moves(group: int) -> dict[int, np.ndarray]:
-        y = shared.value
+        y, some = shared.value
         x = np.concatenate([x for _, _, x in read_blocks(groups[group])])
         own, first = _Products(x, kind), groups[group][0].first
         del x
-        sums = {g: np.zeros(2 * sum(p.n for p in groups[g]) + 1) for g in (_met_groups(group, len(groups), half) if half else [group])}
-        lost, room = 0.0, [np.zeros(0, kind)] * 3
-        for g in _met_groups(group, len(groups), half):
+        met = [(g, groups[g]) for g in _met_groups(group, len(groups), True)] if half else [(group, [p for g in groups for p in g])]
+        sums = {g: np.zeros(2 * sum(p.n for p in groups[g]) + 1) for g in ([g for g, _ in met])}
+        # distances of places are products too, in the units of the others
+        at_own = y[first : first + len(own.left)].mean(axis=0)
+        scaled = (y - at_own) * own.scale
+        square = (scaled * scaled).sum(axis=1)
+        flat = np.column_stack([-2 * scaled, square, np.ones(len(y))])[first : first + len(own.left)].astype(kind)
+        # tasks write to the same memory again and again
+        lost, room, near = 0.0, [np.zeros(0, kind)] * 3, np.zeros(0, bool)
+        for g, places in met:
             both = half and g != group
-            for place, _, other in read_blocks(groups[g]):
+            for numbers, other in _partners(places, some):
                 right, _ = own.right(other)
-                yb = y[place.first : place.first + place.n]
+                yb = y[numbers]
+                flat_right = np.ascontiguousarray(np.column_stack([scaled[numbers], np.ones(len(yb)), square[numbers]]).astype(kind).T)
                 to, back = np.column_stack([yb, np.ones(len(yb))]).astype(kind), np.zeros((len(yb), 2))
                 for at in range(0, len(own.left), CHUNK):
                     left = own.left[at : at + CHUNK]
-                    ya = y[first + at : first + at + len(left)]
+                    start, shape = first + at, (len(left), len(yb))
+                    ya = y[start : start + len(left)]
                     if room[0].size < len(left) * len(yb):
-                        room = [np.empty(len(left) * len(yb), kind) for _ in range(3)]
-                    d, e, f = (r[: len(left) * len(yb)].reshape(len(left), len(yb)) for r in room)
-                    np.matmul(left, right, out=d)
-                    np.sqrt(np.maximum(d, 0, out=d), out=d)
-                    d *= kind(1 / own.scale)
-                    np.subtract.outer(ya[:, 0].astype(kind), yb[:, 0].astype(kind), out=e)
-                    np.multiply(e, e, out=e)
-                    np.subtract.outer(ya[:, 1].astype(kind), yb[:, 1].astype(kind), out=f)
-                    np.multiply(f, f, out=f)
-                    np.sqrt(np.add(e, f, out=e), out=e)
-                    if g == group:
+                        room, near = [np.empty(len(left) * len(yb), kind) for _ in range(3)], np.empty(len(left) * len(yb), bool)
+                    d, e, f, one = (r[: len(left) * len(yb)].reshape(shape) for r in (*room, near))
+                    # what falls below zero does so by rounding
+                    np.sqrt(np.abs(np.matmul(left, right, out=d), out=d), out=d)
+                    np.sqrt(np.abs(np.matmul(flat[at : at + CHUNK], flat_right, out=e), out=e), out=e)
+                    if numbers[0] < start + len(left) and numbers[-1] >= start:
                         # a frame and itself
-                        i = np.arange(max(first + at, place.first), min(first + at + len(left), place.first + len(yb)))
-                        d[i - first - at, i - place.first] = 0
+                        i = np.flatnonzero((numbers >= start) & (numbers < start + len(left)))
+                        d[numbers[i] - start, i] = e[numbers[i] - start, i] = 0
                     np.subtract(d, e, out=f)
-                    lost += float(np.einsum("ij,ij->i", f, f).sum(dtype=float)) / (1 if both else 2)
-                    one = e <= 1e-12
-                    if one.any():
+                    lost += float(np.einsum("ij,ij->i", f, f).sum(dtype=float)) / own.scale**2 / (1 if both else 2)
+                    if np.less_equal(e, kind(1e-12 * own.scale), out=one).any():
                         e[one] = np.inf
                     ratio = np.divide(d, e, out=d)
                     got = (ratio @ to).astype(float)
@@ -179,7 +201,7 @@ def guttman(distances: Distances, y: np.ndarray, kind: type = np.float64, half:
                         got = (ratio.T @ np.column_stack([ya, np.ones(len(ya))]).astype(kind)).astype(float)
                         back += got[:, 2:] * yb - got[:, :2]
                 if both:
-                    start = 2 * (place.first - groups[g][0].first)
+                    start = 2 * (int(numbers[0]) - groups[g][0].first)
                     sums[g][start : start + 2 * len(yb)] += back.ravel()
         # the stress rides at the end
         sums[group][-1] += lost
@@ -195,22 +217,19 @@ def guttman(distances: Distances, y: np.ndarray, kind: type = np.float64, half:
     got = summed(by_group(distances.blocks, groups).mapInArrow(run, "key long, x binary"), len(groups), numbers)
     shared.destroy()
     rows = [got[k] for k in sorted(got)]
-    return np.concatenate([r[:-1].reshape(-1, 2) for r in rows]) / len(y), float(sum(r[-1] for r in rows))
+    moved, lost = np.concatenate([r[:-1].reshape(-1, 2) for r in rows]), float(sum(r[-1] for r in rows))
+    if some is None:
+        return moved / len(y), lost
+    # the mean of all places is 0 after a round, that of some is not
+    return moved / some.sum() + y[some].mean(axis=0), lost * len(y) / int(some.sum())
 
 
-def scale_all(wide: DataFrame, rows: int = ROWS, rounds: int = SCALING_ROUNDS, tolerance: float = SCALING_TOLERANCE) -> tuple[DataFrame, float]:
-    """(OUT, stress) of metric scaling of all frames, started from principal components."""
-    blocks, frames, count = ordered_blocks(wide, rows)
-    if not frames:
-        return wide.sparkSession.createDataFrame([], OUT), 0.0
-    y = _places(wide, frames)
-    # frames at one place would never part
-    y = y + np.random.default_rng(SEED).normal(size=y.shape) * (1e-3 * (np.abs(y).max() or 1.0))
-    distances = distance_blocks(blocks, count)
+def _descend(distances: Distances, y: np.ndarray, rounds: int, tolerance: float, some: np.ndarray | None = None) -> np.ndarray:
+    """The best places of rounds from y on, until the stress falls by less than tolerance times itself."""
     best, least, step = y, np.inf, 1.0
     for _ in range(rounds):
         # digits that single precision lacks change the stress by far less than the tolerance
-        moved, now = guttman(distances, y, np.float32)
+        moved, now = guttman(distances, y, np.float32, some=some)
         gained = least - now
         if gained < 0 and step > 1:
             # an overlong step raised the stress: go on from the best with plain steps, which never do
@@ -220,10 +239,47 @@ def scale_all(wide: DataFrame, rows: int = ROWS, rounds: int = SCALING_ROUNDS, t
             best, least, kept = y, now, moved
         if gained < tolerance * max(now, 1e-12):
             break
-        # steps twice as long halve the rounds (relaxed majorisation)
-        step = 2.0 if step > 1 or np.isfinite(gained) else 1.0
+        # steps twice as long halve the rounds (relaxed majorisation); by some frames they would double what the choice adds
+        step = 2.0 if some is None and (step > 1 or np.isfinite(gained)) else 1.0
         y = y + step * (moved - y)
-    return _placed(blocks, best), guttman(distances, best)[1]
+    return best
+
+
+def _scaled(wide: DataFrame, rows: int, rounds: int, tolerance: float) -> tuple[Distances, np.ndarray] | None:
+    """(distances, places) of metric scaling; None without frames.
+
+    Rounds over all pairs end it. Where frames are very many, they start from rounds in which every frame moves by some frames, chosen by
+    a seed, first by some FEW, then by eight times as many, and so on: these bring places near their end at a small part of the cost.
+    """
+    blocks, frames, count = ordered_blocks(wide, rows)
+    if not frames:
+        return None
+    y = _places(wide, frames)
+    rng = np.random.default_rng(SEED)
+    # frames at one place would never part
+    y = y + rng.normal(size=y.shape) * (1e-3 * (np.abs(y).max() or 1.0))
+    distances = distance_blocks(blocks, count)
+    # fewer rounds over all pairs are saved than rounds by some frames cost unless these are a small part
+    part = FEW / frames if FEW <= frames / 16 else 1.0
+    while part <= 0.25:
+        some = rng.random(frames) < part
+        y = _descend(distances, y, rounds, tolerance, some)
+        part *= 8
+    return distances, _descend(distances, y, rounds, tolerance)
+
+
+def scale_all(wide: DataFrame, rows: int = ROWS, rounds: int = SCALING_ROUNDS, tolerance: float = SCALING_TOLERANCE) -> tuple[DataFrame, float]:
+    """(OUT, stress) of metric scaling of all frames, started from principal components. The stress takes a round of its own, in double precision."""
+    found = _scaled(wide, rows, rounds, tolerance)
+    if not found:
+        return wide.sparkSession.createDataFrame([], OUT), 0.0
+    return _placed(found[0].blocks, found[1]), guttman(*found)[1]
+
+
+def scale_places(wide: DataFrame, rows: int = ROWS, rounds: int = SCALING_ROUNDS, tolerance: float = SCALING_TOLERANCE) -> DataFrame:
+    """OUT of metric scaling, as scale_all, without the stress."""
+    found = _scaled(wide, rows, rounds, tolerance)
+    return _placed(found[0].blocks, found[1]) if found else wide.sparkSession.createDataFrame([], OUT)
 
 
 # -- neighbour embedding -----------------------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..model import normalise_techniques
 from .components import OUT, pca
-from .embedding import PERPLEXITY, embed_all, scale_all
+from .embedding import PERPLEXITY, embed_all, scale_places
 
 SEED = 42
 NEIGHBOURS = 5
@@ -161,7 +161,7 @@ def _by_landmarks(wide: DataFrame, embed: Callable[[np.ndarray], np.ndarray], la
 
 def mds(wide: DataFrame, landmarks: int | None = None) -> DataFrame:
     """Metric scaling to two dimensions (seeded) of all frames; with landmarks, of so many, with the others by their nearest ones."""
-    return scale_all(wide)[0] if landmarks is None else _by_landmarks(wide, lambda x: scale_metric(_distances(x, x)), landmarks)
+    return scale_places(wide) if landmarks is None else _by_landmarks(wide, lambda x: scale_metric(_distances(x, x)), landmarks)
 
 
 def tsne(wide: DataFrame, landmarks: int | None = None, perplexity: float = PERPLEXITY) -> DataFrame:

@@ -274,3 +274,40 @@ def test_nearest_frames_do_not_depend_on_chunks(spark, monkeypatch):
     d[np.arange(30), 60 + np.arange(30)] = np.inf
     want = np.argsort(d, axis=1, kind="stable")[:, :9]
     assert (ids == want).all() and (names == 10 * want).all() and (d2 == np.take_along_axis(d, want, 1)).all()
+
+
+def test_a_round_by_some_frames_equals_the_plain_one_by_them(spark):
+    rng = np.random.default_rng(19)
+    x, y, some = rng.normal(size=(83, 5)), rng.normal(size=(83, 2)), rng.random(83) < 0.4
+    blocks, n, count = B.ordered_blocks(frames(spark, x), rows=9)
+    met = E.distance_blocks(blocks, count)
+    moved, stress = E.guttman(met, y, some=some)
+    d, e = (np.sqrt(((a[:, None] - a[None]) ** 2).sum(axis=2))[:, some] for a in (x, y))
+    ratio = np.divide(d, e, out=np.ones_like(d), where=e > 0)
+    assert moved == pytest.approx((y[some] + ratio[:, :, None] * (y[:, None] - y[some])).mean(axis=1))
+    assert stress == pytest.approx(((d - e) ** 2).sum() / 2 * 83 / some.sum())
+    # all frames as some make a plain round
+    moved, stress = E.guttman(met, y - y.mean(axis=0), some=np.ones(83, bool))
+    want, lost = E.guttman(met, y - y.mean(axis=0))
+    assert moved == pytest.approx(want) and stress == pytest.approx(lost)
+
+
+def test_scaling_ends_by_all_pairs_and_spends_no_round_on_an_unread_stress(spark, monkeypatch):
+    # a last round in double precision, twice as long as others, gave a stress that mds dropped
+    rng = np.random.default_rng(20)
+    x = rng.normal(size=(800, 6)) * [5, 4, 1, 1, 1, 1]
+    wide, met, plain = frames(spark, x), [], E.guttman
+
+    def counted(distances, y, kind=np.float64, half=None, some=None):
+        met.append((kind, 1.0 if some is None else some.mean()))
+        return plain(distances, y, kind, half, some)
+
+    monkeypatch.setattr(E, "guttman", counted)
+    d = np.sqrt(E.squared(x, x))
+    whole = X.stress(d, places(X.mds(wide)))
+    assert all(kind is np.float32 and part == 1 for kind, part in met)
+    met.clear()
+    # rounds by some frames only give places to start from
+    monkeypatch.setattr(E, "FEW", 50)
+    part = X.stress(d, places(X.mds(wide)))
+    assert met[0][1] < 0.1 and [p for _, p in met[-2:]] == [1, 1] and part < 1.002 * whole
